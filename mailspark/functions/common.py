@@ -62,15 +62,14 @@ def contains_any(col: Column, words: Iterable[str]) -> Column:
     return col.rlike("|".join(re.escape(w) for w in dict.fromkeys(words)))
 
 
-def words_found(lowered: Column, words: Iterable[str]) -> Column:
-    """The list members that occur in an already lowered text, in list order (repeats in the list are kept)."""
-    lexicon = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(w.lower()).alias("key")) for w in words])
-    return F.transform(
-        F.filter(lexicon, lambda w: F.contains(lowered, w["key"])), lambda w: w["word"])
+def literal_list(values: Iterable[str]) -> Column:
+    """A constant array, folded by the optimizer out of one literal. Values must not hold a line feed."""
+    return F.split(F.lit("\n".join(values)), "\n")
 
 
-def first_of(lexicon_hits: Column) -> Column:
-    return F.get(lexicon_hits, F.lit(0))
+def words_found(lowered: Column, words: Iterable[str]) -> Column:
+    """The list members that occur in an already lowered text, in list order (repeats in the list are kept)."""
+    return F.filter(literal_list(words), lambda w: F.contains(lowered, w))
 
 
 def join_nonempty(separator: str, *cols: Column) -> Column:

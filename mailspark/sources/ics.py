@@ -7,7 +7,7 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark import lexicon as lx
-from mailspark.functions.common import iso_utc, nonempty, strip, with_once
+from mailspark.functions.common import iso_utc, literal_list, nonempty, strip, with_once
 from mailspark.functions.fingerprint import ics_fingerprint
 from mailspark.operators.rules import DEFAULT_MINUTES, DEFAULT_ZONE
 
@@ -26,8 +26,7 @@ def _text(block: Column, name: str) -> Column:
 
 
 def _known_zones() -> Column:
-    zones = sorted(z for z in available_timezones() if "/" in z or z in ("UTC", "GMT"))
-    return F.array(*[F.lit(z) for z in zones])
+    return literal_list(sorted(z for z in available_timezones() if "/" in z or z in ("UTC", "GMT")))
 
 
 def _instant(block: Column, name: str, tz: str) -> Column:
