@@ -88,6 +88,8 @@ def mailbox(messages: DataFrame, events: DataFrame, which: str = "all", search:
         rows = rows.where(F.contains(F.lower("subject"), word) | F.contains(F.lower("from_addr"), word))
     if limit is not None:
         rows = rows.orderBy(F.desc_nulls_last("received_at"), F.desc("id")).limit(limit)
+    if limit is not None:
+        events = events.join(rows.select(F.col("id").alias("message_id")), "message_id", "left_semi")
     counts = events.groupBy(F.col("message_id").alias("id")).agg(F.count(F.lit(1)).alias("event_count"))
     return rows.join(counts, "id", "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
 
@@ -130,14 +132,18 @@ def worst_exit(stages: DataFrame) -> DataFrame:
         "exit_code"))
 
 
+def _label(code: Column, labels: dict[str, str]) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, code), code)
+
+
 def status_label(code: Column) -> Column:
-    table = {**lx.EVENT_STATUS_LABELS}
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[code], code)
+    return _label(code, lx.EVENT_STATUS_LABELS)
 
 
 def source_label(code: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in lx.SOURCE_LABELS.items() for x in kv])[code], code)
+    return _label(code, lx.SOURCE_LABELS)
 
 
 def extract_status_label(code: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in lx.EXTRACT_STATUS_LABELS.items() for x in kv])[code], code)
+    return _label(code, lx.EXTRACT_STATUS_LABELS)

@@ -9,11 +9,11 @@ from mailspark.functions import fingerprint as fp, headers as hd, text as tx
 from mailspark.functions.common import flag, with_once
 from mailspark.operators.review import probable_duplicates
 from mailspark.queries.views import MAIL_ORDERS, mail_orders, with_ctes
-from mailspark.sources.tables import load
+from mailspark.sources.tables import load, spread
 
 
 def redact_pii(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents")
+    docs = spread(load(spark, folder, "documents"))
     masked = with_once(docs, masked=tx.redact(F.col("text")))
     return masked.select("doc_id", F.sha2("masked", 256).alias("masked_sha"),
                          F.length("masked").cast("long").alias("masked_chars"))
@@ -22,14 +22,14 @@ def redact_pii(spark: SparkSession, folder: str) -> DataFrame:
 def strip_control_sanitize(spark: SparkSession, folder: str) -> DataFrame:
     # control characters and escape sequences are woven into the given texts
     noisy = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x07\x1b[0m\r\n\x9f"))
-    docs = load(spark, folder, "documents").withColumn("noisy", noisy)
+    docs = spread(load(spark, folder, "documents")).withColumn("noisy", noisy)
     return docs.select("doc_id", F.sha2(tx.sanitize_text(F.col("noisy")), 256).alias("log_sha"),
                        tx.sanitize_error(F.col("noisy")).alias("error_text"),
                        tx.head_excerpt(F.col("text")).alias("head"))
 
 
 def html_to_text_len(spark: SparkSession, folder: str) -> DataFrame:
-    pages = load(spark, folder, "pages")
+    pages = spread(load(spark, folder, "pages"))
     read = with_once(pages, visible=tx.html_to_text(F.col("html")))
     return read.select("page_id", F.length("visible").cast("long").alias("visible_chars"),
                        F.sha2("visible", 256).alias("visible_sha"))
@@ -39,7 +39,7 @@ def clean_body_hash(spark: SparkSession, folder: str) -> DataFrame:
     tail = F.when(F.col("doc_id") % 4 == 0, F.lit("\r\n\r\n--\r\nsent by a phone")).when(
         F.col("doc_id") % 4 == 1, F.lit("\n\n> quoted line\n>> deeper   \n\n\n\nend")).when(
         F.col("doc_id") % 4 == 2, F.lit("\n\nUnsubscribe here\n\nThe team")).otherwise(F.lit("\nSent from my tablet"))
-    docs = load(spark, folder, "documents").withColumn("full", F.concat("text", tail))
+    docs = spread(load(spark, folder, "documents")).withColumn("full", F.concat("text", tail))
     done = tx.with_body(docs, F.col("full"), 4000)
     return done.select("doc_id", "body_sha256", F.sha2("body_excerpt", 256).alias("excerpt_sha"),
                        F.length("body_excerpt").cast("long").alias("excerpt_chars"), flag(F.col("truncated")).alias(

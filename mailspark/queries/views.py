@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailspark import lexicon as lx
-from mailspark.sources.tables import load
+from mailspark.sources.tables import load, spread
 
 NOW = "1998-01-01 00:00:00"
 STATUSES = lx.EVENT_STATUSES
@@ -35,7 +35,7 @@ def with_ctes(sql: str, *ctes: str) -> str:
 
 
 def mail_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders, customer = load(spark, folder, "orders"), load(spark, folder, "customer")
+    orders, customer = spread(load(spark, folder, "orders")), load(spark, folder, "customer")
     joined = orders.join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     k = F.col("o_orderkey")
     kt = k.cast("string")

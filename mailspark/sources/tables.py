@@ -15,6 +15,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns(naive) if naive else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on an input of few splits; a large input passes unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def state_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One of the fixed-schema state tables."""
     return pin_utc(spark).read.schema(TABLES[name]).parquet(path)
