@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark.functions.headers import is_seen
 from mailspark.operators.store import added, last_write, newest, upsert
+from mailspark.session import checkpointed
 
 UID_KEY = ["account", "folder", "uid_validity", "uid"]
 FOLDER = ["account", "folder"]
@@ -93,26 +94,46 @@ def classify_arrivals(arrivals: DataFrame, messages: DataFrame) -> DataFrame:
              .when(duplicate.isNotNull(), "copy").otherwise("new"))
     place = F.struct("folder_ord", "account", "folder", "uid") if "folder_ord" in arrivals.columns else F.struct(
         "account", "folder", "uid")
-    staged = (joined.withColumn("_first", first).withColumn("_place", place)
+    # settled once: the rounds below must all see the same rows
+    staged = checkpointed(joined.withColumn("_first", first).withColumn("_place", place)
               .withColumn("match_id", F.coalesce("known_id", reuse, duplicate))
               .drop("known_id", "re_hash", "re_name", "dup_hash", "dup_name"))
     return _copies_within(staged)
 
 
 def _copies_within(staged: DataFrame) -> DataFrame:
-    """Among arrivals that match nothing stored, the first of equal content is new and the others are its copies."""
-    fresh = staged.where("_first = 'new'")
-    by_hash = fresh.where(F.length("body_sha256") > 0).groupBy("account", "body_sha256").agg(
-        F.min("_place").alias("_h"))
-    by_name = fresh.where(F.length("normalized_message_id") > 0).groupBy("account", "normalized_message_id").agg(
-        F.min("_place").alias("_m"))
-    joined = (staged.join(by_hash, ["account", "body_sha256"], "left")
-              .join(by_name, ["account", "normalized_message_id"], "left"))
-    earliest = F.least("_h", "_m")
-    copy = (F.col("_first") == "new") & F.coalesce(earliest < F.col("_place"), F.lit(False))
-    return (joined.withColumn("batch_of", F.when(copy, earliest["uid"]))
+    """Arrivals that match nothing stored: an arrival is new unless an earlier new one shares its hash or its id.
+
+    A copy stands for nothing, so who is new depends on who came before. Each round settles every arrival that is
+    first in both of its groups, and the copies of those; the rest goes on. One round is the rule, more are needed
+    only where chains of partly equal arrivals meet in one batch.
+    """
+    hashed = F.when(F.length("body_sha256") > 0, F.col("body_sha256"))
+    named = F.when(F.length("normalized_message_id") > 0, F.col("normalized_message_id"))
+    rest = checkpointed(staged.where("_first = 'new'").select("account", hashed.alias("_h"), named.alias("_m"), "_place"))
+    settled: list[DataFrame] = []
+    while not rest.isEmpty():
+        by_hash = rest.where("_h is not null").groupBy("account", "_h").agg(F.min("_place").alias("h_first"))
+        by_name = rest.where("_m is not null").groupBy("account", "_m").agg(F.min("_place").alias("m_first"))
+        placed = rest.join(by_hash, ["account", "_h"], "left").join(by_name, ["account", "_m"], "left")
+        leads = (F.coalesce("h_first", "_place") == F.col("_place")) & (F.coalesce("m_first", "_place") == F.col("_place"))
+        leaders = checkpointed(placed.where(leads).select("account", "_h", "_m", "_place"))
+        of_hash = leaders.where("_h is not null").select("account", "_h", F.col("_place").alias("h_of"))
+        of_name = leaders.where("_m is not null").select("account", "_m", F.col("_place").alias("m_of"))
+        judged = checkpointed(rest.join(of_hash, ["account", "_h"], "left").join(of_name, ["account", "_m"], "left")
+                              .withColumn("_of", F.least("h_of", "m_of")))
+        settled.append(judged.where("_of is not null").select("account", "_place", "_of"))
+        rest = judged.where("_of is null").select("account", "_h", "_m", "_place")
+    if not settled:
+        return staged.withColumns({"batch_of": F.lit(None).cast("long"), "action": F.col("_first")}).drop("_first", "_place")
+    found = settled[0]
+    for part in settled[1:]:
+        found = found.unionByName(part)
+    copy = F.coalesce(F.col("_of") < F.col("_place"), F.lit(False))
+    return (staged.join(found, ["account", "_place"], "left")
+            .withColumn("batch_of", F.when(copy, F.col("_of.uid")))
             .withColumn("action", F.when(copy, "copy").otherwise(F.col("_first")))
-            .drop("_first", "_place", "_h", "_m"))
+            .drop("_first", "_place", "_of"))
 
 
 def apply_arrivals(messages: DataFrame, decided: DataFrame, now: Column) -> DataFrame:

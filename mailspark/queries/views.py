@@ -244,7 +244,7 @@ def mail_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(e % 6 == 0, "pending").when(e % 6 == 1, "running").when(e % 6 == 2, "failed").otherwise("done").alias(
             "extract_status"),
         (e % 5).cast("int").alias("extract_attempts"), (e % 17 != 0).alias("is_canonical"),
-        F.sha2(F.concat(F.lit("b"), (e % 4000).cast("string")), 256).alias("body_sha256"),
+        F.sha2(F.concat(F.lit("b"), ((e - e % 2) % 9000).cast("string")), 256).alias("body_sha256"),
         F.concat(F.lit("e"), (e % 7000).cast("string"), F.lit("@x")).alias("normalized_message_id"), "value", "props")
 
 
@@ -255,5 +255,5 @@ SELECT event_id AS id, 'a' AS account, event_type AS folder, 1 AS uid_validity,
   CASE WHEN event_type = 'error' THEN 'errors.list' END AS list_id,
   CASE event_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'done' END AS extract_status,
   event_id % 5 AS extract_attempts, event_id % 17 <> 0 AS is_canonical,
-  'b' || (event_id % 4000) AS body, 'e' || (event_id % 7000) || '@x' AS mid, value, props
+  'b' || ((event_id - event_id % 2) % 9000) AS body, 'e' || (event_id % 7000) || '@x' AS mid, value, props
 FROM events)"""
