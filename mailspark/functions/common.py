@@ -8,9 +8,18 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def rx(pattern: str, flags: str = "") -> str:
-    """A Java pattern whose \\d, \\s, \\w and \\b follow Unicode, as the fixed patterns expect."""
-    return f"(?U{flags}){pattern}"
+def rx(pattern: str, flags: str = "", plain: bool = False) -> str:
+    """A Java pattern whose \\d, \\s, \\w and \\b follow Unicode, as the fixed patterns expect.
+
+    ``plain`` leaves the slower Unicode classes off: on ASCII text both read the same.
+    """
+    mode = flags if plain else f"U{flags}"
+    return f"(?{mode}){pattern}" if mode else pattern
+
+
+def by_script(text: Column, make: Callable[[Column, bool], Column]) -> Column:
+    """``make(text, plain)`` with plain patterns for ASCII text and Unicode ones for all other text."""
+    return let(text, lambda t: F.when(t.rlike(r"^[\x00-\x7f]*+$"), make(t, True)).otherwise(make(t, False)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,16 +36,16 @@ def with_once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def sub(col: Column, pattern: str, replacement: str = "", flags: str = "") -> Column:
-    return F.regexp_replace(col, rx(pattern, flags), replacement)
+def sub(col: Column, pattern: str, replacement: str = "", flags: str = "", plain: bool = False) -> Column:
+    return F.regexp_replace(col, rx(pattern, flags, plain), replacement)
 
 
-def matches(col: Column, pattern: str, flags: str = "") -> Column:
-    return col.rlike(rx(pattern, flags))
+def matches(col: Column, pattern: str, flags: str = "", plain: bool = False) -> Column:
+    return col.rlike(rx(pattern, flags, plain))
 
 
-def find_all(col: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(col, F.lit(rx(pattern)), F.lit(group))
+def find_all(col: Column, pattern: str, group: int = 0, plain: bool = False) -> Column:
+    return F.regexp_extract_all(col, F.lit(rx(pattern, plain=plain)), F.lit(group))
 
 
 def strip(col: Column) -> Column:

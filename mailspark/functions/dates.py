@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mailspark import lexicon as lx
-from mailspark.functions.common import find_all, let, matches, nonempty, rx, strip
+from mailspark.functions.common import by_script, find_all, let, literal_list, matches, nonempty, rx, strip
 
 _WIDE_DIGITS = "０１２３４５６７８９"
 
@@ -45,7 +45,7 @@ def _padded(number: Column, width: int) -> Column:
 def safe_date(year: Column, month: Column, day: Column) -> Column:
     """The calendar date, or null when there is no such day."""
     dash = F.lit("-")
-    return F.try_to_date(F.concat(_padded(year, 4), dash, _padded(month, 2), dash, _padded(day, 2)), "yyyy-MM-dd")
+    return F.concat(_padded(year, 4), dash, _padded(month, 2), dash, _padded(day, 2)).try_cast("date")
 
 
 def infer_year(month: Column, day: Column, received: Column) -> Column:
@@ -54,7 +54,7 @@ def infer_year(month: Column, day: Column, received: Column) -> Column:
     A day missing in the year of receipt (29 February) gives null, never the next year.
     """
     def in_year(year: Column, tail: Column) -> Column:
-        return F.try_to_date(F.concat(_padded(year, 4), tail), "yyyy-MM-dd")
+        return F.concat(_padded(year, 4), tail).try_cast("date")
 
     dash = F.lit("-")
     return let(F.concat(dash, _padded(month, 2), dash, _padded(day, 2)), lambda tail: let(
@@ -68,36 +68,40 @@ def month_number(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in order]), short).cast("int")
 
 
-def _family(text: Column, pattern: str, day_of, has_year: bool) -> Column:
+def _family(text: Column, pattern: str, day_of, has_year: bool, plain: bool = False) -> Column:
     """All valid dates one pattern finds, with the text that shows them."""
     def part(match: Column, group: int) -> Column:
-        return F.regexp_extract(match, rx(pattern), group)
+        return F.regexp_extract(match, rx(pattern, plain=plain), group)
 
-    hits = F.transform(find_all(text, pattern), lambda m: F.struct(
+    hits = F.transform(find_all(text, pattern, plain=plain), lambda m: F.struct(
         day_of(lambda g: part(m, g)).alias("day"), F.lit(has_year).alias("has_year"), strip(m).alias("ev")))
     return F.filter(hits, lambda h: h["day"].isNotNull())
 
 
 def relative_date(text: Column, received: Column) -> Column:
     """struct(day, has_year, ev) for today/tomorrow words or a weekday, else null."""
-    lowered = F.lower(text)
-
     def found(day: Column, evidence: Column) -> Column:
         return F.struct(day.alias("day"), F.lit(True).alias("has_year"), evidence.alias("ev"))
 
-    by_word = None
-    for word, delta in lx.RELATIVE_DAYS:
-        hit = found(F.date_add(received, delta), F.lit(word))
-        seen = F.contains(lowered, F.lit(word))
-        by_word = F.when(seen, hit) if by_word is None else by_word.when(seen, hit)
+    # the first word of the list that occurs, with the days it adds
+    words = literal_list(word for word, _ in lx.RELATIVE_DAYS)
+    deltas = F.array(*[F.lit(delta) for _, delta in lx.RELATIVE_DAYS])
+    first = let(F.lower(text), lambda t: F.get(F.filter(words, lambda w: F.contains(t, w)), F.lit(0)))
+
+    def by_word(word: Column) -> Column:
+        return F.when(word.isNotNull(), found(
+            F.date_add(received, F.get(deltas, F.array_position(words, word).cast("int") - 1)), word))
+
+    def by_weekday(evidence: Column) -> Column:
+        before = F.regexp_extract(text, rx(rf"^([\s\S]*?)(?:{lx.WEEKDAY_WORD})"), 1)
+        scope = F.regexp_extract(evidence, rx(lx.WEEKDAY_WORD), 1)
+        digit = F.regexp_extract(evidence, rx(lx.WEEKDAY_WORD), 2)
+        return F.when((F.length(evidence) > 0) & let(before, lambda b: ~inside_brackets(b)),
+                      found(weekday_date(digit, scope, received), strip(evidence)))
 
-    before = F.regexp_extract(text, rx(rf"^([\s\S]*?)(?:{lx.WEEKDAY_WORD})"), 1)
-    evidence = F.regexp_extract(text, rx(lx.WEEKDAY_WORD), 0)
-    scope = F.regexp_extract(text, rx(lx.WEEKDAY_WORD), 1)
-    digit = F.regexp_extract(text, rx(lx.WEEKDAY_WORD), 2)
-    return by_word.when(
-        (F.length(evidence) > 0) & ~inside_brackets(before),
-        found(weekday_date(digit, scope, received), strip(evidence)))
+    weekday = F.when(text.rlike("周|週|星期|礼拜|禮拜"), let(
+        F.regexp_extract(text, rx(lx.WEEKDAY_WORD), 0), by_weekday))
+    return F.coalesce(let(first, by_word), weekday)
 
 
 def weekday_date(digit: Column, scope: Column, received: Column) -> Column:
@@ -131,28 +135,37 @@ def may_hold_date(text: Column) -> Column:
 
 def dates_in(text: Column, received: Column) -> Column:
     """Every date of the first pattern family that yields a valid one."""
+    return by_script(text, lambda t, plain: _dates(t, received, plain))
+
+
+def _dates(text: Column, received: Column, plain: bool) -> Column:
     has_month_sign = F.contains(text, F.lit("月"))
-    has_month_name = matches(text, r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", "i")
+    has_month_name = matches(text, r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", "i", plain)
 
     def gated(gate: Column, dates: Column) -> Column:
         return F.when(gate, dates).otherwise(_no_dates())
 
-    families = [
+    numeric = _family(text, lx.DATE_YMD, lambda g: safe_date(to_int(g(1)), to_int(g(2)), to_int(g(3))), True, plain)
+    families = [numeric] if plain else [
         gated(has_month_sign, _family(text, lx.DATE_CN_NUMERAL, lambda g: safe_date(
             cn_year(g(1)), cn_number(g(2)), cn_number(g(3))), True)),
-        _family(text, lx.DATE_YMD, lambda g: safe_date(to_int(g(1)), to_int(g(2)), to_int(g(3))), True),
+        numeric,
         gated(has_month_sign, _family(text, lx.DATE_CN_NUMERAL_NO_YEAR, lambda g: infer_year(
             cn_number(g(1)), cn_number(g(2)), received), False)),
         gated(F.contains(text, F.lit("日")), _family(text, lx.DATE_MD_NO_YEAR, lambda g: infer_year(
             to_int(g(1)), to_int(g(2)), received), False)),
+    ]
+    families += [
         gated(has_month_name, F.concat(
             _family(text, lx.DATE_EN_MDY, lambda g: safe_date(
-                to_int(g(3)), month_number(g(1)), to_int(g(2))), True),
+                to_int(g(3)), month_number(g(1)), to_int(g(2))), True, plain),
             _family(text, lx.DATE_EN_DMY, lambda g: safe_date(
-                to_int(g(3)), month_number(g(2)), to_int(g(1))), True))),
+                to_int(g(3)), month_number(g(2)), to_int(g(1))), True, plain))),
         gated(has_month_name, F.concat(
-            _family(text, lx.DATE_EN_MD, lambda g: infer_year(month_number(g(1)), to_int(g(2)), received), False),
-            _family(text, lx.DATE_EN_DM, lambda g: infer_year(month_number(g(2)), to_int(g(1)), received), False))),
+            _family(text, lx.DATE_EN_MD, lambda g: infer_year(
+                month_number(g(1)), to_int(g(2)), received), False, plain),
+            _family(text, lx.DATE_EN_DM, lambda g: infer_year(
+                month_number(g(2)), to_int(g(1)), received), False, plain))),
         F.filter(F.array(relative_date(text, received)), lambda r: r.isNotNull()),
     ]
     first = F.get(F.filter(F.array(*families), lambda f: F.size(f) > 0), F.lit(0))
@@ -161,6 +174,7 @@ def dates_in(text: Column, received: Column) -> Column:
 
 # --- clock times ----------------------------------------------------------------------------------------------
 
+_TIME_ASCII = "|".join(f"(?:{p})" for p in (lx.TIME_EN, lx.TIME_COLON))
 _TIME_ANY = "|".join(f"(?:{p})" for p in (lx.TIME_EN, lx.TIME_CN_NUMERAL, lx.TIME_CN, lx.TIME_COLON))
 
 
@@ -180,11 +194,21 @@ def apply_meridiem(hour: Column, marker: Column) -> Column:
 
 def times_in(text: Column) -> Column:
     """Distinct clock times in reading order. One scan finds all forms; the longest form wins at a position."""
+    return by_script(text, _times)
+
+
+def _times(text: Column, plain: bool) -> Column:
     def time_of(match: Column) -> Column:
         def part(pattern: str, group: int) -> Column:
-            return F.regexp_extract(match, rx(pattern), group)
-
-        is_en = matches(match, r"(?:am|pm|a\.m\.|p\.m\.)$", "i")
+            return F.regexp_extract(match, rx(pattern, plain=plain), group)
+
+        is_en = matches(match, r"(?:am|pm|a\.m\.|p\.m\.)$", "i", plain)
+        if plain:
+            return F.struct(
+                F.when(is_en, apply_meridiem(to_int(part(lx.TIME_EN, 1)), part(lx.TIME_EN, 3))).otherwise(
+                    to_int(part(lx.TIME_COLON, 1))).cast("int").alias("h"),
+                F.coalesce(F.when(is_en, to_int(part(lx.TIME_EN, 2))).otherwise(to_int(part(lx.TIME_COLON, 2))),
+                           F.lit(0)).cast("int").alias("mi"), strip(match).alias("ev"))
         is_colon = F.contains(match, F.lit(":")) & ~is_en
         is_numeral = matches(match, rf"[{lx.CN_NUM_CLASS}]\s*[时時點点]")
         hour = (F.when(is_en, apply_meridiem(to_int(part(lx.TIME_EN, 1)), part(lx.TIME_EN, 3)))
@@ -198,8 +222,9 @@ def times_in(text: Column) -> Column:
                   .otherwise(F.coalesce(to_int(part(lx.TIME_CN, 3)), F.lit(0))))
         return F.struct(hour.cast("int").alias("h"), minute.cast("int").alias("mi"), strip(match).alias("ev"))
 
-    found = F.filter(F.transform(find_all(text, _TIME_ANY), time_of),
+    found = F.filter(F.transform(find_all(text, _TIME_ASCII if plain else _TIME_ANY, plain=plain), time_of),
                      lambda t: t["h"].between(0, 23) & t["mi"].between(0, 59))
     first_of_each = let(found, lambda times: F.filter(times, lambda t, i: F.array_position(
         F.transform(times, lambda u: u["h"] * 60 + u["mi"]), t["h"] * 60 + t["mi"]) == i + 1))
-    return F.when(text.rlike(r"(?iU)[时時點点:]|\d\s*[ap]\.?m"), first_of_each).otherwise(_no_times())
+    gate = rx(r":|\d\s*[ap]\.?m" if plain else r"[时時點点:]|\d\s*[ap]\.?m", "i", plain)
+    return F.when(text.rlike(gate), first_of_each).otherwise(_no_times())

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark import lexicon as lx
-from mailspark.functions.common import contains_any, fold_spaces, let, matches, nonempty, rx, strip, sub, with_once
+from mailspark.functions.common import by_script, contains_any, fold_spaces, let, matches, nonempty, rx, strip, sub, with_once
 
 LOG_MAX_CHARS = 1000
 ERROR_MAX_CHARS = 500
@@ -150,11 +150,11 @@ def paragraphs_of(text: Column) -> Column:
 
 
 def has_date_shape(text: Column) -> Column:
-    return matches(text, lx.DATE_SHAPE, "i")
+    return by_script(text, lambda t, plain: matches(t, lx.DATE_SHAPE, "i", plain))
 
 
 def has_time_shape(text: Column) -> Column:
-    return matches(text, lx.TIME_SHAPE)
+    return by_script(text, lambda t, plain: matches(t, lx.TIME_SHAPE, "", plain))
 
 
 def is_footnote(paragraph: Column) -> Column:

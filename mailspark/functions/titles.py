@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mailspark import lexicon as lx
-from mailspark.functions.common import fold_spaces, let, matches, nonempty, rx, strip, sub
+from mailspark.functions.common import by_script, fold_spaces, let, matches, nonempty, rx, strip, sub
 
 _ANY_TIME = "|".join(f"(?:{p})" for p in lx.TITLE_STRIP)
+_ANY_TIME_ASCII = "|".join(f"(?:{p})" for p in (
+    lx.DATE_YMD, lx.TIME_COLON, lx.TIME_EN, lx.DATE_EN_MDY, lx.DATE_EN_DMY, lx.DATE_EN_MD, lx.DATE_EN_DM))
 _RELATIVE = "|".join(word for word, _ in lx.RELATIVE_DAYS)
 _DANGLING_TAIL = rf"(?:\s*(?:{lx.TITLE_DANGLING_WORDS}))+\s*\z"
 
 
+# of the patterns above, those that can match in ASCII text, and those that need a month name
+_ASCII_STRIP = (lx.DATE_YMD, lx.TIME_COLON, lx.TIME_EN)
+_MONTH_STRIP = (lx.DATE_EN_MDY, lx.DATE_EN_DMY, lx.DATE_EN_MD, lx.DATE_EN_DM)
+_MONTH = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+
+
 def clean_fragment(text: Column) -> Column:
     """Drop time expressions, connectives and what is left hanging around them."""
+    return by_script(text, lambda t, plain: _clean_ascii(t) if plain else _clean_any(t))
+
+
+def _clean_any(text: Column) -> Column:
     text = sub(text, lx.TITLE_PREPOSITION, " ")
     for pattern in (*lx.TITLE_STRIP, _RELATIVE, lx.TITLE_BARE_MERIDIEM):
         text = sub(text, pattern, " ")
@@ -26,8 +38,22 @@ def clean_fragment(text: Column) -> Column:
     return strip(sub(text, _DANGLING_TAIL))
 
 
+def _clean_ascii(text: Column) -> Column:
+    """The same steps without those that no ASCII text can take."""
+    def replaced(value: Column, patterns: tuple[str, ...]) -> Column:
+        for pattern in patterns:
+            value = sub(value, pattern, " ", plain=True)
+        return value
+
+    words = "today|tomorrow"
+    text = replaced(text, (lx.TITLE_PREPOSITION, *_ASCII_STRIP))
+    text = let(text, lambda t: F.when(t.rlike(_MONTH), replaced(t, _MONTH_STRIP)).otherwise(t))
+    text = replaced(text, (words, lx.TITLE_BARE_MERIDIEM, r"[(\[]\s*(?:[|\-,]|\s)*\s*[)\]]", r"[\s,.;:]{2,}", r"\s+"))
+    return F.trim(F.regexp_replace(F.trim(text), r"[\s,.;:!?]+$", ""))
+
+
 def looks_like_title(text: Column) -> Column:
-    return (F.length(text) >= 4) & ~matches(text, lx.TITLE_TAIL) & ~matches(text, _DANGLING_TAIL)
+    return (F.length(text) >= 4) & ~text.rlike(r"(?U)[\s，,。．.；;：:、！!？?]$") & ~matches(text, _DANGLING_TAIL)
 
 
 def strip_subject_decor(text: Column) -> Column:
@@ -45,8 +71,12 @@ def subject_title(subject: Column) -> Column:
 def time_sentence(paragraph: Column) -> Column:
     """The first sentence with a time expression, else the whole paragraph."""
     sentences = F.filter(F.transform(F.split(paragraph, "[。！？!?；;\n]+"), strip), lambda s: F.length(s) > 0)
-    timed = F.get(F.filter(sentences, lambda s: s.rlike(rx(_ANY_TIME))), F.lit(0))
-    return F.coalesce(timed, strip(paragraph))
+    def timed(found: Column) -> Column:
+        # a sentence without digits, numerals, weekday or month words cannot hold a time
+        return by_script(found, lambda s, plain: s.rlike(r"\d" if plain else r"[\d月周週星礼禮时時點点]|[０-９]") & s.rlike(
+            rx(_ANY_TIME_ASCII if plain else _ANY_TIME, plain=plain)))
+
+    return F.coalesce(F.get(F.filter(sentences, timed), F.lit(0)), strip(paragraph))
 
 
 def choose_title(fragment: Column, from_subject: Column, subject: Column) -> Column:

@@ -73,28 +73,29 @@ def sibling_counts(events: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = lx.
     return joined.select("id", conflicts.alias("conflicts"), (F.col("all_n") - 1 - conflicts).alias("siblings"))
 
 
-def sibling_ids(page: DataFrame, events: DataFrame, tz: str = DEFAULT_ZONE,
-                minutes: int = lx.CONFLICT_MINUTES) -> DataFrame:
-    """The ids behind the counts, for the rows of one page only."""
+def sibling_rows(page: DataFrame, events: DataFrame, tz: str = DEFAULT_ZONE,
+                 minutes: int = lx.CONFLICT_MINUTES) -> DataFrame:
+    """(id, other, kind) behind the counts, for the rows of one page only.
+
+    The page is a limited list, so it is small enough to go to every task, and no group of events has to meet.
+    """
     mine = page.select(F.col("id").alias("own"), "message_id", local_day(F.col("start_ts"), tz).alias("day"),
                        F.col("start_ts").alias("own_start"))
     others = events.select("id", "message_id", "start_ts", "all_day", local_day(F.col("start_ts"), tz).alias("day"))
-    pairs = mine.join(others, ["message_id", "day"]).where("id <> own")
+    pairs = others.join(F.broadcast(mine), ["message_id", "day"]).where("id <> own")
     far = F.abs(F.unix_timestamp("start_ts") - F.unix_timestamp("own_start")) > minutes * 60
-    conflict = far & ~F.col("all_day")
-    return pairs.groupBy(F.col("own").alias("id")).agg(
-        F.array_sort(F.collect_list(F.when(conflict, F.col("id")))).alias("conflict_ids"),
-        F.array_sort(F.collect_list(F.when(~conflict, F.col("id")))).alias("sibling_ids"))
-
-
-def review_page(events: DataFrame, messages: DataFrame, **options) -> DataFrame:
-    """Review items together with their conflicts and siblings."""
-    items = review_items(events, messages, **options)
-    none = F.expr("cast(array() as array<bigint>)")
-    return (items.join(sibling_ids(items, events), "id", "left")
-            .withColumns({"conflict_ids": F.coalesce("conflict_ids", none),
-                          "sibling_ids": F.coalesce("sibling_ids", none)})
-            .orderBy(F.asc_nulls_first("start_ts"), "id"))
+    return pairs.select(F.col("own").alias("id"), F.col("id").alias("other"),
+                        F.when(far & ~F.col("all_day"), "conflict").otherwise("sibling").alias("kind"))
+
+
+def review_page(events: DataFrame, messages: DataFrame, limit: int = 100, **options) -> tuple[DataFrame, DataFrame]:
+    """(review items with their numbers of conflicts and siblings, the rows behind these numbers)."""
+    items = review_items(events, messages, limit=limit, **options)
+    behind = sibling_rows(items, events)
+    counts = behind.groupBy("id").agg(F.count_if(F.col("kind") == "conflict").alias("conflicts"),
+                                      F.count_if(F.col("kind") == "sibling").alias("siblings"))
+    page = items.join(counts, "id", "left").na.fill(0, ["conflicts", "siblings"])
+    return page.orderBy(F.asc_nulls_first("start_ts"), "id"), behind
 
 
 def probable_duplicates(items: DataFrame, block: str, order: str, title: str, threshold: float = lx.SIMILARITY_THRESHOLD,

@@ -94,12 +94,11 @@ def mailbox(messages: DataFrame, events: DataFrame, which: str = "all", search:
     return rows.join(counts, "id", "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
 
 
-def message_detail(message: DataFrame, events: DataFrame) -> DataFrame:
-    """Selected messages with their events, sorted by start."""
-    listed = events.join(message.select(F.col("id").alias("message_id")), "message_id", "left_semi").groupBy(
-        F.col("message_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(
-            "start_ts", F.col("id").alias("event_id"), "title", "status", "source"))).alias("events"))
-    return message.join(listed, "id", "left")
+def message_detail(messages: DataFrame, events: DataFrame) -> DataFrame:
+    """Selected messages with their events, one row per event; a message without events keeps one row."""
+    listed = events.select(F.col("message_id").alias("id"), F.col("id").alias("event_id"), "start_ts", "title", "status",
+                           "source")
+    return messages.join(listed, "id", "left")
 
 
 def extract_stats(verdicts: DataFrame, candidates: DataFrame) -> DataFrame:

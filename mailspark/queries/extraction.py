@@ -69,7 +69,7 @@ def review_reasons_daily(spark: SparkSession, folder: str) -> DataFrame:
 def _candidate_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Three candidate sets over the orders whose slots overlap: calendar entries, rules and model answers."""
     k = F.col("o_orderkey")
-    base = load(spark, folder, "orders").select(k.alias("k"), "o_orderdate", (k / 4).cast("long").alias("message_id"))
+    base = load(spark, folder, "orders").select(k.alias("k"), "o_orderdate", F.floor(k / 4).alias("message_id"))
     k = F.col("k")
     none = F.lit(None).cast("string")
     source = F.when(k % 3 == 0, "ics").when(k % 3 == 1, "rules").otherwise("llm")

@@ -74,10 +74,10 @@ def recent_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def message_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Every message with its events in order of start, as one list."""
-    detail = stats.message_detail(mail_orders(spark, folder).select("id"), cal_events(spark, folder))
-    return detail.where("events is not null").select("id", F.array_join(F.transform(
-        "events", lambda e: e["event_id"].cast("string")), ",").alias("event_ids"))
+    """Every message with its events, one row each."""
+    detail = stats.message_detail(mail_orders(spark, folder).select("id", "subject"), cal_events(spark, folder))
+    return detail.select("id", "subject", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.coalesce(
+        "status", F.lit("")).alias("status"))
 
 
 def labelled_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,8 +169,8 @@ WHERE NOT seen AND (subject ILIKE '%update%' OR from_addr ILIKE '%update%') ORDE
                               MAIL_ORDERS, CAL_EVENTS, _COUNTED),
     "recent_messages": with_ctes("""SELECT id, subject, strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') AS received_at
 FROM mail_orders WHERE is_canonical AND NOT stale ORDER BY mail_orders.received_at DESC, id DESC LIMIT 25""", MAIL_ORDERS),
-    "message_events": with_ctes("""SELECT message_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY start_ts NULLS FIRST, id) AS event_ids
-FROM cal_events GROUP BY message_id""", CAL_EVENTS),
+    "message_events": with_ctes("""SELECT m.id, subject, coalesce(e.id, -1) AS event_id, coalesce(status, '') AS status
+FROM mail_orders m LEFT JOIN cal_events e ON e.message_id = m.id""", MAIL_ORDERS, CAL_EVENTS),
     "labelled_events": with_ctes(f"""SELECT {_case('status', lx.EVENT_STATUS_LABELS)} AS status, {_case('source', lx.SOURCE_LABELS)} AS source,
   count(*) AS n FROM cal_events GROUP BY 1, 2""", CAL_EVENTS),
     "mark_read_resolved": with_ctes(f"""

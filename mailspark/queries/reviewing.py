@@ -19,12 +19,8 @@ def review_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_page_siblings(spark: SparkSession, folder: str) -> DataFrame:
-    page = rv.review_page(cal_events(spark, folder), mail_orders(spark, folder), limit=100)
-
-    def text(ids: str):
-        return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias(ids)
-
-    return page.select("id", text("conflict_ids"), text("sibling_ids"))
+    page, behind = rv.review_page(cal_events(spark, folder), mail_orders(spark, folder), limit=100)
+    return behind.join(page.select("id", "conflicts", "siblings"), "id")
 
 
 def conflict_siblings(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,10 +183,9 @@ ORACLES = {
     "review_list": with_ctes(f"""SELECT p.id, title, coalesce({_ISO.format(x='start_ts')}, '') AS start_ts, {_SPLIT},
   subject AS mail_subject, from_addr AS mail_from FROM page p LEFT JOIN mail_orders m ON m.id = p.message_id""",
                              MAIL_ORDERS, CAL_EVENTS, _PAGE),
-    "review_page_siblings": with_ctes("""SELECT page.id,
-  coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) FILTER (far), '') AS conflict_ids,
-  coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) FILTER (NOT far), '') AS sibling_ids
-FROM page LEFT JOIN peers USING (id) GROUP BY 1""", CAL_EVENTS, _PAGE, _PEERS.format(a="page")),
+    "review_page_siblings": with_ctes("""SELECT id, other, CASE WHEN far THEN 'conflict' ELSE 'sibling' END AS kind,
+  count(*) FILTER (far) OVER (PARTITION BY id) AS conflicts, count(*) FILTER (NOT far) OVER (PARTITION BY id) AS siblings
+FROM peers""", CAL_EVENTS, _PAGE, _PEERS.format(a="page")),
     "conflict_siblings": with_ctes("""SELECT e.id, count(other) FILTER (far) AS conflicts, count(other) FILTER (NOT far) AS siblings
 FROM cal_events e LEFT JOIN peers p ON p.id = e.id WHERE start_ts IS NOT NULL GROUP BY 1""", CAL_EVENTS, _PEERS.format(a="cal_events")),
     "event_status_groups": with_ctes(" UNION ALL ".join(

@@ -9,6 +9,7 @@ from mailspark.functions import fingerprint as fp, headers as hd, text as tx
 from mailspark.functions.common import flag, with_once
 from mailspark.operators.review import probable_duplicates
 from mailspark.queries.views import MAIL_ORDERS, mail_orders, with_ctes
+from mailspark.session import checkpointed
 from mailspark.sources.tables import load, spread
 
 
@@ -69,7 +70,8 @@ def header_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exact_copies_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    # the texts are read and hashed once; what follows works on ids and hashes
+    docs = checkpointed(spread(load(spark, folder, "documents")).select("doc_id", F.sha2("text", 256).alias("sha")))
     # one row per content after map-side combine; the join back can be split where one content is hot
     first = docs.groupBy("sha").agg(F.min("doc_id").alias("canonical_id"), F.count(F.lit(1)).alias("copies"))
     return docs.join(first, "sha").select(

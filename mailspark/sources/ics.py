@@ -7,21 +7,32 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark import lexicon as lx
-from mailspark.functions.common import iso_utc, literal_list, nonempty, strip, with_once
+from mailspark.functions.common import iso_utc, let, literal_list, nonempty, strip, with_once
 from mailspark.functions.fingerprint import ics_fingerprint
 from mailspark.operators.rules import DEFAULT_MINUTES, DEFAULT_ZONE
 
-_PARAMS = r'((?:;(?:[^:\n";]|"[^"\n]*")*)*)'
+_WANTED = ("UID", "SUMMARY", "LOCATION", "STATUS", "RRULE", "SEQUENCE", "ORGANIZER", "RECURRENCE-ID", "DTSTART", "DTEND")
+_NAME_AND_PARAMS = r'^([A-Za-z-]+)((?:;(?:[^:\n";]|"[^"\n]*")*)*):'
 
 
-def _property(block: Column, name: str, group: int = 2) -> Column:
-    return F.regexp_extract(block, rf"(?im)^{name}{_PARAMS}:(.*)$", group)
+def _properties(block: Column) -> Column:
+    """The wanted lines of a component as (name, params, value), each line taken apart once."""
+    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(rf"(?i)^(?:{'|'.join(_WANTED)})[;:]"))
+    return F.transform(lines, lambda x: let(F.regexp_extract(x, _NAME_AND_PARAMS, 0), lambda head: F.struct(
+        F.upper(F.regexp_extract(head, _NAME_AND_PARAMS, 1)).alias("name"),
+        F.regexp_extract(head, _NAME_AND_PARAMS, 2).alias("params"),
+        x.substr(F.length(head) + 1, F.lit(1 << 20)).alias("value"))))
 
 
-def _text(block: Column, name: str) -> Column:
+def _property(name: str, field: str = "value") -> Column:
+    """The first line of a name; '' when absent."""
+    line = F.get(F.filter("_props", lambda p: p["name"] == name), F.lit(0))
+    return F.coalesce(line[field], F.lit(""))
+
+
+def _text(name: str) -> Column:
     """A text value with its escapes undone; null when absent or blank."""
-    value = _property(block, name)
-    value = F.regexp_replace(F.regexp_replace(value, r"\\[nN]", "\n"), r"\\([,;\\])", "$1")
+    value = F.regexp_replace(F.regexp_replace(_property(name), r"\\[nN]", "\n"), r"\\([,;\\])", "$1")
     return nonempty(strip(value))
 
 
@@ -29,16 +40,19 @@ def _known_zones() -> Column:
     return literal_list(sorted(z for z in available_timezones() if "/" in z or z in ("UTC", "GMT")))
 
 
-def _instant(block: Column, name: str, tz: str) -> Column:
+def _instant(name: str, tz: str) -> Column:
     """UTC instant of a DATE or DATE-TIME value; a zone that is unknown counts as the user's."""
-    value = strip(_property(block, name))
-    zone = F.regexp_replace(F.regexp_extract(_property(block, name, 1), r'(?i);TZID=("[^"]*"|[^;:]*)', 1), '"', "")
-    zone = F.when(F.array_contains(_known_zones(), zone), zone).otherwise(F.lit(tz))
-    stamp = F.try_to_timestamp(F.regexp_extract(value, r"^(\d{8}T\d{6})Z?$", 1), F.lit("yyyyMMdd'T'HHmmss"))
-    day = F.try_to_timestamp(F.regexp_extract(value, r"^(\d{8})$", 1), F.lit("yyyyMMdd"))
-    return (F.when(value.rlike(r"^\d{8}T\d{6}Z$"), stamp)
-            .when(value.rlike(r"^\d{8}T\d{6}$"), F.to_utc_timestamp(stamp, zone))
-            .when(value.rlike(r"^\d{8}$"), F.to_utc_timestamp(day, F.lit(tz))))
+    named = F.regexp_replace(F.regexp_extract(_property(name, "params"), r'(?i);TZID=("[^"]*"|[^;:]*)', 1), '"', "")
+
+    def read(value: Column) -> Column:
+        stamp = F.try_to_timestamp(F.substring(value, 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
+        day = F.try_to_timestamp(value, F.lit("yyyyMMdd"))
+        zone = let(named, lambda z: F.when((F.length(z) > 0) & F.array_contains(_known_zones(), z), z).otherwise(F.lit(tz)))
+        return (F.when(value.rlike(r"^\d{8}T\d{6}Z$"), stamp)
+                .when(value.rlike(r"^\d{8}T\d{6}$"), F.to_utc_timestamp(stamp, zone))
+                .when(value.rlike(r"^\d{8}$"), F.to_utc_timestamp(day, F.lit(tz))))
+
+    return let(strip(_property(name)), read)
 
 
 def parse_ics(parts: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAULT_MINUTES,
@@ -48,22 +62,23 @@ def parse_ics(parts: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAULT_M
     text = F.regexp_replace(F.regexp_replace(F.try_validate_utf8(F.col(raw).cast("string")), r"\r\n?", "\n"),
                             r"\n[ \t]", "")
     blocks = (parts.withColumn("_text", text).where(F.col("_text").isNotNull())
-              .withColumn("method", nonempty(strip(_property(F.col("_text"), "METHOD"))))
+              .withColumn("method", nonempty(strip(F.regexp_extract("_text", r"(?im)^METHOD(?:;[^:\n]*)?:(.*)$", 1))))
               .select("message_id", "method", F.posexplode(F.regexp_extract_all(
                   "_text", F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))).alias("ord", "_block"))
               .withColumn("_block", F.regexp_replace("_block", r"(?s)BEGIN:VALARM.*?END:VALARM", "")))
-    block = F.col("_block")
-    sequence = strip(_property(block, "SEQUENCE"))
-    sound = blocks.where((sequence == "") | sequence.rlike(r"^[+-]?\d{1,9}$"))
+    opened = with_once(blocks, _props=_properties(F.col("_block")))
+    opened = with_once(opened, _sequence=strip(_property("SEQUENCE")))
+    sequence = F.col("_sequence")
+    sound = opened.where((sequence == "") | sequence.rlike(r"^[+-]?\d{1,9}$"))
     fields = with_once(sound, **{
-            "uid": _text(block, "UID"),
-            "_summary": F.coalesce(_text(block, "SUMMARY"), F.lit(lx.NO_TITLE)),
-            "location": _text(block, "LOCATION"), "status": _text(block, "STATUS"),
-            "rrule": nonempty(strip(_property(block, "RRULE"))), "sequence": nonempty(sequence).cast("int"),
-            "organizer": F.regexp_replace(_text(block, "ORGANIZER"), r"^[^:]*:\s*(?=\S)", ""),
-            "recurrence_id": F.coalesce(iso_utc(_instant(block, "RECURRENCE-ID", tz)), _text(block, "RECURRENCE-ID")),
-            "start_ts": _instant(block, "DTSTART", tz), "_end": _instant(block, "DTEND", tz),
-            "all_day": strip(_property(block, "DTSTART")).rlike(r"^\d{8}$")})
+            "uid": _text("UID"),
+            "_summary": F.coalesce(_text("SUMMARY"), F.lit(lx.NO_TITLE)),
+            "location": _text("LOCATION"), "status": _text("STATUS"),
+            "rrule": nonempty(strip(_property("RRULE"))), "sequence": nonempty(sequence).cast("int"),
+            "organizer": F.regexp_replace(_text("ORGANIZER"), r"^[^:]*:\s*(?=\S)", ""),
+            "recurrence_id": F.coalesce(iso_utc(_instant("RECURRENCE-ID", tz)), _text("RECURRENCE-ID")),
+            "start_ts": _instant("DTSTART", tz), "_end": _instant("DTEND", tz),
+            "all_day": strip(_property("DTSTART")).rlike(r"^\d{8}$")})
     cancelled = F.coalesce(F.upper("method") == "CANCEL", F.lit(False)) | F.coalesce(
         F.upper("status") == "CANCELLED", F.lit(False))
     evidence = F.concat_ws(
