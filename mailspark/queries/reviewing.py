@@ -19,7 +19,8 @@ def review_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_page_siblings(spark: SparkSession, folder: str) -> DataFrame:
-    page, behind = rv.review_page(cal_events(spark, folder), mail_orders(spark, folder), limit=100)
+    dated = cal_events(spark, folder).where("start_ts is not null")
+    page, behind = rv.review_page(dated, mail_orders(spark, folder), limit=100)
     return behind.join(page.select("id", "conflicts", "siblings"), "id")
 
 
@@ -185,7 +186,7 @@ ORACLES = {
                              MAIL_ORDERS, CAL_EVENTS, _PAGE),
     "review_page_siblings": with_ctes("""SELECT id, other, CASE WHEN far THEN 'conflict' ELSE 'sibling' END AS kind,
   count(*) FILTER (far) OVER (PARTITION BY id) AS conflicts, count(*) FILTER (NOT far) OVER (PARTITION BY id) AS siblings
-FROM peers""", CAL_EVENTS, _PAGE, _PEERS.format(a="page")),
+FROM peers""", CAL_EVENTS, _PAGE.replace("= 'pending'", "= 'pending' AND start_ts IS NOT NULL"), _PEERS.format(a="page")),
     "conflict_siblings": with_ctes("""SELECT e.id, count(other) FILTER (far) AS conflicts, count(other) FILTER (NOT far) AS siblings
 FROM cal_events e LEFT JOIN peers p ON p.id = e.id WHERE start_ts IS NOT NULL GROUP BY 1""", CAL_EVENTS, _PEERS.format(a="cal_events")),
     "event_status_groups": with_ctes(" UNION ALL ".join(

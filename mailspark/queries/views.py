@@ -127,8 +127,9 @@ def cal_events(spark: SparkSession, folder: str) -> DataFrame:
     source = F.when(k % 3 == 0, "ics").when(k % 3 == 1, "rules").otherwise("llm")
     status = F.when(k % 4 == 0, "pending").when(k % 4 == 1, "approved").otherwise(
         F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (k % 12 + 1).cast("int")))
-    start = F.when(k % 41 != 0, F.col("o_orderdate") + F.make_dt_interval(
-        hours=(k % 11).cast("int"), mins=(k % 72 * 20).cast("int")))
+    # the entries of one message share a day, give or take the clock
+    start = F.when(k % 41 != 0, F.lit("1995-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(
+        days=((k - k % 3) % 2400).cast("int"), hours=(k % 11).cast("int"), mins=(k % 72 * 20).cast("int")))
     return load(spark, folder, "orders").select(
         k.alias("id"), (k - k % 3).alias("message_id"), F.lit(None).cast("long").alias("thread_id"),
         F.concat(F.lit("order "), F.lower("o_orderpriority"), F.lit(" no "), (k % 50).cast("string")).alias("title"),
@@ -156,7 +157,8 @@ CAL_EVENTS = f"""cal_events AS (
 SELECT *, start_ts + INTERVAL 30 MINUTE AS end_ts FROM (
 SELECT o_orderkey AS id, o_orderkey - o_orderkey % 3 AS message_id,
   'order ' || lower(o_orderpriority) || ' no ' || (o_orderkey % 50) AS title,
-  CASE WHEN o_orderkey % 41 <> 0 THEN o_orderdate + to_hours(o_orderkey % 11) + to_minutes(o_orderkey % 72 * 20) END AS start_ts,
+  CASE WHEN o_orderkey % 41 <> 0 THEN TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST((o_orderkey - o_orderkey % 3) % 2400 AS INTEGER))
+    + to_hours(o_orderkey % 11) + to_minutes(o_orderkey % 72 * 20) END AS start_ts,
   o_orderkey % 9 = 0 AS all_day, 'Org' || (o_orderkey % 7) || '@Example.com' AS organizer,
   CASE o_orderkey % 3 WHEN 0 THEN 'ics' WHEN 1 THEN 'rules' ELSE 'llm' END AS source,
   CAST((o_orderkey % 50 + 50) / 100.0 AS DOUBLE) AS confidence, 'fp' || o_orderkey AS fingerprint,
