@@ -33,7 +33,7 @@ def new_uids(raw: DataFrame, cursors: DataFrame, budget: int | None = None) -> D
     taken = raw.join(open_folders, [*FOLDER, "uid_validity"]).where(F.col("uid") > F.col("cursor"))
     if budget is not None:
         taken = taken.orderBy("folder_ord", "account", "folder", "uid").limit(budget)
-    return taken.drop("cursor", "folder_ord")
+    return taken.drop("cursor")
 
 
 def advance(sync_state: DataFrame, cursors: DataFrame, taken: DataFrame, now: Column) -> DataFrame:
@@ -92,8 +92,8 @@ def classify_arrivals(arrivals: DataFrame, messages: DataFrame) -> DataFrame:
     reuse, duplicate = F.coalesce("re_hash", "re_name"), F.least("dup_hash", "dup_name")
     first = (F.when(F.col("known_id").isNotNull(), "known").when(reuse.isNotNull(), "reactivated")
              .when(duplicate.isNotNull(), "copy").otherwise("new"))
-    place = F.struct("folder_ord", "account", "folder", "uid") if "folder_ord" in arrivals.columns else F.struct(
-        "account", "folder", "uid")
+    leading = ["folder_ord"] if "folder_ord" in arrivals.columns else []
+    place = F.struct(*leading, *[k for k in UID_KEY if k != "uid_validity"], "uid_validity")
     # settled once: the rounds below must all see the same rows
     staged = checkpointed(joined.withColumn("_first", first).withColumn("_place", place)
               .withColumn("match_id", F.coalesce("known_id", reuse, duplicate))
@@ -125,13 +125,14 @@ def _copies_within(staged: DataFrame) -> DataFrame:
         settled.append(judged.where("_of is not null").select("account", "_place", "_of"))
         rest = judged.where("_of is null").select("account", "_h", "_m", "_place")
     if not settled:
-        return staged.withColumns({"batch_of": F.lit(None).cast("long"), "action": F.col("_first")}).drop("_first", "_place")
+        return staged.withColumns({"leader": F.lit(None).cast(staged.schema["_place"].dataType),
+                                   "batch_of": F.lit(None).cast("long"), "action": F.col("_first")}).drop("_first", "_place")
     found = settled[0]
     for part in settled[1:]:
         found = found.unionByName(part)
     copy = F.coalesce(F.col("_of") < F.col("_place"), F.lit(False))
     return (staged.join(found, ["account", "_place"], "left")
-            .withColumn("batch_of", F.when(copy, F.col("_of.uid")))
+            .withColumn("leader", F.when(copy, F.col("_of"))).withColumn("batch_of", F.col("leader.uid"))
             .withColumn("action", F.when(copy, "copy").otherwise(F.col("_first")))
             .drop("_first", "_place", "_of"))
 
@@ -166,6 +167,16 @@ def apply_arrivals(messages: DataFrame, decided: DataFrame, now: Column) -> Data
     return kept.unionByName(added_rows)
 
 
+def link_copies(numbered: DataFrame, decided: DataFrame) -> DataFrame:
+    """Point copies that arrived together with their original to it, once the original has an id."""
+    copies = decided.where("leader is not null").select(
+        *UID_KEY, *[F.col(f"leader.{k}").alias(f"l_{k}") for k in UID_KEY])
+    ids = numbered.select(*[F.col(k).alias(f"l_{k}") for k in UID_KEY], F.col("id").alias("l_id"))
+    leaders = copies.join(ids, [f"l_{k}" for k in UID_KEY]).select(*UID_KEY, "l_id")
+    return numbered.join(leaders, UID_KEY, "left").withColumn("duplicate_of", F.coalesce("duplicate_of", "l_id")).select(
+        *numbered.columns)
+
+
 def ledger(processed: DataFrame, log: DataFrame) -> DataFrame:
     """The ingest ledger: synced or fetch_failed per uid, last write wins."""
     changes = last_write(log, UID_KEY, "processed_at")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from datetime import date, datetime
 
 RECEIVED = datetime(2026, 9, 14, 10, 0)
@@ -12,10 +13,11 @@ def _b64(text: str) -> str:
     return base64.encodebytes(text.encode()).decode()
 
 
-def mail(subject, body, sender="someone@example.com", ident="x@example.com", extra=(), html=None, ics=None) -> bytes:
+def mail(subject, body, sender="someone@example.com", ident=None, extra=(), html=None, ics=None) -> bytes:
     def word(text):
         return text if text.isascii() else "=?utf-8?B?" + base64.b64encode(text.encode()).decode() + "?="
 
+    ident = ident or f"{zlib.crc32((subject + body).encode())}@example.com"
     head = [f"From: {sender}", "To: me@example.com", f"Subject: {word(subject)}", f"Message-ID: <{ident}>",
             "Date: Mon, 14 Sep 2026 10:00:00 +0800", "MIME-Version: 1.0", *extra]
     plain = ["Content-Type: text/plain; charset=utf-8", "Content-Transfer-Encoding: base64", "", _b64(body)]
