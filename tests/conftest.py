@@ -16,4 +16,4 @@ def spark():
 def rows(df, *keys):
     """Rows as dicts, sorted by keys, for comparisons of small results."""
     out = [r.asDict(recursive=True) for r in df.collect()]
-    return sorted(out, key=lambda r: tuple(str(r[k]) for k in keys)) if keys else out
+    return sorted(out, key=lambda r: tuple(r[k] for k in keys)) if keys else out
