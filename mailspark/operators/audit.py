@@ -10,6 +10,7 @@ from mailspark.functions.fingerprint import overlap, title_tokens
 from mailspark.functions.text import has_date_shape, has_time_shape, head_excerpt
 from mailspark.operators.candidates import extract
 from mailspark.operators.rules import DEFAULT_ZONE
+from mailspark.session import checkpointed
 
 NONE, MAYBE, LIKELY = 0, 1, 2
 
@@ -77,6 +78,8 @@ def audit_items(messages: DataFrame, events: DataFrame, now: Column, llm_respons
         F.col("id").alias("message_id"), "subject", F.coalesce("body_excerpt", F.lit("")).alias("text"), "received_at",
         "auto_submitted", "is_list", F.lit(False).alias("has_ics"), "from_addr")
     verdicts, found = extract(source, now, llm_responses=llm_responses, contacts=contacts, tz=tz, compat=compat)
+    # read by the counts and by the comparison with the store
+    found = checkpointed(found)
     counts = found.groupBy("message_id").agg(F.count(F.lit(1)).alias("candidates"))
     asked = verdicts.where("extract and call_llm")
     if llm_responses is not None:

@@ -9,6 +9,7 @@ from mailspark.functions.common import casefold, local_day, local_time, nonempty
 from mailspark.functions.fingerprint import event_fingerprint
 from mailspark.operators.prefilter import classify
 from mailspark.operators.rules import DEFAULT_MINUTES, DEFAULT_ZONE, rule_candidates, rule_hits
+from mailspark.session import checkpointed
 
 JOINER = "；"
 
@@ -213,12 +214,16 @@ def extract(messages: DataFrame, now: Column, vevents: DataFrame | None = None,
     """
     judged = classify(messages, text="text")
     verdicts = judged.select("message_id", "verdict.*")
-    open_messages = judged.where("verdict.extract")
-    hits = rule_hits(open_messages, tz, minutes)
+    hits = rule_hits(judged.where("verdict.extract"), tz, minutes)
     rules = rule_candidates(hits, now, tz, threshold, ambiguous_policy, compat)
+    if vevents is not None or llm_responses is not None:
+        # verdicts and rule hits are read again below: keep the thin results, not the passes over the texts
+        verdicts, rules = checkpointed(verdicts), checkpointed(rules)
     ics = None
     if vevents is not None:
-        owned = vevents.join(open_messages.select("message_id", F.lower("from_addr").alias("_from")), "message_id")
+        senders = messages.select("message_id", F.lower("from_addr").alias("_from"))
+        owned = vevents.join(verdicts.where("extract").select("message_id"), "message_id", "left_semi").join(
+            senders, "message_id")
         if contacts is not None:
             known = contacts.select(F.lower("addr").alias("_from")).distinct().withColumn("is_known_contact", F.lit(True))
             owned = owned.join(known, "_from", "left")
@@ -226,7 +231,7 @@ def extract(messages: DataFrame, now: Column, vevents: DataFrame | None = None,
     llm = None
     if llm_responses is not None:
         settled = rules.where(~F.col("requires_review")).select("message_id").distinct()
-        asked = open_messages.where("verdict.call_llm").select("message_id").join(settled, "message_id", "left_anti")
+        asked = verdicts.where("extract and call_llm").select("message_id").join(settled, "message_id", "left_anti")
         llm = llm_candidates(llm_responses.join(asked, "message_id", "left_semi"), tz, minutes, compat)
     return verdicts, mark_conflicts(dedupe_slots(combine(ics, rules, llm), tz), tz)
 

@@ -69,6 +69,9 @@ def system_notes(snapshot: DataFrame) -> DataFrame:
         note("sync_by_status", "fetch_failed", "有 ", " 封邮件的抓取曾失败（见同步台账）。"),
         note("runs", "failed", "历史运行中有 ", " 次未成功。"),
         note("messages_by_extract_status", "running", "有 ", " 封邮件停留在「抽取中」状态。"),
+        note("extract", "llm_skipped", "", " 封邮件本可交给 LLM 抽取，但被跳过；这些邮件只做了规则与 ICS 抽取。"),
+        note("extract", "attempts_exhausted", "", " 封邮件已达抽取尝试上限，转为终态不再重试。"),
+        note("extract", "events_protected", "", " 个事件因已被人工审批而未被抽取结果覆盖。"),
         note("threads_by_strength", "weak", "有 ", " 个线程是**主题弱关联**。这类线程不作为事实依据。"))
     return snapshot.select(texts.alias("note")).where("note is not null")
 

@@ -100,7 +100,7 @@ def conflict_marks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles lent and notes left by displaced candidates; the fold over a slot has no plain SQL form."""
+    """Titles lent and notes left by displaced candidates."""
     kept = cd.dedupe_slots(_candidate_sets(spark, folder))
     return kept.select("message_id", "fingerprint", "title", "evidence", "review_reason")
 
@@ -219,7 +219,7 @@ SELECT *, start_ts + INTERVAL 8 HOUR AS local_ts, CASE source WHEN 'ics' THEN 1
 SELECT k // 4 AS message_id, k % 4 AS ord, 'Title ' || (k % 3) AS title,
   CAST(DATE '2026-01-01' + CAST((k // 4) % 300 AS INTEGER) AS TIMESTAMP) + to_hours(k % 2 * 2) + to_minutes((k % 5 // 4) * 30) AS start_ts,
   k % 11 = 0 AS all_day, CASE k % 3 WHEN 0 THEN 'ics' WHEN 1 THEN 'rules' ELSE 'llm' END AS source,
-  'f' || k AS fingerprint, k % 3 = 2 AS review
+  'f' || k AS fingerprint, k % 3 = 2 AS review, 'ev' || k AS evidence, k % 6 = 1 AS generic
 FROM (SELECT o_orderkey AS k FROM orders))),
 kept AS (SELECT *, CASE WHEN all_day THEN 'allday' ELSE strftime(local_ts, '%H:%M') END AS slot FROM (
   SELECT *, bool_or(NOT all_day) OVER (PARTITION BY message_id, CAST(local_ts AS DATE)) AS day_timed FROM sets)
@@ -274,6 +274,16 @@ FROM (SELECT * FROM winners WHERE rn = 1) a LEFT JOIN (SELECT * FROM winners WHE
   ON a.message_id = b.message_id AND CAST(a.local_ts AS DATE) = CAST(b.local_ts AS DATE)
   AND abs(epoch(a.start_ts) - epoch(b.start_ts)) > 3600
 GROUP BY a.message_id, a.fingerprint""", SETS),
+    "merged_evidence": with_ctes(f"""
+, noted AS (SELECT k.*, concat_ws('；', evidence, (SELECT string_agg('另有 ' || s.source || ' 给出同日全天：' || s.title, '；' ORDER BY s.rank, s.ord)
+  FROM sets s WHERE NOT k.all_day AND s.all_day AND s.message_id = k.message_id AND CAST(s.local_ts AS DATE) = CAST(k.local_ts AS DATE))) AS ev FROM kept k),
+folded AS (SELECT message_id, arg_min(fingerprint, (rank, ord)) AS fingerprint, bool_or(review) AS any_review,
+  list_reduce(list({{'t': title, 'e': ev, 'g': generic, 's': source}} ORDER BY rank, ord), lambda a, x: {{
+    't': CASE WHEN lower(x.t) <> lower(a.t) AND a.g AND NOT x.g THEN x.t ELSE a.t END,
+    'e': CASE WHEN lower(x.t) <> lower(a.t) AND NOT (a.g AND NOT x.g) THEN a.e || '；另有 ' || x.s || ' 给出：' || x.t ELSE a.e END,
+    'g': a.g, 's': a.s}}) AS f FROM noted GROUP BY message_id, CAST(local_ts AS DATE), slot)
+SELECT message_id, fingerprint, f.t AS title, f.e AS evidence, CASE WHEN any_review THEN '{lx.GATE_LLM}' ELSE '' END AS review_reason
+FROM folded""".strip(), SETS).replace(")\n, noted AS", "),\nnoted AS"),
     "outcome_summary": with_ctes("""
 SELECT message_id, count(*) AS candidates, count(*) FILTER (NOT any_review) AS auto_pushable,
   count(*) FILTER (any_review) AS requires_review, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources

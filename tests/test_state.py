@@ -94,3 +94,25 @@ def test_all_day_payload_dates(spark):
     first, last = pl.all_day_dates(F.col("s"), F.col("e"), "Asia/Shanghai")
     got = [(str(r["f"]), str(r["l"])) for r in df.select(first.alias("f"), last.alias("l")).collect()]
     assert got == [("2026-10-01", "2026-10-02"), ("2026-10-01", "2026-10-03")]
+
+
+def test_eml_folder_and_domains(spark, tmp_path):
+    from mailspark.schema import assert_domain, domain_violations
+    from mailspark.sources.raw import parse_messages, read_eml
+    from mailspark.sources.tables import state_table
+    from tests.corpus import SAMPLES
+
+    inbox = tmp_path / "mail" / "INBOX"
+    inbox.mkdir(parents=True)
+    for i, (_, raw) in enumerate(SAMPLES[:3]):
+        (inbox / f"{i + 1}.eml").write_bytes(raw)
+    (inbox / "9.eml").write_bytes(b"\xff\xfe not a message \x00")
+    got = rows(parse_messages(read_eml(spark, str(tmp_path / "mail"))), "uid")
+    assert [(r["folder"], r["uid"]) for r in got] == [("INBOX", 1), ("INBOX", 2), ("INBOX", 3), ("INBOX", 9)]
+    assert got[0]["has_ics"] and got[1]["subject"] == "云服务域名到期提醒" and got[3]["from_addr"] == ""
+
+    odd = spark.createDataFrame([("queued",), ("lost",), (None,)], "state string")
+    assert domain_violations("scheduled_pushes", odd).first()["violations"] == 1
+    assert assert_domain("scheduled_pushes", odd).count() == 2
+    odd.write.parquet(str(tmp_path / "q"))
+    assert state_table(spark, str(tmp_path / "q"), "scheduled_pushes").where("state = 'queued'").count() == 1
