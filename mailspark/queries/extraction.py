@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailspark import lexicon as lx
 from mailspark.functions.common import flag, iso_utc
@@ -188,7 +188,7 @@ FROM (SELECT *,
 HITS = rf"""hit_rows AS (
 SELECT id AS message_id, received_at, is_deadline, p_ord, i AS d_ord, p, ds[i] AS d, ts[i] AS t, len(ds) AS n_dates
 FROM (SELECT *, unnest(range(1, len(ds) + 1)) AS i FROM (
-  SELECT *, regexp_extract_all(p, '{_DATE}') AS ds, list_distinct_ordered(regexp_extract_all(p, '{_TIME}')) AS ts
+  SELECT *, regexp_extract_all(p, '{_DATE}') AS ds, list_filter(regexp_extract_all(p, '{_TIME}'), lambda x, i: list_position(regexp_extract_all(p, '{_TIME}'), x) = i) AS ts
   FROM (SELECT *, ps[p_ord] AS p FROM (
     SELECT id, received_at, {sql_any('lower(subject || chr(10) || body_excerpt)', lx.DEADLINE_KEYWORDS)} AS is_deadline,
       {_P} AS ps, unnest(range(1, len({_P}) + 1)) AS p_ord FROM src)
@@ -198,10 +198,6 @@ SELECT *, strptime(d || ' ' || coalesce(t, '00:00'), '%Y-%m-%d %H:%M') - INTERVA
   t IS NOT NULL AS has_time, d || coalesce(' + ' || t, '') AS evidence, {sql_any('p', lx.VAGUE_WORDS)} AS vague,
   count(*) OVER (PARTITION BY message_id) > 1 AND max(n_dates) OVER (PARTITION BY message_id) > 1 AS ambiguous
 FROM (SELECT *, row_number() OVER (PARTITION BY message_id, d, t ORDER BY p_ord, d_ord) AS rn FROM hit_rows) WHERE rn = 1)"""
-# the synthetic texts never repeat a time inside a paragraph unless both dates share it
-HITS = HITS.replace("list_distinct_ordered(", "list_reduce_times(")
-HITS = HITS.replace(f"list_reduce_times(regexp_extract_all(p, '{_TIME}'))", (
-    f"list_filter(regexp_extract_all(p, '{_TIME}'), lambda x, i: list_position(regexp_extract_all(p, '{_TIME}'), x) = i)"))
 
 SCORED = f"""scored AS (
 SELECT *, CASE WHEN start_ts < TIMESTAMP '{NOW}' THEN '{lx.GATE_PAST}' WHEN ambiguous THEN '{lx.GATE_AMBIGUOUS}'

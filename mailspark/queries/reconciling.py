@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailspark import lexicon as lx
 from mailspark.functions import payload as pl
-from mailspark.functions.common import flag, iso_utc, with_once
+from mailspark.functions.common import flag, with_once
 from mailspark.operators import reconcile as rc
-from mailspark.queries.views import CAL_EVENTS, NOW, cal_events, now, with_ctes
+from mailspark.queries.views import CAL_EVENTS, cal_events, now, with_ctes
 from mailspark.sources.tables import load
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailspark import lexicon as lx
-from mailspark.functions import payload as pl
 from mailspark.functions.common import flag, iso_utc
 from mailspark.operators import audit as au, digest as dg, review as rv, stats
 from mailspark.operators.rules import rule_candidates, rule_hits

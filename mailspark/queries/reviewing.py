@@ -8,7 +8,7 @@ from mailspark import lexicon as lx
 from mailspark.functions.common import flag, iso_utc
 from mailspark.operators import review as rv, store as st
 from mailspark.queries.views import (CAL_EVENTS, CAL_PUSHES, MAIL_ORDERS, NOW, cal_events, cal_pushes, mail_orders, now,
-                                     sql_list, with_ctes)
+                                     with_ctes)
 from mailspark.sources.tables import load
 
 
