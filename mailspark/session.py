@@ -26,6 +26,7 @@ def build_session(app: str = "mailspark", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -45,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get(CHECKPOINT_CONF, None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="mailspark-checkpoint-", dir=os.environ.get("TMPDIR"))
     spark.sparkContext.setCheckpointDir(shared)
 
