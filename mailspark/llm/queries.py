@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mailspark.llm import mixing
+from mailspark.llm import mixing, scoring
 
 QUERIES = {
+    "op4_lm_scores": scoring.op4_lm_scores,
     "op5_mixing_sources": mixing.op5_mixing_sources,
 }
 
