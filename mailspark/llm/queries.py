@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mailspark.llm import mixing, scoring
+from mailspark.llm import mixing, repeats, scoring
 
 QUERIES = {
     "op4_lm_scores": scoring.op4_lm_scores,
     "op5_mixing_sources": mixing.op5_mixing_sources,
+    "op7_repeated_passages": repeats.op7_repeated_passages,
 }
 
 ORACLES = {
