@@ -127,10 +127,10 @@ def _chunk(first: int, data: np.ndarray, text_at: np.ndarray, keys: bool) -> Chu
     ends[lasts] = inside[lasts]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     word_at = np.searchsorted(start, text_at)
-    return Chunk(first, len(text_at) - 1, data, text_at, start, end, word_at, _word_keys(data, start, end) if keys else None)
+    return Chunk(first, len(text_at) - 1, data, text_at, start, end, word_at, span_keys(data, start, end) if keys else None)
 
 
-def _word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Differences of running polynomial sums, block by block so that a very long text needs no long tables."""
     out = np.empty(len(start), np.uint64)
     done = 0
