@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mailspark.llm import mixing, quality, repeats, scoring, wordpiece
+from mailspark.llm import mixing, partenum, quality, repeats, scoring, wordpiece
 
 QUERIES = {
     "op4_lm_scores": scoring.op4_lm_scores,
     "op5_mixing_sources": mixing.op5_mixing_sources,
+    "op6_ngram_jaccard": partenum.op6_ngram_jaccard,
     "op7_repeated_passages": repeats.op7_repeated_passages,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_token_counts": wordpiece.op10_token_counts,
