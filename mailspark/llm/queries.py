@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailspark.llm import mixing, partenum, quality, repeats, scoring, wordpiece
+from mailspark.llm import language, mixing, partenum, quality, repeats, scoring, wordpiece
 
 QUERIES = {
     "op4_lm_scores": scoring.op4_lm_scores,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_ngram_jaccard": partenum.op6_ngram_jaccard,
     "op7_repeated_passages": repeats.op7_repeated_passages,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_language_id": language.op9_language_id,
     "op10_token_counts": wordpiece.op10_token_counts,
 }
 
