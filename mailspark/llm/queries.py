@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mailspark.llm import language, mixing, partenum, quality, repeats, scoring, wordpiece
+from mailspark.llm import language, mixing, partenum, quality, records, repeats, scoring, wordpiece
 
 QUERIES = {
+    "op2_training_records": records.op2_training_records,
     "op4_lm_scores": scoring.op4_lm_scores,
     "op5_mixing_sources": mixing.op5_mixing_sources,
     "op6_ngram_jaccard": partenum.op6_ngram_jaccard,
