@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from mailspark.llm import language, mixing, partenum, quality, records, repeats, scoring, wordpiece
+from mailspark.llm import chat, language, mixing, partenum, quality, records, repeats, scoring, templates, wordpiece
 
 QUERIES = {
+    "op1_benchmark_leaks": templates.op1_benchmark_leaks,
     "op2_training_records": records.op2_training_records,
+    "op3_perspectives": chat.op3_perspectives,
     "op4_lm_scores": scoring.op4_lm_scores,
     "op5_mixing_sources": mixing.op5_mixing_sources,
     "op6_ngram_jaccard": partenum.op6_ngram_jaccard,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_perspectives": chat.ORACLE,
     "op5_mixing_sources": mixing.ORACLE,
 }
