@@ -25,6 +25,7 @@ LABELLED = 3_000
 #: Languages that one model tells apart.
 LANGUAGES = 256
 UNKNOWN = "und"
+HAS_LETTER, PREDICTED, SCORE = "_has_letter", "_lang_pred", "_score"
 LETTER = r"\p{L}"
 _GRAM = np.uint64(0x2545F4914F6CDD1D)
 
@@ -210,12 +211,8 @@ def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimension
     return Model(languages, idf, weights, calibrate(logits, np.array([c for _, _, c in kept])))
 
 
-def predict(docs: DataFrame, model: Model | None, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> DataFrame:
-    """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text); the whole text counts.
-
-    A null text, or one without a letter, is ``und`` with score 0, and so is every text without a model. score is the
-    calibrated probability of the language. Rows that repeat a doc_id are rows of their own.
-    """
+def _predictions(docs: DataFrame, kept: list[str], model: Model | None, longest: int, dimensions: int) -> DataFrame:
+    """The ``kept`` columns of ``docs``, with the language of its text and a score; ``docs`` has HAS_LETTER as well."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +227,37 @@ def predict(docs: DataFrame, model: Model | None, longest: int = LONGEST, dimens
                 p = softmax(model.logits(row, feature, _weighed(row, feature, count, model.idf, rows), rows))
                 names += [model.languages[k] for k in p.argmax(axis=1)]
                 scores.append(p.max(axis=1))
-            readable = batch["letters"]
+            readable = batch[HAS_LETTER]
             name = pc.if_else(readable, pa.array(names, pa.string()), UNKNOWN)
             score = pc.if_else(readable, pa.array(np.concatenate(scores) if scores else np.zeros(0)), 0.0)
-            yield pa.record_batch([batch["doc_id"], name, score], names=["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([*(batch[c] for c in kept), name, score], names=[*kept, PREDICTED, SCORE])
+
+    schema = docs.select(*kept).schema.add(PREDICTED, "string").add(SCORE, "double")
+    return docs.mapInArrow(run, schema)
+
 
-    letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", letters.alias("letters"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(HAS_LETTER, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
+
+
+def predict(docs: DataFrame, model: Model | None, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> DataFrame:
+    """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text); the whole text counts.
+
+    A null text, or one without a letter, is ``und`` with score 0, and so is every text without a model. score is the
+    calibrated probability of the language. Rows that repeat a doc_id are rows of their own.
+    """
+    rows = _marked(docs.select(F.col("doc_id").cast("long"), "text"))
+    return _predictions(rows, ["doc_id"], model, longest, dimensions).select(
+        "doc_id", F.col(PREDICTED).alias("lang_pred"), F.col(SCORE).alias("score"))
+
+
+def readable(docs: DataFrame, model: Model | None, least: float, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The rows of ``docs`` in some language with a score of ``least`` or more, with their columns. Without a model
+    all texts with a letter stay. Columns may have any names but the three with a leading underscore added here."""
+    rows = _marked(docs).where(HAS_LETTER)
+    if model is not None:
+        rows = _predictions(rows, docs.columns, model, longest, dimensions).where(F.col(SCORE) >= least)
+    return rows.select(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:

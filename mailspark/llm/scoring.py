@@ -196,7 +196,8 @@ def _frequent(model: Model, most: int) -> tuple[Broadcast, float]:
 
 
 def score(docs: DataFrame, model: Model, order: int = ORDER, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text).
+    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs`` (doc_id, text), whose texts ``fit`` was
+    given, for training or not.
 
     The frequent keys are looked up where the text is read. Keys of a text that are not among them stay as a list
     beside its sums, and are priced by a join over the whole key table: no key is left out, whatever its number.
