@@ -26,13 +26,10 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(F.when(ascii_only, text), _nfkc(F.when(~ascii_only, text)))
 
 
-def normalize_title(title: Column, compat: bool = True) -> Column:
-    """Decorations and stacked reply prefixes removed, spaces folded, case folded.
-
-    ``compat=False`` skips the Unicode compatibility step for columns known to hold plain text.
-    """
+def normalize_title(title: Column) -> Column:
+    """Decorations and stacked reply prefixes removed, spaces folded, case folded."""
     text = F.coalesce(title, F.lit(""))
-    text = nfkc(text) if compat else text
+    text = nfkc(text)
     text = F.translate(text, "​﻿", "")
     text = sub(text, rf"^(?:\s*(?:{lx.TITLE_PREFIX})\s*)+", "", "i")
     return casefold(fold_spaces(text))
@@ -52,9 +49,9 @@ def normalize_identity(value: Column) -> Column:
     return F.when(F.length(inner) > 0, strip(inner)).otherwise(text)
 
 
-def normalize_location(value: Column, compat: bool = True) -> Column:
+def normalize_location(value: Column) -> Column:
     text = F.coalesce(value, F.lit(""))
-    return casefold(fold_spaces(nfkc(text) if compat else text))
+    return casefold(fold_spaces(nfkc(text)))
 
 
 def short_sha(*parts: Column) -> Column:
@@ -65,11 +62,10 @@ def minute_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm")
 
 
-def event_fingerprint(title: Column, start_ts: Column, end_ts: Column, organizer: Column, location: Column,
-                      compat: bool = True) -> Column:
+def event_fingerprint(title: Column, start_ts: Column, end_ts: Column, organizer: Column, location: Column) -> Column:
     """Content identity of an event; start and end are instants."""
-    return short_sha(normalize_title(title, compat), minute_text(start_ts), minute_text(end_ts),
-                     normalize_identity(organizer), normalize_location(location, compat))
+    return short_sha(normalize_title(title), minute_text(start_ts), minute_text(end_ts),
+                     normalize_identity(organizer), normalize_location(location))
 
 
 def ics_fingerprint(uid: Column, recurrence_id: Column, organizer: Column) -> Column:
@@ -78,10 +74,10 @@ def ics_fingerprint(uid: Column, recurrence_id: Column, organizer: Column) -> Co
         strip(uid), strip(F.coalesce(recurrence_id, F.lit(""))), normalize_identity(organizer)))
 
 
-def title_tokens(title: Column, compat: bool = True) -> Column:
+def title_tokens(title: Column) -> Column:
     """Words of three letters and more; CJK words as two-character windows. Distinct, in order."""
     text = F.coalesce(title, F.lit(""))
-    text = casefold(nfkc(text) if compat else text)
+    text = casefold(nfkc(text))
     words = F.split(F.trim(F.regexp_replace(text, "[^0-9a-z一-鿿]+", " ")), " ")
 
     def tokens(word: Column) -> Column:
@@ -100,5 +96,5 @@ def overlap(left: Column, right: Column) -> Column:
     return F.when(smaller > 0, F.size(F.array_intersect(left, right)) / smaller).otherwise(F.lit(0.0))
 
 
-def title_similarity(left: Column, right: Column, compat: bool = True) -> Column:
-    return overlap(title_tokens(left, compat), title_tokens(right, compat))
+def title_similarity(left: Column, right: Column) -> Column:
+    return overlap(title_tokens(left), title_tokens(right))

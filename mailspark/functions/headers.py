@@ -48,7 +48,7 @@ def parse_unsubscribe(raw: Column) -> Column:
     mail = F.get(F.filter(targets, lambda t: F.startswith(F.lower(t), F.lit("mailto:"))), F.lit(0))
     return F.struct(
         (F.length(text) > 0).alias("present"),
-        strip(F.regexp_replace(F.substring(mail, 8, 1 << 20), r"(?s)\?.*$", "")).alias("mailto"),
+        strip(F.regexp_replace(F.substr(mail, F.lit(8)), r"(?s)\?.*$", "")).alias("mailto"),
         F.filter(targets, lambda t: t.rlike(r"(?i)^https?://")).alias("links"),
     )
 

@@ -28,9 +28,11 @@ def sanitize_text(text: Column, limit: int = LOG_MAX_CHARS) -> Column:
     return capped(strip_control(text), limit)
 
 
-def sanitize_error(text: Column, limit: int = ERROR_MAX_CHARS) -> Column:
+def sanitize_error(text: Column, limit: int | None = ERROR_MAX_CHARS) -> Column:
+    """One clean line; ``limit`` None keeps all of it."""
     one_line = F.regexp_replace(strip_control(text), r"[\r\n]", " ")
-    return capped(strip(F.regexp_replace(one_line, r"[ \t]+", " ")), limit)
+    line = strip(F.regexp_replace(one_line, r"[ \t]+", " "))
+    return line if limit is None else capped(line, limit)
 
 
 def head_excerpt(text: Column, limit: int = HEAD_MAX_CHARS) -> Column:
@@ -96,11 +98,17 @@ def unescape_entities(text: Column) -> Column:
 # --- body cleaning --------------------------------------------------------------------------------------------
 
 
+# A ruled line and the labelled lines below it. The lines are taken one by one and never given back, so their number
+# does not matter to the matcher.
+_LABELLED_LINE = rf"[ \t]*+(?:{'|'.join(lx.FORWARD_LABELS)})[ \t]*+[:：][^\n]*+(?:\n|\z)"
+_FORWARD_HEADER = rf"^[\s_\-=*]{{5,}}\s*$\n(?:{_LABELLED_LINE})++"
+
+
 def clean_body(text: Column) -> Column:
     """The stored excerpt source: newlines unified first, then each cleaning step in its fixed order."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
     text = strip_control(text)
-    text = sub(text, lx.FORWARD_HEADER, "", "idm")
+    text = sub(text, _FORWARD_HEADER, "", "idm")
     for start in lx.TRUNCATE_FROM:
         text = sub(text, rf"(?:{start})[\s\S]*\z", "", "idm")
     text = sub(text, lx.QUOTED_LINE, "", "dm")
@@ -133,12 +141,14 @@ def _footer_kind(paragraph: Column) -> Column:
             .otherwise(0))
 
 
-def with_body(df: DataFrame, full_text: Column, max_chars: int = 4000) -> DataFrame:
-    """Add body_excerpt, body_sha256 (over the uncleaned text) and truncated."""
+def with_body(df: DataFrame, full_text: Column, max_chars: int | None = None) -> DataFrame:
+    """Add body_excerpt, body_sha256 (over the uncleaned text) and truncated. Without a limit the excerpt is all of
+    the cleaned text, which is what extraction has to read."""
+    excerpt, cut = (F.col("_clean"), F.lit(False)) if max_chars is None else (
+        F.substring("_clean", 1, max_chars), F.length("_clean") > max_chars)
     staged = with_once(df, _full=F.coalesce(full_text, F.lit("")))
     return (with_once(staged, _clean=clean_body(F.col("_full")))
-            .withColumns({"body_excerpt": F.substring("_clean", 1, max_chars),
-                          "body_sha256": F.sha2("_full", 256), "truncated": F.length("_clean") > max_chars})
+            .withColumns({"body_excerpt": excerpt, "body_sha256": F.sha2("_full", 256), "truncated": cut})
             .drop("_full", "_clean"))
 
 

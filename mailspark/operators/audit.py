@@ -15,7 +15,7 @@ from mailspark.session import checkpointed
 NONE, MAYBE, LIKELY = 0, 1, 2
 
 
-def window_messages(messages: DataFrame, now: Column, hours: int = 24, limit: int | None = 200) -> DataFrame:
+def window_messages(messages: DataFrame, now: Column, hours: int = 24, limit: int | None = None) -> DataFrame:
     """Canonical messages received or fetched inside the window: late arrivals count as much as new ones."""
     start = now - F.make_dt_interval(hours=F.lit(hours))
     inside = F.col("received_at").between(start, now) | F.col("fetched_at").between(start, now)
@@ -24,7 +24,7 @@ def window_messages(messages: DataFrame, now: Column, hours: int = 24, limit: in
 
 
 def missing_candidates(candidates: DataFrame, events: DataFrame, llm_called: bool = False,
-                       threshold: float = lx.SIMILARITY_THRESHOLD, compat: bool = True) -> DataFrame:
+                       threshold: float = lx.SIMILARITY_THRESHOLD) -> DataFrame:
     """Deterministic candidates without an equivalent stored event: same start and similar title, or both all-day
     on one date. Messages whose stored events came from a model are skipped while no model runs.
 
@@ -35,10 +35,10 @@ def missing_candidates(candidates: DataFrame, events: DataFrame, llm_called: boo
     if not llm_called:
         modelled = events.where("source = 'llm'").select("message_id").distinct()
         mine = mine.join(modelled, "message_id", "left_anti")
-    mine = mine.withColumns({"_toks": title_tokens(F.col("title"), compat), "_date": F.to_date("start_ts")})
+    mine = mine.withColumns({"_toks": title_tokens(F.col("title")), "_date": F.to_date("start_ts")})
     stored = events.where("source <> 'llm' and start_ts is not null").select(
         "message_id", "start_ts", F.to_date("start_ts").alias("_date"), F.coalesce("all_day", F.lit(False)).alias("s_all_day"),
-        title_tokens(F.col("title"), compat).alias("s_toks"))
+        title_tokens(F.col("title")).alias("s_toks"))
     timed = stored.select("message_id", "start_ts", "s_all_day", "s_toks").alias("s")
     c = mine.alias("c")
     left = c.join(timed, (F.col("c.message_id") == F.col("s.message_id")) & (F.col("c.start_ts") == F.col("s.start_ts"))
@@ -72,12 +72,12 @@ def suspicion(status: Column, extract_it: Column, call_llm: Column, llm_called:
 
 
 def audit_items(messages: DataFrame, events: DataFrame, now: Column, llm_responses: DataFrame | None = None,
-                tz: str = DEFAULT_ZONE, contacts: DataFrame | None = None, compat: bool = True) -> DataFrame:
+                tz: str = DEFAULT_ZONE, contacts: DataFrame | None = None) -> DataFrame:
     """One row per message of the window with verdict, counts, suspicion and the start of its text."""
     source = messages.select(
         F.col("id").alias("message_id"), "subject", F.coalesce("body_excerpt", F.lit("")).alias("text"), "received_at",
         "auto_submitted", "is_list", F.lit(False).alias("has_ics"), "from_addr")
-    verdicts, found = extract(source, now, llm_responses=llm_responses, contacts=contacts, tz=tz, compat=compat)
+    verdicts, found = extract(source, now, llm_responses=llm_responses, contacts=contacts, tz=tz)
     # read by the counts and by the comparison with the store
     found = checkpointed(found)
     counts = found.groupBy("message_id").agg(F.count(F.lit(1)).alias("candidates"))
@@ -87,7 +87,7 @@ def audit_items(messages: DataFrame, events: DataFrame, now: Column, llm_respons
         called = asked.select("message_id").distinct().withColumn("llm_called", F.lit(True))
     else:
         called = None
-    missing = missing_candidates(found, events, llm_responses is not None, compat=compat).groupBy("message_id").agg(
+    missing = missing_candidates(found, events, llm_responses is not None).groupBy("message_id").agg(
         F.count(F.lit(1)).alias("missing"))
     stored = events.groupBy("message_id").agg(F.count(F.lit(1)).alias("stored"))
     base = messages.withColumnRenamed("id", "message_id").join(verdicts, "message_id")

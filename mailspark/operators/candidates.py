@@ -54,8 +54,7 @@ def llm_json(response: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), nonempty(body)).otherwise(nonempty(embedded))
 
 
-def llm_candidates(responses: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAULT_MINUTES,
-                   compat: bool = True) -> DataFrame:
+def llm_candidates(responses: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAULT_MINUTES) -> DataFrame:
     """Model responses (message_id, response) to candidates. Events without a readable start are dropped, and
     whatever the model claims, a person has to confirm it."""
     parsed = responses.select("message_id", F.from_json(llm_json(F.col("response")), _LLM_SCHEMA).alias("answer"))
@@ -75,7 +74,7 @@ def llm_candidates(responses: DataFrame, tz: str = DEFAULT_ZONE, minutes: int =
         F.coalesce(nonempty(F.col("e.title")), F.lit(lx.NO_TITLE)).alias("title"), "start_ts", "end_ts",
         all_day.alias("all_day"), F.lit("llm").alias("source"),
         F.coalesce(F.col("e.confidence"), F.lit(0.5)).alias("confidence"),
-        event_fingerprint(F.col("e.title"), F.col("start_ts"), F.col("end_ts"), text, F.col("e.location"), compat)
+        event_fingerprint(F.col("e.title"), F.col("start_ts"), F.col("end_ts"), text, F.col("e.location"))
         .alias("fingerprint"),
         F.coalesce(F.col("e.evidence"), F.lit("")).alias("evidence"), F.col("e.location").alias("location"),
         text.alias("organizer"), text.alias("tz"), text.alias("ics_uid"),
@@ -205,8 +204,7 @@ def mark_conflicts(candidates: DataFrame, tz: str = DEFAULT_ZONE, minutes: int =
 def extract(messages: DataFrame, now: Column, vevents: DataFrame | None = None,
             llm_responses: DataFrame | None = None, contacts: DataFrame | None = None, tz: str = DEFAULT_ZONE,
             minutes: int = DEFAULT_MINUTES, threshold: float = lx.AUTO_PUSH_THRESHOLD,
-            ambiguous_policy: str = "pending", non_contact_auto_push: bool = False,
-            compat: bool = True) -> tuple[DataFrame, DataFrame]:
+            ambiguous_policy: str = "pending", non_contact_auto_push: bool = False) -> tuple[DataFrame, DataFrame]:
     """Messages to (verdicts, candidates): prefilter, three sources of falling trust, merge, cross-check.
 
     ``messages``: message_id, subject, text, received_at, auto_submitted, is_list, has_ics, from_addr.
@@ -215,7 +213,7 @@ def extract(messages: DataFrame, now: Column, vevents: DataFrame | None = None,
     judged = classify(messages, text="text")
     verdicts = judged.select("message_id", "verdict.*")
     hits = rule_hits(judged.where("verdict.extract"), tz, minutes)
-    rules = rule_candidates(hits, now, tz, threshold, ambiguous_policy, compat)
+    rules = rule_candidates(hits, now, tz, threshold, ambiguous_policy)
     if vevents is not None or llm_responses is not None:
         # verdicts and rule hits are read again below: keep the thin results, not the passes over the texts
         verdicts, rules = checkpointed(verdicts), checkpointed(rules)
@@ -232,7 +230,7 @@ def extract(messages: DataFrame, now: Column, vevents: DataFrame | None = None,
     if llm_responses is not None:
         settled = rules.where(~F.col("requires_review")).select("message_id").distinct()
         asked = verdicts.where("extract and call_llm").select("message_id").join(settled, "message_id", "left_anti")
-        llm = llm_candidates(llm_responses.join(asked, "message_id", "left_semi"), tz, minutes, compat)
+        llm = llm_candidates(llm_responses.join(asked, "message_id", "left_semi"), tz, minutes)
     return verdicts, mark_conflicts(dedupe_slots(combine(ics, rules, llm), tz), tz)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailspark.functions.headers import is_seen
 from mailspark.operators.store import added, last_write, newest, upsert
@@ -72,32 +72,44 @@ def _lowest(pool: DataFrame, key: str, keys: list[str], name: str) -> DataFrame:
     return pool.where(F.length(key) > 0).groupBy(*keys, key).agg(F.min("id").alias(name))
 
 
+def _woken(arrivals: DataFrame, asleep: DataFrame, key: str) -> DataFrame:
+    """_place, re_id: the k-th arrival of a key takes the k-th sleeping row of that key in its folder."""
+    by = [*FOLDER, key]
+    waiting = asleep.where(F.length(key) > 0).select(
+        *by, F.col("id").alias("re_id"), F.row_number().over(Window.partitionBy(*by).orderBy("id")).alias("_k"))
+    come = arrivals.where(F.length(key) > 0).select(
+        *by, "_place", F.row_number().over(Window.partitionBy(*by).orderBy("_place")).alias("_k"))
+    return come.join(waiting, [*by, "_k"]).select("_place", "re_id")
+
+
 def classify_arrivals(arrivals: DataFrame, messages: DataFrame) -> DataFrame:
     """Decide what each parsed arrival is: known, reactivated, copy or new.
 
-    Content hash counts before message id, the lowest id wins. The two lookups are equi-joins against one row per
-    key; copies inside the batch itself follow its order. Adds ``action``, ``match_id`` (stored row) and
-    ``batch_of`` (arrival it copies).
+    Content hash counts before message id. A sleeping row is taken by one arrival only, the lowest id first; arrivals
+    that find no row left go on as copies or new rows, so none is lost. Copies inside the batch itself follow its
+    order. Adds ``action``, ``match_id`` (stored row) and ``batch_of`` (arrival it copies).
     """
-    unique = arrivals.dropDuplicates(UID_KEY)
+    hashed, named = "body_sha256", "normalized_message_id"
+    leading = ["folder_ord"] if "folder_ord" in arrivals.columns else []
+    place = F.struct(*leading, *[k for k in UID_KEY if k != "uid_validity"], "uid_validity")
     known = messages.select(*UID_KEY, F.col("id").alias("known_id"))
-    asleep = messages.where("stale or folder_moved")
     canonical = messages.where("is_canonical")
-    hashed, named = "body_sha256", "normalized_message_id"
-    joined = (unique.join(known, UID_KEY, "left")
-              .join(_lowest(asleep, hashed, FOLDER, "re_hash"), [*FOLDER, hashed], "left")
-              .join(_lowest(asleep, named, FOLDER, "re_name"), [*FOLDER, named], "left")
+    joined = (arrivals.dropDuplicates(UID_KEY).withColumn("_place", place).join(known, UID_KEY, "left")
               .join(_lowest(canonical, hashed, ["account"], "dup_hash"), ["account", hashed], "left")
               .join(_lowest(canonical, named, ["account"], "dup_name"), ["account", named], "left"))
-    reuse, duplicate = F.coalesce("re_hash", "re_name"), F.least("dup_hash", "dup_name")
-    first = (F.when(F.col("known_id").isNotNull(), "known").when(reuse.isNotNull(), "reactivated")
+    # settled once: all that follows must see the same rows
+    joined = checkpointed(joined)
+    asleep = messages.where("stale or folder_moved").select(*FOLDER, "id", hashed, named)
+    open_ = joined.where("known_id is null").select(*FOLDER, "_place", hashed, named)
+    by_hash = checkpointed(_woken(open_, asleep, hashed))
+    by_name = _woken(open_.join(by_hash, "_place", "left_anti"),
+                     asleep.join(by_hash.select(F.col("re_id").alias("id")), "id", "left_anti"), named)
+    duplicate = F.least("dup_hash", "dup_name")
+    first = (F.when(F.col("known_id").isNotNull(), "known").when(F.col("re_id").isNotNull(), "reactivated")
              .when(duplicate.isNotNull(), "copy").otherwise("new"))
-    leading = ["folder_ord"] if "folder_ord" in arrivals.columns else []
-    place = F.struct(*leading, *[k for k in UID_KEY if k != "uid_validity"], "uid_validity")
-    # settled once: the rounds below must all see the same rows
-    staged = checkpointed(joined.withColumn("_first", first).withColumn("_place", place)
-              .withColumn("match_id", F.coalesce("known_id", reuse, duplicate))
-              .drop("known_id", "re_hash", "re_name", "dup_hash", "dup_name"))
+    staged = checkpointed(joined.join(by_hash.unionByName(by_name), "_place", "left").withColumn("_first", first)
+                          .withColumn("match_id", F.coalesce("known_id", "re_id", duplicate))
+                          .drop("known_id", "re_id", "dup_hash", "dup_name"))
     return _copies_within(staged)
 
 
@@ -230,12 +242,13 @@ def reclaim(messages: DataFrame, now: Column, zombie_minutes: int = 60, max_atte
     return messages.withColumn("extract_status", F.when(spent, "failed").otherwise(status))
 
 
-def claim(messages: DataFrame, limit: int = 200, account: str | None = None) -> DataFrame:
-    """The next canonical pending rows by id, as running."""
+def claim(messages: DataFrame, limit: int | None = None, account: str | None = None) -> DataFrame:
+    """The next canonical pending rows by id, as running; all of them without a limit."""
     rows = messages.where("extract_status = 'pending' and is_canonical")
     if account is not None:
         rows = rows.where(F.col("account") == account)
-    return rows.orderBy("id").limit(limit).withColumn("extract_status", F.lit("running"))
+    rows = rows if limit is None else rows.orderBy("id").limit(limit)
+    return rows.withColumn("extract_status", F.lit("running"))
 
 
 def after_attempt(messages: DataFrame, failed: DataFrame, max_attempts: int = 3) -> DataFrame:

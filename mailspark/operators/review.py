@@ -98,8 +98,7 @@ def review_page(events: DataFrame, messages: DataFrame, limit: int = 100, **opti
     return page.orderBy(F.asc_nulls_first("start_ts"), "id"), behind
 
 
-def probable_duplicates(items: DataFrame, block: str, order: str, title: str, threshold: float = lx.SIMILARITY_THRESHOLD,
-                        compat: bool = True) -> DataFrame:
+def probable_duplicates(items: DataFrame, block: str, order: str, title: str, threshold: float = lx.SIMILARITY_THRESHOLD) -> DataFrame:
     """(row, first earlier row of its block with a similar title, similarity): a hint, never a merge.
 
     Equal token sets collapse first, so any number of copies costs one row. Two sets can only be similar enough
@@ -107,7 +106,7 @@ def probable_duplicates(items: DataFrame, block: str, order: str, title: str, th
     checked in full, and no pair is left out.
     """
     rows = items.select(F.col(block).alias("block"), F.col(order).alias("ord"),
-                        F.array_sort(title_tokens(F.col(title), compat)).alias("toks"))
+                        F.array_sort(title_tokens(F.col(title))).alias("toks"))
     rows = checkpointed(rows.where((F.size("toks") > 0) & F.col("block").isNotNull()))
     sets = checkpointed(rows.groupBy("block", "toks").agg(F.min("ord").alias("first"))
                         .withColumn("sid", F.xxhash64("block", "toks")))
@@ -143,25 +142,39 @@ def probable_duplicates(items: DataFrame, block: str, order: str, title: str, th
 
 # --- commands -------------------------------------------------------------------------------------------------
 
-_BAD = r"^\s*-?\d+\s*$|^\s*\d+\s*-\s*\d+\s*$|^\s*$"
+_ID_OR_RANGE = r"^(?:\d{1,18}(?:\s*-\s*\d{1,18})?)?$"
+#: Ids of a range that one row carries at a time.
+_RANGE_BLOCK = 1 << 16
 
 
 def expand_ids(commands: DataFrame) -> DataFrame:
-    """Commands with ``event_ids`` text ('1,2,5-7') as one row per id, in order, without repeats.
+    """Commands (one per ``seq``) with ``event_ids`` text ('1,2,5-7') as one row per id, in order of ``pos``, without
+    repeats.
 
-    A range may be written backwards. Text that is no list of ids is an error and stops the job.
+    A range may be written backwards. It is cut into blocks that are dealt out before their ids are listed, so a
+    range of any length is spread over the tasks. Text that is no list of ids is an error and stops the job.
     """
     parts = F.transform(F.split("event_ids", ","), strip)
-    wrong = F.exists(parts, lambda p: ~p.rlike(_BAD))
+    wrong = F.exists(parts, lambda p: ~p.rlike(_ID_OR_RANGE))
     checked = F.when(wrong, F.raise_error(F.concat(F.lit("cannot read event ids: "), F.col("event_ids")))).otherwise(parts)
 
     def span(part: Column) -> Column:
         left = F.regexp_extract(part, r"^(\d+)", 1).cast("long")
         right = F.regexp_extract(part, r"(\d+)$", 1).cast("long")
-        return F.sequence(F.least(left, right), F.greatest(left, right))
-
-    ids = F.array_distinct(F.flatten(F.transform(F.filter(checked, lambda p: F.length(p) > 0), span)))
-    return commands.withColumn("ids", ids).select("*", F.posexplode("ids").alias("pos", "id")).drop("ids")
+        return F.struct(F.least(left, right).alias("low"), F.greatest(left, right).alias("high"))
+
+    spans = F.transform(F.filter(checked, lambda p: F.length(p) > 0), span)
+    before = F.transform("_spans", lambda s, i: F.aggregate(
+        F.slice("_spans", 1, i), F.lit(0).cast("long"), lambda n, t: n + t["high"] - t["low"] + 1))
+    listed = commands.withColumn("_spans", spans).select(
+        *commands.columns, F.inline(F.arrays_zip("_spans", before.alias("before"))))
+    blocks = listed.withColumn("_from", F.explode(F.sequence(F.col("_spans.low"), F.col("_spans.high"), F.lit(_RANGE_BLOCK))))
+    dealt = blocks.repartition("seq", "_from")
+    ids = dealt.withColumn("id", F.explode(F.sequence("_from", F.least(F.col("_from") + _RANGE_BLOCK - 1, F.col("_spans.high")))))
+    placed = ids.withColumn("pos", F.col("before") + F.col("id") - F.col("_spans.low"))
+    others = [c for c in commands.columns if c != "seq"]
+    once = placed.groupBy("seq", "id").agg(F.min("pos").alias("pos"), F.first(F.struct(*others)).alias("_c"))
+    return once.select("seq", *[F.col(f"_c.{c}").alias(c) for c in others], "pos", "id").select(*commands.columns, "pos", "id")
 
 
 def transition(events: DataFrame, commands: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

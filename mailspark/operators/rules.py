@@ -55,7 +55,7 @@ def rule_hits(messages: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAUL
         .where("_first = 1")
         .withColumn("ambiguous", (F.count(F.lit(1)).over(message) > 1) & (F.col("max_dates") > 1)))
     return kept.select(
-        "message_id", "received_at", (F.col("p_ord") * 100000 + F.col("d_ord")).alias("hit_ord"),
+        "message_id", "received_at", (F.shiftleft(F.col("p_ord").cast("long"), 32) + F.col("d_ord")).alias("hit_ord"),
         "title", "title_from_subject", "start_ts",
         F.when(~F.col("is_deadline"), F.col("start_ts") + F.make_dt_interval(mins=F.lit(minutes))).alias("end_ts"),
         (F.col("is_deadline") | ~F.col("has_time")).alias("all_day"),
@@ -98,7 +98,7 @@ def review_reason(start_ts: Column, has_year: Column, ambiguous: Column, vague:
 
 
 def rule_candidates(hits: DataFrame, now: Column, tz: str = DEFAULT_ZONE, threshold: float = lx.AUTO_PUSH_THRESHOLD,
-                    ambiguous_policy: str = "pending", compat: bool = True) -> DataFrame:
+                    ambiguous_policy: str = "pending") -> DataFrame:
     """Scored and gated hits in the candidate layout."""
     scored = hits.withColumn("confidence", confidence(
         F.col("has_time"), F.col("has_year"), F.col("ambiguous"), F.col("vague")))
@@ -107,9 +107,9 @@ def rule_candidates(hits: DataFrame, now: Column, tz: str = DEFAULT_ZONE, thresh
         F.col("confidence"), now, threshold, ambiguous_policy))
     text = F.lit(None).cast("string")
     return gated.select(
-        "message_id", F.col("hit_ord").cast("int").alias("ord"), "title", "start_ts", "end_ts", "all_day",
+        "message_id", F.col("hit_ord").alias("ord"), "title", "start_ts", "end_ts", "all_day",
         F.lit("rules").alias("source"), "confidence",
-        event_fingerprint(F.col("title"), F.col("start_ts"), F.col("end_ts"), text, text, compat).alias("fingerprint"),
+        event_fingerprint(F.col("title"), F.col("start_ts"), F.col("end_ts"), text, text).alias("fingerprint"),
         "evidence", text.alias("location"), text.alias("organizer"), F.lit(tz).alias("tz"),
         text.alias("ics_uid"), F.lit(None).cast("int").alias("ics_sequence"), text.alias("ics_recurrence_id"),
         text.alias("ics_rrule"), (F.col("review_reason") != "").alias("requires_review"), "review_reason",

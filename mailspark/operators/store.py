@@ -59,8 +59,10 @@ _FREE = ("start_ts", "end_ts", "all_day", "tz", "location", "organizer", "confid
 
 
 def upsert_candidates(events: DataFrame, candidates: DataFrame, now: Column) -> DataFrame:
-    """Candidates into the events table on (message_id, fingerprint).
+    """Candidates into the events table on (message_id, fingerprint), which stays unique.
 
+    Several candidates of one key act one after the other, in the order of (ord, start_ts, title, confidence) as far
+    as there are such columns: the last one's values stay, the source of a new event is the first one's.
     A stored event that a person has ruled on (or edited) only takes a new title and evidence; a free one takes
     everything and is pending again; an unknown one is inserted with its review reason in front of the evidence.
     ``outcome`` tells inserted, updated, protected and kept rows apart. New rows have a null id: the caller
@@ -68,6 +70,9 @@ def upsert_candidates(events: DataFrame, candidates: DataFrame, now: Column) ->
     """
     fresh = candidates.select("message_id", "fingerprint", F.struct(
         *[F.col(c) for c in candidates.columns if c not in ("message_id", "fingerprint")]).alias("c"))
+    order = F.struct(*[F.col(f"c.{c}") for c in ("ord", "start_ts", "title", "confidence", "evidence") if c in candidates.columns])
+    fresh = fresh.groupBy("message_id", "fingerprint").agg(
+        F.max_by("c", order).alias("c"), F.min_by("c.source", order).alias("source"))
     joined = events.alias("e").join(fresh.alias("n"), ["message_id", "fingerprint"], "full_outer")
     stored, arrived = F.col("e.status").isNotNull(), F.col("n.c").isNotNull()
     protected = F.coalesce(F.col("e.status").isin(*lx.PROTECTED_STATUSES) | F.coalesce("e.manual_edited", F.lit(False)),
@@ -97,7 +102,7 @@ def upsert_candidates(events: DataFrame, candidates: DataFrame, now: Column) ->
         elif c == "needs_attention":
             cols.append(pick(replaces, F.col("c.requires_review"), c))
         elif c == "source":
-            cols.append(pick(F.col("outcome") == "inserted", F.col("c.source"), c))
+            cols.append(pick(F.col("outcome") == "inserted", F.col("n.source"), c))
         elif c in _FREE and c in candidates.columns:
             cols.append(pick(replaces, F.col(f"c.{c}"), c))
         elif c == "created_at":

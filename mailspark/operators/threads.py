@@ -24,14 +24,14 @@ def _place(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}received_at").alias("t"), F.col(f"{prefix}id").alias("i"))
 
 
-def load_nodes(messages: DataFrame, compat: bool = True) -> DataFrame:
+def load_nodes(messages: DataFrame) -> DataFrame:
     """Canonical, live messages as graph nodes."""
     digest = F.coalesce("body_sha256", F.concat(F.lit("row"), F.col("id").cast("string")))
     mid = F.when(F.length("normalized_message_id") > 0, F.col("normalized_message_id"))
     return messages.where("is_canonical and not stale").select(
         "id", mid.alias("mid"), F.when(F.length("in_reply_to") > 0, F.col("in_reply_to")).alias("irt"),
         F.coalesce("references_ids", F.expr("cast(array() as array<string>)")).alias("refs"),
-        normalize_title(F.col("subject"), compat).alias("subject_norm"), "received_at",
+        normalize_title(F.col("subject")).alias("subject_norm"), "received_at",
         F.lower(F.coalesce("from_addr", F.lit(""))).alias("from_addr"),
         (F.coalesce(F.length("auto_submitted"), F.lit(0)) > 0).alias("machine"),
         F.coalesce(mid, F.concat(F.lit(SYNTHETIC), F.substring(digest, 1, 16))).alias("own_key"),
@@ -173,9 +173,9 @@ def follow_to_root(parents: DataFrame) -> DataFrame:
     return done.select("id", "root_key")
 
 
-def assign_threads(messages: DataFrame, compat: bool = True) -> DataFrame:
+def assign_threads(messages: DataFrame) -> DataFrame:
     """One row per message: root_key, strength, ghost mark, cycle mark, and whether it came in by subject only."""
-    nodes = checkpointed(load_nodes(messages, compat))
+    nodes = checkpointed(load_nodes(messages))
     parents = checkpointed(resolve_parents(nodes))
     roots = follow_to_root(parents)
     placed = nodes.join(roots, "id").join(parents.select("id", "cycle"), "id")
@@ -221,10 +221,9 @@ def thread_table(assigned: DataFrame, own_addresses: list[str] | None = None, ac
         F.when(F.col("is_ghost"), "ghost").otherwise("active").alias("status"), "n")
 
 
-def rebuild(messages: DataFrame, own_addresses: list[str] | None = None, account: str | None = None,
-            compat: bool = True) -> tuple[DataFrame, DataFrame]:
+def rebuild(messages: DataFrame, own_addresses: list[str] | None = None, account: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(threads, message_thread) from scratch; the thread id is the id of its first message."""
-    assigned = checkpointed(assign_threads(messages, compat))
+    assigned = checkpointed(assign_threads(messages))
     threads = thread_table(assigned, own_addresses, account)
     ids = threads.select(F.col("root_message_id").alias("root_key"), F.col("id").alias("thread_id"))
     return threads, assigned.join(ids, "root_key").select("id", "thread_id", "root_key", "strength")

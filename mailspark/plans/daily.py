@@ -39,7 +39,7 @@ class Settings:
     mark_read_policy: str = "off"
     confidence_threshold: float = lx.AUTO_PUSH_THRESHOLD
     ambiguous_policy: str = "pending"
-    max_chars: int = 4000
+    max_chars: int | None = None
 
 
 class DailyRun:
@@ -59,10 +59,10 @@ class DailyRun:
         return F.lit(self.now).cast("timestamp")
 
     def run(self, raw: DataFrame, folders: DataFrame, remote: DataFrame | None = None,
-            llm_responses: DataFrame | None = None) -> int:
-        """Run every stage; returns the worst exit code."""
+            llm_responses: DataFrame | None = None, listing: DataFrame | None = None) -> int:
+        """Run every stage; returns the worst exit code. ``listing`` is read by the sync stage alone."""
         stages: list[tuple[str, Callable[[], dict]]] = [
-            ("sync", lambda: self.sync(raw, folders)), ("threads", self.rebuild_threads),
+            ("sync", lambda: self.sync(raw, folders, listing)), ("threads", self.rebuild_threads),
             ("extract", lambda: self.extract(raw, llm_responses)),
             ("push", lambda: self.push(remote) if remote is not None else {}),
             ("mark_read", self.mark_read), ("digest", lambda: self.digest(remote))]
@@ -73,7 +73,7 @@ class DailyRun:
         try:
             figures = job()
         except Exception as problem:  # noqa: BLE001 - the next stages still run
-            error = self.spark.range(1).select(sanitize_error(F.lit(str(problem)[:4000])).alias("e")).first()["e"]
+            error = self.spark.range(1).select(sanitize_error(F.lit(str(problem)), None).alias("e")).first()["e"]
         code = 2 if error else 0
         sinks.append_run(self.spark, f"{self.root}/runs", {
             "id": int(self.now.timestamp()) * 10 + position, "run_id": self.run_id, "command": name, "started_at": started,
@@ -81,16 +81,22 @@ class DailyRun:
             "ok": error is None, "error": error, "exit_code": code})
         return code
 
-    def sync(self, raw: DataFrame, folders: DataFrame) -> dict:
-        """raw: account, folder, uid_validity, uid, raw, flags, internal_date. folders: live state with folder_ord."""
+    def sync(self, raw: DataFrame, folders: DataFrame, listing: DataFrame | None = None) -> dict:
+        """raw: account, folder, uid_validity, uid, raw, flags, internal_date. folders: live state with folder_ord.
+
+        listing: account, folder, uid_validity, uid of everything that the listed folders hold now. Only such a full
+        listing tells what has moved away; without it nothing is marked.
+        """
         state, messages = self.table("sync_state"), self.table("messages")
         cursors = checkpointed(ingest.folder_cursor(folders, state.read()))
         taken = ingest.new_uids(raw, cursors, self.settings.sync_budget)
         parsed = checkpointed(parse_messages(taken, self.settings.max_chars).withColumn(
             "received_at", F.try_to_timestamp("internal_date")))
         stored = ingest.mark_stale(messages.read(), cursors)
+        if listing is not None:
+            stored = checkpointed(ingest.mark_moved(stored, listing))
         decided = checkpointed(ingest.classify_arrivals(parsed, stored))
-        after = ingest.apply_arrivals(ingest.mark_moved(stored, raw), decided, self._now)
+        after = ingest.apply_arrivals(stored, decided, self._now)
         numbered = checkpointed(store.number_new_rows(after))
         messages.write(ingest.link_copies(numbered, decided))
         log = decided.select(*ingest.UID_KEY, F.lit("synced").alias("status"), F.lit(None).cast("string").alias("error"),

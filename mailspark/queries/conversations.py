@@ -10,23 +10,23 @@ from mailspark.queries.views import MAIL_TURNS, mail_turns, with_ctes
 
 
 def thread_rebuild(spark: SparkSession, folder: str) -> DataFrame:
-    assigned = th.assign_threads(mail_turns(spark, folder), compat=False)
+    assigned = th.assign_threads(mail_turns(spark, folder))
     return assigned.select("id", "root_key", "strength", flag(F.col("is_ghost")).alias("is_ghost"))
 
 
 def thread_table(spark: SparkSession, folder: str) -> DataFrame:
-    threads, _ = th.rebuild(mail_turns(spark, folder), ["assistant"], "a", compat=False)
+    threads, _ = th.rebuild(mail_turns(spark, folder), ["assistant"], "a")
     return threads.select("id", "root_message_id", "subject_norm", "last_direction",
                           iso_utc(F.col("last_message_at")).alias("last_message_at"), "link_strength", "status", "n")
 
 
 def thread_longest(spark: SparkSession, folder: str) -> DataFrame:
-    threads, members = th.rebuild(mail_turns(spark, folder), compat=False)
+    threads, members = th.rebuild(mail_turns(spark, folder))
     return th.longest_threads(threads, members).select("id", "root_message_id", "n")
 
 
 def thread_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return th.thread_stats(th.assign_threads(mail_turns(spark, folder), compat=False))
+    return th.thread_stats(th.assign_threads(mail_turns(spark, folder)))
 
 
 def weak_subject_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +34,7 @@ def weak_subject_merge(spark: SparkSession, folder: str) -> DataFrame:
     roots = mail_turns(spark, folder).where("in_reply_to is null and size(references_ids) = 0").withColumns({
         "subject": F.when(F.col("id") % 4000 == 0, F.lit("Reminder")).otherwise(F.col("subject")),
         "normalized_message_id": F.when(F.col("id") % 3000 != 0, F.col("normalized_message_id"))})
-    assigned = th.assign_threads(roots, compat=False)
+    assigned = th.assign_threads(roots)
     return assigned.select("id", "root_key", "strength", flag(F.col("by_subject")).alias("by_subject"))
 
 

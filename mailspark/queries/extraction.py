@@ -53,14 +53,14 @@ def relative_weekday(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def confidence_gate(spark: SparkSession, folder: str) -> DataFrame:
-    scored = rule_candidates(rule_hits(_messages(spark, folder)), now(), compat=False)
+    scored = rule_candidates(rule_hits(_messages(spark, folder)), now())
     return scored.select("message_id", iso_utc(F.col("start_ts")).alias("start_ts"), "confidence",
                          flag(F.col("requires_review")).alias("requires_review"), "review_reason")
 
 
 def review_reasons_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Flagship: messages to verdicts to scored, gated, merged candidates, counted per local month and reason."""
-    _, found = cd.extract(_messages(spark, folder), now(), compat=False)
+    _, found = cd.extract(_messages(spark, folder), now())
     month = F.date_format(F.from_utc_timestamp("start_ts", "Asia/Shanghai"), "yyyy-MM")
     return found.groupBy(month.alias("month"), "source", "review_reason").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence_sum"))
@@ -121,7 +121,7 @@ def llm_response_normalise(spark: SparkSession, folder: str) -> DataFrame:
     text = F.when(e % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(
         e % 3 == 1, F.concat(F.lit("Sure, here it is: "), body)).otherwise(body)
     responses = load(spark, folder, "events").select(e.alias("message_id"), text.alias("response"))
-    return cd.llm_candidates(responses, compat=False).select(
+    return cd.llm_candidates(responses).select(
         "message_id", "title", iso_utc(F.col("start_ts")).alias("start_ts"),
         F.coalesce(iso_utc(F.col("end_ts")), F.lit("")).alias("end_ts"), flag(F.col("all_day")).alias("all_day"),
         "confidence", "evidence", flag(F.col("requires_review")).alias("requires_review"))

@@ -179,13 +179,22 @@ _ARRIVE = """half AS (SELECT max(id) // 2 AS h FROM mail_events),
 stored AS (SELECT *, id % 3 = 0 AS stale, id % 8 = 0 AS moved FROM mail_events, half WHERE id <= h),
 arrivals AS (SELECT * FROM mail_events, half WHERE id > h OR id % 100 = 0),
 matched AS (SELECT a.*, k.id AS known,
-  coalesce((SELECT min(id) FROM stored s WHERE (stale OR moved) AND s.folder = a.folder AND s.body = a.body),
-           (SELECT min(id) FROM stored s WHERE (stale OR moved) AND s.folder = a.folder AND s.mid = a.mid)) AS reuse,
   least((SELECT min(id) FROM stored s WHERE is_canonical AND s.body = a.body),
         (SELECT min(id) FROM stored s WHERE is_canonical AND s.mid = a.mid)) AS dup
   FROM arrivals a LEFT JOIN stored k ON k.folder = a.folder AND k.uid = a.uid),
+-- every sleeping row is taken once: the k-th arrival of a body takes the k-th row of that body, then the same by id
+asleep AS (SELECT *, row_number() OVER (PARTITION BY folder, body ORDER BY id) AS k FROM stored WHERE stale OR moved),
+come AS (SELECT *, row_number() OVER (PARTITION BY folder, body ORDER BY uid) AS k FROM matched WHERE known IS NULL),
+by_body AS (SELECT c.folder, c.uid, a.id AS reuse FROM come c JOIN asleep a ON a.folder = c.folder AND a.body = c.body AND a.k = c.k),
+asleep2 AS (SELECT *, row_number() OVER (PARTITION BY folder, mid ORDER BY id) AS k2 FROM asleep
+  WHERE id NOT IN (SELECT reuse FROM by_body) AND length(mid) > 0),
+come2 AS (SELECT c.*, row_number() OVER (PARTITION BY folder, mid ORDER BY uid) AS k2 FROM come c
+  ANTI JOIN by_body b ON b.folder = c.folder AND b.uid = c.uid WHERE length(mid) > 0),
+taken_rows AS (SELECT * FROM by_body UNION ALL
+  SELECT c.folder, c.uid, a.id FROM come2 c JOIN asleep2 a ON a.folder = c.folder AND a.mid = c.mid AND a.k2 = c.k2),
+reused AS (SELECT m.*, t.reuse FROM matched m LEFT JOIN taken_rows t ON t.folder = m.folder AND t.uid = m.uid),
 base AS (SELECT *, CASE WHEN known IS NOT NULL THEN 'known' WHEN reuse IS NOT NULL THEN 'reactivated' WHEN dup IS NOT NULL THEN 'copy' ELSE 'new' END AS act
-  FROM matched),
+  FROM reused),
 firsts AS (SELECT b.*, (SELECT min((f.folder, f.uid)) FROM base f WHERE f.act = 'new' AND (f.body = b.body OR f.mid = b.mid)) AS fst FROM base b),
 decided AS (SELECT *, act = 'new' AND fst < (folder, uid) AS twin FROM firsts)"""
 

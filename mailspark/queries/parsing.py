@@ -95,7 +95,7 @@ def raw_to_candidates(spark: SparkSession, folder: str) -> DataFrame:
     messages = parts.select("message_id", F.lit("invite").alias("subject"), F.lit("").alias("text"), now().alias("received_at"),
                             F.lit(None).cast("string").alias("auto_submitted"), F.lit(False).alias("is_list"),
                             F.lit(True).alias("has_ics"), F.lit("a@x").alias("from_addr"))
-    _, found = extract(messages, now(), vevents=read_ics(parts), compat=False)
+    _, found = extract(messages, now(), vevents=read_ics(parts))
     return found.where("start_ts is not null").groupBy("review_reason").agg(F.count(F.lit(1)).alias("n"))
 
 

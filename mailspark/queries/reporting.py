@@ -23,7 +23,7 @@ def audit_window(spark: SparkSession, folder: str) -> DataFrame:
 
 def _audited(spark: SparkSession, folder: str) -> DataFrame:
     rows = au.window_messages(mail_orders(spark, folder), now(), HOURS, limit=None)
-    return au.audit_items(rows, cal_events(spark, folder), now(), compat=False)
+    return au.audit_items(rows, cal_events(spark, folder), now())
 
 
 def audit_suspicion(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,12 +43,12 @@ def audit_report_lines(spark: SparkSession, folder: str) -> DataFrame:
 def stale_results(spark: SparkSession, folder: str) -> DataFrame:
     """Rule candidates the store lacks: every second one was stored with the same title, some as another all-day entry."""
     mail = mail_orders(spark, folder).withColumnsRenamed({"id": "message_id", "body_excerpt": "text"})
-    found = rule_candidates(rule_hits(mail), now(), compat=False)
+    found = rule_candidates(rule_hits(mail), now())
     k = F.col("message_id")
     stored = found.where(k % 2 == 0).select(
         "message_id", "start_ts", "all_day", F.when(k % 3 == 0, F.lit("something else entirely")).otherwise(F.col("title")).alias(
             "title"), F.when(k % 10 == 0, "llm").otherwise("rules").alias("source"))
-    return au.missing_candidates(found, stored, compat=False).groupBy("message_id").agg(F.count(F.lit(1)).alias("missing"))
+    return au.missing_candidates(found, stored).groupBy("message_id").agg(F.count(F.lit(1)).alias("missing"))
 
 
 def digest_split_days(spark: SparkSession, folder: str) -> DataFrame:

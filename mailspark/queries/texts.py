@@ -109,6 +109,9 @@ _CTRL = r"\x1b\[[0-9;?]*[ -/]*[@-~]|[\x00-\x08\x0b-\x1f\x7f-\x{9f}]"
 _TRIM = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
 
 
+_FORWARDED = (r"^[\s_\-=*]{5,}\s*$\n(?:^[ \t]*(?:" + "|".join(lx.FORWARD_LABELS) + r")[ \t]*[:：].*(?:\n|$))+")
+
+
 def _html() -> str:
     text = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
     for name in ("script", "style", "noscript", "title", "head"):
@@ -130,7 +133,7 @@ _FULL = """text || CASE doc_id % 4 WHEN 0 THEN chr(13)||chr(10)||chr(13)||chr(10
 def _clean() -> str:
     text = r"regexp_replace(full_text, '\r\n?', chr(10), 'g')"
     text = f"regexp_replace({text}, '{_CTRL}', '', 'g')"
-    text = rf"regexp_replace({text}, '(?im){lx.FORWARD_HEADER}', '', 'g')"
+    text = rf"regexp_replace({text}, '(?im){_FORWARDED}', '', 'g')"
     for start in lx.TRUNCATE_FROM:
         text = rf"regexp_replace({text}, '(?im)(?:{start})[\s\S]*\z', '')"
     return rf"regexp_replace({text}, '(?m){lx.QUOTED_LINE}', '', 'g')"

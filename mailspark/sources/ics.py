@@ -21,7 +21,7 @@ def _properties(block: Column) -> Column:
     return F.transform(lines, lambda x: let(F.regexp_extract(x, _NAME_AND_PARAMS, 0), lambda head: F.struct(
         F.upper(F.regexp_extract(head, _NAME_AND_PARAMS, 1)).alias("name"),
         F.regexp_extract(head, _NAME_AND_PARAMS, 2).alias("params"),
-        x.substr(F.length(head) + 1, F.lit(1 << 20)).alias("value"))))
+        F.substr(x, F.length(head) + 1).alias("value"))))
 
 
 def _property(name: str, field: str = "value") -> Column:

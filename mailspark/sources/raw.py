@@ -47,7 +47,7 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
         F.col("length").alias("size"))
 
 
-def parse_messages(raw: DataFrame, max_chars: int = 4000, column: str = "raw") -> DataFrame:
+def parse_messages(raw: DataFrame, max_chars: int | None = None, column: str = "raw") -> DataFrame:
     """Raw bytes to the parsed record, one row per message; a broken field is null or empty, never an error."""
     kept = [f for f in raw.schema.fields if f.name != column]
     position = raw.columns.index(column)

@@ -77,7 +77,7 @@ def test_threads_match_a_sequential_reader(spark, seed):
         "id long, normalized_message_id string, in_reply_to string, references_ids array<string>, received_at timestamp")
     df = df.selectExpr("*", "concat('subject ', id) as subject", "'a@x' as from_addr", "cast(null as string) as body_sha256",
                        "cast(null as string) as auto_submitted", "true as is_canonical", "false as stale").repartition(3)
-    assigned = th.assign_threads(df, compat=False)
+    assigned = th.assign_threads(df)
     got = {r["id"]: r["root_key"] for r in rows(assigned)}
     expected, cycles = walk_threads(messages)
     assert got == expected
@@ -167,7 +167,7 @@ def test_probable_duplicates_find_every_first_match(spark):
     items += [("d0", 100 + i, "alpha beta gamma") for i in range(40)]
     df = spark.createDataFrame(items, "block string, ord long, title string").repartition(4)
     got = {r["ord"]: (r["duplicate_of"], r["similarity"]) for r in rows(rv.probable_duplicates(
-        df, "block", "ord", "title", compat=False))}
+        df, "block", "ord", "title"))}
     expected = {}
     for block, i, title in items:
         for other, j, earlier in sorted(items, key=lambda x: x[1]):
