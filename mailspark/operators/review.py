@@ -77,12 +77,12 @@ def sibling_rows(page: DataFrame, events: DataFrame, tz: str = DEFAULT_ZONE,
                  minutes: int = lx.CONFLICT_MINUTES) -> DataFrame:
     """(id, other, kind) behind the counts, for the rows of one page only.
 
-    The page is a limited list, so it is small enough to go to every task, and no group of events has to meet.
+    One row per event and page row of a day; a page with many rows is joined in the shuffle like any other table.
     """
     mine = page.select(F.col("id").alias("own"), "message_id", local_day(F.col("start_ts"), tz).alias("day"),
                        F.col("start_ts").alias("own_start"))
     others = events.select("id", "message_id", "start_ts", "all_day", local_day(F.col("start_ts"), tz).alias("day"))
-    pairs = others.join(F.broadcast(mine), ["message_id", "day"]).where("id <> own")
+    pairs = others.join(mine, ["message_id", "day"]).where("id <> own")
     far = F.abs(F.unix_timestamp("start_ts") - F.unix_timestamp("own_start")) > minutes * 60
     return pairs.select(F.col("own").alias("id"), F.col("id").alias("other"),
                         F.when(far & ~F.col("all_day"), "conflict").otherwise("sibling").alias("kind"))

@@ -30,8 +30,9 @@ def thread_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weak_subject_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """First turns alone: no links at all, so only equal subjects can bring them together."""
-    roots = mail_turns(spark, folder).where("in_reply_to is null and size(references_ids) = 0").withColumns({
+    """All turns without their links: only equal subjects can bring them together."""
+    roots = mail_turns(spark, folder).withColumns({
+        "in_reply_to": F.lit(None).cast("string"), "references_ids": F.expr("cast(array() as array<string>)"),
         "subject": F.when(F.col("id") % 4000 == 0, F.lit("Reminder")).otherwise(F.col("subject")),
         "normalized_message_id": F.when(F.col("id") % 3000 != 0, F.col("normalized_message_id"))})
     assigned = th.assign_threads(roots)
@@ -71,8 +72,9 @@ ORACLES = {
   count(*) FILTER (link_strength = 'weak') AS weak, count(*) FILTER (status = 'ghost') AS ghosts, 0 AS orphaned_by_missing_id, 0 AS cycles_broken,
   (SELECT count(*) FROM placed WHERE by_subject) AS merged_by_subject FROM tab"""),
     "weak_subject_merge": """
-WITH r AS (SELECT conv_id * 1000 AS id, CASE WHEN conv_id % 3 = 0 THEN 'sha256:' || substr(sha256(text), 1, 16) ELSE 'c' || conv_id || '.0@x' END AS key,
-    CASE WHEN conv_id % 4 = 0 THEN 'reminder' ELSE 'topic ' || (conv_id % 7) END AS s, conv_id % 300 AS d FROM conversations WHERE turn = 0),
+WITH i AS (SELECT *, conv_id * 1000 + turn AS id FROM conversations),
+r AS (SELECT id, CASE WHEN id % 3000 = 0 THEN 'sha256:' || substr(sha256(text), 1, 16) ELSE 'c' || conv_id || '.' || turn || '@x' END AS key,
+    CASE WHEN id % 4000 = 0 THEN 'reminder' ELSE 'topic ' || (conv_id % 7) END AS s, (conv_id % 300, turn) AS d FROM i),
 z AS (SELECT *, count(*) OVER (PARTITION BY key) AS same FROM r),
 k AS (SELECT *, first_value(key) OVER (PARTITION BY s ORDER BY d, id) AS keeper, count(*) OVER (PARTITION BY s) AS m FROM z WHERE s <> 'reminder' AND same = 1)
 SELECT z.id, CASE WHEN k.m > 1 THEN k.keeper ELSE z.key END AS root_key, CASE WHEN k.m > 1 THEN 'weak' ELSE 'strong' END AS strength,

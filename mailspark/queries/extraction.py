@@ -143,11 +143,11 @@ def ics_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """A length rule as candidates, the labels as truth: matched where a long document is also of good quality."""
+    """Every document as a candidate, the labels as truth: matched where a document is of good quality."""
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
     name = F.col("doc_id").cast("string")
     base = F.date_add(F.lit("2026-01-01"), (F.col("doc_id") % 300).cast("int"))
-    cand = docs.where("n_chars > 1000").select(
+    cand = docs.select(
         name.alias("name"), F.lit(0).cast("long").alias("cand_ord"), "source", F.lit("doc").alias("title"),
         F.lit("").alias("evidence"), F.to_timestamp(F.date_format(base, "yyyy-MM-dd")).alias("start_ts"),
         F.lit(False).alias("all_day"), (F.col("n_chars") % 2 == 0).alias("requires_review"))
@@ -303,9 +303,9 @@ SELECT k AS message_id, CAST(CASE WHEN why = '' THEN 0.99 ELSE 0.9 END AS DOUBLE
   CASE WHEN why = '' THEN 0 ELSE 1 END AS requires_review, why AS review_reason FROM r""",
     "eval_metrics": """
 WITH m AS (SELECT (SELECT count(*) FROM labels WHERE quality = 1) AS expected,
-  count(*) FILTER (n_chars > 1000) AS candidates, count(*) FILTER (n_chars > 1000 AND quality = 1) AS matched,
-  count(*) FILTER (n_chars > 1000 AND n_chars % 2 = 1) AS auto_push,
-  count(*) FILTER (n_chars > 1000 AND n_chars % 2 = 1 AND quality = 1) AS auto_push_correct
+  count(*) AS candidates, count(*) FILTER (quality = 1) AS matched,
+  count(*) FILTER (n_chars % 2 = 1) AS auto_push,
+  count(*) FILTER (n_chars % 2 = 1 AND quality = 1) AS auto_push_correct
   FROM documents LEFT JOIN labels USING (doc_id)),
 r AS (SELECT *, CASE WHEN expected > 0 THEN matched / CAST(expected AS DOUBLE) ELSE 1.0 END AS recall,
   CASE WHEN candidates > 0 THEN matched / CAST(candidates AS DOUBLE) ELSE 1.0 END AS precision,

@@ -116,7 +116,7 @@ def ingest_ledger(spark: SparkSession, folder: str) -> DataFrame:
                          F.when(failed, F.concat(F.lit("err"), F.lit(str(shift)))).alias("error"),
                          (F.col("received_at") + F.make_dt_interval(hours=F.lit(shift))).alias("processed_at"))
 
-    stored = log(mail.where("id % 2 = 0"), 0)
+    stored = log(mail, 0)
     batch = log(mail.where("id % 3 = 0"), 1).unionByName(log(mail.where("id % 6 = 0"), 2))
     return ig.ledger(stored, batch).select("uid", "status", F.coalesce("error", F.lit("")).alias("error"))
 
@@ -223,8 +223,7 @@ SELECT folder, extract_status, stale, is_canonical, count(*) AS n, sum(uid) AS u
                                   MAIL_EVENTS, _ARRIVE).replace(")\n, woken AS", "),\nwoken AS"),
     "ingest_ledger": """SELECT event_id AS uid, CASE WHEN (event_id + s) % 4 = 0 THEN 'fetch_failed' ELSE 'synced' END AS status,
   CASE WHEN (event_id + s) % 4 = 0 THEN 'err' || s ELSE '' END AS error
-FROM (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 2 WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS s FROM events
-  WHERE event_id % 2 = 0 OR event_id % 3 = 0)""",
+FROM (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 2 WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS s FROM events)""",
     "claim_reclaim": with_ctes(f"""SELECT id, CASE WHEN s = 'pending' AND extract_attempts >= 4 THEN 'failed' ELSE s END AS extract_status
 FROM (SELECT id, extract_attempts, CASE WHEN extract_status = 'running' AND fetched_at <= TIMESTAMP '{NOW}' - INTERVAL 60 MINUTE THEN 'pending'
   ELSE extract_status END AS s FROM mail_orders)""", MAIL_ORDERS),

@@ -32,16 +32,17 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_delay_queue(spark: SparkSession, folder: str) -> DataFrame:
-    """Even events queue an item for later, odd ones of one kind withdraw it."""
+    """Even events queue an item for later, odd ones withdraw it; time is the last event's."""
     e = F.col("event_id")
-    ops = _stream(spark, folder).where((e % 2 == 0) | F.col("event_type").isin("error", "click")).select(
+    ops = _stream(spark, folder).select(
         F.floor(e / 2).alias("queue_id"), F.when(e % 2 == 0, "queue").otherwise("cancel").alias("op"),
         F.when(e % 2 == 0, F.col("ts") + F.make_dt_interval(mins=(e % 90).cast("int"))).otherwise(F.col("ts")).alias("at"),
         "ts")
     base = jobs.shared_folder(spark, "queue")
-    _finish(jobs.to_batches(jobs.delay_queue(ops), f"{base}/table", f"{base}/log"))
-    return spark.read.parquet(f"{base}/table").select("queue_id", "state", F.date_format(
-        "at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    _finish(jobs.to_batches(jobs.delay_queue(ops), f"{base}/table", f"{base}/log", mode="update"))
+    items = jobs.latest_per_key(spark.read.parquet(f"{base}/table"), ["queue_id"])
+    states = jobs.queue_states(items, items.agg(F.max("seen")).scalar())
+    return states.select("queue_id", "state", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def stream_daily_digest(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,11 +67,11 @@ ORACLES = {
     "stream_ingest": "SELECT event_type AS folder, count(*) AS n, sum(event_id) AS uid_sum FROM events GROUP BY 1",
     "stream_delay_queue": """
 WITH q AS (SELECT event_id // 2 AS queue_id, ts + to_minutes(event_id % 90) AS due FROM events WHERE event_id % 2 = 0),
-c AS (SELECT event_id // 2 AS queue_id, ts AS gone FROM events WHERE event_id % 2 = 1 AND event_type IN ('error', 'click')),
-w AS (SELECT max(ts) AS mark FROM events WHERE event_id % 2 = 0 OR event_type IN ('error', 'click'))
-SELECT queue_id, CASE WHEN gone < due THEN 'cancelled' ELSE 'dispatched' END AS state,
+c AS (SELECT event_id // 2 AS queue_id, ts AS gone FROM events WHERE event_id % 2 = 1),
+w AS (SELECT max(ts) AS mark FROM events)
+SELECT queue_id, CASE WHEN gone < due THEN 'cancelled' WHEN due < mark THEN 'dispatched' ELSE 'queued' END AS state,
   strftime(CASE WHEN gone < due THEN gone ELSE due END, '%Y-%m-%d %H:%M:%S') AS at
-FROM q LEFT JOIN c USING (queue_id), w WHERE due < mark""",
+FROM q LEFT JOIN c USING (queue_id), w""",
     "stream_daily_digest": """SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""",
     "stream_sliding_audit": """
 WITH w AS (SELECT unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS e,

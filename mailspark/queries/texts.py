@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailspark import lexicon as lx
 from mailspark.functions import fingerprint as fp, headers as hd, text as tx
-from mailspark.functions.common import flag, with_once
+from mailspark.functions.common import flag, local_day, with_once
 from mailspark.operators.review import probable_duplicates
-from mailspark.queries.views import MAIL_ORDERS, mail_orders, with_ctes
+from mailspark.queries.views import CAL_EVENTS, MAIL_ORDERS, cal_events, mail_orders, with_ctes
 from mailspark.session import checkpointed
 from mailspark.sources.tables import load, spread
 
@@ -80,8 +80,9 @@ def exact_copies_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def title_similarity_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    titles = load(spark, folder, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("title"))
-    return probable_duplicates(titles, "source", "doc_id", "title")
+    """Events of one local day with similar titles; undated ones are a block of their own."""
+    day = F.coalesce(local_day(F.col("start_ts"), "Asia/Shanghai").cast("string"), F.lit("none"))
+    return probable_duplicates(cal_events(spark, folder).select("id", day.alias("day"), "title"), "day", "id", "title")
 
 
 def fingerprint_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,15 +190,14 @@ WITH c AS (SELECT text, min(doc_id) AS canonical_id, count(*) AS copies FROM doc
 SELECT doc_id, canonical_id, CASE WHEN doc_id = canonical_id THEN 1 ELSE 0 END AS is_canonical, copies,
   CASE WHEN doc_id = canonical_id THEN 'pending' ELSE 'done' END AS extract_status
 FROM documents JOIN c USING (text)""",
-    "title_similarity_pairs": r"""
-WITH t AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split(
-    regexp_replace(replace(lower(substr(text, 1, 60)), 'ß', 'ss'), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: length(w) >= 3))) AS toks
-  FROM documents),
-p AS (SELECT a.source, a.doc_id, b.doc_id AS other,
+    "title_similarity_pairs": "WITH " + CAL_EVENTS + r""", t AS (SELECT id, coalesce(strftime(start_ts + INTERVAL 8 HOUR, '%Y-%m-%d'), 'none') AS day, list_sort(list_distinct(list_filter(string_split(
+    regexp_replace(lower(title), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: length(w) >= 3))) AS toks
+  FROM cal_events),
+p AS (SELECT a.day, a.id, b.id AS other,
     len(list_intersect(a.toks, b.toks)) / CAST(least(len(a.toks), len(b.toks)) AS DOUBLE) AS sim
-  FROM t a JOIN t b ON a.source = b.source AND b.doc_id < a.doc_id WHERE len(a.toks) > 0 AND len(b.toks) > 0)
-SELECT source, doc_id, min(other) AS duplicate_of, round(arg_min(sim, other), 2) AS similarity
-FROM p WHERE sim >= 0.8 GROUP BY source, doc_id""",
+  FROM t a JOIN t b ON a.day = b.day AND b.id < a.id WHERE len(a.toks) > 0 AND len(b.toks) > 0)
+SELECT day, id, min(other) AS duplicate_of, round(arg_min(sim, other), 2) AS similarity
+FROM p WHERE sim >= 0.8 GROUP BY day, id""",
     "fingerprint_rows": with_ctes(r"""
 SELECT id, title_norm, lower(from_addr) AS identity, strftime(s, '%Y-%m-%d %H:%M') AS minute,
   substr(sha256(title_norm || chr(31) || strftime(s, '%Y-%m-%d %H:%M') || chr(31) || strftime(s, '%Y-%m-%d %H:%M')

@@ -176,7 +176,7 @@ FROM orders))"""
 
 def cal_pushes(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return load(spark, folder, "orders").where(k % 4 != 0).select(
+    return load(spark, folder, "orders").select(
         (k * 10 + 1).alias("id"), k.alias("event_id"),
         (F.col("o_orderdate") + F.make_dt_interval(mins=(k % 3000).cast("int"))).alias("scheduled_for"),
         F.when(k % 5 == 3, "dispatched").when(k % 5 == 4, "cancelled").otherwise("queued").alias("state"),
@@ -187,7 +187,7 @@ def cal_pushes(spark: SparkSession, folder: str) -> DataFrame:
 CAL_PUSHES = """cal_pushes AS (
 SELECT o_orderkey * 10 + 1 AS id, o_orderkey AS event_id, o_orderdate + to_minutes(o_orderkey % 3000) AS scheduled_for,
   CASE o_orderkey % 5 WHEN 3 THEN 'dispatched' WHEN 4 THEN 'cancelled' ELSE 'queued' END AS state
-FROM orders WHERE o_orderkey % 4 <> 0)"""
+FROM orders)"""
 
 # --- conversations as threads ---------------------------------------------------------------------------------
 

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailspark.operators.ingest import UID_KEY
 from mailspark.operators.rules import DEFAULT_ZONE
@@ -60,40 +58,20 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[st
 
 # --- the delayed release queue --------------------------------------------------------------------------------
 
-_QUEUE_OUT = "queue_id long, state string, at timestamp"
-_QUEUE_STATE = "due timestamp, withdrawn timestamp"
-
-
-def _release(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One queue item: it is withdrawn when a withdrawal comes before it is due, else released once time passes."""
-    (queue_id,) = key
-
-    def done(name: str, at: pd.Timestamp) -> pd.DataFrame:
-        return pd.DataFrame({"queue_id": [queue_id], "state": [name], "at": [at]})
-
-    if state.hasTimedOut:
-        due, withdrawn = state.get
-        state.remove()
-        yield done("cancelled", withdrawn) if withdrawn is not None and withdrawn < due else done("dispatched", due)
-        return
-    due, withdrawn = state.get if state.exists else (None, None)
-    for rows in chunks:
-        queued = rows.loc[rows["op"] == "queue", "at"]
-        pulled = rows.loc[rows["op"] == "cancel", "at"]
-        if len(queued):
-            due = queued.min() if due is None else min(due, queued.min())
-        if len(pulled):
-            withdrawn = pulled.min() if withdrawn is None else min(withdrawn, pulled.min())
-    state.update((due, withdrawn))
-    if due is not None:
-        mark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), mark + 1))
-
-
-def delay_queue(operations: DataFrame, lateness: str = "0 seconds") -> DataFrame:
-    """operations (queue_id, op, at, ts) to released and withdrawn items; time is the watermark over ts."""
-    return (operations.withWatermark("ts", lateness).groupBy("queue_id")
-            .applyInPandasWithState(_release, _QUEUE_OUT, _QUEUE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+def delay_queue(operations: DataFrame) -> DataFrame:
+    """operations (queue_id, op, at, ts) to due, withdrawn and seen of each item, for an update stream: the first
+    time it is queued for, the first time it is withdrawn, the last operation's time. No operation is too late."""
+    return operations.groupBy("queue_id").agg(
+        F.min(F.when(F.col("op") == "queue", F.col("at"))).alias("due"),
+        F.min(F.when(F.col("op") == "cancel", F.col("at"))).alias("withdrawn"), F.max("ts").alias("seen"))
+
+
+def queue_states(items: DataFrame, mark: Column) -> DataFrame:
+    """queue_id, state, at of all items ever queued: withdrawn before they were due, released by ``mark``, or queued."""
+    pulled = F.coalesce(F.col("withdrawn") < F.col("due"), F.lit(False))
+    state = F.when(pulled, "cancelled").when(F.col("due") < mark, "dispatched").otherwise("queued")
+    return items.where("due is not null").select("queue_id", state.alias("state"), F.when(
+        pulled, F.col("withdrawn")).otherwise(F.col("due")).alias("at"))
 
 
 # --- windows --------------------------------------------------------------------------------------------------
