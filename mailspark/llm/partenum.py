@@ -21,10 +21,10 @@ from mailspark.llm.words import Chunk, chunks, mixed, signed, unsigned, window_k
 
 #: Sizes of one band differ by this factor at most.
 BAND = 1.5
-#: Groups of so many rows are compared pair by pair.
-SMALL = 8
-#: All groups are, once their pairs together are no more than this or than the pairs compared at first.
-FEW = 100_000
+#: Groups of so many rows that share a signature are compared pair by pair.
+FEW = 8
+#: Groups of more rows that share an element are compared with one member first.
+LARGE = 1024
 _ROW = np.uint64(0xA24BAED4963EE407)
 _PART, _SUM, _SIGN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179), np.uint64(0x9B05688C2B3E6C1F)
 
@@ -153,88 +153,114 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """linked and prefix for each pair (p, x, many), both keys of sets.
+    """linked, size, apart, prefix for each pair (p, x, many), both keys of sets.
 
-    Let D(x) be the symmetric difference of x and p. Sets x and y of p's group that are linked, of which one is not
-    linked with p, have an element of D(x) and D(y) in common: |D(x)| + |D(y)| exceeds what x and y may differ in, as
-    a set's size differs from p's by |D| at most. The common elements are |D(x)| - K(x) at least, with K(x) what x can
-    differ in from any set it is linked with; so under one order of elements the first K(x) + 1 of each hold one.
-    Elements that p has not come first, as they are the rarer ones. ``prefix`` holds these for groups of several.
+    Let D(x) be the symmetric difference of x and p, and d its size. Sets x and y of p's group that are linked, of
+    which one is not linked with p, have an element of D(x) and D(y) in common: d(x) + d(y) exceeds what x and y may
+    differ in, as a set's size differs from p's by d at most. The common elements are d(x) - K(x) at least, with K(x)
+    what x can differ in from any set it is linked with; so under one order of elements the first K(x) + 1 of each
+    hold one. Elements that p has not come first, as they are the rarer ones. ``prefix`` holds these where ``many``.
     """
     of_x = sets.select(F.col("f").alias("x"), F.col("elements").alias("xs"))
     of_p = sets.select(F.col("f").alias("p"), F.col("elements").alias("ps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, prefixes = [], []
+            linked, apart, prefixes = [], [], []
             xs, ps, many = batch["xs"], batch["ps"], batch["many"].to_pylist()
             for k in range(len(batch)):
                 x, p = unsigned(xs[k].values.to_numpy()), unsigned(ps[k].values.to_numpy())
-                where = np.minimum(np.searchsorted(p, x), len(p) - 1)
-                common = p[where] == x
+                common = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x
                 both = int(common.sum())
+                d = len(x) + len(p) - 2 * both
                 linked.append(100 * both >= percent * (len(x) + len(p) - both))
+                apart.append(d)
                 prefix = np.zeros(0, np.uint64)
                 if many[k]:
                     fresh, gone = x[~common], p[~np.isin(p, x, assume_unique=True)]
-                    most = len(x) * (100 - percent) // percent
-                    least = max(1, len(fresh) + len(gone) - most)
-                    prefix = np.concatenate([np.sort(mixed(fresh)), np.sort(mixed(gone))])[:max(0, len(fresh) + len(gone) - least + 1)]
+                    least = max(1, d - len(x) * (100 - percent) // percent)
+                    prefix = np.concatenate([np.sort(mixed(fresh)), np.sort(mixed(gone))])[:d - least + 1]
                 prefixes.append(signed(prefix))
             at = np.concatenate([[0], np.cumsum([len(v) for v in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.record_batch([batch["p"], batch["x"], pa.array(linked, pa.bool_()),
-                                   pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["p", "x", "linked", "prefix"])
+            yield pa.record_batch([
+                batch["p"], batch["x"], pa.array(linked, pa.bool_()), batch["size"], pa.array(apart, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["p", "x", "linked", "size", "apart", "prefix"])
 
-    rows = pairs.join(of_x, "x").join(of_p, "p").select("p", "x", "many", "xs", "ps")
-    return rows.mapInArrow(run, "p long, x long, linked boolean, prefix array<long>")
+    rows = pairs.join(of_x, "x").join(of_p, "p").select("p", "x", "many", "xs", "ps", F.size("xs").alias("size"))
+    return rows.mapInArrow(run, "p long, x long, linked boolean, size int, apart int, prefix array<long>")
 
 
-def _dealt(rows: DataFrame, by: list[str], few: int) -> DataFrame | None:
-    """p, x, many: the pairs to compare in groups ``by`` of rows (x, free), of which one has to be free.
+def _held(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of rows (x, free) with two members, one of them free: their size and first free member q."""
+    return rows.groupBy(*by).agg(
+        F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("free"), F.col("x"))).alias("q")).where("low < high AND q IS NOT NULL").drop("low", "high")
 
-    In a group of SMALL rows at most that is every such pair, and the group is done with; so it is in all groups if
-    that makes no more than ``few`` pairs. In a larger one the first free member is compared with all others, and
-    ``many`` says that others are left to compare. None if there is no group of two.
+
+def _first_pairs(found: DataFrame) -> DataFrame:
+    """p, x, many: what to compare of sets that share a signature: all pairs of a group of FEW rows at most, and one
+    set of a larger group with all others (``many``: the others among each other are still to come).
+
+    That one is the set that stands in most of the larger groups: the text that the others were made from, if there
+    is one, shares signatures with all of them.
+    """
+    rows = found.select(F.col("f").alias("x"), F.explode("signs").alias("sign"), F.lit(True).alias("free"))
+    rows = stored(rows.join(_held(rows, ["sign"]).drop("q").hint("shuffle_hash"), "sign"), "groups")
+    small = rows.where(F.col("n") <= FEW).select("sign", "x")
+    pairs = small.join(small.withColumnRenamed("x", "p"), "sign").where("p < x").select("p", "x", F.lit(False).alias("many"))
+    large = rows.where(F.col("n") > FEW).select("sign", "x")
+    weight = large.groupBy("x").agg(F.count(F.lit(1)).alias("groups"))
+    heads = large.join(weight, "x").groupBy("sign").agg(F.max(F.struct("groups", "x"))["x"].alias("p"))
+    large = large.join(heads, "sign").where("x <> p").select("p", "x", F.lit(True).alias("many"))
+    return pairs.unionByName(large).groupBy("p", "x").agg(F.max("many").alias("many"))
+
+
+def _next_pairs(verdicts: DataFrame, percent: int) -> DataFrame:
+    """p, x, many: what to compare of sets that were compared with the same one, by elements in which both differ
+    from it.
+
+    Of two sets the one that differs less is y. D(x) and D(y) share t = (d(x) + d(y) - k) / 2 elements at least, k
+    being what sets of their sizes may differ in; as d(x) >= d(y), the first K(y) / 2 + 1 of y hold the first common
+    one, which stands at i in D(x) and j in D(y), and no more than min(d(x) - i, d(y) - j) can follow from there. In
+    a group of more than LARGE rows the first free set is compared with all others instead, and its group goes on.
     """
-    held = rows.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("size"),
-                                 F.min(F.when(F.col("free"), F.col("x"))).alias("q")).where("low < high AND q IS NOT NULL")
-    rows = stored(rows.join(held.drop("low", "high").hint("shuffle_hash"), by), "groups")
-    squares = rows.agg(F.sum("size")).first()[0]
-    if squares is None:
-        return None
-    small = rows if squares <= 2 * few else rows.where(F.col("size") <= SMALL)
-    other = small.select(*by, F.col("x").alias("p"), F.col("free").alias("free_p"))
-    pairs = small.join(other, by).where("p < x AND (free OR free_p)").select("p", "x", F.lit(False).alias("many"))
-    if small is not rows:
-        large = rows.where((F.col("size") > SMALL) & (F.col("x") != F.col("q")))
-        pairs = pairs.unionByName(large.select(F.col("q").alias("p"), "x", F.lit(True).alias("many")))
-    return pairs.groupBy("p", "x").agg(F.max("many").alias("many"))
+    rows = verdicts.select("x", F.col("p").alias("of"), (~F.col("linked")).alias("free"), "size", "apart",
+                           F.posexplode("prefix").alias("at", "e"))
+    by = ["of", "e"]
+    rows = stored(rows.join(_held(rows, by), by), "groups")
+    small = rows.where(F.col("n") <= LARGE)
+    own = F.floor(F.col("size") * (100 - percent) / percent)
+    least = F.greatest(F.lit(1), F.ceil((2 * F.col("apart") - own) / 2))
+    y = small.where(F.col("at") < F.col("apart") - least + 1).select(
+        *by, *[F.col(c).alias(f"{c}_y") for c in ("x", "free", "size", "apart", "at")])
+    may = F.floor((100 - percent) * (F.col("size") + F.col("size_y")) / (100 + percent))
+    pairs = small.join(y, by).where(
+        ((F.col("apart_y") < F.col("apart")) | ((F.col("apart_y") == F.col("apart")) & (F.col("x_y") < F.col("x"))))
+        & (F.col("free") | F.col("free_y"))
+        & (2 * F.least(F.col("apart") - F.col("at"), F.col("apart_y") - F.col("at_y")) >= F.col("apart") + F.col("apart_y") - may))
+    pairs = pairs.select(F.least("x", "x_y").alias("p"), F.greatest("x", "x_y").alias("x"), F.lit(False).alias("many"))
+    large = rows.where((F.col("n") > LARGE) & (F.col("x") != F.col("q"))).select(F.col("q").alias("p"), "x", F.lit(True).alias("many"))
+    return pairs.unionByName(large).groupBy("p", "x").agg(F.max("many").alias("many"))
 
 
 def links(found: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b: links between set keys that connect exactly what all links between different sets connect.
 
     Sets of one signature are compared with one of them only, but for small groups. What is not linked with that one
-    is dealt into groups by the elements in which it differs from it, and compared in these groups in the same way,
-    until no group is left; so a group of any size costs comparisons in proportion to its size, and no pair is
-    passed over.
+    is dealt into groups by the elements in which it differs from it; these groups are small and filtered by what
+    their members can have in common, or dealt again in the same way. So no group is compared all against all
+    because it is large, and no pair is passed over.
     """
-    rows = found.select(F.col("f").alias("x"), F.explode("signs").alias("sign"), F.lit(True).alias("free"))
-    pairs = _dealt(rows, ["sign"], FEW)
-    if pairs is None:
-        return found.select(F.col("f").alias("a"), F.col("f").alias("b")).where("false")
-    pairs = stored(pairs, "pairs")
-    few = max(FEW, pairs.count())
+    pairs = stored(_first_pairs(found), "pairs")
     members = pairs.select(F.col("p").alias("f")).unionByName(pairs.select(F.col("x").alias("f"))).distinct()
     holders = found.join(members, "f").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(_sets(docs.join(holders, "doc_id").select("f", "text"), n), "sets")
     linked = []
-    while pairs is not None:
+    while not linked or not pairs.isEmpty():
         verdicts = stored(_compared(pairs, sets, percent), "verdicts")
         linked.append(verdicts.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b")))
-        rows = verdicts.select("x", F.col("p").alias("of"), F.explode("prefix").alias("e"), (~F.col("linked")).alias("free"))
-        pairs = _dealt(rows, ["of", "e"], few)
+        pairs = stored(_next_pairs(verdicts, percent), "pairs")
     return reduce(DataFrame.unionByName, linked)
 
 
@@ -259,10 +285,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's, with its columns; of rows that repeat this id, all
-    that stand alone and one of those with equal texts."""
-    kept = near_duplicates(docs, n, percent).where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that stand for their component, with their columns: those with the component's doc_id.
+
+    Rows that repeat a doc_id stay or go together, but of equal texts one stays. Rows with a null doc_id all stay.
+    """
+    kept = near_duplicates(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
