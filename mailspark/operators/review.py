@@ -339,6 +339,11 @@ def cancel_pushes(pushes: DataFrame, events: DataFrame, keys: DataFrame) -> tupl
     return queue, back, outcome
 
 
+def withdraw_approved(pushes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The queue after commands (the outcomes of ``transition``): what a person has just approved does not wait."""
+    return cancel_queued_of(pushes, outcomes.where("action = 'approve' AND result = 'changed'"))
+
+
 def cancel_queued_of(pushes: DataFrame, event_ids: DataFrame) -> DataFrame:
     """Queued pushes of approved events are withdrawn: a person's approval acts at once."""
     hit = event_ids.select(F.col("id").alias("event_id")).distinct().withColumn("_c", F.lit(True))

@@ -101,9 +101,38 @@ def message_detail(messages: DataFrame, events: DataFrame) -> DataFrame:
     return messages.join(listed, "id", "left")
 
 
-def extract_stats(verdicts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(section, key, n): how far each message got, and what came out of it."""
+def extract_stats(verdicts: DataFrame, candidates: DataFrame, merged: DataFrame | None = None,
+                  lost: DataFrame | None = None, before: DataFrame | None = None, after: DataFrame | None = None,
+                  answered: DataFrame | None = None) -> DataFrame:
+    """(section, key, n): how far each message got, what came out of it, and what was written.
+
+    merged: events with their ``outcome``. lost: events no longer produced, with ``removable``. before and after:
+    messages around the run. answered: message_id, ok of the messages that a model was asked for.
+    """
+    parts = []
+    if merged is not None:
+        parts.append(totals(merged, "extract", **{f"events_{k}": F.count_if(F.col("outcome") == k) for k in (
+            "inserted", "updated", "protected")}))
+    if lost is not None:
+        parts.append(totals(lost, "extract", events_removed=F.count_if("removable"), events_orphaned=F.count_if(~F.col("removable"))))
+    if before is not None and after is not None:
+        was = before.select("id", F.col("extract_status").alias("was"), F.col("extract_attempts").alias("tried"))
+        moved = after.select("id", "extract_status", "extract_attempts").join(was, "id")
+        left = F.col("extract_status") == "failed"
+        parts.append(totals(moved, "extract", failed=F.count_if(F.col("extract_attempts") > F.col("tried")),
+                            attempts_exhausted=F.count_if(left & (F.col("was") != "failed")),
+                            zombies_reclaimed=F.count_if((F.col("was") == "running") & (F.col("extract_status") != "running"))))
+    wanted = verdicts.where("extract AND call_llm").select("message_id")
+    settled = candidates.where("source IN ('ics', 'rules') AND NOT requires_review").select("message_id").distinct()
+    asked = wanted.join(settled, "message_id", "left_anti")
+    if answered is not None:
+        told = asked.join(answered.select("message_id", "ok"), "message_id", "left")
+        parts.append(totals(told, "extract", llm_called=F.count("ok"), llm_ok=F.count_if("ok"),
+                            llm_failed=F.count_if(~F.col("ok")), llm_skipped=F.count_if(F.col("ok").isNull())))
+    else:
+        parts.append(totals(asked, "extract", llm_called=F.lit(0).cast("long"), llm_skipped=F.count(F.lit(1))))
     return reduce(DataFrame.unionByName, [
+        *parts,
         totals(verdicts, "messages", considered=F.count(F.lit(1)), skipped_by_prefilter=F.count_if(~F.col("extract")),
                call_llm=F.count_if("call_llm")),
         totals(candidates, "candidates", total=F.count(F.lit(1)), with_candidates=F.count_distinct("message_id"),

@@ -50,6 +50,7 @@ class DailyRun:
         self.spark, self.root, self.settings = pin_utc(spark), root.rstrip("/"), settings or Settings()
         self.now = now or datetime.now(timezone.utc).replace(tzinfo=None)
         self.run_id = uuid.uuid4().hex
+        self._extracted: DataFrame | None = None  # figures of this run's extraction, for the digest
 
     def table(self, name: str) -> sinks.VersionedTable:
         return sinks.VersionedTable(self.spark, f"{self.root}/{name}", name)
@@ -59,11 +60,14 @@ class DailyRun:
         return F.lit(self.now).cast("timestamp")
 
     def run(self, raw: DataFrame, folders: DataFrame, remote: DataFrame | None = None,
-            llm_responses: DataFrame | None = None, listing: DataFrame | None = None) -> int:
-        """Run every stage; returns the worst exit code. ``listing`` is read by the sync stage alone."""
+            llm_responses: DataFrame | None = None, listing: DataFrame | None = None,
+            commands: DataFrame | None = None) -> int:
+        """Run every stage; returns the worst exit code. ``listing`` is read by the sync stage, ``commands`` (seq,
+        event_ids, action, title, start_ts) by the review stage; without commands there is no such stage."""
         stages: list[tuple[str, Callable[[], dict]]] = [
             ("sync", lambda: self.sync(raw, folders, listing)), ("threads", self.rebuild_threads),
             ("extract", lambda: self.extract(raw, llm_responses)),
+            *([("review", lambda: self.review(commands))] if commands is not None else []),
             ("push", lambda: self.push(remote) if remote is not None else {}),
             ("mark_read", self.mark_read), ("digest", lambda: self.digest(remote))]
         return max(self._stage(i, name, job) for i, (name, job) in enumerate(stages))
@@ -150,9 +154,23 @@ class DailyRun:
         pushes.write(store.number_new_rows(queue.unionByName(review.schedule(
             events.read(), queue, self._now, self.settings.push_delay_minutes, self.settings.confidence_threshold))))
         done = due.select("id", F.lit(True).alias("_done"))
-        messages.write(rows.join(done, "id", "left").withColumn("extract_status", F.when(
-            F.col("_done"), "done").otherwise(F.col("extract_status"))))
-        return {r["outcome"]: r["n"] for r in merged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+        before = checkpointed(messages.read().select("id", "extract_status", "extract_attempts"))
+        after = checkpointed(rows.join(done, "id", "left").withColumn("extract_status", F.when(
+            F.col("_done"), "done").otherwise(F.col("extract_status"))).drop("_done"))
+        messages.write(after)
+        answered = llm_responses.select("message_id", F.col("response").isNotNull().alias("ok")) if (
+            llm_responses is not None and "response" in llm_responses.columns) else None
+        self._extracted = checkpointed(stats.extract_stats(verdicts, found, merged, lost, before, after, answered))
+        return {f"{r['section']}/{r['key']}": r["n"] for r in self._extracted.collect()}
+
+    def review(self, commands: DataFrame) -> dict:
+        """Carry out a person's commands; an approval withdraws what was queued for its event."""
+        events, pushes = self.table("events"), self.table("scheduled_pushes")
+        changed, outcomes = review.transition(events.read(), review.expand_ids(commands), self._now)
+        changed, outcomes = checkpointed(changed), checkpointed(outcomes)
+        events.write(changed)
+        pushes.write(review.withdraw_approved(pushes.read(), outcomes))
+        return {r["result"]: r["n"] for r in outcomes.groupBy("result").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def push(self, remote: DataFrame) -> dict:
         """Compare approved events with their copies, write the outbox, and record what was found."""
@@ -178,6 +196,8 @@ class DailyRun:
         runs = self.spark.read.schema(self.table("runs").read().schema).parquet(f"{self.root}/runs")
         figures = stats.snapshot(read["messages"], read["processed_mail"], read["events"], read["scheduled_pushes"],
                                  read["threads"], read["senders"], runs)
+        if self._extracted is not None:
+            figures = figures.unionByName(self._extracted.where("section = 'extract'"))
         window = review.push_window(read["scheduled_pushes"], read["events"], self._now, 120)
         longest = threads.longest_threads(read["threads"], read["messages"])
         entries = digest.calendar_entries(remote, self.settings.tz) if remote is not None else None

@@ -10,6 +10,7 @@ from mailspark.functions.dates import infer_year, weekday_date
 from mailspark.operators import candidates as cd, evaluate as ev
 from mailspark.operators.prefilter import classify
 from mailspark.operators.rules import rule_candidates, rule_hits
+from mailspark.operators.stats import extract_stats
 from mailspark.queries.views import MAIL_ORDERS, NOW, mail_orders, now, sql_any, sql_list, with_ctes
 from mailspark.sources.tables import load
 
@@ -66,6 +67,12 @@ def review_reasons_daily(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence_sum"))
 
 
+def extract_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run over all orders found: verdicts, candidates, and messages that a model could still have read."""
+    verdicts, found = cd.extract(_messages(spark, folder), now())
+    return extract_stats(verdicts, found).select("section", "key", "n")
+
+
 def _candidate_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Three candidate sets over the orders whose slots overlap: calendar entries, rules and model answers."""
     k = F.col("o_orderkey")
@@ -165,7 +172,7 @@ QUERIES = {
     "prefilter_verdicts": prefilter_verdicts, "rule_hits_iso": rule_hits_iso, "year_inference": year_inference,
     "relative_weekday": relative_weekday, "confidence_gate": confidence_gate,
     "review_reasons_daily": review_reasons_daily, "slot_dedupe": slot_dedupe, "conflict_marks": conflict_marks,
-    "merged_evidence": merged_evidence, "outcome_summary": outcome_summary,
+    "merged_evidence": merged_evidence, "outcome_summary": outcome_summary, "extract_statistics": extract_statistics,
     "llm_response_normalise": llm_response_normalise, "ics_gate": ics_gate, "eval_metrics": eval_metrics,
 }
 
@@ -260,6 +267,22 @@ SELECT month, source, review_reason, count(*) AS n, round(sum(confidence), 4) AS
     CASE WHEN len(list_filter(peers, lambda p: abs(epoch(p) - epoch(start_ts)) > 3600)) = 0 THEN review_reason
       WHEN review_reason = '' THEN '{lx.CONFLICT_REASON}' ELSE review_reason || '；{lx.CONFLICT_REASON}' END AS review_reason
   FROM marked) GROUP BY ALL""".lstrip(), MAIL_ORDERS, VERDICTS, _OPEN, HITS, SCORED).replace("\n, days AS", ",\ndays AS"),
+    "extract_statistics": with_ctes("""
+, days AS (SELECT *, is_deadline OR NOT has_time AS all_day, start_ts + INTERVAL 8 HOUR AS local_ts FROM scored),
+kept AS (SELECT * FROM (SELECT *, bool_or(NOT all_day) OVER (PARTITION BY message_id, CAST(local_ts AS DATE)) AS day_timed FROM days)
+  WHERE NOT (all_day AND day_timed)),
+marked AS (SELECT *, list(start_ts) OVER (PARTITION BY message_id, CAST(local_ts AS DATE)) AS peers FROM kept),
+made AS (SELECT message_id, review_reason <> '' OR len(list_filter(peers, lambda p: abs(epoch(p) - epoch(start_ts)) > 3600)) > 0 AS waits FROM marked),
+m AS (SELECT count(*) AS considered, count(*) FILTER (kind NOT IN ('ics', 'yes')) AS skipped_by_prefilter,
+  count(*) FILTER (kind = 'yes' AND len(event) > 0 AND NOT paired) AS call_llm FROM verdicts),
+c AS (SELECT count(*) AS total, count(DISTINCT message_id) AS with_candidates, count(*) FILTER (waits) AS requires_review,
+  count(*) FILTER (NOT waits) AS auto_pushable FROM made),
+x AS (SELECT 0::BIGINT AS llm_called, count(*) AS llm_skipped FROM verdicts WHERE kind = 'yes' AND len(event) > 0 AND NOT paired
+  AND id NOT IN (SELECT message_id FROM made WHERE NOT waits))
+SELECT 'messages' AS section, name AS key, value AS n FROM (UNPIVOT m ON considered, skipped_by_prefilter, call_llm)
+UNION ALL SELECT 'candidates', name, value FROM (UNPIVOT c ON total, with_candidates, requires_review, auto_pushable)
+UNION ALL SELECT 'extract', name, value FROM (UNPIVOT x ON llm_called, llm_skipped)
+UNION ALL SELECT 'by_source', 'rules', total FROM c""".lstrip(), MAIL_ORDERS, VERDICTS, _OPEN, HITS, SCORED).replace("\n, days AS", ",\ndays AS"),
     "slot_dedupe": with_ctes("""
 SELECT message_id, strftime(start_ts, '%Y-%m-%dT%H:%M:%SZ') AS start_ts, CASE WHEN all_day THEN 1 ELSE 0 END AS all_day,
   source, fingerprint, CASE WHEN any_review THEN 1 ELSE 0 END AS requires_review FROM winners WHERE rn = 1""", SETS),

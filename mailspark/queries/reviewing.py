@@ -67,6 +67,12 @@ def command_outcomes(spark: SparkSession, folder: str) -> DataFrame:
                            F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+def command_queue(spark: SparkSession, folder: str) -> DataFrame:
+    """The queue after the commands: an approval withdraws what was queued for its event."""
+    _, outcomes = rv.transition(cal_events(spark, folder), rv.expand_ids(_commands(spark, folder)), now())
+    return rv.withdraw_approved(cal_pushes(spark, folder), outcomes).select("id", "event_id", "state")
+
+
 def command_effects(spark: SparkSession, folder: str) -> DataFrame:
     events, _ = rv.transition(cal_events(spark, folder), rv.expand_ids(_commands(spark, folder)), now())
     return events.select("id", "status", "title", F.coalesce(iso_utc(F.col("start_ts")), F.lit("")).alias("start_ts"),
@@ -142,7 +148,7 @@ def supersede_sequence(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "review_list": review_list, "review_page_siblings": review_page_siblings, "conflict_siblings": conflict_siblings,
     "event_status_groups": event_status_groups, "auto_push_whitelist": auto_push_whitelist, "expand_ids": expand_ids,
-    "command_outcomes": command_outcomes, "command_effects": command_effects, "push_window_due": push_window_due,
+    "command_outcomes": command_outcomes, "command_queue": command_queue, "command_effects": command_effects, "push_window_due": push_window_due,
     "dispatch_due": dispatch_due, "due_first": due_first, "schedule_auto": schedule_auto,
     "cancel_pushes": cancel_pushes, "upsert_protected": upsert_protected, "orphan_removal": orphan_removal,
     "orphans_removed": orphans_removed, "supersede_sequence": supersede_sequence,
@@ -203,6 +209,9 @@ FROM cal_events e LEFT JOIN peers p ON p.id = e.id WHERE start_ts IS NOT NULL GR
     WHEN action = 'adopt' THEN '#' || id || ' 当前为 ' || current || '，仅冻结态可 adopt'
     WHEN action = 'edit' THEN '未提供任何要修改的字段' ELSE '#' || id || ' 当前为 ' || current || '，不允许 ' || action END AS reason
 FROM told""", CAL_EVENTS, _COMMANDS),
+    "command_queue": with_ctes("""SELECT id, event_id, CASE WHEN state = 'queued' AND event_id IN (
+  SELECT id FROM told WHERE action = 'approve' AND status IS NOT NULL AND changed) THEN 'cancelled' ELSE state END AS state
+FROM cal_pushes""", CAL_EVENTS, CAL_PUSHES, _COMMANDS),
     "command_effects": with_ctes(f"""
 , eff AS (SELECT id, arg_min(action, place) FILTER (ok) AS act, min(first_edit) AS first_edit, any_value(first_target) AS ft,
   arg_max(new_title, place) FILTER (ok AND action = 'edit' AND new_title IS NOT NULL) AS nt,

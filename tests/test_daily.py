@@ -41,5 +41,20 @@ def test_daily_run_is_idempotent(spark, tmp_path):
     again = {(r["message_id"], r["fingerprint"]): r["id"] for r in rows(second.table("events").read())}
     assert again == {k: r["id"] for k, r in events.items()}
     assert second.table("scheduled_pushes").read().count() == 6
+    assert second.table("messages").read().where("folder_moved").count() == 0  # no listing, so nothing has moved
+
+    # a person approves what is queued: it does not wait any longer
+    queued = rows(second.table("scheduled_pushes").read().where("state = 'queued'"), "event_id")
+    commands = spark.createDataFrame([(1, str(queued[0]["event_id"]), "approve", None, None)],
+                                     "seq long, event_ids string, action string, title string, start_ts timestamp")
+    listing = raw.where("folder = 'INBOX' and uid > 1").select("account", "folder", "uid_validity", "uid")
+    third = DailyRun(spark, root, settings, datetime(2026, 9, 14, 2, 20))
+    assert third.run(raw, folders, remote, listing=listing, commands=commands) == 0
+    states = {r["event_id"]: r["state"] for r in rows(third.table("scheduled_pushes").read())}
+    status = {r["id"]: r["status"] for r in rows(third.table("events").read())}
+    approved = queued[0]["event_id"]
+    assert (states[approved] == "cancelled") == (status[approved] == "approved")
+    gone = rows(third.table("messages").read().where("folder_moved").select("folder", "uid"))
+    assert gone == [{"folder": "INBOX", "uid": 1}]
     # one report per date: the later one replaced the earlier
     assert spark.read.parquet(f"{root}/digest").select(F.col("digest_date").cast("string")).distinct().count() == 1
