@@ -48,7 +48,7 @@ def _clean_ascii(text: Column) -> Column:
     words = "today|tomorrow"
     text = replaced(text, (lx.TITLE_PREPOSITION, *_ASCII_STRIP))
     text = let(text, lambda t: F.when(t.rlike(_MONTH), replaced(t, _MONTH_STRIP)).otherwise(t))
-    text = replaced(text, (words, lx.TITLE_BARE_MERIDIEM, r"[(\[]\s*(?:[|\-,]|\s)*\s*[)\]]", r"[\s,.;:]{2,}", r"\s+"))
+    text = replaced(text, (words, lx.TITLE_BARE_MERIDIEM, r"[(\[][\s|\-,]*+[)\]]", r"[\s,.;:]{2,}", r"\s+"))
     return F.trim(F.regexp_replace(F.trim(text), r"[\s,.;:!?]+$", ""))
 
 

@@ -137,7 +137,7 @@ def dedupe_slots(candidates: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
         keyed
         .withColumn("_day_timed", F.col("_day").isNotNull() & F.max("_timed").over(day))
         .withColumn("_notes", F.array_sort(F.collect_list(
-            F.when(~F.col("_timed"), F.struct(F.col("_o").alias("o"), note.alias("note")))).over(day)))
+            F.when(~F.col("_timed") & F.col("_day").isNotNull(), F.struct(F.col("_o").alias("o"), note.alias("note")))).over(day)))
         .where(F.col("_timed") | ~F.col("_day_timed"))
         .withColumn("evidence", F.when(F.col("_timed"), _append(
             F.col("evidence"), F.transform(F.col("_notes"), lambda n: n["note"]))).otherwise(F.col("evidence"))))

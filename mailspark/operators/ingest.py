@@ -82,6 +82,21 @@ def _woken(arrivals: DataFrame, asleep: DataFrame, key: str) -> DataFrame:
     return come.join(waiting, [*by, "_k"]).select("_place", "re_id")
 
 
+def _touched(messages: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The stored rows that share a uid, a body hash or a message id with some arrival, as thin rows: one pass over
+    the stored table, so what follows costs as much as the batch."""
+    hashed, named = "body_sha256", "normalized_message_id"
+
+    def keys(df: DataFrame, *columns: str) -> DataFrame:
+        uid = F.concat_ws("\x1f", F.lit("u"), *[F.col(k).cast("string") for k in UID_KEY])
+        other = [F.when(F.length(c) > 0, F.concat_ws("\x1f", F.lit(c), "account", c)) for c in (hashed, named)]
+        return df.select(*columns, F.explode(F.array(uid, *other)).alias("_key")).where("_key is not null")
+
+    thin = keys(messages, *UID_KEY, "id", "stale", "folder_moved", "is_canonical", hashed, named)
+    wanted = keys(arrivals).distinct()
+    return checkpointed(thin.join(wanted, "_key", "left_semi").drop("_key").dropDuplicates(["id"]))
+
+
 def classify_arrivals(arrivals: DataFrame, messages: DataFrame) -> DataFrame:
     """Decide what each parsed arrival is: known, reactivated, copy or new.
 
@@ -92,6 +107,7 @@ def classify_arrivals(arrivals: DataFrame, messages: DataFrame) -> DataFrame:
     hashed, named = "body_sha256", "normalized_message_id"
     leading = ["folder_ord"] if "folder_ord" in arrivals.columns else []
     place = F.struct(*leading, *[k for k in UID_KEY if k != "uid_validity"], "uid_validity")
+    messages = _touched(messages, arrivals)
     known = messages.select(*UID_KEY, F.col("id").alias("known_id"))
     canonical = messages.where("is_canonical")
     joined = (arrivals.dropDuplicates(UID_KEY).withColumn("_place", place).join(known, UID_KEY, "left")
