@@ -12,7 +12,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 #: Document ids that differ by less than this lie in one block of a source's order.
-BLOCK = 65536
+BLOCK = 1024
 #: Anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
