@@ -209,7 +209,7 @@ def _first_pairs(found: DataFrame) -> DataFrame:
     rows = stored(rows.join(_held(rows, ["sign"]).drop("q").hint("shuffle_hash"), "sign"), "groups")
     small = rows.where(F.col("n") <= FEW).select("sign", "x")
     pairs = small.join(small.withColumnRenamed("x", "p"), "sign").where("p < x").select("p", "x", F.lit(False).alias("many"))
-    large = rows.where(F.col("n") > FEW).select("sign", "x")
+    large = rows.where(F.col("n") > FEW).select("sign", "x").distinct()  # rows with equal sets are one
     weight = large.groupBy("x").agg(F.count(F.lit(1)).alias("groups"))
     heads = large.join(weight, "x").groupBy("sign").agg(F.max(F.struct("groups", "x"))["x"].alias("p"))
     large = large.join(heads, "sign").where("x <> p").select("p", "x", F.lit(True).alias("many"))
