@@ -25,7 +25,13 @@ LABELLED = 3_000
 #: Languages that one model tells apart.
 LANGUAGES = 256
 UNKNOWN = "und"
-HAS_LETTER, PREDICTED, SCORE = "_has_letter", "_lang_pred", "_score"
+#: An n-gram is known to a language if this share of its training rows (and one row at least) has it.
+KNOWN = 0.01
+#: Held-back labelled rows that each of the two tests of readable() may reject, as a share of them.
+LOSS = 0.005
+#: Limits lie this much below the row that sets them, as vectors reach the driver as 32-bit numbers.
+SLACK = 1e-5
+HAS_LETTER, PREDICTED, SCORE, FAMILIAR = "_has_letter", "_lang_pred", "_score", "_familiar"
 LETTER = r"\p{L}"
 _GRAM = np.uint64(0x2545F4914F6CDD1D)
 
@@ -111,6 +117,13 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray      # features (and one row for the bias) x languages; most are 0
     temperature: float
+    known: np.ndarray        # features x languages: whether the language's training rows have the n-gram
+    least_score: float = 0.0
+    least_known: float = 0.0
+
+    def familiar(self, row: np.ndarray, feature: np.ndarray, language: np.ndarray, rows: int) -> np.ndarray:
+        """The share of each text's distinct n-grams that are known to the language given for it."""
+        return np.bincount(row, self.known[feature, language[row]], rows) / np.maximum(np.bincount(row, minlength=rows), 1)
 
     def logits(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
         out = np.tile(self.weights[-1], (rows, 1))
@@ -162,6 +175,19 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
+def limit(values: np.ndarray, loss: float = LOSS) -> float:
+    """The value that at most ``loss`` of ``values`` lie below; 0 without any."""
+    return float(np.sort(values)[int(loss * len(values))]) - SLACK if len(values) else 0.0
+
+
+def known_features(rows: list[tuple[np.ndarray, np.ndarray, int]], dimensions: int, classes: int) -> np.ndarray:
+    held, n = np.zeros((dimensions, classes), np.int32), np.zeros(classes)
+    for features, _, label in rows:
+        held[features, label] += 1
+        n[label] += 1
+    return held >= np.maximum(1, KNOWN * n)
+
+
 def sample(docs: DataFrame, most: int = LABELLED) -> DataFrame:
     """At most ``most`` labelled rows, as many of each language as there are.
 
@@ -178,7 +204,8 @@ def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimension
     """A model of the labelled rows of ``docs`` (doc_id, text, lang); None without any.
 
     Document frequencies count all of these rows. The weights are fitted on a sample of ``most`` rows, whose feature
-    vectors (at most ``dimensions`` entries each) come to the driver; one in five of them sets the temperature.
+    vectors (at most ``dimensions`` entries each) come to the driver; one in five of them sets the temperature and the
+    limits below which a text is in no language: each rejects LOSS of these held-back rows at most.
     Null texts, labels and ids take no part. The LANGUAGES most frequent labels are learned.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
@@ -208,7 +235,13 @@ def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimension
     train, kept = [r for k, r in enumerate(rows) if k % 5], rows[::5]
     weights = follow_the_leader(train or rows, dimensions, len(languages))
     logits = np.array([v @ weights[f] + weights[-1] for f, v, _ in kept])
-    return Model(languages, idf, weights, calibrate(logits, np.array([c for _, _, c in kept])))
+    model = Model(languages, idf, weights, calibrate(logits, np.array([c for _, _, c in kept])),
+                  known_features(train or rows, dimensions, len(languages)))
+    lettered = [k for k, (f, _, _) in enumerate(kept) if len(f)]
+    p = softmax(logits[lettered] / model.temperature)
+    shares = [model.known[kept[k][0], c].mean() for k, c in zip(lettered, p.argmax(axis=1))]
+    model.least_score, model.least_known = limit(p.max(axis=1)), limit(np.array(shares))
+    return model
 
 
 def _predictions(docs: DataFrame, kept: list[str], model: Model | None, longest: int, dimensions: int) -> DataFrame:
@@ -218,21 +251,25 @@ def _predictions(docs: DataFrame, kept: list[str], model: Model | None, longest:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            names, scores = [], []
+            names, scores, shares = [], [], []
             for _, rows, row, feature, count in term_counts(batch["text"], longest, dimensions):
                 if model is None:
                     names += [UNKNOWN] * rows
                     scores.append(np.zeros(rows))
+                    shares.append(np.zeros(rows))
                     continue
                 p = softmax(model.logits(row, feature, _weighed(row, feature, count, model.idf, rows), rows))
-                names += [model.languages[k] for k in p.argmax(axis=1)]
+                best = p.argmax(axis=1)
+                names += [model.languages[k] for k in best]
                 scores.append(p.max(axis=1))
+                shares.append(model.familiar(row, feature, best, rows))
             readable = batch[HAS_LETTER]
             name = pc.if_else(readable, pa.array(names, pa.string()), UNKNOWN)
             score = pc.if_else(readable, pa.array(np.concatenate(scores) if scores else np.zeros(0)), 0.0)
-            yield pa.record_batch([*(batch[c] for c in kept), name, score], names=[*kept, PREDICTED, SCORE])
+            share = pa.array(np.concatenate(shares) if shares else np.zeros(0))
+            yield pa.record_batch([*(batch[c] for c in kept), name, score, share], names=[*kept, PREDICTED, SCORE, FAMILIAR])
 
-    schema = docs.select(*kept).schema.add(PREDICTED, "string").add(SCORE, "double")
+    schema = docs.select(*kept).schema.add(PREDICTED, "string").add(SCORE, "double").add(FAMILIAR, "double")
     return docs.mapInArrow(run, schema)
 
 
@@ -251,12 +288,16 @@ def predict(docs: DataFrame, model: Model | None, longest: int = LONGEST, dimens
         "doc_id", F.col(PREDICTED).alias("lang_pred"), F.col(SCORE).alias("score"))
 
 
-def readable(docs: DataFrame, model: Model | None, least: float, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> DataFrame:
-    """The rows of ``docs`` in some language with a score of ``least`` or more, with their columns. Without a model
-    all texts with a letter stay. Columns may have any names but the three with a leading underscore added here."""
+def readable(docs: DataFrame, model: Model | None, least: float | None = None, longest: int = LONGEST,
+             dimensions: int = DIMENSIONS) -> DataFrame:
+    """The rows of ``docs`` in some language, with their columns: those whose score is ``least`` or more and whose
+    share of n-grams known to their language is high enough. Limits that are not given are the model's, which clean
+    rows held back from its training set. Without a model all texts with a letter stay. Columns may have any names but
+    the four with a leading underscore added here."""
     rows = _marked(docs).where(HAS_LETTER)
     if model is not None:
-        rows = _predictions(rows, docs.columns, model, longest, dimensions).where(F.col(SCORE) >= least)
+        rows = _predictions(rows, docs.columns, model, longest, dimensions).where(
+            (F.col(SCORE) >= (model.least_score if least is None else least)) & (F.col(FAMILIAR) >= model.least_known))
     return rows.select(*docs.columns)
 
 
