@@ -92,6 +92,30 @@ def test_leaks_hold_every_copied_passage(spark):
     assert got(found, "doc_id", "item_id") == sorted(planted.items(), key=repr)
 
 
+def held(spark, item: str, *texts: str) -> list[str]:
+    """The kinds of leak of the item in each text, - where there is none; the same when all windows are joined."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = []
+    for travel in (templates.TRAVEL, 0):
+        found = dict(got(templates.leaks(docs, items, travel=travel), "doc_id", "kind"))
+        out.append([found.get(k, "-")[0] for k in range(len(texts))])
+    assert out[0] == out[1]
+    return out[0]
+
+
+def test_leaks_whose_slots_disagree(spark):
+    one_name = ITEMS[0][1].replace("does John", "does Oscar")
+    assert held(spark, ITEMS[0][1], one_name, HELD[1][1]) == ["e", "-"]
+    start = "The tall man went home very late that day. The small dog ran after him all the way there."
+    assert held(spark, start, start.replace("The small", "A small").replace("The tall", "One tall")) == ["r"]
+    counted = "Ann has 2 apples and buys 2 more at the shop. How many apples does she have now?"
+    assert held(spark, counted, counted.replace("2 more", "3 more").replace("Ann", "Eve"),
+                counted.replace("2 apples", "7 apples").replace("2 more", "5 more")) == ["r", "r"]
+    long = "John went with Mary to the old town where they met some good friends of Mary and then had a very long talk about what John had seen."
+    assert held(spark, long, long.replace("friends of Mary", "friends of Zoe").replace("John", "Tim")) == ["r"]
+
+
 # training records
 
 def test_permutation_is_one():
