@@ -116,6 +116,13 @@ def test_leaks_whose_slots_disagree(spark):
     assert held(spark, long, long.replace("friends of Mary", "friends of Zoe").replace("John", "Tim")) == ["r"]
 
 
+def test_leaks_with_values_of_other_token_counts(spark):
+    item = "Yesterday Mary bought 25 pens and 3 kg of rice for Tom. How much did Mary pay?"
+    assert held(spark, item, item.replace("Mary", "Mary Ann").replace("25", "twenty five").replace("3 kg", "3kg"),
+                item.replace("Mary", "Jo").replace("25", "one hundred thirty-two").replace("3 kg", "7").replace("Tom", "Al B Cole"),
+                item.replace("bought", "sold").replace("rice", "corn").replace("pay", "get")) == ["r", "r", "-"]
+
+
 # training records
 
 def test_permutation_is_one():
