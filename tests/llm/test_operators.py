@@ -123,6 +123,19 @@ def test_leaks_with_values_of_other_token_counts(spark):
                 item.replace("bought", "sold").replace("rice", "corn").replace("pay", "get")) == ["r", "r", "-"]
 
 
+def test_leaks_of_short_and_dense_items(spark):
+    assert held(spark, "What is 7 times 8?", "So, what is 7 times 8? Think.", "What is 7 times 9?") == ["e", "-"]
+    assert held(spark, "Name it", "You name it", "Name him") == ["e", "-"]
+    dense = "If Tom has 3 apples, Ann has 5 pears, Bob has 7 plums, Cid has 9 figs, who has most?"
+    other = dense.replace("Tom", "Al").replace("Ann", "Bea").replace("Bob", "Cy").replace("Cid", "Di").translate(str.maketrans("3579", "2468"))
+    assert held(spark, dense, other, other.replace("has", "had")) == ["r", "-"]
+    values = "Add 1, 2, 3, 4, 5, 6, 7, 8, 9 and then take away 4, 3, 2, 1 from it all"
+    assert held(spark, values, values.translate(str.maketrans("123456789", "987654321"))) == ["r"]
+    assert held(spark, "水の沸点は何度ですか。海の上と山の上で違いますか", "問題：水の沸点は何度ですか。海の上と山の上で違いますか？答え",
+                "問題：水の融点は何度だろうか") == ["e", "-"]
+    assert held(spark, "首都はどこ", "日本の首都はどこですか", "首都はここ") == ["e", "-"]
+
+
 # training records
 
 def test_permutation_is_one():
