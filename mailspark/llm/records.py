@@ -131,10 +131,9 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     return ordered.mapInArrow(run, "bucket int, pos long, doc_id long, seq int, n_tokens int, tokens binary")
 
 
-def in_training_order(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length: int = LENGTH,
-                      shard: int = SHARD) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, seq, n_tokens, tokens of every sequence; a shard lies in one partition, in
-    the order of slots.
+def placed(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length: int = LENGTH,
+           shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """slot, shard, byte_offset, doc_id, seq, n_tokens, tokens of every sequence in no order, and the same without tokens.
 
     A sequence's number is its bucket's start plus its place there, so it does not depend on how Spark cuts the
     table; its slot is the keyed permutation of that number. The starts are one number per bucket, and a bucket is
@@ -151,18 +150,41 @@ def in_training_order(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABUL
     total = int(starts.sum())
     starts = spark.sparkContext.broadcast(np.cumsum(starts) - starts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[pa.RecordBatch]:
         permute = Permutation(total, key)
         for batch in batches:
             slot = permute(starts.value[batch["bucket"].to_numpy()] + batch["pos"].to_numpy())
             yield pa.record_batch([
                 pa.array(slot), pa.array(slot // shard), pa.array(slot % shard * stride(length)),
-                *(batch[c] for c in ("doc_id", "seq", "n_tokens", "tokens"))],
-                names=["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens"])
+                *(batch[c] for c in ("doc_id", "seq", "n_tokens", *more))],
+                names=["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", *more])
+
+    schema = "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int"
+    return (runs.mapInArrow(lambda batches: run(batches, "tokens"), f"{schema}, tokens binary"),
+            runs.drop("tokens").mapInArrow(run, schema))
+
+
+def in_training_order(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length: int = LENGTH,
+                      shard: int = SHARD) -> DataFrame:
+    """The sequences of placed(); a shard lies in one partition, in the order of slots."""
+    return placed(docs, key, vocabulary, length, shard)[0].repartition("shard").sortWithinPartitions("shard", "slot")
+
 
-    schema = "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int, tokens binary"
-    placed = runs.mapInArrow(run, schema)
-    return placed.repartition("shard").sortWithinPartitions("shard", "slot")
+def written(docs: DataFrame, path: str | None = None, key: int = KEY, vocabulary: str = VOCABULARY, length: int = LENGTH,
+            shard: int = SHARD) -> DataFrame:
+    """Writes the shards of ``docs`` to ``path`` (a fresh one below the shared folder if not given) and returns slot,
+    shard, byte_offset, doc_id, seq, n_tokens, tokens of all records as read back from them.
+
+    tokens are the record's ids without its padding: nothing but padding stands behind a first end-of-text id.
+    """
+    spark = docs.sparkSession
+    path = path or shared_path(spark, "shards")
+    rows, thin = placed(docs, key, vocabulary, length, shard)
+    write_shards(rows, path, length)
+    back = _records(spark, path, 0, length, shard)
+    return thin.join(back, "slot").select(
+        "slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens",
+        F.expr("substring(record, 1, 2 * n_tokens)").alias("tokens"))
 
 
 def stride(length: int = LENGTH) -> int:
@@ -171,32 +193,56 @@ def stride(length: int = LENGTH) -> int:
 
 
 def write_shards(records: DataFrame, path: str, length: int = LENGTH) -> None:
-    """One folder shard=k for each shard, with one file of records in slot order, through Spark's own committer."""
+    """One folder shard=k for each shard, with one file of records in slot order, through Spark's own committer.
+
+    ``records`` (slot, shard, tokens) may come in any order and partitioning: a range of shards goes to one task, which
+    sorts them by slot and writes each to one file.
+    """
     filled = F.rpad("tokens", 2 * length, F.lit(END_OF_TEXT.to_bytes(2, "little")))
-    lines = records.select("shard", filled.cast("string").alias("value"))
-    lines.write.partitionBy("shard").option("lineSep", "\n").text(path)
+    ordered = records.select("slot", "shard", "tokens").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+    lines = ordered.select("shard", filled.cast("string").alias("value"))
+    lines.write.partitionBy("shard").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
 
 
-def read_shards(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """slot, ids of all records from ``slot`` on; shards before it are not opened."""
+def _records(spark: SparkSession, path: str, slot: int, length: int, shard: int) -> DataFrame:
+    """slot, record (bytes of all its ids) from ``slot`` on. A shard in more than one file is an error, as its slots
+    could not be told."""
     size = stride(length)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-        path).select("path", "content").withColumn("shard", F.regexp_extract("path", r"shard=(\d+)", 1).cast("long"))
+        path).withColumn("shard", F.regexp_extract("path", r"shard=(\d+)", 1).cast("long"))
     files = files.where((F.col("shard") >= slot // shard) & F.col("path").rlike(r"/part-[^/]*$"))
+    cut = files.groupBy("shard").count().where("count > 1").agg(F.min("shard")).first()[0]
+    if cut is not None:
+        raise ValueError(f"shard {cut} below {path} lies in more than one file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, content in zip(batch["shard"].to_pylist(), batch["content"]):
                 table = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, size)[:, :-1]
-                ids = np.ascontiguousarray(table).view("<u2").astype(np.int32)
-                keep = np.arange(len(ids)) + number * shard >= slot
-                at = np.arange(0, keep.sum() * length + 1, length, dtype=np.int32)
-                yield pa.record_batch([
-                    pa.array(np.flatnonzero(keep) + number * shard),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(ids[keep].ravel()))], names=["slot", "ids"])
+                slots = np.arange(len(table)) + number * shard
+                for k in range(0, len(table), 1024):
+                    keep = slots[k:k + 1024] >= slot
+                    rows = np.ascontiguousarray(table[k:k + 1024][keep])
+                    ends = np.arange(0, rows.size + 1, size - 1, dtype=np.int32)
+                    yield pa.record_batch([
+                        pa.array(slots[k:k + 1024][keep]),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])],
+                        names=["slot", "record"])
+
+    return files.select("shard", "content").mapInArrow(run, "slot long, record binary")
+
+
+def read_shards(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """slot, ids of all records from ``slot`` on; shards before it are not opened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.frombuffer(b"".join(batch["record"].to_pylist()), "<u2").astype(np.int32)
+            at = np.arange(0, len(batch) * length + 1, length, dtype=np.int32)
+            yield pa.record_batch([batch["slot"], pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], names=["slot", "ids"])
 
-    return files.select("shard", "content").mapInArrow(run, "slot long, ids array<int>")
+    return _records(spark, path, slot, length, shard).mapInArrow(run, "slot long, ids array<int>")
 
 
 def op2_training_records(spark: SparkSession, folder: str) -> DataFrame:
-    return in_training_order(read(spark, folder, "documents").select("doc_id", "text"))
+    return written(read(spark, folder, "documents").select("doc_id", "text"))

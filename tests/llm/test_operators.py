@@ -168,6 +168,26 @@ def test_records_round_trip(spark, docs, tmp_path):
             assert back[r.slot] == (np.frombuffer(r.tokens, "<u2").tolist() + [records.END_OF_TEXT] * 64)[:64]
 
 
+def test_shards_are_whole_however_the_records_come(spark, docs, tmp_path):
+    want = got(records.in_training_order(docs, length=64, shard=50), "slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens")
+    path = str(tmp_path / "written")
+    out = records.written(docs, path, length=64, shard=50)
+    assert got(out, "slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens") == want
+    for r in out.collect():  # the record lies where the row says
+        file, = (tmp_path / "written" / f"shard={r.shard}").glob("part-*")
+        record = file.read_bytes()[r.byte_offset:r.byte_offset + records.stride(64)]
+        assert len(record) == records.stride(64) and record.startswith(r.tokens) and record.endswith(b"\n")
+    path = str(tmp_path / "dealt")
+    rows = spark.createDataFrame(out.collect(), out.schema).repartition(7)
+    records.write_shards(rows, path, 64)
+    back = {r.slot: r.ids for r in records.read_shards(spark, path, 0, 64, 50).collect()}
+    assert sorted(back) == [r[0] for r in sorted(want)]
+    assert all(back[r[0]][:r[5]] == np.frombuffer(r[6], "<u2").tolist() for r in want)
+    rows.where("shard = 0").selectExpr("cast(rpad(tokens, 128, X'50C4') as string) v").write.mode("append").text(f"{path}/shard=0")
+    with pytest.raises(ValueError):
+        records.read_shards(spark, path, 0, 64, 50)
+
+
 def test_long_texts_encode_as_a_whole(monkeypatch):
     with open(records.VOCABULARY, "rb") as file:
         encoder = records._encoder(file.read())
@@ -181,6 +201,10 @@ def test_records_of_nothing(nothing):
     assert records.in_training_order(nothing).collect() == []
 
 
+def test_no_shards_of_nothing(nothing):
+    assert records.written(nothing).collect() == []
+
+
 # perspective rotation
 
 def test_rotations(spark):
