@@ -1,8 +1,9 @@
-"""Similarity join of word-shingle sets by partition-and-enumerate signatures, exact for every threshold.
+"""Similarity join of word-shingle sets by signatures of single parts, exact for every threshold.
 
 Two sets of about equal size whose Jaccard similarity reaches the threshold differ in few elements only. The feature
-domain is cut into parts, two levels deep; with more parts than there can be differences, some parts are equal, and
-sets that share a signature (one enumerated subset of equal parts) are compared.
+domain is cut into parts; with more parts than there can be differences, some parts are equal, and sets that share a
+signature (one equal part) are compared. This is partition-and-enumerate in its degenerate form, plain pigeonhole
+partitioning: there is no second level, and no subsets of parts are enumerated, so signatures are less selective.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ _PART, _SUM, _SIGN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179
 class Bands:
     """Bands of set sizes, and how many parts sets of a band are cut into.
 
-    Sets of a band of sizes up to r that reach ``percent`` differ in k elements at most. The domain has n1 first-level
-    parts of n2 = 2 second-level parts each; of the n1 * n2 > k parts at least n1 * n2 - k are equal, and each of them
-    alone is an enumerated subset. ``spare`` is n1 * n2 - k - 1: as many parts may be empty in a set without being
+    Sets of a band of sizes up to r that reach ``percent`` differ in k elements at most. Of n > k parts at least n - k
+    are equal, and each part alone is signed. ``spare`` is n - k - 1: as many parts may be empty in a set without being
     signed, as one more part that is not empty is then equal. Only a set with more empty parts signs these, too.
     """
 
