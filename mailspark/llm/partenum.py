@@ -105,7 +105,7 @@ def _signatures(row: np.ndarray, key: np.ndarray, size: np.ndarray, band: np.nda
 def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, f (a 64-bit key of the set, null for an empty one), signs of every row of ``docs``.
 
-    A set signs its own band, and the next one if a set of that band can reach the threshold with it.
+    A set signs its own band, and every higher one of which a set can reach the threshold with it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +117,13 @@ def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(size) and size.max() >= bands.low[-1]:
                     bands = Bands(percent, int(size.max()) * 2)
                 band = np.maximum(np.searchsorted(bands.low, size, "right") - 1, 0)
-                upper = np.minimum(band + 1, len(bands.low) - 1)
-                near = (size > 0) & (100 * size >= percent * bands.low[upper])
-                own_row, own = _signatures(row, key, size, band, bands, size > 0)
-                up_row, up = _signatures(row, key, size, upper, bands, near)
-                rows, signs = np.concatenate([own_row, up_row]), np.concatenate([own, up])
+                found, upper, near = [], band, size > 0
+                while near.any():
+                    found.append(_signatures(row, key, size, upper, bands, near))
+                    last, upper = upper, np.minimum(upper + 1, len(bands.low) - 1)
+                    near &= (upper > last) & (100 * size >= percent * bands.low[upper])
+                rows = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+                signs = np.concatenate([np.zeros(0, np.uint64), *(f[1] for f in found)])
                 order = np.argsort(rows, kind="stable")
                 at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=chunk.rows))]).astype(np.int32)
                 yield pa.record_batch([

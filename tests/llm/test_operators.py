@@ -288,6 +288,13 @@ def test_components_of_similar_sets(spark, docs, monkeypatch, n, percent, few, l
     assert got(found, "doc_id", "n_shingles", "component_id") == samples.components(ROWS, n, percent)
 
 
+@pytest.mark.parametrize("percent, few, many", [(60, 11, 18), (40, 8, 20), (25, 10, 40)])
+def test_links_over_several_bands(spark, percent, few, many):
+    rows = [(k, " ".join(f"w{i}" for i in range(n)), None, None, None, None, None) for k, n in enumerate((few, many))]
+    found = partenum.near_duplicates(samples.frame(spark, rows), 1, percent)
+    assert got(found, "doc_id", "component_id") == [(0, 0), (1, 0)]
+
+
 def test_one_of_each_group_stays(docs, nothing):
     kept = partenum.one_of_each(docs)
     heads = {c for _, _, c in samples.components(ROWS, 5, 80) if c is not None}
