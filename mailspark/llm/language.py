@@ -20,10 +20,9 @@ from mailspark.llm.words import chunks, mixed
 #: Hashed features.
 DIMENSIONS = 1 << 15
 LONGEST = 3
-#: Labelled rows that the weights and the temperature are fitted on, at most.
+#: Labelled rows that the weights and the temperature are fitted on, at most; with many languages EACH for every one.
 LABELLED = 3_000
-#: Languages that one model tells apart.
-LANGUAGES = 256
+EACH = 12
 UNKNOWN = "und"
 #: An n-gram is known to a language if this share of its training rows (and one row at least) has it.
 KNOWN = 0.01
@@ -189,24 +188,30 @@ def known_features(rows: list[tuple[np.ndarray, np.ndarray, int]], dimensions: i
 
 
 def sample(docs: DataFrame, most: int = LABELLED) -> DataFrame:
-    """At most ``most`` labelled rows, as many of each language as there are.
+    """At most ``most`` labelled rows, or EACH for every language if that is more, in equal shares as far as they go.
 
     A row's place is its random number times the number of rows of its language, so the smallest places hold the
-    languages in equal shares; no language meets in one task.
+    languages in equal shares; no language meets in one task. The row of the smallest place of each language is taken
+    before all others, so that every language is learned.
     """
+    docs = stored(docs.select("doc_id", "lang"), "labelled")
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     draw = (F.xxhash64("doc_id", F.lit("draw")) % 1_000_000_007 + 1_000_000_007) * F.col("_n")
-    thin = docs.select("doc_id", "lang").join(F.broadcast(counts.orderBy(F.desc("_n"), "lang").limit(LANGUAGES)), "lang")
-    return thin.select("doc_id", "lang", draw.alias("place")).orderBy("place", "doc_id").limit(most)
+    thin = docs.select("doc_id", "lang").join(counts, "lang").select("doc_id", "lang", draw.alias("place"))
+    firsts = thin.groupBy("lang").agg(F.min(F.struct("place", "doc_id")).alias("_first"))
+    first = F.struct("place", "doc_id") == F.col("_first")
+    ranked = thin.join(firsts, "lang").select("doc_id", "lang", "place", first.alias("_is_first"))
+    most = max(most, EACH * counts.count())
+    return ranked.orderBy(F.desc("_is_first"), "place", "doc_id").limit(most).drop("_is_first")
 
 
 def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> Model | None:
     """A model of the labelled rows of ``docs`` (doc_id, text, lang); None without any.
 
-    Document frequencies count all of these rows. The weights are fitted on a sample of ``most`` rows, whose feature
+    Document frequencies count all of these rows. The weights are fitted on a sample(), whose feature
     vectors (at most ``dimensions`` entries each) come to the driver; one in five of them sets the temperature and the
     limits below which a text is in no language: each rejects LOSS of these held-back rows at most.
-    Null texts, labels and ids take no part. The LANGUAGES most frequent labels are learned.
+    Null texts, labels and ids take no part. Every label is learned.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     held, n = document_frequencies(docs, longest, dimensions)
@@ -232,11 +237,14 @@ def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimension
     label = {name: k for k, name in enumerate(languages)}
     rows = [(f.values.to_numpy(), v.values.to_numpy().astype(float), label[name.as_py()])
             for f, v, name in zip(table["features"], table["values"], table["lang"])]
-    train, kept = [r for k, r in enumerate(rows) if k % 5], rows[::5]
-    weights = follow_the_leader(train or rows, dimensions, len(languages))
-    logits = np.array([v @ weights[f] + weights[-1] for f, v, _ in kept])
-    model = Model(languages, idf, weights, calibrate(logits, np.array([c for _, _, c in kept])),
-                  known_features(train or rows, dimensions, len(languages)))
+    seen: set = set()  # a language's first row always trains
+    first = [not (r[2] in seen or seen.add(r[2])) for r in rows]
+    train = [r for k, r in enumerate(rows) if k % 5 or first[k]]
+    kept = [r for k, r in enumerate(rows) if k % 5 == 0 and not first[k]]
+    weights = follow_the_leader(train, dimensions, len(languages))
+    logits = np.array([v @ weights[f] + weights[-1] for f, v, _ in kept]).reshape(-1, len(languages))
+    model = Model(languages, idf, weights, calibrate(logits, np.array([c for _, _, c in kept], int)),
+                  known_features(train, dimensions, len(languages)))
     lettered = [k for k, (f, _, _) in enumerate(kept) if len(f)]
     p = softmax(logits[lettered] / model.temperature)
     shares = [model.known[kept[k][0], c].mean() for k, c in zip(lettered, p.argmax(axis=1))]

@@ -399,6 +399,18 @@ def test_languages_of_held_out_rows(docs):
     assert kept.columns == docs.columns and len({r.doc_id for r in kept.collect()} & {120, 121, 122, 123}) == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    name = lambda k: f"{chr(97 + k % 17)}{chr(97 + k // 17)}"
+    text = lambda k: " ".join(name(k) * rng.randint(1, 2) for _ in range(12))
+    rows = [(k, text(k % 270), name(k % 270)) for k in range(270 * 8)] + [(9990 + k, "ŵŷẁ ŵŷ ẁŷ " * 4, "rare") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, most=300, dimensions=1 << 12)
+    assert model.languages == sorted({r[2] for r in rows})
+    assert language.sample(docs, 300).count() == min(len(rows), language.EACH * 271)
+    assert {r.lang_pred for r in language.predict(docs.where("lang = 'rare'"), model, dimensions=1 << 12).collect()} == {"rare"}
+
+
 def test_no_labels_no_language(docs, nothing):
     assert language.fit(nothing) is None
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
