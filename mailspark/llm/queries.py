@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from mailspark.llm import chat, language, mixing, partenum, quality, records, repeats, scoring, templates, wordpiece
+from mailspark.llm import (chat, collocations, language, margins, mining, mixing, partenum, quality, records, repeats,
+                           scoring, templates, wordpiece)
 
 QUERIES = {
     "op1_benchmark_leaks": templates.op1_benchmark_leaks,
@@ -15,9 +16,14 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": language.op9_language_id,
     "op10_token_counts": wordpiece.op10_token_counts,
+    "op11_quality_scores": margins.op11_quality_scores,
+    "op12_hard_negatives": mining.op12_hard_negatives,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
     "op3_perspectives": chat.ORACLE,
     "op5_mixing_sources": mixing.ORACLE,
+    "op12_hard_negatives": mining.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
