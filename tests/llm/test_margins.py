@@ -138,7 +138,7 @@ def test_model_equals_a_plain_one(spark, given):
     plain = margins.sigmoid(slope * margin + offset)
     ids = {t: i for i, t, *_ in corpus()[0] if i is not None}
     apart = [abs(plain[k] - by_id[ids[t]]) for k, t in enumerate(table.text) if t]
-    print(np.mean(apart), np.quantile(apart, 0.9), np.quantile(apart, .5), slope, offset, model.slope, model.offset)
+
     assert np.mean(apart) < 0.03 and np.quantile(apart, 0.9) < 0.1
 
 
