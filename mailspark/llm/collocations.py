@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mailspark.llm.tables import read, stored
-from mailspark.llm.words import CHUNK, Lookup, buffers, mixed, signed, span_keys, unsigned, window_keys
+from mailspark.llm.words import CHUNK, Lookup, buffers, lists, mixed, signed, span_keys, unsigned, window_keys
 
 LONGEST = 5
 SUPPORT = 100
@@ -23,8 +23,10 @@ SUPPORT = 100
 COVERED = 100
 FIRST = 2_000
 UNLABELLED = "und"
-#: Words of a shard about; a task cuts what it reads into shards of this size, and mines one at a time.
-SHARD = 1 << 23
+#: Words of a shard, at least; a task cuts what it reads into shards of this to twice this size, and mines one at a time.
+SHARD = 3 << 20
+#: Words of the input for each bucket in which shards' phrases meet.
+BUCKET = 1 << 20
 #: Keys of phrases that are sent to the tasks; more of them are met in a shuffle.
 TRAVEL = 1 << 21
 #: Marks of the bitmap that then goes to the tasks, as a power of two.
@@ -48,6 +50,9 @@ class Words:
     lang: np.ndarray   # the language's number
     piece: np.ndarray  # ascending numbers of pieces
 
+    def word(self, at: int) -> bytes:
+        return self.data[self.start[at]:self.end[at]].tobytes()
+
 
 def words(texts: pa.Array, lang: np.ndarray, salts: np.ndarray, size: int = CHUNK) -> Iterator[Words]:
     """The words of all texts, about ``size`` bytes at a time; ``lang`` numbers each text's language."""
@@ -84,44 +89,65 @@ def _languages(column: pa.Array) -> tuple[np.ndarray, list[str]]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
+@dataclass
+class Phrases:
+    """What a shard finds frequent in one language."""
+
+    size: np.ndarray
+    key: np.ndarray    # as window_keys() gives them
+    n: np.ndarray
+    parts: np.ndarray  # keys of each phrase's words, one phrase behind the other
+    text: list         # of phrases of one word; None for others
+
+
 class Shard:
     """Words of one shard, and its complete mining. ``names`` are the languages that the task has met, by number."""
 
-    def __init__(self):
+    def __init__(self, room: int):
         self.names: dict[str, int] = {}
-        self.held: list[tuple] = []
-        self.size = 0
+        self.held: list[Words] = []
+        self.room, self.size = room, 0
 
     def numbers(self, names: list[str]) -> np.ndarray:
         return np.array([self.names.setdefault(name, len(self.names)) for name in names], np.int64)
 
-    def add(self, found: Words) -> None:
-        joined = np.zeros(len(found.start), bool)  # to the word before
-        joined[1:] = found.piece[1:] == found.piece[:-1]
-        self.held.append((found.key, found.lang.astype(np.int32), joined))
-        self.size += len(joined)
+    def add(self, found: Words) -> list[Words]:
+        """Holds the words, their pieces as marks of words in one piece with the word before.
 
-    def mined(self, totals: dict[str, int], support: int, longest: int) -> pa.RecordBatch:
-        """lang, size, key, n, least: the phrases whose count here reaches their language's share of ``support``, and
-        one row of size 0 for each language, with its words.
+        Once there are twice ``room``, what makes up the first half is given out, so that no shard of a task is a small
+        rest, which would have to name nearly all of its phrases.
+        """
+        found.piece = np.append(False, found.piece[1:] == found.piece[:-1])[:len(found.piece)]
+        found.start, found.end, found.lang = (v.astype(np.int32) for v in (found.start, found.end, found.lang))
+        self.held.append(found)
+        self.size += len(found.start)
+        if self.size < 2 * self.room:
+            return []
+        out, n = [], 0
+        while n < self.room:
+            out.append(self.held.pop(0))
+            n += len(out[-1].start)
+        self.size -= n
+        return out
+
+    def mined(self, held: list[Words], totals: dict[str, int], support: int, longest: int) -> Iterator[tuple[str, int, Phrases]]:
+        """language, least, phrases: those whose count in ``held`` reaches their language's share of ``support``.
 
         Words are numbered; a phrase of m words is numbered through the pair of its first and its last m - 1 words, and
-        looked at only where both are frequent here, so no two phrases of a shard are mixed up. key is what
-        window_keys() gives for it.
+        looked at only where both are frequent here, so no two phrases of a shard are mixed up.
         """
-        key, lang, joined = (np.concatenate(c) for c in zip(*self.held))
-        self.held, self.size = [], 0
+        key, lang, joined = (np.concatenate([getattr(w, c) for w in held]) for c in ("key", "lang", "piece"))
+        for w in held:
+            w.key = w.lang = w.piece = None
+        begins = np.cumsum([0] + [len(w.start) for w in held])
         here = np.bincount(lang, minlength=len(self.names))
         all_ = np.array([max(totals.get(n, 0), 1) for n in self.names])
         least = np.array([max(1, -(-support * int(w) // int(n))) for w, n in zip(here, all_)])
-        some = np.flatnonzero(here)
-        out = [(some, np.zeros(len(some), np.int8), np.zeros(len(some), np.uint64), here[some], least[some])]
-        at, number = np.arange(len(key)), key
+        at, number, out = np.arange(len(key)), key, []
         for m in range(1, longest + 1):
             number, first, n = _numbered(number)
             kept = n >= least[lang[at[first]]]
-            spot = at[first[kept]]
-            out.append((lang[spot], np.full(len(spot), m, np.int8), _keys(key, spot, m), n[kept], least[lang[spot]]))
+            out.append((np.full(kept.sum(), m), at[first[kept]], n[kept]))
             stay = kept[number]
             at, number = at[stay], (np.cumsum(kept) - 1)[number[stay]]
             if m == longest or len(at) < 2:
@@ -129,17 +155,25 @@ class Shard:
             follows = np.flatnonzero((at[1:] == at[:-1] + 1) & joined[at[:-1] + m])
             number = number[follows] * np.int64(kept.sum()) + number[follows + 1]
             at = at[follows]
-        lang, size, key, n, low = (np.concatenate(c) for c in zip(*out))
-        return pa.record_batch([pa.array(list(self.names), pa.string()).take(pa.array(lang.astype(np.int32))), pa.array(size, pa.int8()),
-                                pa.array(signed(key)), pa.array(n.astype(np.int64)), pa.array(low.astype(np.int64))],
-                               names=["lang", "size", "key", "n", "least"])
+        size, spot, n = (np.concatenate(c) for c in zip(*out))
+        for name, k in self.names.items():
+            if not here[k]:
+                continue
+            mine = lang[spot] == k
+            sizes, spots = size[mine], spot[mine]
+            full = np.concatenate([_keys(key, spots[sizes == m], m) for m in range(1, longest + 1)])  # sizes ascend
+            words_at = np.repeat(spots, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            text = [held[c].word(i - begins[c]) for c, i in zip(
+                (np.searchsorted(begins, spots[sizes == 1], "right") - 1).tolist(), spots[sizes == 1].tolist())]
+            yield name, int(least[k]), Phrases(sizes, full, n[mine], _keys(key, words_at, 1), text + [None] * int((sizes > 1).sum()))
 
 
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A dense number of each value, one place of each distinct value, and how often it occurs."""
     order = np.argsort(values)
+    values = values[order]
     new = np.ones(len(values), bool)
-    new[1:] = values[order[1:]] != values[order[:-1]]
+    new[1:] = values[1:] != values[:-1]
     number = np.empty(len(values), np.int64)
     number[order] = np.cumsum(new) - 1
     start = np.flatnonzero(new)
@@ -177,37 +211,85 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def mined(docs: DataFrame, totals: DataFrame, support: int, longest: int = LONGEST, shard: int = SHARD) -> DataFrame:
-    """lang, size, key, n, least: what each shard of ``docs`` finds frequent, and the count that this took there.
+def mined(docs: DataFrame, totals: DataFrame, support: int, longest: int = LONGEST, shard: int = SHARD, room: int = BUCKET) -> DataFrame:
+    """What each shard of ``docs`` finds frequent: size, key, n, parts and text of its phrases as lists, dealt into
+    buckets by key, with the count that this took in the shard.
 
-    A task reads its rows in shards of about ``shard`` words (about a megabyte of texts, or one text, stays whole).
+    A task reads its rows in shards of ``shard`` to twice as many words (a task with fewer is one shard). Every shard
+    has a row of bucket 0 for each of its languages. There is a bucket for every ``room`` words of the input.
     """
     known = dict(totals.collect())
+    buckets = np.uint64(max(1, sum(known.values()) // room))
+
+    def packed(name: str, least: int, found: Phrases) -> pa.RecordBatch:
+        bucket = (found.key % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        number, counts = np.unique(np.append(bucket, 0), return_counts=True)
+        counts[0] -= 1
+        size = found.size[order]
+        starts = (np.cumsum(found.size) - found.size)[order]
+        parts = found.parts[np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        listed = lambda v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), v)
+        text = pa.array([found.text[k] for k in order.tolist()], pa.binary()).cast(pa.string())
+        return pa.record_batch([
+            pa.array([name] * len(number), pa.string()), pa.array(number, pa.int32()), pa.array(np.full(len(number), least, np.int64)),
+            listed(pa.array(size.astype(np.int8))), listed(pa.array(signed(found.key[order]))), listed(pa.array(found.n[order])),
+            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(parts))), listed(text)],
+            names=["lang", "bucket", "least", "size", "key", "n", "parts", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Shard()
+        held = Shard(shard)
         for batch in batches:
             number, names = _languages(batch["lang"])
             number = held.numbers(names)[number] if len(batch) else number
             for found in words(batch["text"], number, language_salts(list(held.names))):
-                held.add(found)
-                if held.size >= shard:
-                    yield held.mined(known, support, longest)
+                if full := held.add(found):
+                    yield from (packed(*x) for x in held.mined(full, known, support, longest))
         if held.size:
-            yield held.mined(known, support, longest)
+            yield from (packed(*x) for x in held.mined(held.held, known, support, longest))
 
-    return docs.mapInArrow(run, "lang string, size byte, key long, n long, least long")
+    return docs.mapInArrow(run, "lang string, bucket int, least long, size array<byte>, key array<long>, n array<long>, "
+                                "parts array<long>, text array<string>")
 
 
 def candidates(local: DataFrame, support: int) -> DataFrame:
-    """lang, size, key of the phrases that may occur ``support`` times; with a phrase all its parts.
+    """lang, size, key, parts, text of the phrases that may occur ``support`` times; with a phrase all its parts.
 
     A shard that does not name a phrase has it at most its least count - 1 times. So the counts of those that name it,
-    with that much from each of the others, bound the whole; phrases whose bound is too low are no candidates.
+    with that much from each of the others, bound the whole; phrases whose bound is too low are no candidates. Lists of
+    one bucket meet in one task, which adds them up.
     """
-    slack = local.where("size = 0").groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
-    named = local.where("size > 0").groupBy("lang", "size", "key").agg(F.sum(F.col("n") - F.col("least") + 1).alias("over"))
-    return named.join(slack, "lang").where(F.col("over") + F.col("slack") >= support).select("lang", "size", "key")
+    slack = {r.lang: r.slack for r in local.where("bucket = 0").groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack")).collect()}
+
+    def merged(lang: str, held: list[tuple]) -> pa.RecordBatch:
+        size, key, over, parts, text = (np.concatenate(c) for c in list(zip(*held))[:5])
+        number, first, _ = _numbered(key)
+        total = np.bincount(number, over, len(first)).astype(np.int64)
+        at = first[total + slack[lang] >= support]
+        begin = np.cumsum(size) - size
+        return pa.record_batch([
+            pa.array([lang] * len(at), pa.string()), pa.array(size[at].astype(np.int8)), pa.array(key[at]),
+            lists(parts[np.repeat(begin[at], size[at]) + np.arange(size[at].sum()) - np.repeat(np.cumsum(size[at]) - size[at], size[at])], size[at]),
+            pa.array(text[at], pa.string())], names=["lang", "size", "key", "parts", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for i, (lang, bucket, least) in enumerate(zip(*(batch[c].to_pylist() for c in ("lang", "bucket", "least")))):
+                if (lang, bucket) != now and held:
+                    yield merged(now[0], held)
+                    held = []
+                now = lang, bucket
+                size, key, n, parts, text = (batch[c][i].values for c in ("size", "key", "n", "parts", "text"))
+                if len(key):
+                    held.append((size.to_numpy().astype(np.int64), key.to_numpy(), n.to_numpy() - least + 1, parts.to_numpy(),
+                                 text.to_numpy(zero_copy_only=False)))
+        if held:
+            yield merged(now[0], held)
+
+    met = local.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return met.mapInArrow(run, "lang string, size byte, key long, parts array<long>, text string")
 
 
 def _hits(found: Words, m: int, before: np.ndarray | None, hit) -> tuple[np.ndarray, np.ndarray]:
@@ -218,51 +300,47 @@ def _hits(found: Words, m: int, before: np.ndarray | None, hit) -> tuple[np.ndar
     return at[place >= 0], place[place >= 0]
 
 
-def _phrase(found: Words, text: bytes, at: int, m: int) -> bytes:
-    return b" ".join(text[a:b] for a, b in zip(found.start[at:at + m], found.end[at:at + m]))
-
-
-def counted(docs: DataFrame, wanted: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """lang, phrase, size, n: how often each phrase of ``wanted`` (size, key) occurs in ``docs``; its keys go to all tasks.
+def counted(docs: DataFrame, wanted: DataFrame, longest: int = LONGEST, block: int = 1024) -> DataFrame:
+    """key, n: how often each phrase of ``wanted`` (size, key) occurs in ``docs``; its keys go to all tasks.
 
-    A task counts by key and brings the words of each phrase once.
+    A task counts by the place of a key; its counts leave in blocks, and equal blocks of all tasks are added up.
     """
     table = wanted.select("size", "key").toArrow()
     size, key = table["size"].to_numpy(), unsigned(table["key"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast([key[size == m] for m in range(1, longest + 1)])
+    shared = docs.sparkSession.sparkContext.broadcast([np.sort(key[size == m]) for m in range(1, longest + 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [Lookup(k) for k in shared.value]
         counts = [np.zeros(len(k), np.int64) for k in shared.value]
-        seen: list[dict[int, tuple[str, bytes]]] = [{} for _ in tables]
         for batch in batches:
             number, names = _languages(batch["lang"])
             for found in words(batch["text"], number, language_salts(names)):
-                text, before = found.data.tobytes(), None
+                before = None
                 for m in range(1, longest + 1):
                     before, place = _hits(found, m, before, lambda m, k: tables[m - 1].find(k))
                     if not len(before):
                         break
-                    place, first, n = np.unique(place, return_index=True, return_counts=True)
-                    new = counts[m - 1][place] == 0
+                    place, n = np.unique(place, return_counts=True)
                     counts[m - 1][place] += n
-                    for k, i in zip(place[new].tolist(), before[first[new]].tolist()):
-                        seen[m - 1][k] = names[found.lang[i]], _phrase(found, text, i, m)
-        for m, of in enumerate(seen, 1):
-            places = list(of)
-            for k in range(0, len(places), 50_000):
-                part = places[k:k + 50_000]
-                yield _phrases([of[p][0] for p in part], [of[p][1] for p in part], m, counts[m - 1][part])
-
-    found = docs.mapInArrow(run, "lang string, size byte, key long, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.min("size").alias("size"), F.sum("n").alias("n"))
-
+        for m, of in enumerate(counts, 1):
+            starts = [k for k in range(0, len(of), block) if of[k:k + block].any()]
+            yield pa.record_batch([pa.array(np.full(len(starts), m, np.int8)), pa.array(np.array(starts, np.int64)),
+                                   pa.array([of[k:k + block] for k in starts], pa.list_(pa.int64()))], names=["size", "block", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        keys = lambda: pa.record_batch([pa.array(signed(shared.value[now[0] - 1][now[1]:now[1] + block])), pa.array(total)], names=["key", "n"])
+        for batch in batches:
+            for i, at in enumerate(zip(batch["size"].to_pylist(), batch["block"].to_pylist())):
+                if at != now and now:
+                    yield keys()
+                total = batch["n"][i].values.to_numpy() + (total if at == now else 0)
+                now = at
+        if now:
+            yield keys()
 
-def _phrases(lang: list[str], phrase: list[bytes], m: int, n: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
-    return pa.record_batch([
-        pa.array(lang, pa.string()), pa.array(np.full(len(lang), m, np.int8)),
-        pa.nulls(len(lang), pa.int64()) if key is None else pa.array(signed(key)),
-        pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "size", "key", "phrase", "n"])
+    parts = docs.mapInArrow(run, "size byte, block long, n array<long>")
+    return parts.repartition("size", "block").sortWithinPartitions("size", "block").mapInArrow(added, "key long, n long")
 
 
 def joined(docs: DataFrame, wanted: DataFrame, longest: int = LONGEST, bits: int = BITS) -> DataFrame:
@@ -287,18 +365,16 @@ def joined(docs: DataFrame, wanted: DataFrame, longest: int = LONGEST, bits: int
         for batch in batches:
             number, names = _languages(batch["lang"])
             for found in words(batch["text"], number, language_salts(names)):
-                text, before = found.data.tobytes(), None
+                before = None
                 for m in range(1, longest + 1):
                     before, _ = _hits(found, m, before, marked)
                     if not len(before):
                         break
-                    keys, first, n = np.unique(_keys(found.key, before, m), return_index=True, return_counts=True)
-                    spot = before[first].tolist()
-                    yield _phrases([names[k] for k in found.lang[spot].tolist()], [_phrase(found, text, i, m) for i in spot], m, n, keys)
+                    keys, n = np.unique(_keys(found.key, before, m), return_counts=True)
+                    yield pa.record_batch([pa.array(signed(keys)), pa.array(n)], names=["key", "n"])
 
-    every = docs.mapInArrow(run, "lang string, size byte, key long, phrase string, n long")
-    every = every.groupBy("lang", "size", "key", "phrase").agg(F.sum("n").alias("n"))
-    return every.join(wanted, ["lang", "size", "key"], "left_semi").select("lang", "phrase", "size", "n")
+    every = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return every.join(wanted.select("key"), "key", "left_semi")
 
 
 def frequent(docs: DataFrame, totals: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard: int = SHARD,
@@ -309,8 +385,12 @@ def frequent(docs: DataFrame, totals: DataFrame, support: int = SUPPORT, longest
     """
     local = stored(mined(docs, totals, support, longest, shard), "local")
     wanted = stored(candidates(local, support), "candidates")
-    found = counted(docs, wanted, longest) if wanted.count() <= travel else joined(docs, wanted, longest)
-    return found.where(F.col("n") >= support)
+    counts = counted(docs, wanted, longest) if wanted.count() <= travel else joined(docs, wanted, longest)
+    found = stored(wanted.join(counts.where(F.col("n") >= support), "key"), "counts")
+    spelt = found.where("size = 1").select(F.col("key").alias("part"), F.col("text").alias("word"))
+    return (found.select("lang", "key", "size", "n", F.posexplode("parts").alias("at", "part")).join(spelt, "part")
+            .groupBy("lang", "key", "size", "n").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+            .select("lang", F.array_join("w.word", " ").alias("phrase"), "size", "n"))
 
 
 def scored(phrases: DataFrame, totals: DataFrame, covered: int = COVERED, first: int = FIRST) -> DataFrame:

@@ -79,12 +79,12 @@ def test_options(spark):
 
 def test_marks_of_a_small_bitmap_lose_nothing(spark):
     rows = rows_of(6)
-    docs = collocations.texts_of(spark.createDataFrame(rows, "text string, lang string"))
+    docs = collocations.texts_of(spark.createDataFrame(rows, "text string, lang string").repartition(6))
     totals = collocations.word_counts(docs)
-    wanted = collocations.candidates(collocations.mined(docs, totals, 10, shard=200), 10).cache()
-    same = [sorted(tuple(r) for r in f.select("lang", "phrase", "size", "n").collect())
-            for f in (collocations.counted(docs, wanted), collocations.joined(docs, wanted, bits=3), collocations.joined(docs, wanted))]
-    assert same[0] == same[1] == same[2] and same[0]
+    wanted = collocations.candidates(collocations.mined(docs, totals, 10, shard=200, room=500), 10).cache()
+    same = [sorted((r.key, r.n) for r in f.collect() if r.n)
+            for f in (collocations.counted(docs, wanted, block=3), collocations.joined(docs, wanted, bits=4), collocations.joined(docs, wanted))]
+    assert same[0] == same[1] == same[2] and len(same[0]) > 20
 
 
 def test_shards_name_every_frequent_phrase(spark):
@@ -94,9 +94,27 @@ def test_shards_name_every_frequent_phrase(spark):
     totals = collocations.word_counts(docs)
     assert {(r.lang, r.n) for r in totals.collect() if r.n} == {
         (lang, sum(len(w) for t, of in rows if (of or "und") == lang for w in pieces(t))) for lang in ("en", "de", "und", "es")}
-    local = collocations.mined(docs, totals, 20, shard=300).cache()
-    assert local.where("size = 0 and lang = 'en'").count() > 5
-    assert local.where("size > 0 and n < least").isEmpty() and local.where("least > 1").count() > 0
+    local = collocations.mined(docs, totals, 20, shard=300, room=1000).cache()
+    assert local.where("bucket = 0 and lang = 'en'").count() == 12 and local.where("bucket > 0").count() > 0
+    assert local.where("exists(n, x -> x < least)").isEmpty() and local.where("least > 1").count() > 0
+    named = {tuple(r.parts) for r in collocations.candidates(local, 20).collect()}
+    size = {}
+    for t, lang in rows:
+        for w in pieces(t):
+            for m in range(1, 6):
+                for i in range(len(w) - m + 1):
+                    size[lang or "und", tuple(w[i:i + m])] = size.get((lang or "und", tuple(w[i:i + m])), 0) + 1
+    assert len(named) >= sum(n >= 20 for n in size.values())
+
+
+def test_no_shard_is_a_small_rest():
+    texts = pa.array([f"a{k} b c" for k in range(400)])
+    held, sizes = collocations.Shard(50), []
+    held.numbers(["en"])
+    for found in collocations.words(texts, np.zeros(400, np.int64), collocations.language_salts(["en"]), 30):
+        if full := held.add(found):
+            sizes.append(sum(len(w.start) for w in full))
+    assert sum(sizes) + held.size == 1200 and all(50 <= n < 100 for n in sizes) and 50 <= held.size < 110
 
 
 def test_scores_past_64_bits(spark):
