@@ -10,7 +10,7 @@ from mailspark.streaming import jobs
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _stream(spark: SparkSession, folder: str) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.read_stream(pin_utc(spark), folder, "events", _EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -20,7 +20,7 @@ def _finish(query) -> None:
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Every event arrives, every fourth a second time: the table holds each uid once."""
-    stream = _stream(spark, folder)
+    stream = event_stream(spark, folder)
     copies = F.when(F.col("event_id") % 4 == 0, 2).otherwise(1)
     twice = stream.withColumn("_n", F.explode(F.sequence(F.lit(1), copies))).select(
         F.lit("a").alias("account"), F.col("event_type").alias("folder"), F.lit(1).cast("long").alias("uid_validity"),
@@ -34,7 +34,7 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 def stream_delay_queue(spark: SparkSession, folder: str) -> DataFrame:
     """Even events queue an item for later, odd ones withdraw it; time is the last event's."""
     e = F.col("event_id")
-    ops = _stream(spark, folder).select(
+    ops = event_stream(spark, folder).select(
         F.floor(e / 2).alias("queue_id"), F.when(e % 2 == 0, "queue").otherwise("cancel").alias("op"),
         F.when(e % 2 == 0, F.col("ts") + F.make_dt_interval(mins=(e % 90).cast("int"))).otherwise(F.col("ts")).alias("at"),
         "ts")
@@ -46,14 +46,14 @@ def stream_delay_queue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_daily_digest(spark: SparkSession, folder: str) -> DataFrame:
-    counts = jobs.daily_counts(_stream(spark, folder), "ts", by=["event_type"])
+    counts = jobs.daily_counts(event_stream(spark, folder), "ts", by=["event_type"])
     base = jobs.shared_folder(spark, "daily")
     _finish(jobs.to_batches(counts, f"{base}/table", f"{base}/log", mode="update"))
     return jobs.latest_per_key(spark.read.parquet(f"{base}/table"), ["day", "event_type"])
 
 
 def stream_sliding_audit(spark: SparkSession, folder: str) -> DataFrame:
-    counts = jobs.sliding_counts(_stream(spark, folder), "ts", failed=F.count_if(F.col("event_type") == "error"))
+    counts = jobs.sliding_counts(event_stream(spark, folder), "ts", failed=F.count_if(F.col("event_type") == "error"))
     base = jobs.shared_folder(spark, "audit")
     _finish(jobs.to_batches(counts, f"{base}/table", f"{base}/log", mode="update"))
     latest = jobs.latest_per_key(spark.read.parquet(f"{base}/table"), ["window_end"])
