@@ -138,7 +138,9 @@ def _copies_within(staged: DataFrame) -> DataFrame:
     """
     hashed = F.when(F.length("body_sha256") > 0, F.col("body_sha256"))
     named = F.when(F.length("normalized_message_id") > 0, F.col("normalized_message_id"))
-    rest = checkpointed(staged.where("_first = 'new'").select("account", hashed.alias("_h"), named.alias("_m"), "_place"))
+    # a message without body and without id is like no other, and new as it is
+    rest = checkpointed(staged.where("_first = 'new'").where(hashed.isNotNull() | named.isNotNull()).select(
+        "account", hashed.alias("_h"), named.alias("_m"), "_place"))
     settled: list[DataFrame] = []
     while not rest.isEmpty():
         by_hash = rest.where("_h is not null").groupBy("account", "_h").agg(F.min("_place").alias("h_first"))
