@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from mailspark.functions.common import casefold, local_day, local_time
 from mailspark.operators.rules import DEFAULT_ZONE
-
-_MATCH = "name string, cand_ord long, exp_ord long"
+from mailspark.session import checkpointed
 
 
 def match_truth(candidates: DataFrame, expected: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
     """(name, cand_ord, exp_ord) of candidates that hit an expected event.
 
     candidates: name, cand_ord, title, evidence, start_ts. expected: name, exp_ord, title_contains, start_date,
-    start_time, tolerance_minutes. A match needs the same local date, so (name, date) is the unit of work, and
-    slot-deduplicated candidates bound it by the minutes of a day. Inside it the first candidate takes the
-    first expected event that fits.
+    start_time, tolerance_minutes. A match needs the same local date. The first candidate takes the first expected
+    event that fits.
     """
     left = candidates.where(F.col("start_ts").isNotNull()).select(
         "name", local_day(F.col("start_ts"), tz).alias("day"), F.col("cand_ord").cast("long").alias("cand_ord"),
@@ -31,21 +30,27 @@ def match_truth(candidates: DataFrame, expected: DataFrame, tz: str = DEFAULT_ZO
         F.greatest(F.coalesce("tolerance_minutes", F.lit(0)), F.lit(0)).alias("tolerance"))
     fits = (F.contains(F.col("hay"), F.col("word"))
             & (F.col("wanted").isNull() | (F.abs(F.col("clock") - F.col("wanted")) <= F.col("tolerance"))))
-    pairs = left.join(right, ["name", "day"]).where(fits).select("name", "day", "cand_ord", "exp_ord")
-
-    def first_come(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["cand_ord"].to_pylist(), table["exp_ord"].to_pylist()))
-        taken: dict[int, int] = {}
-        used: set[int] = set()
-        for cand, exp in rows:
-            if cand not in taken and exp not in used:
-                taken[cand] = exp
-                used.add(exp)
-        return pa.table({"name": pa.array([table["name"][0].as_py()] * len(taken), pa.string()),
-                         "cand_ord": pa.array(list(taken), pa.int64()),
-                         "exp_ord": pa.array(list(taken.values()), pa.int64())})
-
-    return pairs.groupBy("name", "day").applyInArrow(first_come, _MATCH)
+    pairs = left.join(right, ["name", "day"]).where(fits).select("name", "cand_ord", "exp_ord")
+    return first_come(pairs)
+
+
+def first_come(pairs: DataFrame) -> DataFrame:
+    """(name, cand_ord, exp_ord) that remain where each candidate in its order takes the first expected event left.
+
+    In rounds: a pair that is first for both of its sides is final, and all other pairs of the two leave. A candidate's
+    first pair waits only for earlier candidates that fit the same event, so a round ends all of them that nobody
+    precedes; groups of any size go on side by side. Each round ends in a checkpoint. Equal pairs count once.
+    """
+    rest, found = checkpointed(pairs.distinct()), []
+    while not rest.isEmpty():
+        by_cand = rest.groupBy("name", "cand_ord").agg(F.min("exp_ord").alias("_exp"))
+        by_exp = rest.groupBy("name", "exp_ord").agg(F.min("cand_ord").alias("_cand"))
+        final = checkpointed(rest.join(by_cand, ["name", "cand_ord"]).join(by_exp, ["name", "exp_ord"])
+                             .where("exp_ord = _exp and cand_ord = _cand").select("name", "cand_ord", "exp_ord"))
+        found.append(final)
+        rest = checkpointed(rest.join(final.select("name", "cand_ord"), ["name", "cand_ord"], "left_anti")
+                            .join(final.select("name", "exp_ord"), ["name", "exp_ord"], "left_anti"))
+    return reduce(DataFrame.unionByName, found) if found else rest
 
 
 def per_sample(samples: DataFrame, candidates: DataFrame, expected: DataFrame, matches: DataFrame) -> DataFrame:

@@ -64,12 +64,12 @@ def compare(local: DataFrame, remote: DataFrame, key: str = pl.OWNER_KEY) -> Dat
             "differences", F.expr("cast(array() as array<struct<field:string,mine:string,theirs:string>>)"))))
 
 
-def push_plan(events: DataFrame, payloads: DataFrame, limit: int | None = 10, not_found_policy: str = "pending",
+def push_plan(events: DataFrame, payloads: DataFrame, limit: int | None = None, not_found_policy: str = "pending",
               tz: str = DEFAULT_ZONE, key: str = pl.OWNER_KEY) -> DataFrame:
     """What a push would do to each approved event: create, backfill, update, skip, freeze, missing or recreate.
 
     An event without an external id whose mark is already out there is adopted instead of written twice. A run
-    takes the first ``limit`` by start; ``limit_hit`` rows wait.
+    takes all of them, or the first ``limit`` by start; ``limit_hit`` rows wait.
     """
     approved = events.where("status = 'approved'")
     due = approved if limit is None else approved.orderBy(F.asc_nulls_first("start_ts"), "id").limit(limit)

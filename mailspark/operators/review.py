@@ -37,13 +37,14 @@ def split_reason(evidence: Column) -> tuple[Column, Column]:
     return F.when(marked, reason).otherwise(F.lit("")), F.when(marked, rest).otherwise(text)
 
 
-def review_items(events: DataFrame, messages: DataFrame, statuses: tuple[str, ...] = ("pending",), limit: int = 100,
-                 since: Column | None = None) -> DataFrame:
-    """Events with their message, soonest first. The page is cut before the join, so only its rows travel."""
+def review_items(events: DataFrame, messages: DataFrame, statuses: tuple[str, ...] = ("pending",),
+                 limit: int | None = None, since: Column | None = None) -> DataFrame:
+    """Events with their message, soonest first. A page of ``limit`` is cut before the join, so only its rows travel."""
     page = events.where(F.col("status").isin(*statuses))
     if since is not None:
         page = page.where(F.col("created_at") >= since)
-    page = page.orderBy(F.asc_nulls_first("start_ts"), "id").limit(limit)
+    if limit is not None:
+        page = page.orderBy(F.asc_nulls_first("start_ts"), "id").limit(limit)
     mail = messages.select(F.col("id").alias("message_id"), F.col("subject").alias("mail_subject"),
                            F.col("from_addr").alias("mail_from"), F.col("received_at").alias("mail_received"))
     reason, evidence = split_reason(F.col("evidence"))
@@ -88,7 +89,7 @@ def sibling_rows(page: DataFrame, events: DataFrame, tz: str = DEFAULT_ZONE,
                         F.when(far & ~F.col("all_day"), "conflict").otherwise("sibling").alias("kind"))
 
 
-def review_page(events: DataFrame, messages: DataFrame, limit: int = 100, **options) -> tuple[DataFrame, DataFrame]:
+def review_page(events: DataFrame, messages: DataFrame, limit: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(review items with their numbers of conflicts and siblings, the rows behind these numbers)."""
     items = review_items(events, messages, limit=limit, **options)
     behind = sibling_rows(items, events)
@@ -292,9 +293,10 @@ def push_window(pushes: DataFrame, events: DataFrame, now: Column, within_minute
     return due.join(events, "id").orderBy("scheduled_for", "queue_id")
 
 
-def due_pushes(pushes: DataFrame, now: Column, limit: int = 100) -> DataFrame:
-    ready = pushes.where((F.col("state") == "queued") & (F.col("scheduled_for") <= now))
-    return ready.orderBy("scheduled_for", "id").limit(limit)
+def due_pushes(pushes: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """Queued pushes whose time has come, the earliest first; all of them without a limit."""
+    ready = pushes.where((F.col("state") == "queued") & (F.col("scheduled_for") <= now)).orderBy("scheduled_for", "id")
+    return ready if limit is None else ready.limit(limit)
 
 
 def dispatch(pushes: DataFrame, events: DataFrame, now: Column, limit: int | None = None) -> DataFrame:

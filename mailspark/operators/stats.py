@@ -10,10 +10,9 @@ from mailspark import lexicon as lx
 from mailspark.functions.headers import is_seen
 
 
-def count_by(df: DataFrame, key: str, section: str, unknown: str | None = None) -> DataFrame:
+def count_by(df: DataFrame, key: str, section: str) -> DataFrame:
     """(section, key, n) rows of one grouped count."""
-    value = F.col(key) if unknown is None else F.coalesce(F.col(key), F.lit(unknown))
-    return df.groupBy(value.cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(
+    return df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(section).alias("section"), "key", "n")
 
 
@@ -25,24 +24,49 @@ def totals(df: DataFrame, section: str, **counts: Column) -> DataFrame:
         "section", "r.*")
 
 
+def sections(df: DataFrame, by: dict[str, tuple[str, str | None]] | None = None, **totals: dict[str, Column]) -> DataFrame:
+    """(section, key, n) rows of several grouped counts and several conditional counts, taken in one scan.
+
+    by: section to (column, name of its nulls); totals: section to named aggregates over all rows. Each grouping is
+    one set of GROUPING SETS, so a row is read once and each task sends one row for each group. An empty table has
+    its totals, all 0.
+    """
+    by = by or {}
+    keyed = df.select("*", *[(F.col(c) if name is None else F.coalesce(F.col(c), F.lit(name))).cast("string").alias(f"_{section}")
+                             for section, (c, name) in by.items()])
+    keys = [f"_{section}" for section in by]
+    named = [(section, k, c) for section, counts in totals.items() for k, c in counts.items()]
+    grouped = keyed.groupingSets([*([k] for k in keys), []], *keys) if keys else keyed.groupBy()
+    counted = grouped.agg(*[F.grouping(k).alias(f"_of{k}") for k in keys], F.count(F.lit(1)).alias("_n"),
+                          *[c.cast("long").alias(f"_t{i}") for i, (_, _, c) in enumerate(named)])
+    entry = lambda section, key, n: F.struct(F.lit(section).alias("section"), key.alias("key"), n.alias("n"))
+    whole = F.array(*[entry(section, F.lit(k), F.col(f"_t{i}")) for i, (section, k, _) in enumerate(named)])
+    rows = F.lit(None) if not named else whole
+    for section in reversed(by):
+        rows = F.when(F.col(f"_of_{section}") == 0, F.array(entry(section, F.col(f"_{section}"), F.col("_n")))).otherwise(rows)
+    found = counted.select(F.explode(rows).alias("r")).select("r.*")
+    if not (keys and named):
+        return found
+    none = F.array(*[entry(section, F.lit(k), F.lit(0).cast("long")) for section, k, _ in named])
+    zeros = df.sparkSession.range(1).select(F.explode(none).alias("r")).select("r.*")
+    return found.unionByName(zeros).groupBy("section", "key").agg(F.sum("n").alias("n"))
+
+
 def snapshot(messages: DataFrame, processed: DataFrame, events: DataFrame, pushes: DataFrame, threads: DataFrame,
              senders: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every figure of the statistics report as (section, key, n)."""
+    """Every figure of the statistics report as (section, key, n), in one scan of each table."""
     every = F.count(F.lit(1))
     parts = [
-        totals(messages, "messages", total=every, with_ics=F.count_if("has_ics"),
-               with_unsubscribe=F.count_if("has_unsubscribe")),
-        count_by(messages, "extract_status", "messages_by_extract_status"),
-        totals(senders, "senders", total=every),
-        count_by(processed, "status", "sync_by_status"),
-        count_by(events, "status", "events_by_status"), count_by(events, "source", "events_by_source"),
-        totals(events, "events", needs_attention=F.count_if("needs_attention"),
-               pending_review=F.count_if(F.col("status") == "pending"),
-               auto_pushable=F.count_if(F.col("status") == "approved")),
-        totals(pushes, "pushes", pending_window=F.count_if(F.col("state") == "queued")),
-        totals(threads, "threads", total=every),
-        count_by(threads, "link_strength", "threads_by_strength", "unknown"),
-        totals(runs, "runs", total=every, failed=F.count_if(~F.col("ok"))),
+        sections(messages, {"messages_by_extract_status": ("extract_status", None)}, messages={
+            "total": every, "with_ics": F.count_if("has_ics"), "with_unsubscribe": F.count_if("has_unsubscribe")}),
+        sections(senders, senders={"total": every}),
+        sections(processed, {"sync_by_status": ("status", None)}),
+        sections(events, {"events_by_status": ("status", None), "events_by_source": ("source", None)}, events={
+            "needs_attention": F.count_if("needs_attention"), "pending_review": F.count_if(F.col("status") == "pending"),
+            "auto_pushable": F.count_if(F.col("status") == "approved")}),
+        sections(pushes, pushes={"pending_window": F.count_if(F.col("state") == "queued")}),
+        sections(threads, {"threads_by_strength": ("link_strength", "unknown")}, threads={"total": every}),
+        sections(runs, runs={"total": every, "failed": F.count_if(~F.col("ok"))}),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -67,7 +91,7 @@ MAILBOX_FILTERS = ("all", "unread", "with_events", "no_events", "extract_failed"
 
 
 def mailbox(messages: DataFrame, events: DataFrame, which: str = "all", search: str | None = None,
-            limit: int | None = 300) -> DataFrame:
+            limit: int | None = None) -> DataFrame:
     """The mail list: one of seven filters, an optional search, newest first, with each row's event count."""
     rows = messages
     owners = events.select(F.col("message_id").alias("id"))

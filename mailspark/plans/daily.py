@@ -32,7 +32,7 @@ class Settings:
     own_addresses: list[str] = field(default_factory=list)
     tz: str = DEFAULT_ZONE
     sync_budget: int | None = None
-    push_limit: int | None = 10
+    push_limit: int | None = None
     push_delay_minutes: int = 30
     push_max_attempts: int = 3
     not_found_policy: str = "pending"

@@ -31,7 +31,7 @@ LONGS = {
     "run_errors": "exit_code", "payload_hash_diff": "same", "removal_actions": "id_sum", "push_effects": "needs_attention",
     "failure_escalation": "needs_attention", "thread_rebuild": "is_ghost",
     "thread_stats": "orphaned_by_missing_id cycles_broken", "weak_subject_merge": "by_subject", "audit_suspicion": "level",
-    "audit_report_lines": "n_lines", "calendar_listing": "all_day", "parse_messages": "has_unsubscribe",
+    "noise_components": "senders messages unread listed", "audit_report_lines": "n_lines", "calendar_listing": "all_day", "parse_messages": "has_unsubscribe",
     "parse_html_messages": "had_html", "parse_ics": "all_day cancelled", "stream_ingest": "uid_sum",
 }
 

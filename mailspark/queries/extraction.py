@@ -168,12 +168,30 @@ def eval_metrics(spark: SparkSession, folder: str) -> DataFrame:
         F.round("auto_push_accuracy", 6).alias("auto_push_accuracy"))
 
 
+def greedy_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as candidates of a customer group and day, purchases as truth: many of either in a day, with close hours."""
+    k = F.col("o_orderkey")
+    day = lambda c: F.date_add(F.lit("2026-01-01"), (c % 5).cast("int"))
+    orders = load(spark, folder, "orders")
+    cand = orders.select(
+        (F.col("o_custkey") % 40).cast("string").alias("name"), k.alias("cand_ord"), F.concat(F.lit("Call "), (k % 3).cast("string")).alias("title"),
+        F.lit(None).cast("string").alias("evidence"),
+        (F.to_timestamp(F.date_format(day(F.col("o_custkey")), "yyyy-MM-dd")) + F.make_dt_interval(mins=(k % 720).cast("int"))).alias("start_ts"))
+    e = F.col("event_id")
+    truth = load(spark, folder, "events").where("event_type = 'purchase'").select(
+        (F.col("user_id") % 40).cast("string").alias("name"), e.alias("exp_ord"), F.concat(F.lit("CALL "), (e % 3).cast("string")).alias("title_contains"),
+        day(F.col("user_id")).alias("start_date"), F.date_format(F.timestamp_seconds(F.lit(28800) + (e * 7 % 720) * 60), "HH:mm").alias("start_time"),
+        F.lit(45).alias("tolerance_minutes"))
+    return ev.match_truth(cand, truth)
+
+
 QUERIES = {
     "prefilter_verdicts": prefilter_verdicts, "rule_hits_iso": rule_hits_iso, "year_inference": year_inference,
     "relative_weekday": relative_weekday, "confidence_gate": confidence_gate,
     "review_reasons_daily": review_reasons_daily, "slot_dedupe": slot_dedupe, "conflict_marks": conflict_marks,
     "merged_evidence": merged_evidence, "outcome_summary": outcome_summary, "extract_statistics": extract_statistics,
     "llm_response_normalise": llm_response_normalise, "ics_gate": ics_gate, "eval_metrics": eval_metrics,
+    "greedy_matches": greedy_matches,
 }
 
 _P = r"string_split_regex(body_excerpt, '\n\s*\n')"
@@ -324,6 +342,17 @@ r AS (SELECT k, concat_ws('；', CASE WHEN k % 4 = 1 THEN '{lx.ICS_CANCEL}' END,
   CASE WHEN m = 'REPLY' THEN '{lx.ICS_REPLY}' WHEN s IS NULL THEN '{lx.ICS_MISSING_DTSTART}' END) AS why FROM e)
 SELECT k AS message_id, CAST(CASE WHEN why = '' THEN 0.99 ELSE 0.9 END AS DOUBLE) AS confidence,
   CASE WHEN why = '' THEN 0 ELSE 1 END AS requires_review, why AS review_reason FROM r""",
+    "greedy_matches": """
+WITH RECURSIVE c AS (SELECT o_custkey % 40 AS name, o_custkey % 5 AS day, o_orderkey AS cand_ord, o_orderkey % 3 AS word, o_orderkey % 720 AS clock FROM orders),
+t AS (SELECT user_id % 40 AS name, user_id % 5 AS day, event_id AS exp_ord, event_id % 3 AS word, event_id * 7 % 720 AS clock
+  FROM events WHERE event_type = 'purchase'),
+fits AS (SELECT c.name, c.day, c.cand_ord, list(t.exp_ord ORDER BY t.exp_ord) AS f, row_number() OVER (PARTITION BY c.name, c.day ORDER BY c.cand_ord) AS i
+  FROM c JOIN t ON t.name = c.name AND t.day = c.day AND t.word = c.word AND abs(t.clock - c.clock) <= 45 GROUP BY c.name, c.day, c.cand_ord),
+steps AS (SELECT name, day, i, cand_ord, f[1] AS exp_ord, [f[1]] AS used FROM fits WHERE i = 1
+  UNION ALL SELECT n.name, n.day, n.i, n.cand_ord, list_filter(n.f, lambda x: NOT list_contains(s.used, x))[1],
+    list_concat(s.used, list_filter(n.f, lambda x: NOT list_contains(s.used, x))[1:1])
+  FROM steps s JOIN fits n ON n.name = s.name AND n.day = s.day AND n.i = s.i + 1)
+SELECT CAST(name AS VARCHAR) AS name, cand_ord, exp_ord FROM steps WHERE exp_ord IS NOT NULL""",
     "eval_metrics": """
 WITH m AS (SELECT (SELECT count(*) FROM labels WHERE quality = 1) AS expected,
   count(*) AS candidates, count(*) FILTER (quality = 1) AS matched,

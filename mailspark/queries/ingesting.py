@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailspark.functions.common import flag, iso_utc
-from mailspark.operators import ingest as ig
+from mailspark.operators import ingest as ig, reread
 from mailspark.operators.stats import first_errors, sync_stats, worst_exit
 from mailspark.queries.views import MAIL_EVENTS, NOW, mail_events, mail_orders, MAIL_ORDERS, now, with_ctes
 from mailspark.sources.tables import load
+from mailspark.streaming.jobs import shared_folder
 
 _ORDER = ("click", "error", "purchase", "signup", "view")
 
@@ -64,6 +65,19 @@ def compensation_due(spark: SparkSession, folder: str) -> DataFrame:
     return ig.compensation_due(state, now(), scans=20).select("folder", flag(F.col("due")).alias("due"))
 
 
+def compensating_reread(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 37th message was lost below the cursor; due folders read the last 20 days of the raw store again."""
+    mail = mail_events(spark, folder).withColumn("received_day", F.to_date("received_at"))
+    path = shared_folder(spark, "raw")
+    (mail.select("account", "folder", "uid_validity", "uid", "received_at", "received_day")
+     .repartition("received_day").write.partitionBy("received_day").parquet(path))
+    state = _state(mail).withColumn("syncs_since_full", F.when(F.col("folder").isin("click", "view"), 20).otherwise(3))
+    due = ig.compensation_due(state, now(), scans=20).where("due")
+    since = mail.agg(F.date_sub(F.max("received_day"), 19)).scalar()
+    raw = spark.read.parquet(path)
+    return reread.lost_messages(raw, mail.where("id % 37 <> 0"), due, since).select("folder", "uid")
+
+
 def epoch_stale(spark: SparkSession, folder: str) -> DataFrame:
     mail = mail_events(spark, folder)
     marked = ig.mark_stale(mail.withColumn("stale", F.col("id") % 50 == 0), ig.folder_cursor(_folders(mail), _state(mail)))
@@ -163,7 +177,7 @@ def run_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "incremental_cursor": incremental_cursor, "incremental_taken": incremental_taken,
-    "budget_across_folders": budget_across_folders, "compensation_due": compensation_due, "epoch_stale": epoch_stale,
+    "budget_across_folders": budget_across_folders, "compensation_due": compensation_due, "compensating_reread": compensating_reread, "epoch_stale": epoch_stale,
     "moved_messages": moved_messages, "arrival_actions": arrival_actions, "reactivate_moved": reactivate_moved,
     "ingest_ledger": ingest_ledger, "claim_reclaim": claim_reclaim, "claim_next": claim_next,
     "attempt_results": attempt_results, "contact_replies": contact_replies, "sync_rollup": sync_rollup,
@@ -207,6 +221,8 @@ ORACLES = {
 LEFT JOIN (SELECT * FROM taken ORDER BY ord, uid LIMIT 2000) t USING (folder) GROUP BY c.folder, cur""", MAIL_EVENTS, _CURSORS),
     "compensation_due": """SELECT c_name AS folder, CASE WHEN c_custkey % 25 >= 20 OR (c_custkey % 3 <> 0 AND c_custkey % 50 > 24) THEN 1 ELSE 0 END AS due
 FROM customer""",
+    "compensating_reread": """SELECT event_type AS folder, event_id AS uid FROM events
+WHERE event_type IN ('click', 'view') AND event_id % 37 = 0 AND ts::DATE >= (SELECT max(ts)::DATE - 19 FROM events)""",
     "epoch_stale": with_ctes("""SELECT folder, count(*) FILTER (folder = 'error' OR id % 50 = 0) AS stale,
   count(*) FILTER (NOT (folder = 'error' OR id % 50 = 0)) AS live FROM mail_events GROUP BY 1""", MAIL_EVENTS),
     "moved_messages": with_ctes("""SELECT folder, count(*) FILTER (id % 40 = 0 OR (uid % 9 = 0 AND folder <> 'view')) AS moved

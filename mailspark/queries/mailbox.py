@@ -11,6 +11,7 @@ from mailspark.operators import ingest, readstate, stats
 from mailspark.queries.views import (CAL_EVENTS, CAL_PUSHES, MAIL_EVENTS, MAIL_ORDERS, cal_events, cal_pushes,
                                      mail_events, mail_orders, sql_any, with_ctes)
 from mailspark import lexicon as lx
+from mailspark.operators.clusters import noise_components as noise
 from mailspark.sources.tables import load
 
 
@@ -42,6 +43,23 @@ def noise_clusters(spark: SparkSession, folder: str) -> DataFrame:
                         iso_utc(F.col("last_seen_at")).alias("last_seen_at"))
 
 
+def noise_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Senders of a few dozen domains; some share a list, some an unsubscribe link that differs in its tracking."""
+    e, u = F.col("event_id"), F.col("user_id")
+    text = lambda c: c.cast("string")
+    link = (F.when((e % 11 == 0) & (u % 4 == 0), F.concat(F.lit("https://www.Leave"), text(u % 60), F.lit(".example/u/?id="), text(e)))
+            .when((e % 11 == 1) & (u % 6 == 0), F.concat(F.lit("mailto:off"), text(u % 36), F.lit("@x.example?subject="), text(e))))
+    mail = load(spark, folder, "events").select(
+        F.concat(F.lit("User"), text(u), F.lit("@D"), text(u % 90), F.lit(".example")).alias("from_addr"), link.alias("unsubscribe"),
+        F.when((F.col("event_type") == "error") & (u % 5 == 0), F.concat(F.lit("List"), text(u % 45))).alias("list_id"),
+        F.when(F.col("value") > 10, F.array(F.lit("\\Seen"))).otherwise(F.expr("cast(array() as array<string>)")).alias("flags"),
+        F.col("ts").alias("received_at"))
+    contacts = load(spark, folder, "events").where("event_type = 'purchase' and user_id % 7 = 0").select(
+        F.concat(F.lit("user"), text(u), F.lit("@d"), text(u % 90), F.lit(".example")).alias("addr"), F.lit(1).alias("replied_count"))
+    return noise(mail, contacts).select("cluster", "senders", "messages", "unread", "listed", F.coalesce("target", F.lit("")).alias("target"),
+                                        iso_utc(F.col("last_seen_at")).alias("last_seen_at"))
+
+
 def stats_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     mail, events = mail_orders(spark, folder), cal_events(spark, folder)
     processed = mail_events(spark, folder).select(F.when(F.col("folder") == "error", "fetch_failed").otherwise(
@@ -111,7 +129,7 @@ def epoch_guard(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "sender_rollup": sender_rollup, "merged_senders": merged_senders, "top_senders": top_senders,
-    "noise_clusters": noise_clusters, "stats_snapshot": stats_snapshot, "mailbox_filters": mailbox_filters,
+    "noise_clusters": noise_clusters, "noise_components": noise_components, "stats_snapshot": stats_snapshot, "mailbox_filters": mailbox_filters,
     "mailbox_page": mailbox_page, "recent_messages": recent_messages, "message_events": message_events,
     "labelled_events": labelled_events, "mark_read_resolved": mark_read_resolved,
     "mark_read_processed": mark_read_processed, "mark_read_undo": mark_read_undo, "epoch_guard": epoch_guard,
@@ -144,6 +162,19 @@ SELECT coalesce(list_id, split_part(lower(from_addr), '@', 2)) AS cluster, count
   strftime(max(received_at), '%Y-%m-%dT%H:%M:%SZ') AS last_seen_at
 FROM mail_events WHERE lower(from_addr) NOT IN (SELECT 'user' || user_id || '@d' || (user_id % 9) || '.example' FROM events
   WHERE event_type = 'purchase' AND user_id % 3 > 0) GROUP BY 1""", MAIL_EVENTS),
+    "noise_components": """
+WITH RECURSIVE m AS (SELECT 'user' || user_id || '@d' || (user_id % 90) || '.example' AS node, event_id, user_id, value, ts,
+    CASE WHEN event_id % 11 = 0 AND user_id % 4 = 0 THEN 'leave' || (user_id % 60) || '.example/u'
+      WHEN event_id % 11 = 1 AND user_id % 6 = 0 THEN 'off' || (user_id % 36) || '@x.example' END AS target,
+    CASE WHEN event_type = 'error' AND user_id % 5 = 0 THEN 'list' || (user_id % 45) END AS list
+  FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 7 = 0)),
+pairs AS (SELECT DISTINCT node, unnest(list_filter(['t' || target, 'l' || list, 'd' || (user_id % 90)], lambda x: x IS NOT NULL)) AS key FROM m),
+reach(node, other) AS (SELECT DISTINCT node, node FROM m
+  UNION SELECT r.node, b.node FROM reach r JOIN pairs a ON a.node = r.other JOIN pairs b ON b.key = a.key),
+roots AS (SELECT node, min(other) AS cluster FROM reach GROUP BY 1)
+SELECT cluster, count(DISTINCT node) AS senders, count(*) AS messages, count(*) FILTER (NOT coalesce(value > 10, false)) AS unread,
+  count(list) AS listed, coalesce(min(target), '') AS target, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_seen_at
+FROM m JOIN roots USING (node) GROUP BY 1""",
     "stats_snapshot": with_ctes("""
 SELECT 'messages' AS section, 'total' AS key, count(*) AS n FROM mail_orders
 UNION ALL SELECT 'messages', 'with_ics', count(*) FILTER (has_ics) FROM mail_orders
