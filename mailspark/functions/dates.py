@@ -22,6 +22,10 @@ def to_int(digits: Column) -> Column:
     return nonempty(F.translate(digits, _WIDE_DIGITS, "0123456789")).cast("int")
 
 
+def _cn_digits(text: Column) -> Column:
+    return F.translate(text, "".join(lx.CN_NUMERALS), "".join(lx.CN_NUMERALS.values()))
+
+
 def cn_number(text: Column) -> Column:
     """1 to 99 in Chinese numerals: tens notation, or digits read one by one; null when malformed."""
     def value(digits: Column) -> Column:
@@ -30,11 +34,11 @@ def cn_number(text: Column) -> Column:
         return F.when(full.rlike(r"^\d十\d$"), F.replace(full, F.lit("十"), F.lit("")).cast("int")).when(
             digits.rlike(r"^\d{1,2}$"), digits.cast("int"))
 
-    return let(F.translate(text, lx.CN_NUMERALS, lx.CN_NUMERAL_VALUES), value)
+    return let(_cn_digits(text), value)
 
 
 def cn_year(text: Column) -> Column:
-    digits = F.translate(text, lx.CN_NUMERALS, lx.CN_NUMERAL_VALUES)
+    digits = _cn_digits(text)
     return nonempty(F.regexp_extract(digits, r"^(?:19|2\d)\d\d$", 0)).cast("int")
 
 

@@ -14,78 +14,73 @@ START = datetime(2026, 1, 1)
 # --- threads --------------------------------------------------------------------------------------------------
 
 
-def walk_threads(messages):
-    """Messages one after the other in order of arrival, as a reader would file them."""
-    order = sorted(messages, key=lambda m: (m["t"] is not None, m["t"] or START, m["id"]))
-    holder = {}
-    for m in order:
-        if m["mid"]:
-            holder.setdefault(m["mid"], m)
-
-    def depth(m, seen):
-        if m["id"] in seen:
-            return -1
-        for link in [m["irt"], *reversed(m["refs"])]:
-            if link in holder:
-                below = depth(holder[link], seen | {m["id"]})
-                return -1 if below < 0 else below + 1
-        return 0
-
-    roots, opened, cycles = {}, set(), 0
-    for m in order:
-        own = m["mid"] or f"sha256:row{m['id']}"
-        if m["mid"] and m["mid"] in opened:
-            key = m["mid"]
-        else:
-            key = None
-            if m["irt"]:
-                key = roots.get(holder[m["irt"]]["id"]) if m["irt"] in holder else m["irt"]
-            if key is None:
-                best, cycle = (-1, None), False
-                for i, ref in enumerate(m["refs"]):
-                    if ref not in holder:
-                        if ref in opened and i > best[0]:
-                            best = (i, ref)
-                        continue
-                    d = depth(holder[ref], frozenset())
-                    if d < 0:
-                        cycle = True
-                    elif d > best[0]:
-                        best = (d, roots.get(holder[ref]["id"]))
-                key = best[1]
-                cycles += bool(cycle and key is not None)
-            key = key or own
-        opened.add(key)
-        roots[m["id"]] = key
-    return roots, cycles
+THREAD = "id long, normalized_message_id string, in_reply_to string, references_ids array<string>, received_at timestamp"
+
+
+def assigned(spark, messages, parts=3):
+    """messages: (id, message id, in reply to, references, minute or None)."""
+    data = [(i, mid, irt, refs, None if t is None else START + timedelta(minutes=t)) for i, mid, irt, refs, t in messages]
+    df = spark.createDataFrame(data, THREAD).selectExpr(
+        "*", "concat('subject ', id) as subject", "'a@x' as from_addr", "cast(null as string) as body_sha256",
+        "cast(null as string) as auto_submitted", "true as is_canonical", "false as stale").repartition(parts)
+    return th.assign_threads(df)
+
+
+def keys_of(df):
+    return {r["id"]: r["root_key"] for r in rows(df)}
+
+
+@pytest.mark.parametrize("messages, want", [
+    # a reply, and a message that only refers: the reference deepest in its thread leads
+    ([(1, "a", None, [], 0), (2, "b", "a", [], 1), (3, "z", None, [], 2), (4, "c", None, ["z", "b"], 3)],
+     {1: "a", 2: "a", 3: "z", 4: "a"}),
+    # answers to a message that never came meet under its id; a later reference to it joins them
+    ([(1, "d", "g", [], 0), (2, "e", "g", [], 1), (3, "i", None, ["g"], 2), (4, "h", None, ["unseen"], 3)],
+     {1: "g", 2: "g", 3: "g", 4: "h"}),
+    # no id: a key of its own; an answer that came before its question opens a thread, and the question joins it
+    ([(1, None, None, [], 0), (2, "j", "k", [], 1), (3, "k", "j", [], 2)], {1: "sha256:row1", 2: "j", 3: "j"}),
+    # references in a circle lead nowhere
+    ([(1, "p", None, ["q"], 0), (2, "q", None, ["p"], 1)], {1: "p", 2: "q"}),
+    # messages without a time come first
+    ([(1, "l", "m", [], 5), (2, "m", None, [], None)], {1: "m", 2: "m"}),
+])
+def test_threads_worked_by_hand(spark, messages, want):
+    assert keys_of(assigned(spark, messages)) == want
 
 
 @pytest.mark.parametrize("seed", [2, 4])
-def test_threads_match_a_sequential_reader(spark, seed):
+def test_threads_keep_their_rules(spark, seed):
     rnd = random.Random(seed)
     ids = [f"m{i}@x" for i in range(40)]
-    messages = []
-    for i in range(60):
-        links = ids + [f"ghost{g}@y" for g in range(8)]
-        messages.append({
-            "id": i, "mid": rnd.choice(ids) if rnd.random() < 0.85 else None,
-            "irt": rnd.choice(links) if rnd.random() < 0.5 else None,
-            "refs": rnd.sample(links, rnd.randint(0, 4)) if rnd.random() < 0.6 else [],
-            "t": START + timedelta(minutes=rnd.randint(0, 50)) if rnd.random() < 0.9 else None})
-    df = spark.createDataFrame(
-        [(m["id"], m["mid"], m["irt"], m["refs"], m["t"]) for m in messages],
-        "id long, normalized_message_id string, in_reply_to string, references_ids array<string>, received_at timestamp")
-    df = df.selectExpr("*", "concat('subject ', id) as subject", "'a@x' as from_addr", "cast(null as string) as body_sha256",
-                       "cast(null as string) as auto_submitted", "true as is_canonical", "false as stale").repartition(3)
-    assigned = th.assign_threads(df)
-    got = {r["id"]: r["root_key"] for r in rows(assigned)}
-    expected, cycles = walk_threads(messages)
-    assert got == expected
-    stats = th.thread_stats(assigned).first()
-    assert stats["cycles_broken"] == cycles and stats["messages"] == 60
-    assert stats["threads"] == len(set(expected.values()))
-    known = {m["mid"] for m in messages}
-    assert stats["ghosts"] == len({k for k in expected.values() if not k.startswith("sha256:") and k not in known})
+    links = ids + [f"ghost{g}@y" for g in range(8)]
+    messages = [(i, rnd.choice(ids) if rnd.random() < 0.85 else None, rnd.choice(links) if rnd.random() < 0.5 else None,
+                 rnd.sample(links, rnd.randint(0, 4)) if rnd.random() < 0.6 else [],
+                 rnd.randint(0, 50) if rnd.random() < 0.9 else None) for i in range(60)]
+    made = assigned(spark, messages).cache()
+    key = keys_of(made)
+    place = lambda m: (m[4] is not None, m[4] or 0, m[0])
+    holder = {}
+    for m in sorted(messages, key=place):
+        if m[1]:
+            holder.setdefault(m[1], m)
+    assert set(key) == {m[0] for m in messages}
+    for m in messages:
+        anchor = holder.get(m[2])
+        if m[1] in key.values():
+            assert key[m[0]] == m[1] or key[holder[m[1]][0]] != m[1] or place(m) <= place(holder[m[1]])
+        elif m[2] and anchor is None:  # answers to what never came share its id
+            assert key[m[0]] == m[2]
+        elif anchor is not None and place(anchor) < place(m):  # an answer is where its older question is
+            assert key[m[0]] == key[anchor[0]]
+        elif not m[2] and not m[3]:
+            assert key[m[0]] == (m[1] or f"sha256:row{m[0]}")
+    # the order of rows does not matter
+    rnd.shuffle(messages)
+    assert keys_of(assigned(spark, messages, 1)) == key
+    stats = th.thread_stats(made).first()
+    assert stats["messages"] == 60 and stats["threads"] == len(set(key.values()))
+    known = {m[1] for m in messages}
+    assert stats["ghosts"] == len({k for k in key.values() if not k.startswith("sha256:") and k not in known})
 
 
 # --- copies that arrive together ------------------------------------------------------------------------------
