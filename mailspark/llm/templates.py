@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailspark.llm.tables import read, stored
 from mailspark.llm.words import _Tables, Chunk, Lookup, chunks, mixed, signed, span_keys, unsigned, window_keys
@@ -189,14 +189,15 @@ def _starts(bounds: np.ndarray, size: int, whole: bool) -> np.ndarray:
     return at[at + size <= np.repeat(bounds[1:], counts)]
 
 
-NAMES = ["key", "id", "form", "pos", "tokens", "values", "kinds", "sizes"]
-SCHEMA = ("key long, id long, form int, pos long, tokens long, values array<long>, kinds array<int>, "
+ROW = "_row"
+NAMES = ["key", "row", "id", "form", "pos", "tokens", "values", "kinds", "sizes"]
+SCHEMA = ("key long, row long, id long, form int, pos long, tokens long, values array<long>, kinds array<int>, "
           "sizes array<int>")
 #: What an entry of ``kinds`` may be.
 AS_IT_IS, SLOT, NAME_SLOT = range(3)
 
 
-def _batch(owner: pa.Array, template: Template, form: int, at: np.ndarray, size: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+def _batch(owner: tuple[pa.Array, pa.Array], template: Template, form: int, at: np.ndarray, size: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
     bounds, row_of = (template.at, template.row) if form == PLAIN else (template.unit_at, template.unit_row)
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     cell = np.repeat(at - offsets[:-1], size) + np.arange(offsets[-1])
@@ -208,18 +209,24 @@ def _batch(owner: pa.Array, template: Template, form: int, at: np.ndarray, size:
     row = row_of[at] if len(at) else np.zeros(0, np.int64)
     listed = lambda x: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x))
     return pa.record_batch([
-        pa.array(signed(key)), owner.take(pa.array(row)), pa.array(np.full(len(at), form, np.int32)),
+        pa.array(signed(key)), *(o.take(pa.array(row)) for o in owner), pa.array(np.full(len(at), form, np.int32)),
         pa.array((at - bounds[row]).astype(np.int64)), pa.array(np.diff(template.at)[row].astype(np.int64)),
         listed(signed(value)), listed(kind), listed(tokens)], names=NAMES)
 
 
+def row_key(name: str) -> Column:
+    """Tells rows apart that repeat an id, or have none."""
+    return F.xxhash64(F.col(name).cast("long"), F.col("text"))
+
+
 def _windows(rows: DataFrame, name: str, plain: list[int], typed: list[int], window: int, longest: int | None,
              whole: bool, wanted: Broadcast | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch["text"], keys=False):
-                template, owner = Template(chunk), batch[name].slice(chunk.first, chunk.rows)
+                template = Template(chunk)
+                owner = tuple(batch[c].slice(chunk.first, chunk.rows) for c in (ROW, name))
                 most = len(template.unit_key) if longest is None else longest
                 for form, (at, size, key) in [
                         *((PLAIN, (at, np.full(len(at), n), key)) for n in plain for at, key in [template.plain(n, whole and n < window)]),
@@ -231,27 +238,29 @@ def _windows(rows: DataFrame, name: str, plain: list[int], typed: list[int], win
                         part = slice(k, k + (1 << 14))
                         yield _batch(owner, template, form, at[part], size[part], key[part])
 
-    return rows.where("text IS NOT NULL").select(F.col(name).cast("long"), "text").mapInArrow(run, SCHEMA)
+    return rows.where("text IS NOT NULL").select(row_key(name).alias(ROW), F.col(name).cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, item_id, form, ipos, item_tokens, ivalues, ikinds, isizes: all windows of ``items`` (item_id, text).
+    """key, item, item_id, form, ipos, item_tokens, ivalues, ikinds, isizes: all windows of ``items`` (item_id, text).
 
     Positions and entries are tokens in the plain form and units in the typed one.
     """
     sizes = list(range(1, window))
     found = _windows(items, "item_id", [*sizes, window], sizes, window, None, True)
-    return found.toDF("key", "item_id", "form", "ipos", "item_tokens", "ivalues", "ikinds", "isizes")
+    return found.toDF("key", "item", "item_id", "form", "ipos", "item_tokens", "ivalues", "ikinds", "isizes")
 
 
 def document_windows(docs: DataFrame, plain: list[int], typed: list[int], window: int, longest: int, wanted: Broadcast | None) -> DataFrame:
-    """key, doc_id, form, dpos, dvalues: windows of ``docs`` (doc_id, text) whose keys are wanted, or all windows."""
+    """key, doc, doc_id, form, dpos, dvalues: windows of ``docs`` (doc_id, text) whose keys are wanted, or all windows."""
     found = _windows(docs, "doc_id", plain, typed, window, longest, False, wanted)
-    return found.select("key", F.col("id").alias("doc_id"), "form", F.col("pos").alias("dpos"), F.col("values").alias("dvalues"))
+    return found.select("key", F.col("row").alias("doc"), F.col("id").alias("doc_id"), "form", F.col("pos").alias("dpos"), F.col("values").alias("dvalues"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = COVER, travel: int = TRAVEL) -> DataFrame:
-    """doc_id, item_id, covered, item_tokens, slots, changed, kind: the items that documents hold.
+def row_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = COVER, travel: int = TRAVEL) -> DataFrame:
+    """doc, doc_id, item, item_id, covered, item_tokens, slots, changed, kind: the items that documents hold.
+
+    doc and item are row_key(): rows that repeat an id, or have none, are read one by one.
 
     Windows of one form with equal keys on one diagonal (place in the document less place in the item) belong
     together. They are a leak when they cover ``cover`` tokens of the item, or all of a shorter one. Plain windows,
@@ -259,11 +268,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int =
     stand for one name of the document; where one stands for several, the places that differ from its most frequent
     one are dropped, and AGAINST_NAMES times ``cover`` other tokens are a leak. Numbers may be equal by chance, and
     sentence starts are names only if the item has them as names elsewhere. kind: ``exact`` if no slot has another
-    value, else ``reparameterised``. Of several leaks of an item in one document the one that covers most is given.
+    value, else ``reparameterised``. Of several leaks of an item in one row the one that covers most is given.
 
     A text of fewer than ``window`` tokens is one plain window; in scripts without blanks a code point is a token.
-    Null and empty texts hold nothing. Rows that repeat an id are read as one document or item; so are rows with a
-    null doc_id.
+    Null and empty texts hold nothing. Equal rows are one.
     """
     known = stored(item_windows(items, window), "item-windows")
     sizes = known.select("form", F.size("ivalues").alias("n")).distinct().collect()
@@ -276,19 +284,20 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int =
     found = document_windows(docs, plain, [n for n in typed if n < window], window, max(typed, default=0), wanted)
     hits = found.join(known, ["key", "form"])
     cells = F.arrays_zip(F.sequence(F.col("ipos"), F.col("ipos") + F.size("ivalues") - 1).alias("place"),
-                         F.col("ivalues").alias("item"), F.col("dvalues").alias("doc"), F.col("ikinds").alias("kind"),
+                         F.col("ivalues").alias("mine"), F.col("dvalues").alias("theirs"), F.col("ikinds").alias("kind"),
                          F.col("isizes").alias("size"))
-    diagonal = ["doc_id", "item_id", "form", "diagonal"]
-    tokens = hits.select("doc_id", "item_id", "form", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "item_tokens",
+    whose = ["doc", "doc_id", "item", "item_id"]
+    diagonal = [*whose, "form", "diagonal"]
+    tokens = hits.select(*whose, "form", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "item_tokens",
                          F.explode(cells).alias("t")).select(*diagonal, "item_tokens", "t.*")
     per_place = tokens.groupBy(*diagonal, "place").agg(
-        F.max("item_tokens").alias("item_tokens"), F.max("kind").alias("kind"), F.first("item").alias("item"),
-        F.first("doc").alias("doc"), F.max("size").alias("size"))
+        F.max("item_tokens").alias("item_tokens"), F.max("kind").alias("kind"), F.first("mine").alias("mine"),
+        F.first("theirs").alias("theirs"), F.max("size").alias("size"))
     slot, name = F.col("kind") != AS_IT_IS, F.col("kind") == NAME_SLOT
     # names of the item with what stands for them; all other places of a diagonal are one row
-    pairs = per_place.groupBy(*diagonal, F.when(name, F.col("item")).alias("name"), F.when(name, F.col("doc")).alias("other")).agg(
+    pairs = per_place.groupBy(*diagonal, F.when(name, F.col("mine")).alias("name"), F.when(name, F.col("theirs")).alias("other")).agg(
         F.max("item_tokens").alias("item_tokens"), F.sum("size").alias("size"), F.count(F.when(slot, 1)).alias("slots"),
-        F.count(F.when(slot & (F.col("item") != F.col("doc")), 1)).alias("changed"))
+        F.count(F.when(slot & (F.col("mine") != F.col("theirs")), 1)).alias("changed"))
     names = pairs.groupBy(*diagonal, "name").agg(
         F.max("item_tokens").alias("item_tokens"), F.sum("size").alias("size"), F.max("size").alias("most"),
         F.sum("slots").alias("slots"), F.sum("changed").alias("changed"))
@@ -298,16 +307,25 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int =
     enough = F.least(F.lit(cover), F.col("item_tokens"))
     runs = runs.where(F.when(F.col("agreeing") == F.col("covered"), F.col("covered") >= enough)
                       .otherwise(F.col("agreeing") >= AGAINST_NAMES * cover))
-    best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct(
+    return _best(runs, whose)
+
+
+def _best(found: DataFrame, whose: list[str]) -> DataFrame:
+    best = found.groupBy(*whose).agg(F.max(F.struct(
         "covered", (-F.col("changed")).alias("c"), "item_tokens", "slots", "changed")).alias("b"))
     kind = F.when(F.col("b.changed") == 0, F.lit("exact")).otherwise(F.lit("reparameterised"))
-    return best.select("doc_id", "item_id", "b.covered", "b.item_tokens", "b.slots", "b.changed", kind.alias("kind"))
+    return best.select(*whose, "b.covered", "b.item_tokens", "b.slots", "b.changed", kind.alias("kind"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """row_leaks() by id: of the rows of a document, and of an item, the pair that covers most. A null doc_id is one."""
+    return _best(row_leaks(docs, items, **options), ["doc_id", "item_id"])
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document holds no item, with their columns."""
-    held = leaks(docs, items, **options).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["_held"]), "left_anti")
+    """The rows of ``docs`` that hold no item, with their columns; rows that repeat an id, or have none, one by one."""
+    held = row_leaks(docs, items, **options).select(F.col("doc").alias("_held")).distinct()
+    return docs.join(held, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == held["_held"], "left_anti")
 
 
 def op1_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
