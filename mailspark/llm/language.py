@@ -188,21 +188,22 @@ def known_features(rows: list[tuple[np.ndarray, np.ndarray, int]], dimensions: i
 
 
 def sample(docs: DataFrame, most: int = LABELLED) -> DataFrame:
-    """At most ``most`` labelled rows, or EACH for every language if that is more, in equal shares as far as they go.
+    """row, doc_id, lang, place of at most ``most`` labelled rows of ``docs`` (doc_id, text, lang), or EACH for every
+    language if that is more, in equal shares as far as they go; equal rows count once.
 
     A row's place is its random number times the number of rows of its language, so the smallest places hold the
     languages in equal shares; no language meets in one task. The row of the smallest place of each language is taken
     before all others, so that every language is learned.
     """
-    docs = stored(docs.select("doc_id", "lang"), "labelled")
+    docs = stored(docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "lang").distinct(), "labelled")
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     draw = (F.xxhash64("doc_id", F.lit("draw")) % 1_000_000_007 + 1_000_000_007) * F.col("_n")
-    thin = docs.select("doc_id", "lang").join(counts, "lang").select("doc_id", "lang", draw.alias("place"))
-    firsts = thin.groupBy("lang").agg(F.min(F.struct("place", "doc_id")).alias("_first"))
-    first = F.struct("place", "doc_id") == F.col("_first")
-    ranked = thin.join(firsts, "lang").select("doc_id", "lang", "place", first.alias("_is_first"))
+    thin = docs.join(counts, "lang").select("row", "doc_id", "lang", draw.alias("place"))
+    firsts = thin.groupBy("lang").agg(F.min(F.struct("place", "doc_id", "row")).alias("_first"))
+    first = F.struct("place", "doc_id", "row") == F.col("_first")
+    ranked = thin.join(firsts, "lang").select("row", "doc_id", "lang", "place", first.alias("_is_first"))
     most = max(most, EACH * counts.count())
-    return ranked.orderBy(F.desc("_is_first"), "place", "doc_id").limit(most).drop("_is_first")
+    return ranked.orderBy(F.desc("_is_first"), "place", "doc_id", "row").limit(most).drop("_is_first")
 
 
 def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> Model | None:
@@ -211,12 +212,14 @@ def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimension
     Document frequencies count all of these rows. The weights are fitted on a sample(), whose feature
     vectors (at most ``dimensions`` entries each) come to the driver; one in five of them sets the temperature and the
     limits below which a text is in no language: each rejects LOSS of these held-back rows at most.
-    Null texts, labels and ids take no part. Every label is learned.
+    Null texts, labels and ids take no part. Every label is learned. Rows that repeat an id are rows of their own; equal
+    rows are sampled once, so no more than the sample comes to the driver.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     held, n = document_frequencies(docs, longest, dimensions)
     idf = np.log((1 + n) / (1 + held)) + 1
     chosen = stored(sample(docs, most), "sample")
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,13 +227,14 @@ def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimension
                 at = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
                 value = _weighed(row, feature, count, idf, rows).astype(np.float32)
                 yield pa.record_batch([
-                    batch["place"].slice(first, rows), batch["lang"].slice(first, rows),
+                    *(batch[c].slice(first, rows) for c in ("row", "place", "lang")),
                     pa.ListArray.from_arrays(at, pa.array(feature.astype(np.int32))),
-                    pa.ListArray.from_arrays(at, pa.array(value))], names=["place", "lang", "features", "values"])
+                    pa.ListArray.from_arrays(at, pa.array(value))], names=["row", "place", "lang", "features", "values"])
 
-    picked = docs.join(F.broadcast(chosen.select("doc_id", "place")), "doc_id").select("place", "lang", "text")
-    vectors = picked.mapInArrow(run, "place long, lang string, features array<int>, values array<float>")
-    table = vectors.toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
+    picked = docs.join(F.broadcast(chosen.select("row", "lang", "place")), ["row", "lang"]).select("row", "place", "lang", "text")
+    vectors = picked.mapInArrow(run, "row long, place long, lang string, features array<int>, values array<float>")
+    vectors = vectors.dropDuplicates(["row", "lang"])  # rows that repeat in the table
+    table = vectors.toArrow().sort_by([("place", "ascending"), ("lang", "ascending"), ("row", "ascending")])
     if not len(table):
         return None
     languages = sorted(set(table["lang"].to_pylist()))
