@@ -63,21 +63,24 @@ def to_text(data: bytes, declared: str | None = None, model: Bigrams | None = No
 
 @dataclass(frozen=True)
 class Bigrams:
-    """How likely each byte follows each other one, in each charset, and how likely known text is at least."""
+    """How likely each byte follows each other one, in each charset, and how likely text of that kind is at least."""
 
     charsets: tuple[str, ...]
-    logs: np.ndarray     # charsets x PAIRS
-    least: np.ndarray    # mean log-likelihood of a byte below which text is not of that kind
+    logs: np.ndarray  # charsets x PAIRS
+    least: float      # mean log-likelihood of a byte, in natural logs
 
     def charset(self, data: bytes) -> str | None:
-        """The charset that fits and makes the bytes most likely; of equals the first. None if none is likely enough."""
+        """The charset that fits and makes the bytes most likely; of equals the first. None if none is likely enough.
+
+        Bytes beyond ASCII that are valid UTF-8 throughout are hardly anything else, whatever the text is like.
+        """
+        if "utf-8" in self.charsets and b"\0" not in data and _strictly(data, "utf-8") is not None:
+            return "utf-8"
         pairs = np.bincount(_pairs(data), minlength=PAIRS)
         seen = np.flatnonzero(pairs)
         likely = self.logs[:, seen] @ pairs[seen] / max(len(data) - 1, 1)
         for k in np.argsort(-likely, kind="stable"):
-            if likely[k] < self.least[k]:
-                continue
-            if _strictly(data, self.charsets[k]) is not None:
+            if likely[k] >= self.least and _strictly(data, self.charsets[k]) is not None:
                 return self.charsets[k]
         return None
 
@@ -88,14 +91,14 @@ def _pairs(data: bytes) -> np.ndarray:
     return (np.arange(len(b) - 1) & 1) << 16 | b[:-1] << 8 | b[1:]
 
 
-def learn_charsets(texts: DataFrame, charsets: Sequence[str] = STATISTICAL, slack: float = 2.0) -> Bigrams:
+def learn_charsets(texts: DataFrame, charsets: Sequence[str] = STATISTICAL, margin: float = 0.3) -> Bigrams:
     """A model from ``texts`` (text): every text is encoded in every charset that holds it, and pairs of bytes counted,
     as it is written and in capitals.
 
     One table of PAIRS counts for each charset comes to the driver, whatever the texts are. Smoothing gives pairs
-    that never occur one count in each row of the table. Text counts as of its kind down to ``slack`` below the mean
-    of the learned texts, in natural logs a byte. Null texts and empty tables are allowed; without texts all charsets
-    are equally likely, so the first that fits is taken.
+    that never occur one count in each row of the table. Bytes are text of a kind if they are likelier by ``margin`` (in
+    natural logs a byte) than bytes drawn at random. Null texts and empty tables are allowed; without texts all charsets
+    are equally likely, and the first that fits is taken.
     """
     charsets = tuple(charsets)
 
@@ -119,8 +122,7 @@ def learn_charsets(texts: DataFrame, charsets: Sequence[str] = STATISTICAL, slac
     counts[table["which"].to_numpy(), table["pair"].to_numpy()] = table["n"].to_numpy()
     smooth = counts.reshape(len(charsets), 512, 256) + 1 / 256
     logs = np.log(smooth / smooth.sum(axis=2, keepdims=True)).reshape(len(charsets), -1)
-    mean = (counts * logs).sum(axis=1) / np.maximum(counts.sum(axis=1), 1)
-    return Bigrams(charsets, logs, mean - slack if counts.any() else np.full(len(charsets), -np.inf))
+    return Bigrams(charsets, logs, margin - np.log(256) if counts.any() else -np.inf)
 
 
 def decoded(rows: DataFrame, column: str, declared: str, model: Bigrams | None = None) -> DataFrame:
