@@ -31,6 +31,10 @@ BUCKET_DOCS = 1 << 18
 #: Texts are encoded in pieces of about this many characters, cut before a blank that a non-blank follows.
 PIECE = 1 << 20
 BLANKS = 1 << 14
+#: What stands behind the ids of a record: the document it is of, which of its runs it is, and its ids before padding
+#: (NO_ID more if the document has no id).
+OF = np.dtype([("doc_id", ">i8"), ("seq", ">u4"), ("n_tokens", ">u4")])
+NO_ID = 1 << 31
 _LONG_BLANKS = re.compile(rf"(\s{{{BLANKS + 1},}})")
 
 
@@ -132,8 +136,8 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
 
 
 def placed(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length: int = LENGTH,
-           shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """slot, shard, byte_offset, doc_id, seq, n_tokens, tokens of every sequence in no order, and the same without tokens.
+           shard: int = SHARD) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, seq, n_tokens, tokens of every sequence in no order.
 
     A sequence's number is its bucket's start plus its place there, so it does not depend on how Spark cuts the
     table; its slot is the keyed permutation of that number. The starts are one number per bucket, and a bucket is
@@ -150,24 +154,24 @@ def placed(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length
     total = int(starts.sum())
     starts = spark.sparkContext.broadcast(np.cumsum(starts) - starts)
 
-    def run(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[pa.RecordBatch]:
+    carried = ["doc_id", "seq", "n_tokens", "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permute = Permutation(total, key)
         for batch in batches:
             slot = permute(starts.value[batch["bucket"].to_numpy()] + batch["pos"].to_numpy())
             yield pa.record_batch([
                 pa.array(slot), pa.array(slot // shard), pa.array(slot % shard * stride(length)),
-                *(batch[c] for c in ("doc_id", "seq", "n_tokens", *more))],
-                names=["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", *more])
+                *(batch[c] for c in carried)], names=["slot", "shard", "byte_offset", *carried])
 
-    schema = "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int"
-    return (runs.mapInArrow(lambda batches: run(batches, "tokens"), f"{schema}, tokens binary"),
-            runs.drop("tokens").mapInArrow(run, schema))
+    return runs.mapInArrow(
+        run, "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int, tokens binary")
 
 
 def in_training_order(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length: int = LENGTH,
                       shard: int = SHARD) -> DataFrame:
     """The sequences of placed(); a shard lies in one partition, in the order of slots."""
-    return placed(docs, key, vocabulary, length, shard)[0].repartition("shard").sortWithinPartitions("shard", "slot")
+    return placed(docs, key, vocabulary, length, shard).repartition("shard").sortWithinPartitions("shard", "slot")
 
 
 def written(docs: DataFrame, path: str | None = None, key: int = KEY, vocabulary: str = VOCABULARY, length: int = LENGTH,
@@ -175,37 +179,41 @@ def written(docs: DataFrame, path: str | None = None, key: int = KEY, vocabulary
     """Writes the shards of ``docs`` to ``path`` (a fresh one below the shared folder if not given) and returns slot,
     shard, byte_offset, doc_id, seq, n_tokens, tokens of all records as read back from them.
 
-    tokens are the record's ids without its padding: nothing but padding stands behind a first end-of-text id.
+    Everything comes from the shards alone: a record says whose it is, and where it lies is told by its slot. tokens
+    are the record's ids without its padding.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "shards")
-    rows, thin = placed(docs, key, vocabulary, length, shard)
-    write_shards(rows, path, length)
-    back = _records(spark, path, 0, length, shard)
-    return thin.join(back, "slot").select(
-        "slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens",
-        F.expr("substring(record, 1, 2 * n_tokens)").alias("tokens"))
+    write_shards(placed(docs, key, vocabulary, length, shard), path, length)
+    slot = F.col("slot")
+    return _records(spark, path, 0, length, shard).select(
+        "slot", F.expr(f"slot div {shard}").alias("shard"), (slot % shard * stride(length)).alias("byte_offset"),
+        "doc_id", "seq", "n_tokens", F.expr("substring(record, 1, 2 * n_tokens)").alias("tokens"))
 
 
 def stride(length: int = LENGTH) -> int:
-    """Bytes of a record: ``length`` ids of two bytes, padded with the end-of-text id, and a line feed."""
-    return 2 * length + 1
+    """Bytes of a record: ``length`` ids of two bytes, padded with the end-of-text id, what it is of, and a line feed."""
+    return 2 * length + OF.itemsize + 1
 
 
 def write_shards(records: DataFrame, path: str, length: int = LENGTH) -> None:
     """One folder shard=k for each shard, with one file of records in slot order, through Spark's own committer.
 
-    ``records`` (slot, shard, tokens) may come in any order and partitioning: a range of shards goes to one task, which
-    sorts them by slot and writes each to one file.
+    ``records`` (slot, shard, doc_id, seq, n_tokens, tokens) may come in any order and partitioning: a range of shards
+    goes to one task, which sorts them by slot and writes each to one file. Behind its ids a record holds OF.
     """
-    filled = F.rpad("tokens", 2 * length, F.lit(END_OF_TEXT.to_bytes(2, "little")))
-    ordered = records.select("slot", "shard", "tokens").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+    ordered = records.select("slot", "shard", "doc_id", "seq", "n_tokens", "tokens").repartitionByRange(
+        "shard").sortWithinPartitions("shard", "slot")
+    numbers = [(F.coalesce("doc_id", F.lit(0)), 16), (F.col("seq"), 8),
+               (F.when(F.col("doc_id").isNull(), F.lit(NO_ID)).otherwise(F.lit(0)) + F.col("n_tokens"), 8)]
+    filled = F.concat(F.rpad("tokens", 2 * length, F.lit(END_OF_TEXT.to_bytes(2, "little"))),
+                      *(F.unhex(F.lpad(F.hex(number), digits, "0")) for number, digits in numbers))
     lines = ordered.select("shard", filled.cast("string").alias("value"))
     lines.write.partitionBy("shard").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
 
 
 def _records(spark: SparkSession, path: str, slot: int, length: int, shard: int) -> DataFrame:
-    """slot, record (bytes of all its ids) from ``slot`` on. A shard in more than one file is an error, as its slots
+    """slot, doc_id, seq, n_tokens, record (bytes of all its ids) from ``slot`` on. A shard in more than one file is an error, as its slots
     could not be told."""
     size = stride(length)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
@@ -218,18 +226,23 @@ def _records(spark: SparkSession, path: str, slot: int, length: int, shard: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, content in zip(batch["shard"].to_pylist(), batch["content"]):
-                table = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, size)[:, :-1]
+                table = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, size)
                 slots = np.arange(len(table)) + number * shard
                 for k in range(0, len(table), 1024):
                     keep = slots[k:k + 1024] >= slot
-                    rows = np.ascontiguousarray(table[k:k + 1024][keep])
-                    ends = np.arange(0, rows.size + 1, size - 1, dtype=np.int32)
+                    part = table[k:k + 1024][keep]
+                    rows = np.ascontiguousarray(part[:, :2 * length])
+                    ends = np.arange(0, rows.size + 1, 2 * length, dtype=np.int32)
+                    of = np.ascontiguousarray(part[:, 2 * length:-1]).view(OF)[:, 0]
                     yield pa.record_batch([
                         pa.array(slots[k:k + 1024][keep]),
+                        pa.array(of["doc_id"].astype(np.int64), mask=of["n_tokens"] >= NO_ID),
+                        pa.array(of["seq"].astype(np.int32)), pa.array((of["n_tokens"] % NO_ID).astype(np.int32)),
                         pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])],
-                        names=["slot", "record"])
+                        names=["slot", "doc_id", "seq", "n_tokens", "record"])
 
-    return files.select("shard", "content").mapInArrow(run, "slot long, record binary")
+    return files.select("shard", "content").mapInArrow(
+        run, "slot long, doc_id long, seq int, n_tokens int, record binary")
 
 
 def read_shards(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
