@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark import lexicon as lx
@@ -130,3 +132,49 @@ def audit_lines(items: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
                              F.lit(" — "), F.col("prefilter_reason")))
     lines = F.filter(F.when(section == "3-quiet", short).otherwise(full), lambda x: x.isNotNull())
     return items.select(section.alias("section"), "message_id", F.posexplode(lines).alias("ord", "line"))
+
+
+def audit_document(items: DataFrame, now: Column, hours: int, tz: str = DEFAULT_ZONE) -> DataFrame:
+    """(report_date, rank, key, ord, line) of the report as Markdown: title, counts, messages that only the language
+    model could judge, and the sections of audit_lines under headings that say how many messages they hold.
+
+    All headings come from one row of counts. key is the message's id as a text of fixed width, so that lines are
+    ordered by message. An empty section says so. ``items`` are read four times: give stored ones.
+    """
+    unjudged = F.col("extract") & F.col("call_llm") & ~F.col("llm_called") & (F.col("candidates") == 0)
+    quiet = (F.col("level") <= NONE) & (F.col("candidates") <= 0)
+    sections = items.agg(F.count_if(F.col("level") > NONE).alias("suspect"), F.count_if(
+        (F.col("level") <= NONE) & (F.col("candidates") > 0)).alias("found"), F.count_if(quiet).alias("quiet"))
+    start, end = (F.date_format(local_time(at, tz), "yyyy-MM-dd HH:mm") for at in (now - F.expr(f"interval {hours} hours"), now))
+
+    def said(text: str, column: str) -> Column:
+        return F.concat(F.lit(text), F.col(column).cast("string"))
+
+    def headed(counts: DataFrame, rank: int, *lines: Column) -> DataFrame:
+        listed = F.filter(F.array(*lines), lambda x: x.isNotNull())
+        return counts.select(F.lit(rank).alias("rank"), F.lit("").alias("key"), F.posexplode(listed).alias("ord", "line"))
+
+    def number(section: str, text: str, tail: str, column: str) -> list[Column]:
+        return [F.lit(""), F.concat(said(text, column), F.lit(tail)), F.lit(""),
+                F.when(F.col(column) == 0, F.lit(section))]
+
+    totals = audit_counts(items)
+    parts = [
+        headed(totals, 0, F.concat(F.lit("# 抽取复盘 · "), F.substring(end, 1, 10)), F.lit(""),
+               F.concat(F.lit(f"窗口：最近 {hours} 小时（"), start, F.lit(" → "), end, F.lit(f" {tz}）")),
+               F.concat(said("邮件 ", "messages"), said(" 封 ｜ 很可能漏抽 ", "likely_missed"), said(" ｜ 值得留意 ", "maybe"),
+                        said(" ｜ 已抽出 ", "with_candidates"), said(" ｜ 库中结果过时 ", "stale"),
+                        F.when(F.col("unjudged") > 0, said(" ｜ 未判定 ", "unjudged")).otherwise(""))),
+        headed(totals.where("unjudged > 0"), 1, F.lit(""), F.concat(said("### 未判定（", "unjudged"), F.lit(
+            " 封，需 LLM 才能判断）")), F.lit("")),
+        headed(sections, 2, *number("没有可疑项。", "## 需要你看一眼（", " 封）", "suspect")),
+        headed(sections, 3, *number("无。", "## 已抽出候选（", " 封）", "found")),
+        headed(sections, 4, F.lit(""), F.concat(said("## 其余（", "quiet"), F.lit(" 封，未抽出且无明显线索）")), F.lit(""))]
+    key = F.lpad(F.col("message_id").cast("string"), 20, "0").alias("key")
+    lines = audit_lines(items, tz)
+    parts.append(lines.select((F.substring("section", 1, 1).cast("int") + 1).alias("rank"), key, "ord", "line"))
+    parts.append(items.where(unjudged).select(F.lit(1).alias("rank"), key, F.lit(0).alias("ord"), F.concat(
+        F.lit("- `#"), F.col("message_id").cast("string"), F.lit("` "), F.coalesce("subject", F.lit("")), F.lit(" — "),
+        F.col("prefilter_reason")).alias("line")))
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.select(F.substring(end, 1, 10).alias("report_date"), "rank", "key", F.col("ord").cast("long").alias("ord"), "line")

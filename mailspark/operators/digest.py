@@ -123,3 +123,32 @@ def digest_lines(now: Column, snapshot: DataFrame, events: DataFrame, window: Da
     lines = reduce(DataFrame.unionByName, parts)
     return lines.select(local_day(now, tz).cast("string").alias("digest_date"), "section",
                         F.col("ord").cast("long").alias("ord"), "line")
+
+
+def digest_document(lines: DataFrame, now: Column, events: DataFrame, tz: str = DEFAULT_ZONE,
+                    max_items: int = 25) -> DataFrame:
+    """(report_date, rank, key, ord, line) of the digest as Markdown: ``lines`` of digest_lines with title, headings,
+    and what stands in place of an empty list. ``events`` gives the whole number of those that wait for review."""
+    spark = lines.sparkSession
+    ranks = {section: k for k, section in enumerate(dict.fromkeys(row[0] for row in lx.DIGEST_FRAME), 1)}
+    frame = spark.createDataFrame(
+        [(section, ranks[section], shown, "0" if place == "before" else "2", k, text)
+         for k, (section, shown, place, text) in enumerate(lx.DIGEST_FRAME)],
+        "section string, rank int, shown string, key string, ord long, line string")
+    filled = lines.select("section").distinct().withColumn("_filled", F.lit(True))
+    texts = frame.join(filled, "section", "left").where(
+        (F.col("shown") == "always") | (F.col("shown") == F.when(F.col("_filled"), "filled").otherwise("empty")))
+    waiting = F.count_if(F.col("status") == "pending")
+    counted = events.agg(waiting.alias("n")).where("n > 0").select(
+        F.lit(ranks["pending"]).alias("rank"), F.lit("1").alias("key"), F.posexplode(F.array(F.concat(
+            F.lit("共 "), F.col("n").cast("string"), F.lit(f" 条（最多列 {max_items} 条）")), F.lit(""))).alias("p", "line"))
+    local = local_time(now, tz)
+    title = spark.range(1).select(F.lit(0).alias("rank"), F.lit("0").alias("key"), F.posexplode(F.array(
+        F.concat(F.lit("# 邮件摘要 · "), F.date_format(local, "yyyy-MM-dd")), F.lit(""),
+        F.concat(F.lit("> 生成于 "), F.date_format(local, "yyyy-MM-dd HH:mm"), F.lit(f" {tz}")), F.lit(""))).alias("p", "line"))
+    placed = F.create_map(*[F.lit(v) for pair in ranks.items() for v in pair])
+    body = lines.select(placed[F.col("section")].alias("rank"), F.lit("1").alias("key"), "ord", "line")
+    whole = (texts.select("rank", "key", "ord", "line").unionByName(body)
+             .unionByName(counted.select("rank", "key", (F.col("p") - 2).cast("long").alias("ord"), "line"))
+             .unionByName(title.select("rank", "key", F.col("p").cast("long").alias("ord"), "line")))
+    return whole.select(local_day(now, tz).cast("string").alias("report_date"), "rank", "key", "ord", "line")

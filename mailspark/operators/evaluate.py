@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark.functions.common import casefold, local_day, local_time
 from mailspark.operators.rules import DEFAULT_ZONE
@@ -98,3 +98,48 @@ def metrics(samples: DataFrame) -> DataFrame:
                                  "auto_push_accuracy": ratio("auto_push_correct", "auto_push")})
     p, r = F.col("precision"), F.col("recall")
     return scored.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))
+
+
+def evaluation_document(samples: DataFrame, found: DataFrame, report_date: Column) -> DataFrame:
+    """(report_date, rank, key, ord, line) of an evaluation as Markdown, from per_sample() and findings().
+
+    Ratios, counts, the findings by kind (a kind without findings has no heading) and a table of all samples. key is
+    the sample's name; lines of equal name are ordered by their text.
+    """
+    share = [F.format_string("%.1f%%", F.round(F.col(c) * 100, 1)) for c in ("recall", "precision", "auto_push_accuracy")]
+
+    def row(name: str, value: Column, note: Column) -> Column:
+        return F.concat(F.lit(f"| {name} | **"), value, F.lit("** | "), note, F.lit(" |"))
+
+    def item(name: str, column: str) -> Column:
+        return F.concat(F.lit(f"- {name}："), F.col(column).cast("string"))
+
+    pushed = F.concat(F.col("auto_push_correct").cast("string"), F.lit("/"), F.col("auto_push").cast("string"), F.lit(" —— 最关键指标"))
+    totals = metrics(samples).withColumn("_at", F.lit(1))
+    mails = samples.agg(F.count(F.lit(1)).alias("mails")).withColumn("_at", F.lit(1))
+    head = totals.join(mails, "_at").select(F.lit(0).alias("rank"), F.lit("").alias("key"), F.posexplode(F.array(
+        F.lit("# 抽取质量评估报告"), F.lit(""), F.lit("## 总体指标"), F.lit(""), F.lit("| 指标 | 值 | 说明 |"), F.lit("|---|---|---|"),
+        row("召回率", share[0], F.lit("真值事件被抽出的比例（漏识别）")), row("精确率", share[1], F.lit("候选中命中真值的比例（误报）")),
+        row("F1", F.format_string("%.3f", F.round("f1", 3)), F.lit("召回与精确的调和平均")), row("自动入历准确率", share[2], pushed),
+        F.lit(""), F.lit("## 计数"), F.lit(""), item("语料邮件数", "mails"), item("真值事件数", "expected"),
+        item("抽出候选数", "candidates"), item("正确匹配", "matched"), item("可自动入历", "auto_push"), F.lit(""))).alias("ord", "line"))
+    kinds = {"false_positive": (1, "## ⚠️ 误报：本不该抽出事件的邮件"), "missed": (2, "## ⚠️ 漏识别：真值中未被抽出的事件"),
+             "spurious": (3, "## 多余候选（已在误报中列出，此处按事件展开）"), "auto_push_wrong": (4, "## 🚨 危险的自动入历（会污染日历）")}
+    rank, title = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for kind, (place, text) in kinds.items():
+        rank, title = (F.when(F.col("finding") == kind, F.lit(v)).otherwise(other) for v, other in ((place, rank), (text, title)))
+    headings = found.select("finding").distinct().select(rank.alias("rank"), F.lit("").alias("key"), F.posexplode(
+        F.array(title, F.lit(""))).alias("ord", "line"))
+    ends = found.select("finding").distinct().select(  # behind every name
+        rank.alias("rank"), F.lit("\U0010ffff").alias("key"), F.lit(0).alias("ord"), F.lit("").alias("line"))
+    listed = found.select(rank.alias("rank"), F.col("name").alias("key"), F.lit(0).alias("ord"), F.concat(
+        F.lit("- `"), F.col("name"), F.lit("`："), F.coalesce("detail", F.lit(""))).alias("line"))
+    table = samples.sparkSession.range(1).select(F.lit(5).alias("rank"), F.lit("").alias("key"), F.posexplode(F.array(
+        F.lit("## 逐样本明细"), F.lit(""), F.lit("| 样本 | 真值 | 候选 | 匹配 | 自动入历 | 待审 |"),
+        F.lit("|---|---:|---:|---:|---:|---:|"))).alias("ord", "line"))
+    figures = ("expected", "candidates", "matched", "auto_push", "review")
+    each = samples.select(F.lit(5).alias("rank"), F.col("name").alias("key"), F.lit(0).alias("ord"), F.concat(
+        F.lit("| `"), F.col("name"), F.lit("` |"), *[v for c in figures for v in (
+            F.lit(" "), F.col(c).cast("string"), F.lit(" |"))]).alias("line"))
+    whole = reduce(DataFrame.unionByName, [head, headings, listed, ends, table, each])
+    return whole.select(report_date.cast("string").alias("report_date"), "rank", "key", F.col("ord").cast("long").alias("ord"), "line")

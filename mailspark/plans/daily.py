@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailspark import lexicon as lx
 from mailspark.functions.text import sanitize_error
-from mailspark.operators import candidates, digest, ingest, readstate, reconcile, review, stats, store, threads
+from mailspark.operators import audit, candidates, digest, ingest, readstate, reconcile, review, stats, store, threads
 from mailspark.operators.rules import DEFAULT_ZONE
 from mailspark.session import checkpointed, pin_utc
-from mailspark.sources import sinks
+from mailspark.sources import reports, sinks
 from mailspark.sources.ics import parse_ics
 from mailspark.sources.raw import parse_messages
 
@@ -40,6 +40,8 @@ class Settings:
     confidence_threshold: float = lx.AUTO_PUSH_THRESHOLD
     ambiguous_policy: str = "pending"
     max_chars: int | None = None
+    #: Hours that the audit looks back; None leaves the stage out.
+    audit_hours: int | None = None
 
 
 class DailyRun:
@@ -69,7 +71,7 @@ class DailyRun:
             ("extract", lambda: self.extract(raw, llm_responses)),
             *([("review", lambda: self.review(commands))] if commands is not None else []),
             ("push", lambda: self.push(remote) if remote is not None else {}),
-            ("mark_read", self.mark_read), ("digest", lambda: self.digest(remote))]
+            ("mark_read", self.mark_read), *([("audit", self.audit)] if self.settings.audit_hours else []), ("digest", lambda: self.digest(remote))]
         return max(self._stage(i, name, job) for i, (name, job) in enumerate(stages))
 
     def _stage(self, position: int, name: str, job: Callable[[], dict]) -> int:
@@ -190,6 +192,17 @@ class DailyRun:
         sinks.write_json(chosen, f"{self.root}/mark_read/run={self.run_id}")
         return {"policy": self.settings.mark_read_policy}
 
+    def audit(self) -> dict:
+        """A second look at the messages of the last hours: a Markdown report for its date, and its items as JSON."""
+        hours = self.settings.audit_hours
+        mail = self.table("messages").read()
+        window = audit.window_messages(mail, self._now, hours, limit=None).withColumn(
+            "is_list", F.col("list_id").isNotNull() | F.col("has_unsubscribe"))
+        items = checkpointed(audit.audit_items(window, self.table("events").read(), self._now, tz=self.settings.tz))
+        reports.write_text(audit.audit_document(items, self._now, hours, self.settings.tz), f"{self.root}/reports/audit")
+        sinks.write_json(items, f"{self.root}/reports/audit_items/run={self.run_id}")
+        return audit.audit_counts(items).first().asDict()
+
     def digest(self, remote: DataFrame | None = None) -> dict:
         read = {n: self.table(n).read() for n in ("messages", "processed_mail", "events", "scheduled_pushes", "threads",
                                                   "senders")}
@@ -201,7 +214,9 @@ class DailyRun:
         window = review.push_window(read["scheduled_pushes"], read["events"], self._now, 120)
         longest = threads.longest_threads(read["threads"], read["messages"])
         entries = digest.calendar_entries(remote, self.settings.tz) if remote is not None else None
-        lines = digest.digest_lines(self._now, figures, read["events"], window, read["messages"], longest, entries,
-                                    self.settings.tz)
+        lines = checkpointed(digest.digest_lines(self._now, figures, read["events"], window, read["messages"], longest,
+                                                 entries, self.settings.tz))
         sinks.write_report(lines, f"{self.root}/digest")
+        reports.write_text(digest.digest_document(lines, self._now, read["events"], self.settings.tz),
+                           f"{self.root}/reports/digest")
         return {"digest": "written"}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 TOPICS = ("texts", "extraction", "mailbox", "reviewing", "ingesting", "reconciling", "conversations", "reporting",
-          "parsing", "streams", "stateful")
+          "filed", "parsing", "streams", "stateful")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -149,8 +149,9 @@ def ics_gate(spark: SparkSession, folder: str) -> DataFrame:
         "message_id", "confidence", flag(F.col("requires_review")).alias("requires_review"), "review_reason")
 
 
-def eval_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document as a candidate, the labels as truth: matched where a document is of good quality."""
+def evaluated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Counts by sample and findings: every document as a candidate, the labels as truth, matched where a document is
+    of good quality."""
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
     name = F.col("doc_id").cast("string")
     base = F.date_add(F.lit("2026-01-01"), (F.col("doc_id") % 300).cast("int"))
@@ -160,9 +161,14 @@ def eval_metrics(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(False).alias("all_day"), (F.col("n_chars") % 2 == 0).alias("requires_review"))
     truth = labels.where("quality = 1").select(
         name.alias("name"), F.lit(0).cast("long").alias("exp_ord"), F.lit("DOC").alias("title_contains"),
-        base.alias("start_date"), F.lit("08:10").alias("start_time"), F.lit(15).alias("tolerance_minutes"))
+        base.alias("start_date"), F.lit("08:10").alias("start_time"), F.lit(15).alias("tolerance_minutes"),
+        F.lit("meeting").alias("kind"))
     matches = ev.match_truth(cand, truth)
-    return ev.metrics(ev.per_sample(docs.select(name.alias("name")), cand, truth, matches)).select(
+    return ev.per_sample(docs.select(name.alias("name")), cand, truth, matches), ev.findings(cand, truth, matches)
+
+
+def eval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return ev.metrics(evaluated(spark, folder)[0]).select(
         "expected", "candidates", "matched", "auto_push", "auto_push_correct", F.round("recall", 6).alias("recall"),
         F.round("precision", 6).alias("precision"), F.round("f1", 6).alias("f1"),
         F.round("auto_push_accuracy", 6).alias("auto_push_accuracy"))

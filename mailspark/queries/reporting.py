@@ -21,22 +21,22 @@ def audit_window(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", iso_utc(F.col("received_at")).alias("received_at"), iso_utc(F.col("fetched_at")).alias("fetched_at"))
 
 
-def _audited(spark: SparkSession, folder: str) -> DataFrame:
+def audited(spark: SparkSession, folder: str) -> DataFrame:
     rows = au.window_messages(mail_orders(spark, folder), now(), HOURS, limit=None)
     return au.audit_items(rows, cal_events(spark, folder), now())
 
 
 def audit_suspicion(spark: SparkSession, folder: str) -> DataFrame:
-    return _audited(spark, folder).select("message_id", "candidates", "missing", "stored", F.col("level").cast("long").alias(
+    return audited(spark, folder).select("message_id", "candidates", "missing", "stored", F.col("level").cast("long").alias(
         "level"), F.coalesce("suspicion", F.lit("")).alias("suspicion"))
 
 
 def audit_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return au.audit_counts(_audited(spark, folder))
+    return au.audit_counts(audited(spark, folder))
 
 
 def audit_report_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return au.audit_lines(_audited(spark, folder)).groupBy("section").agg(
+    return au.audit_lines(audited(spark, folder)).groupBy("section").agg(
         F.count_distinct("message_id").alias("messages"), F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -126,17 +126,17 @@ told AS (SELECT *, CASE WHEN extract_status = 'failed' THEN CASE WHEN candidates
     WHEN missing > 0 THEN '库中结果已过时：当前代码会多抽出 ' || missing || ' 条候选'
     WHEN kind = 'yes' AND candidates = 0 THEN CASE WHEN call_llm THEN '' ELSE '预筛判定规则足以覆盖（未调用 LLM），但规则未命中任何时间' END
     WHEN kind <> 'yes' AND shapes THEN '被预筛过滤，但正文含日期与时刻形态' ELSE '' END AS suspicion FROM items)"""
-_AUDIT = (_AUDIT_MAIL, VERDICTS, _OPEN, HITS, CAL_EVENTS, _ITEMS)
+AUDIT_CTES = (_AUDIT_MAIL, VERDICTS, _OPEN, HITS, CAL_EVENTS, _ITEMS)
 _AGO = "epoch(TIMESTAMP '2024-01-15 03:00:00') - floor(epoch(ts))"
 
 ORACLES = {
     "audit_window": with_ctes(f"""SELECT id, strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') AS received_at,
   strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ') AS fetched_at FROM mail_orders WHERE {_window(48)}""", MAIL_ORDERS),
-    "audit_suspicion": with_ctes("SELECT message_id, candidates, missing, stored, level, suspicion FROM told", *_AUDIT),
+    "audit_suspicion": with_ctes("SELECT message_id, candidates, missing, stored, level, suspicion FROM told", *AUDIT_CTES),
     "audit_counts": with_ctes("""SELECT count(*) AS messages, count(*) FILTER (level = 2) AS likely_missed, count(*) FILTER (level = 1) AS maybe,
-  count(*) FILTER (candidates > 0) AS with_candidates, count(*) FILTER (missing > 0) AS stale, count(*) FILTER (call_llm AND candidates = 0) AS unjudged FROM told""", *_AUDIT),
+  count(*) FILTER (candidates > 0) AS with_candidates, count(*) FILTER (missing > 0) AS stale, count(*) FILTER (call_llm AND candidates = 0) AS unjudged FROM told""", *AUDIT_CTES),
     "audit_report_lines": with_ctes("""SELECT CASE WHEN level > 0 THEN '1-suspect' WHEN candidates > 0 THEN '2-found' ELSE '3-quiet' END AS section,
-  count(*) AS messages, sum(CASE WHEN level > 0 THEN 6 WHEN candidates > 0 THEN 4 ELSE 1 END) AS n_lines FROM told GROUP BY 1""", *_AUDIT),
+  count(*) AS messages, sum(CASE WHEN level > 0 THEN 6 WHEN candidates > 0 THEN 4 ELSE 1 END) AS n_lines FROM told GROUP BY 1""", *AUDIT_CTES),
     "stale_results": with_ctes("""SELECT message_id, count(*) AS missing FROM (SELECT *, is_deadline OR NOT has_time AS all_day FROM hits)
 WHERE message_id % 2 = 1 OR (message_id % 3 = 0 AND message_id % 10 <> 0 AND NOT all_day) GROUP BY 1""", MAIL_ORDERS, "src AS (SELECT * FROM mail_orders)", HITS),
     "digest_split_days": """

@@ -1,10 +1,12 @@
 """The chain over versioned state tables, run twice: the second run must change nothing."""
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from mailspark.plans.daily import DailyRun, Settings
+from mailspark.sources.reports import read_text
 from tests.conftest import rows
 from tests.corpus import SAMPLES
 
@@ -58,3 +60,21 @@ def test_daily_run_is_idempotent(spark, tmp_path):
     assert gone == [{"folder": "INBOX", "uid": 1}]
     # one report per date: the later one replaced the earlier
     assert spark.read.parquet(f"{root}/digest").select(F.col("digest_date").cast("string")).distinct().count() == 1
+
+
+def test_audit_stage_files_its_report(spark, tmp_path):
+    schema = "account string, folder string, uid_validity long, uid long, raw binary, flags array<string>, internal_date string"
+    raw = spark.createDataFrame([("me", "INBOX", 1, i + 1, bytearray(raw), [], "2026-09-14T02:00:00Z")
+                                 for i, (_, raw) in enumerate(SAMPLES)], schema)
+    folders = spark.createDataFrame([("me", "INBOX", 1, 99, 0)],
+                                    "account string, folder string, uid_validity long, uid_next long, folder_ord int")
+    root = str(tmp_path / "state")
+    run = DailyRun(spark, root, Settings(own_addresses=["me@example.com"], audit_hours=48), datetime(2026, 9, 14, 2, 0))
+    assert run.run(raw, folders) == 0
+    log = {r["command"]: json.loads(r["stats_json"]) for r in rows(spark.read.parquet(f"{root}/runs"))}
+    assert log["audit"]["messages"] == spark.read.json(f"{root}/reports/audit_items").count() > 0
+    for name, title in (("audit", "# 抽取复盘 · 2026-09-14"), ("digest", "# 邮件摘要 · 2026-09-14")):
+        lines = rows(read_text(spark, f"{root}/reports/{name}"), "line_no")
+        assert [r["line_no"] for r in lines] == list(range(1, len(lines) + 1))
+        assert lines[0] == {"report_date": "2026-09-14", "line_no": 1, "line": title}
+    assert f"邮件 {log['audit']['messages']} 封" in rows(read_text(spark, f"{root}/reports/audit"), "line_no")[3]["line"]
