@@ -118,7 +118,7 @@ def audit_lines(items: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
     """The report as (section, ord, line): suspects first, then what was found, then the quiet rest."""
     section = (F.when(F.col("level") > NONE, "1-suspect").when(F.col("candidates") > 0, "2-found").otherwise("3-quiet"))
     mark = F.when(F.col("level") == LIKELY, " **[很可能漏抽]**").when(F.col("level") == MAYBE, " **[值得留意]**").otherwise("")
-    head = F.concat(F.lit("### `#"), F.col("message_id").cast("string"), F.lit("` "), F.col("subject"), mark)
+    head = F.concat(F.lit("### `#"), F.col("message_id").cast("string"), F.lit("` "), F.coalesce("subject", F.lit("")), mark)
     when = F.coalesce(F.date_format(local_time(F.col("received_at"), tz), "yyyy-MM-dd HH:mm"), F.lit("—"))
     full = F.array(
         head, F.concat(F.lit("- 收到："), when, F.lit(" ｜ 发件人："), F.coalesce("from_addr", F.lit(""))),
@@ -128,7 +128,7 @@ def audit_lines(items: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
                  F.col("stored").cast("string")),
         F.concat(F.lit("- ⚠️ "), F.col("suspicion")),
         F.when(F.col("level") > NONE, F.concat(F.lit("  正文开头："), fold_spaces(F.col("head")))))
-    short = F.array(F.concat(F.lit("- `#"), F.col("message_id").cast("string"), F.lit("` "), F.col("subject"),
+    short = F.array(F.concat(F.lit("- `#"), F.col("message_id").cast("string"), F.lit("` "), F.coalesce("subject", F.lit("")),
                              F.lit(" — "), F.col("prefilter_reason")))
     lines = F.filter(F.when(section == "3-quiet", short).otherwise(full), lambda x: x.isNotNull())
     return items.select(section.alias("section"), "message_id", F.posexplode(lines).alias("ord", "line"))

@@ -35,6 +35,7 @@ class Settings:
     push_limit: int | None = None
     push_delay_minutes: int = 30
     push_max_attempts: int = 3
+    extract_max_attempts: int = 3
     not_found_policy: str = "pending"
     mark_read_policy: str = "off"
     confidence_threshold: float = lx.AUTO_PUSH_THRESHOLD
@@ -44,6 +45,19 @@ class Settings:
     audit_hours: int | None = None
 
 
+@dataclass
+class Failures:
+    """What the clients outside could not do since the last run; a missing frame means that nothing failed.
+
+    ``fetch``: account, folder, uid_validity, uid, error. ``extract``: id of a message, which stays out of this run's
+    extraction. ``push``: id of an event, one row for each failed attempt.
+    """
+
+    fetch: DataFrame | None = None
+    extract: DataFrame | None = None
+    push: DataFrame | None = None
+
+
 class DailyRun:
     """The chain over one root folder that holds a versioned table per state table."""
 
@@ -63,14 +77,16 @@ class DailyRun:
 
     def run(self, raw: DataFrame, folders: DataFrame, remote: DataFrame | None = None,
             llm_responses: DataFrame | None = None, listing: DataFrame | None = None,
-            commands: DataFrame | None = None) -> int:
+            commands: DataFrame | None = None, failures: Failures | None = None) -> int:
         """Run every stage; returns the worst exit code. ``listing`` is read by the sync stage, ``commands`` (seq,
-        event_ids, action, title, start_ts) by the review stage; without commands there is no such stage."""
+        event_ids, action, title, start_ts) by the review stage; without commands there is no such stage. ``failures``
+        are recorded by the stages that they belong to."""
+        failed = failures or Failures()
         stages: list[tuple[str, Callable[[], dict]]] = [
-            ("sync", lambda: self.sync(raw, folders, listing)), ("threads", self.rebuild_threads),
-            ("extract", lambda: self.extract(raw, llm_responses)),
+            ("sync", lambda: self.sync(raw, folders, listing, failed.fetch)), ("threads", self.rebuild_threads),
+            ("extract", lambda: self.extract(raw, llm_responses, failed.extract)),
             *([("review", lambda: self.review(commands))] if commands is not None else []),
-            ("push", lambda: self.push(remote) if remote is not None else {}),
+            ("push", lambda: self.push(remote, failed.push) if remote is not None else {}),
             ("mark_read", self.mark_read), *([("audit", self.audit)] if self.settings.audit_hours else []), ("digest", lambda: self.digest(remote))]
         return max(self._stage(i, name, job) for i, (name, job) in enumerate(stages))
 
@@ -87,11 +103,13 @@ class DailyRun:
             "ok": error is None, "error": error, "exit_code": code})
         return code
 
-    def sync(self, raw: DataFrame, folders: DataFrame, listing: DataFrame | None = None) -> dict:
+    def sync(self, raw: DataFrame, folders: DataFrame, listing: DataFrame | None = None,
+             failed: DataFrame | None = None) -> dict:
         """raw: account, folder, uid_validity, uid, raw, flags, internal_date. folders: live state with folder_ord.
 
         listing: account, folder, uid_validity, uid of everything that the listed folders hold now. Only such a full
-        listing tells what has moved away; without it nothing is marked.
+        listing tells what has moved away; without it nothing is marked. ``failed`` uids stand in the ledger with their
+        error until a later run takes them; what failed and was taken in the same run was taken.
         """
         state, messages = self.table("sync_state"), self.table("messages")
         cursors = checkpointed(ingest.folder_cursor(folders, state.read()))
@@ -107,6 +125,11 @@ class DailyRun:
         messages.write(ingest.link_copies(numbered, decided))
         log = decided.select(*ingest.UID_KEY, F.lit("synced").alias("status"), F.lit(None).cast("string").alias("error"),
                              self._now.alias("processed_at"))
+        if failed is not None:
+            missed = failed.join(log, ingest.UID_KEY, "left_anti").select(
+                *ingest.UID_KEY, F.lit("fetch_failed").alias("status"), sanitize_error(F.col("error"), None).alias("error"),
+                self._now.alias("processed_at"))
+            log = checkpointed(log.unionByName(missed))
         self.table("processed_mail").write(ingest.ledger(self.table("processed_mail").read(), log))
         fresh = decided.where("action <> 'known'")
         self.table("senders").write(ingest.merge_senders(self.table("senders").read(), ingest.sender_rollup(fresh)))
@@ -123,11 +146,20 @@ class DailyRun:
         self.table("threads").write(made)
         return {"threads": made.count()}
 
-    def extract(self, raw: DataFrame | None = None, llm_responses: DataFrame | None = None) -> dict:
-        """Claim pending messages, extract, store candidates, drop what is no longer found."""
+    def extract(self, raw: DataFrame | None = None, llm_responses: DataFrame | None = None,
+                failed: DataFrame | None = None) -> dict:
+        """Claim pending messages, extract, store candidates, drop what is no longer found.
+
+        ``failed`` (id) of the claimed messages count an attempt and wait again, or fail for good once their attempts
+        are used; what is stored of them stays as it is.
+        """
+        most = self.settings.extract_max_attempts
         messages, events, pushes = self.table("messages"), self.table("events"), self.table("scheduled_pushes")
-        rows = ingest.reclaim(messages.read(), self._now)
+        rows = ingest.reclaim(messages.read(), self._now, max_attempts=most)
         due = checkpointed(rows.where("extract_status = 'pending' and is_canonical"))
+        claimed = due.select("id", F.lit(True).alias("_claimed"))
+        failed = claimed.select("id").join(failed, "id", "left_semi") if failed is not None else claimed.select("id").limit(0)
+        due = checkpointed(due.join(failed, "id", "left_anti"))
         source = due.select(
             F.col("id").alias("message_id"), "subject", F.col("body_excerpt").alias("text"),
             F.coalesce("received_at", self._now).alias("received_at"), "auto_submitted",
@@ -155,10 +187,12 @@ class DailyRun:
         events.write(store.supersede(left))
         pushes.write(store.number_new_rows(queue.unionByName(review.schedule(
             events.read(), queue, self._now, self.settings.push_delay_minutes, self.settings.confidence_threshold))))
-        done = due.select("id", F.lit(True).alias("_done"))
         before = checkpointed(messages.read().select("id", "extract_status", "extract_attempts"))
-        after = checkpointed(rows.join(done, "id", "left").withColumn("extract_status", F.when(
-            F.col("_done"), "done").otherwise(F.col("extract_status"))).drop("_done"))
+        was = F.col("extract_status")
+        running = rows.join(claimed, "id", "left").withColumns({
+            "_was": was, "extract_status": F.when(F.col("_claimed"), "running").otherwise(was)})
+        after = checkpointed(ingest.after_attempt(running, failed, most).withColumn("extract_status", F.when(
+            F.col("_claimed"), was).otherwise(F.col("_was"))).drop("_claimed", "_was"))
         messages.write(after)
         answered = llm_responses.select("message_id", F.col("response").isNotNull().alias("ok")) if (
             llm_responses is not None and "response" in llm_responses.columns) else None
@@ -174,9 +208,15 @@ class DailyRun:
         pushes.write(review.withdraw_approved(pushes.read(), outcomes))
         return {r["result"]: r["n"] for r in outcomes.groupBy("result").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def push(self, remote: DataFrame) -> dict:
-        """Compare approved events with their copies, write the outbox, and record what was found."""
+    def push(self, remote: DataFrame, failed: DataFrame | None = None) -> dict:
+        """Compare approved events with their copies, write the outbox, and record what was found.
+
+        ``failed`` (id) are attempts on the last outbox that did not succeed: they count up, and at the limit the event
+        asks for attention.
+        """
         events, pushes = self.table("events"), self.table("scheduled_pushes")
+        if failed is not None:
+            events.write(reconcile.record_failures(events.read(), failed, self.settings.push_max_attempts, self._now))
         pushes.write(review.dispatch(pushes.read(), events.read(), self._now))
         plan = checkpointed(reconcile.push_plan(events.read(), remote, self.settings.push_limit,
                                                 self.settings.not_found_policy, self.settings.tz))

@@ -46,7 +46,8 @@ class VersionedTable:
 
 
 def write_report(lines: DataFrame, path: str, date_column: str = "digest_date") -> None:
-    """One text file per date: a later report of the same date replaces it, other dates stay."""
+    """The lines of a report as a table, a folder per date: a later report of a date replaces it, other dates stay.
+    ``reports.write_text`` writes the text itself."""
     ordered = lines.repartition(date_column).sortWithinPartitions(date_column, "section", "ord")
     (ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_column)
      .parquet(path))

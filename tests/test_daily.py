@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from mailspark.plans.daily import DailyRun, Settings
+from mailspark.plans.daily import DailyRun, Failures, Settings
 from mailspark.sources.reports import read_text
 from tests.conftest import rows
 from tests.corpus import SAMPLES
@@ -78,3 +78,37 @@ def test_audit_stage_files_its_report(spark, tmp_path):
         assert [r["line_no"] for r in lines] == list(range(1, len(lines) + 1))
         assert lines[0] == {"report_date": "2026-09-14", "line_no": 1, "line": title}
     assert f"邮件 {log['audit']['messages']} 封" in rows(read_text(spark, f"{root}/reports/audit"), "line_no")[3]["line"]
+
+
+def test_failures_are_recorded_and_tried_again(spark, tmp_path):
+    schema = "account string, folder string, uid_validity long, uid long, raw binary, flags array<string>, internal_date string"
+    mails = [("me", "INBOX", 1, i + 1, bytearray(raw), [], "2026-09-14T02:00:00Z") for i, (_, raw) in enumerate(SAMPLES)]
+    folders = spark.createDataFrame([("me", "INBOX", 1, 99, 0)],
+                                    "account string, folder string, uid_validity long, uid_next long, folder_ord int")
+    remote = spark.createDataFrame([], "event_id string, etag string, payload string")
+    root, uids = str(tmp_path / "state"), "account string, folder string, uid_validity long, uid long, error string"
+    plain = DailyRun(spark, str(tmp_path / "plain"), now=datetime(2026, 9, 14, 2, 0))
+    assert plain.run(spark.createDataFrame(mails, schema), folders, remote) == 0
+    per_message = {r["message_id"]: r["count"] for r in plain.table("events").read().groupBy("message_id").count().collect()}
+    bad = min(per_message)
+
+    lost = spark.createDataFrame([("me", "INBOX", 1, 90, "timed\nout"), ("me", "INBOX", 1, 1, "late")], uids)
+    for attempt, minutes in enumerate((0, 10), 1):  # the message fails twice: the second time for good
+        run = DailyRun(spark, root, Settings(extract_max_attempts=2), datetime(2026, 9, 14, 2, minutes))
+        failures = Failures(fetch=lost, extract=spark.createDataFrame([(bad,), (10 ** 6,)], "id long"))
+        assert run.run(spark.createDataFrame(mails, schema), folders, remote, failures=failures) == 0
+        row = run.table("messages").read().where(F.col("id") == bad).first()
+        assert (row["extract_status"], row["extract_attempts"]) == (("pending", 1), ("failed", 2))[attempt - 1]
+    found = {r["message_id"]: r["count"] for r in run.table("events").read().groupBy("message_id").count().collect()}
+    assert found == {m: n for m, n in per_message.items() if m != bad}
+    states = {r["extract_status"] for r in run.table("messages").read().where(F.col("id") != bad).collect()}
+    assert states == {r["extract_status"] for r in plain.table("messages").read().where(F.col("id") != bad).collect()}
+    ledger = {r["uid"]: (r["status"], r["error"]) for r in run.table("processed_mail").read().collect()}
+    assert ledger[90] == ("fetch_failed", "timed out") and ledger[2] == ("synced", None)
+
+    # three failed attempts on one event and one on another
+    one, two = sorted(r["id"] for r in run.table("events").read().collect())[:2]
+    last = DailyRun(spark, root, Settings(push_max_attempts=3), datetime(2026, 9, 14, 2, 20))
+    last.push(remote, spark.createDataFrame([(one,)] * 3 + [(two,)], "id long"))
+    rows_ = {r["id"]: (r["status"], r["push_attempts"], r["needs_attention"]) for r in last.table("events").read().collect()}
+    assert rows_[one] == ("push_failed", 3, True) and rows_[two] == ("push_failed", 1, False)
