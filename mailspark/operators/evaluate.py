@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType
 
 from mailspark.functions.common import casefold, local_day, local_time
 from mailspark.operators.rules import DEFAULT_ZONE
-from mailspark.session import checkpointed
+
+_NOBODY = np.zeros(0, np.int64)
+_TAKEN = np.iinfo(np.int64).max
 
 
 def match_truth(candidates: DataFrame, expected: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
@@ -16,41 +23,149 @@ def match_truth(candidates: DataFrame, expected: DataFrame, tz: str = DEFAULT_ZO
 
     candidates: name, cand_ord, title, evidence, start_ts. expected: name, exp_ord, title_contains, start_date,
     start_time, tolerance_minutes. A match needs the same local date. The first candidate takes the first expected
-    event that fits.
+    event that fits; rows of one name and number are one candidate, or one event.
+
+    Pairs are never built: both sides of a name pass through one task in their order, where the events that are still
+    free wait in queues, one for each wording, day, clock and tolerance. Only these and their numbers are held.
     """
     left = candidates.where(F.col("start_ts").isNotNull()).select(
-        "name", local_day(F.col("start_ts"), tz).alias("day"), F.col("cand_ord").cast("long").alias("cand_ord"),
-        casefold(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("evidence", F.lit("")))).alias("hay"),
-        (F.hour(local_time(F.col("start_ts"), tz)) * 60 + F.minute(F.col("start_ts"))).alias("clock"))
+        "name", F.lit(1).alias("side"), F.col("cand_ord").cast("long").alias("ord"),
+        F.unix_date(local_day(F.col("start_ts"), tz)).alias("day"),
+        casefold(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("evidence", F.lit("")))).alias("text"),
+        (F.hour(local_time(F.col("start_ts"), tz)) * 60 + F.minute(F.col("start_ts"))).cast("double").alias("clock"),
+        F.lit(None).cast("double").alias("tolerance"))
     clock = F.split("start_time", ":")
+    named = left.schema["name"].dataType
     right = expected.select(
-        "name", F.col("start_date").alias("day"), F.col("exp_ord").cast("long").alias("exp_ord"),
-        casefold(F.coalesce("title_contains", F.lit(""))).alias("word"),
-        (F.get(clock, F.lit(0)).cast("int") * 60 + F.get(clock, F.lit(1)).cast("int")).alias("wanted"),
-        F.greatest(F.coalesce("tolerance_minutes", F.lit(0)), F.lit(0)).alias("tolerance"))
-    fits = (F.contains(F.col("hay"), F.col("word"))
-            & (F.col("wanted").isNull() | (F.abs(F.col("clock") - F.col("wanted")) <= F.col("tolerance"))))
-    pairs = left.join(right, ["name", "day"]).where(fits).select("name", "cand_ord", "exp_ord")
-    return first_come(pairs)
+        F.col("name").cast(named).alias("name"), F.lit(0).alias("side"), F.col("exp_ord").cast("long").alias("ord"),
+        F.unix_date(F.col("start_date").cast("date")).alias("day"),
+        casefold(F.coalesce("title_contains", F.lit(""))).alias("text"),
+        (F.get(clock, F.lit(0)).cast("int") * 60 + F.get(clock, F.lit(1)).cast("int")).cast("double").alias("clock"),
+        F.greatest(F.coalesce("tolerance_minutes", F.lit(0)), F.lit(0)).cast("double").alias("tolerance"))
+    rows = left.unionByName(right).where("name is not null and ord is not null and day is not null")
+    return _in_order(rows, ["name", "side", "ord"], _matched, named)
 
 
 def first_come(pairs: DataFrame) -> DataFrame:
     """(name, cand_ord, exp_ord) that remain where each candidate in its order takes the first expected event left.
 
-    In rounds: a pair that is first for both of its sides is final, and all other pairs of the two leave. A candidate's
-    first pair waits only for earlier candidates that fit the same event, so a round ends all of them that nobody
-    precedes; groups of any size go on side by side. Each round ends in a checkpoint. Equal pairs count once.
+    The pairs of a name pass through one task in order; it holds the numbers of the events taken. Equal pairs count once.
     """
-    rest, found = checkpointed(pairs.distinct()), []
-    while not rest.isEmpty():
-        by_cand = rest.groupBy("name", "cand_ord").agg(F.min("exp_ord").alias("_exp"))
-        by_exp = rest.groupBy("name", "exp_ord").agg(F.min("cand_ord").alias("_cand"))
-        final = checkpointed(rest.join(by_cand, ["name", "cand_ord"]).join(by_exp, ["name", "exp_ord"])
-                             .where("exp_ord = _exp and cand_ord = _cand").select("name", "cand_ord", "exp_ord"))
-        found.append(final)
-        rest = checkpointed(rest.join(final.select("name", "cand_ord"), ["name", "cand_ord"], "left_anti")
-                            .join(final.select("name", "exp_ord"), ["name", "exp_ord"], "left_anti"))
-    return reduce(DataFrame.unionByName, found) if found else rest
+    rows = pairs.select("name", "cand_ord", "exp_ord").where("name is not null and cand_ord is not null and exp_ord is not null")
+    return _in_order(rows, ["name", "cand_ord", "exp_ord"], _first_left, pairs.schema["name"].dataType)
+
+
+def _in_order(rows: DataFrame, order: list[str], settle: Callable, named: DataType) -> DataFrame:
+    return rows.repartition("name").sortWithinPartitions(*order).mapInArrow(
+        settle, f"name {named.simpleString()}, cand_ord long, exp_ord long")
+
+
+def _out(found: list[tuple], like: pa.Array) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [[], [], []]
+    return pa.record_batch([pa.array(columns[0], like.type), *[pa.array(c, pa.int64()) for c in columns[1:]]],
+                           names=["name", "cand_ord", "exp_ord"])
+
+
+def _first_left(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    name, last, used = None, None, set()
+    for batch in batches:
+        found = []
+        for n, cand, exp in zip(*[c.to_pylist() for c in batch.columns]):
+            if n != name:
+                name, last, used = n, None, set()
+            if cand != last and exp not in used:
+                last = cand
+                used.add(exp)
+                found.append((n, cand, exp))
+        yield _out(found, batch.column(0))
+
+
+def _matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of name, side (0: expected, 1: candidate), ord, day, text, clock, tolerance, sorted by the first three."""
+    name, cand, forms, free, like = None, None, [], _Free(), None
+
+    def settled():
+        exp = free.take(forms) if forms else None
+        return [] if exp is None else [(name, cand, exp)]
+
+    for batch in batches:
+        found, like = [], batch.column(0)
+        for n, side, ord, day, text, clock, tolerance in zip(*[c.to_pylist() for c in batch.columns]):
+            if n != name:
+                found += settled()
+                name, cand, forms, free = n, None, [], _Free()
+            if side == 0:
+                free.add(ord, (day, text, clock, tolerance))
+            elif free.left:
+                if ord != cand:
+                    found += settled()
+                    cand, forms = ord, []
+                forms.append((day, text, clock))
+        yield _out(found, like)
+    if last := settled():
+        yield _out(last, like)
+
+
+class _Free:
+    """The expected events of one name that nobody has taken: the numbers of equal ones (a class) wait in a queue."""
+
+    REMEMBERED = 100_000  # fits of candidates kept for those of the same form
+
+    def __init__(self):
+        self.queues: dict[tuple, array] = {}
+        self.left, self.newest, self.shared, self.used = 0, None, set(), set()
+        self.heads = None
+
+    def add(self, exp: int, kind: tuple) -> None:
+        queue = self.queues.setdefault(kind, array("q"))
+        if not queue or queue[-1] != exp:
+            queue.append(exp)
+            self.left += 1
+        if exp == self.newest:
+            self.shared.add(exp)
+        self.newest = exp
+
+    def _open(self) -> None:
+        kinds, self.queues = list(self.queues), list(self.queues.values())
+        self.heads, self.at, self.fits = np.array([q[0] for q in self.queues], np.int64), [0] * len(kinds), {}
+        self.days: dict[int, list] = {}
+        for i, kind in enumerate(kinds):
+            self.days.setdefault(kind[0], []).append((i, kind[1], np.nan if kind[2] is None else kind[2], kind[3]))
+        self.days = {d: (np.array([k[0] for k in ks]), [k[1] for k in ks], *(np.array([k[j] for k in ks]) for j in (2, 3)))
+                     for d, ks in self.days.items()}
+
+    def _fitting(self, form: tuple) -> np.ndarray:
+        """The classes that fit a candidate, by its day, text and clock."""
+        if form not in self.fits:
+            if len(self.fits) >= self.REMEMBERED:
+                self.fits.clear()
+            day, text, clock = form
+            where, words, wanted, tolerance = self.days.get(day, (_NOBODY, [], _NOBODY, _NOBODY))
+            near = np.flatnonzero(np.isnan(wanted) | (np.abs(wanted - clock) <= tolerance))
+            self.fits[form] = where[[k for k in near if words[k] in text]] if len(near) else _NOBODY
+        return self.fits[form]
+
+    def take(self, forms: list[tuple]) -> int | None:
+        """The first free event that fits any of a candidate's forms."""
+        if self.heads is None:
+            self._open()
+        fits = self._fitting(forms[0]) if len(forms) == 1 else np.unique(np.concatenate([self._fitting(f) for f in forms]))
+        while len(fits):
+            heads = self.heads[fits]
+            k = heads.argmin()
+            if heads[k] == _TAKEN:  # nor does a later candidate of these forms find one
+                self.fits.update((f, _NOBODY) for f in forms)
+                return None
+            exp, kind = int(heads[k]), fits[k]
+            self.at[kind] += 1
+            self.left -= 1
+            queue = self.queues[kind]
+            self.heads[kind] = queue[self.at[kind]] if self.at[kind] < len(queue) else _TAKEN
+            if exp not in self.used:
+                if exp in self.shared:
+                    self.used.add(exp)
+                return exp
+        return None
 
 
 def per_sample(samples: DataFrame, candidates: DataFrame, expected: DataFrame, matches: DataFrame) -> DataFrame:

@@ -113,3 +113,35 @@ def test_work_lists_have_no_default_limit():
     for f in (reconcile.push_plan, review.review_items, review.review_page, review.due_pushes, stats.mailbox):
         assert inspect.signature(f).parameters["limit"].default is None
     assert Settings.push_limit is None
+
+
+def test_matching_builds_no_pairs(spark, monkeypatch):
+    """Many candidates and events of one day: equal ones queue up, in one pass instead of a round for each of them."""
+    rng = random.Random(3)
+    words = ["call", "plan", ""]
+    cands = [(rng.choice("ab"), o, rng.choice(["Call x", "PLAN", "call plan", None]), rng.randrange(0, 720, 40), rng.randrange(2)) for o in range(1500)]
+    cands += [("a", o, "call", 300, 1) for o in range(40)]  # numbers that stand twice are one candidate
+    truth = [(rng.choice("ab"), o, rng.choice(words), rng.choice([None, *range(0, 720, 60)]), rng.choice([None, 45, 200]), rng.randrange(2)) for o in range(300)]
+    truth += [("b", o, "plan", 100, 90, 0) for o in range(30)]
+    cand = spark.createDataFrame(cands, "name string, cand_ord long, title string, m int, d int").select(
+        "name", "cand_ord", "title", F.lit(None).cast("string").alias("evidence"),
+        F.expr("timestamp'2026-01-01 16:00:00' + make_interval(0, 0, 0, d, 0, m)").alias("start_ts"))
+    expected = spark.createDataFrame(truth, "name string, exp_ord long, title_contains string, m int, tolerance_minutes int, d int").select(
+        "name", "exp_ord", "title_contains", F.expr("date_add(date'2026-01-02', d)").alias("start_date"),
+        F.expr("format_string('%02d:%02d', m div 60, m % 60)").alias("_t"), "m", "tolerance_minutes").withColumn(
+        "start_time", F.when(F.col("m").isNotNull(), F.col("_t")))
+    fits = sorted({(n, o, e) for n, o, t, m, d in cands for k, e, w, want, tol, day in truth
+                   if n == k and d == day and w in (t or "").lower() and (want is None or abs(want - m) <= (tol or 0))})
+    want, taken, used = [], set(), set()
+    for n, o, e in fits:
+        if (n, o) not in taken and (n, e) not in used:
+            taken.add((n, o))
+            used.add((n, e))
+            want.append((n, o, e))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("matching", "")
+    monkeypatch.setattr(evaluate._Free, "REMEMBERED", 3)
+    found = evaluate.match_truth(cand, expected)
+    assert len(jobs.getJobIdsForGroup("matching")) == 0  # no rounds
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in found.collect()) == want
