@@ -9,7 +9,7 @@ from mailspark.functions.common import casefold, local_day, local_time, nonempty
 from mailspark.functions.fingerprint import event_fingerprint
 from mailspark.operators.prefilter import classify
 from mailspark.operators.rules import DEFAULT_MINUTES, DEFAULT_ZONE, rule_candidates, rule_hits
-from mailspark.session import checkpointed
+from mailspark.session import by_key, checkpointed
 
 JOINER = "；"
 
@@ -101,7 +101,7 @@ def combine(ics: DataFrame | None, rules: DataFrame, llm: DataFrame | None) -> D
         covered = ics.where(F.col("start_ts").isNotNull()).select("message_id", minute.alias("_minute")).distinct()
 
         def uncovered(df: DataFrame) -> DataFrame:
-            return df.withColumn("_minute", minute).join(covered, ["message_id", "_minute"], "left_anti").drop("_minute")
+            return df.withColumn("_minute", minute).join(by_key(covered), ["message_id", "_minute"], "left_anti").drop("_minute")
 
         parts.append(ics)
         rules = uncovered(rules)
@@ -220,8 +220,8 @@ def extract(messages: DataFrame, now: Column, vevents: DataFrame | None = None,
     ics = None
     if vevents is not None:
         senders = messages.select("message_id", F.lower("from_addr").alias("_from"))
-        owned = vevents.join(verdicts.where("extract").select("message_id"), "message_id", "left_semi").join(
-            senders, "message_id")
+        owned = vevents.join(by_key(verdicts.where("extract").select("message_id")), "message_id", "left_semi").join(
+            by_key(senders), "message_id")
         if contacts is not None:
             known = contacts.select(F.lower("addr").alias("_from")).distinct().withColumn("is_known_contact", F.lit(True))
             owned = owned.join(known, "_from", "left")
@@ -229,8 +229,8 @@ def extract(messages: DataFrame, now: Column, vevents: DataFrame | None = None,
     llm = None
     if llm_responses is not None:
         settled = rules.where(~F.col("requires_review")).select("message_id").distinct()
-        asked = verdicts.where("extract and call_llm").select("message_id").join(settled, "message_id", "left_anti")
-        llm = llm_candidates(llm_responses.join(asked, "message_id", "left_semi"), tz, minutes)
+        asked = verdicts.where("extract and call_llm").select("message_id").join(by_key(settled), "message_id", "left_anti")
+        llm = llm_candidates(llm_responses.join(by_key(asked), "message_id", "left_semi"), tz, minutes)
     return verdicts, mark_conflicts(dedupe_slots(combine(ics, rules, llm), tz), tz)
 
 
