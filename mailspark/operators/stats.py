@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark import lexicon as lx
 from mailspark.functions.headers import is_seen
+from mailspark.session import by_key, checkpointed
 
 
 def count_by(df: DataFrame, key: str, section: str) -> DataFrame:
@@ -133,6 +134,9 @@ def extract_stats(verdicts: DataFrame, candidates: DataFrame, merged: DataFrame
     merged: events with their ``outcome``. lost: events no longer produced, with ``removable``. before and after:
     messages around the run. answered: message_id, ok of the messages that a model was asked for.
     """
+    # each part below reads them again: keep the thin columns, not the passes over the texts
+    verdicts = checkpointed(verdicts.select("message_id", "extract", "call_llm"))
+    candidates = checkpointed(candidates.select("message_id", "source", "requires_review"))
     parts = []
     if merged is not None:
         parts.append(totals(merged, "extract", **{f"events_{k}": F.count_if(F.col("outcome") == k) for k in (
@@ -148,7 +152,7 @@ def extract_stats(verdicts: DataFrame, candidates: DataFrame, merged: DataFrame
                             zombies_reclaimed=F.count_if((F.col("was") == "running") & (F.col("extract_status") != "running"))))
     wanted = verdicts.where("extract AND call_llm").select("message_id")
     settled = candidates.where("source IN ('ics', 'rules') AND NOT requires_review").select("message_id").distinct()
-    asked = wanted.join(settled, "message_id", "left_anti")
+    asked = wanted.join(by_key(settled), "message_id", "left_anti")
     if answered is not None:
         told = asked.join(answered.select("message_id", "ok"), "message_id", "left")
         parts.append(totals(told, "extract", llm_called=F.count("ok"), llm_ok=F.count_if("ok"),

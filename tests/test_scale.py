@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from mailspark.operators.stats import extract_stats
 from mailspark.queries import all_queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,3 +19,11 @@ def plan(df, mode="formatted"):
 @tables
 def test_rows_of_every_message_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(all_queries()["raw_to_candidates"](spark, FOLDER))
+
+
+def test_statistics_read_their_input_once(spark):
+    verdicts = spark.range(9).select(F.col("id").alias("message_id"), F.lit(True).alias("extract"), F.lit(True).alias("call_llm"))
+    found = spark.range(6).select(F.col("id").alias("message_id"), F.lit("rules").alias("source"), (F.col("id") > 2).alias("requires_review"))
+    stats = extract_stats(verdicts, found)
+    assert "Range" not in plan(stats)
+    assert {(r.section, r.key): r.n for r in stats.collect()}[("extract", "llm_skipped")] == 6
