@@ -12,7 +12,7 @@ from mailspark.functions.fingerprint import overlap, title_tokens
 from mailspark.functions.text import has_date_shape, has_time_shape, head_excerpt
 from mailspark.operators.candidates import extract
 from mailspark.operators.rules import DEFAULT_ZONE
-from mailspark.session import checkpointed
+from mailspark.session import by_key, checkpointed
 
 NONE, MAYBE, LIKELY = 0, 1, 2
 
@@ -36,18 +36,18 @@ def missing_candidates(candidates: DataFrame, events: DataFrame, llm_called: boo
     mine = candidates.where("source <> 'llm'")
     if not llm_called:
         modelled = events.where("source = 'llm'").select("message_id").distinct()
-        mine = mine.join(modelled, "message_id", "left_anti")
+        mine = mine.join(by_key(modelled), "message_id", "left_anti")
     mine = mine.withColumns({"_toks": title_tokens(F.col("title")), "_date": F.to_date("start_ts")})
     stored = events.where("source <> 'llm' and start_ts is not null").select(
         "message_id", "start_ts", F.to_date("start_ts").alias("_date"), F.coalesce("all_day", F.lit(False)).alias("s_all_day"),
         title_tokens(F.col("title")).alias("s_toks"))
     timed = stored.select("message_id", "start_ts", "s_all_day", "s_toks").alias("s")
     c = mine.alias("c")
-    left = c.join(timed, (F.col("c.message_id") == F.col("s.message_id")) & (F.col("c.start_ts") == F.col("s.start_ts"))
+    left = c.join(by_key(timed), (F.col("c.message_id") == F.col("s.message_id")) & (F.col("c.start_ts") == F.col("s.start_ts"))
                   & ~(F.col("c.all_day") & F.col("s.s_all_day"))
                   & (overlap(F.col("c._toks"), F.col("s.s_toks")) >= threshold), "left_anti")
     days = stored.where("s_all_day").select("message_id", "_date").distinct().withColumn("all_day", F.lit(True))
-    return left.join(days, ["message_id", "_date", "all_day"], "left_anti").select("message_id", "fingerprint")
+    return left.join(by_key(days), ["message_id", "_date", "all_day"], "left_anti").select("message_id", "fingerprint")
 
 
 def suspicion(status: Column, extract_it: Column, call_llm: Column, llm_called: Column, hits: Column,

@@ -27,3 +27,8 @@ def test_statistics_read_their_input_once(spark):
     stats = extract_stats(verdicts, found)
     assert "Range" not in plan(stats)
     assert {(r.section, r.key): r.n for r in stats.collect()}[("extract", "llm_skipped")] == 6
+
+
+@tables
+def test_stale_results_extract_once(spark):
+    assert "parquet" not in plan(all_queries()["stale_results"](spark, FOLDER)).lower()
