@@ -22,10 +22,11 @@ def rule_hits(messages: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAUL
     the only exchange (on message_id) carries thin rows; all windows below share it.
     """
     subject = F.coalesce(F.col("subject"), F.lit(""))
-    hay = casefold(F.concat(subject, F.lit("\n"), F.coalesce(F.col("text"), F.lit(""))))
+    hay = casefold(F.concat(subject, F.lit("\n"), F.col("_body")))
+    # the gate reads the text as a column: it is not repeated below an exchange that deals the messages out
     paragraphs = (
-        messages
-        .where(may_hold_date(F.coalesce(F.col("text"), F.lit(""))))
+        with_once(messages.select("message_id", "subject", "text", "received_at"), _body=F.coalesce(F.col("text"), F.lit("")))
+        .where(may_hold_date(F.col("_body")))
         .select(
             "message_id", "received_at", subject.alias("subject"),
             contains_any(hay, lx.DEADLINE_KEYWORDS).alias("is_deadline"),

@@ -120,7 +120,7 @@ FROM orders JOIN customer ON c_custkey = o_custkey)"""
 # --- orders as calendar entries -------------------------------------------------------------------------------
 
 
-def cal_events(spark: SparkSession, folder: str) -> DataFrame:
+def cal_events(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
     k = F.col("o_orderkey")
     kt = k.cast("string")
     none = F.lit(None).cast("string")
@@ -130,7 +130,7 @@ def cal_events(spark: SparkSession, folder: str) -> DataFrame:
     # the entries of one message share a day, give or take the clock
     start = F.when(k % 41 != 0, F.lit("1995-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(
         days=((k - k % 3) % 2400).cast("int"), hours=(k % 11).cast("int"), mins=(k % 72 * 20).cast("int")))
-    return load(spark, folder, "orders").select(
+    return (load(spark, folder, "orders") if orders is None else orders).select(
         k.alias("id"), (k - k % 3).alias("message_id"), F.lit(None).cast("long").alias("thread_id"),
         F.concat(F.lit("order "), F.lower("o_orderpriority"), F.lit(" no "), (k % 50).cast("string")).alias("title"),
         start.alias("start_ts"), (start + F.make_dt_interval(mins=F.lit(30))).alias("end_ts"),

@@ -15,10 +15,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns(naive) if naive else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on an input of few splits; a large input passes unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Parts of at most some ``rows`` rows for costly per-row work, one for each core at least: a larger input has more
+    tasks, not longer ones. An input of enough splits passes unchanged."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def state_table(spark: SparkSession, path: str, name: str) -> DataFrame:

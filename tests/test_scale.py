@@ -5,8 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from mailspark.operators.rules import rule_hits
 from mailspark.operators.stats import extract_stats
 from mailspark.queries import all_queries
+from mailspark.sources.ics import parse_ics
+from mailspark.sources.tables import spread
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -16,6 +19,21 @@ def plan(df, mode="formatted"):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
+def test_larger_inputs_get_more_parts(spark):
+    assert spread(spark.range(0, 1000, 1, 4), rows=50).rdd.getNumPartitions() == 20
+    assert spread(spark.range(0, 1000, 1, 30), rows=50).rdd.getNumPartitions() == 30
+
+
+@pytest.mark.parametrize("name", ["hits", "ics"])
+def test_costly_gates_stay_above_the_exchange(spark, name):
+    """A filter on a computed text must not run a second time in the few tasks that read the input."""
+    base = spark.range(100).repartition(8).select(F.col("id").alias("message_id"), F.lit("s").alias("subject"), F.concat(
+        F.lit("on 2026-03-0"), F.col("id").cast("string")).alias("text"), F.current_timestamp().alias("received_at"))
+    df = rule_hits(base) if name == "hits" else parse_ics(base.select("message_id", F.encode("text", "UTF-8").alias("raw")))
+    below = plan(df, "simple").rsplit("REPARTITION_BY_NUM", 1)[1]
+    assert "RLIKE" not in below and "regexp_replace" not in below
+
+
 @tables
 def test_rows_of_every_message_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(all_queries()["raw_to_candidates"](spark, FOLDER))
