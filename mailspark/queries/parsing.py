@@ -39,7 +39,7 @@ def _raw_documents(spark: SparkSession, folder: str) -> DataFrame:
         "--bb", 'Content-Type: application/octet-stream; name="x.ics"', "Content-Disposition: attachment; filename=x.ics", "",
         "BEGIN:VCALENDAR", "END:VCALENDAR", "--bb--", "")
     raw = F.encode(F.when(k % 2 == 0, single).otherwise(multi), "UTF-8")
-    return spread(load(spark, folder, "documents")).select("doc_id", raw.alias("raw"))
+    return spread(load(spark, folder, "documents"), rows=2_000).select("doc_id", raw.alias("raw"))
 
 
 def parse_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +78,7 @@ def _parts(spark: SparkSession, folder: str) -> DataFrame:
         "BEGIN:VALARM", "SUMMARY:alarm", "END:VALARM", "END:VEVENT")
     text = _crlf("BEGIN:VCALENDAR", F.concat(F.lit("METHOD:"), F.when(k % 9 == 0, "CANCEL").otherwise("REQUEST")), event,
                  "BEGIN:VEVENT", F.concat(F.lit("UID:second"), kt), "END:VEVENT", "END:VCALENDAR", "")
-    return spread(cal_events(spark, folder)).where("start_ts is not null").select(
+    return cal_events(spark, folder, spread(load(spark, folder, "orders"))).where("start_ts is not null").select(
         k.alias("message_id"), F.encode(text, "UTF-8").alias("raw"))
 
 

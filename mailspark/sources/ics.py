@@ -7,52 +7,39 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark import lexicon as lx
-from mailspark.functions.common import iso_utc, let, literal_list, nonempty, strip, with_once
+from mailspark.functions.common import iso_utc, literal_list, nonempty, strip, with_once
 from mailspark.functions.fingerprint import ics_fingerprint
 from mailspark.operators.rules import DEFAULT_MINUTES, DEFAULT_ZONE
 
-_WANTED = ("UID", "SUMMARY", "LOCATION", "STATUS", "RRULE", "SEQUENCE", "ORGANIZER", "RECURRENCE-ID", "DTSTART", "DTEND")
-_NAME_AND_PARAMS = r'^([A-Za-z-]+)((?:;(?:[^:\n";]|"[^"\n]*")*)*):'
+_PARAMS = r'((?:;(?:[^:\n";]++|"[^"\n]*+")*+)*+)'
 
 
-def _properties(block: Column) -> Column:
-    """The wanted lines of a component as (name, params, value), each line taken apart once."""
-    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(rf"(?i)^(?:{'|'.join(_WANTED)})[;:]"))
-    return F.transform(lines, lambda x: let(F.regexp_extract(x, _NAME_AND_PARAMS, 0), lambda head: F.struct(
-        F.upper(F.regexp_extract(head, _NAME_AND_PARAMS, 1)).alias("name"),
-        F.regexp_extract(head, _NAME_AND_PARAMS, 2).alias("params"),
-        F.substr(x, F.length(head) + 1).alias("value"))))
+def _property(name: str, group: int = 2) -> Column:
+    """The value of the first line of a name, or its parameters (group 1); '' when absent."""
+    return F.regexp_extract("_block", rf"(?imd)^{name}{_PARAMS}:(.*)$", group)
 
 
-def _property(name: str, field: str = "value") -> Column:
-    """The first line of a name; '' when absent."""
-    line = F.get(F.filter("_props", lambda p: p["name"] == name), F.lit(0))
-    return F.coalesce(line[field], F.lit(""))
+def _text(name: str) -> Column:
+    """A text value with its escapes undone."""
+    return strip(F.regexp_replace(F.regexp_replace(_property(name), r"\\[nN]", "\n"), r"\\([,;\\])", "$1"))
 
 
-def _text(name: str) -> Column:
-    """A text value with its escapes undone; null when absent or blank."""
-    value = F.regexp_replace(F.regexp_replace(_property(name), r"\\[nN]", "\n"), r"\\([,;\\])", "$1")
-    return nonempty(strip(value))
+def _zone(name: str) -> Column:
+    """The zone that the parameters of a stamp name; '' when absent."""
+    return F.regexp_replace(F.regexp_extract(_property(name, 1), r'(?i);TZID=("[^"]*"|[^;:]*)', 1), '"', "")
 
 
 def _known_zones() -> Column:
     return literal_list(sorted(z for z in available_timezones() if "/" in z or z in ("UTC", "GMT")))
 
 
-def _instant(name: str, tz: str) -> Column:
+def _instant(value: Column, named: Column, tz: str) -> Column:
     """UTC instant of a DATE or DATE-TIME value; a zone that is unknown counts as the user's."""
-    named = F.regexp_replace(F.regexp_extract(_property(name, "params"), r'(?i);TZID=("[^"]*"|[^;:]*)', 1), '"', "")
-
-    def read(value: Column) -> Column:
-        stamp = F.try_to_timestamp(F.substring(value, 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
-        day = F.try_to_timestamp(value, F.lit("yyyyMMdd"))
-        zone = let(named, lambda z: F.when((F.length(z) > 0) & F.array_contains(_known_zones(), z), z).otherwise(F.lit(tz)))
-        return (F.when(value.rlike(r"^\d{8}T\d{6}Z$"), stamp)
-                .when(value.rlike(r"^\d{8}T\d{6}$"), F.to_utc_timestamp(stamp, zone))
-                .when(value.rlike(r"^\d{8}$"), F.to_utc_timestamp(day, F.lit(tz))))
-
-    return let(strip(_property(name)), read)
+    stamp = F.try_to_timestamp(F.substring(value, 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
+    zone = F.when((F.length(named) > 0) & F.array_contains(_known_zones(), named), named).otherwise(F.lit(tz))
+    return (F.when(value.rlike(r"^\d{8}T\d{6}Z$"), stamp)
+            .when(value.rlike(r"^\d{8}T\d{6}$"), F.to_utc_timestamp(stamp, zone))
+            .when(value.rlike(r"^\d{8}$"), F.to_utc_timestamp(F.try_to_timestamp(value, F.lit("yyyyMMdd")), F.lit(tz))))
 
 
 def parse_ics(parts: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAULT_MINUTES,
@@ -61,24 +48,29 @@ def parse_ics(parts: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAULT_M
     sequence number is dropped, its neighbours are kept."""
     text = F.regexp_replace(F.regexp_replace(F.try_validate_utf8(F.col(raw).cast("string")), r"\r\n?", "\n"),
                             r"\n[ \t]", "")
-    blocks = (parts.withColumn("_text", text).where(F.col("_text").isNotNull())
-              .withColumn("method", nonempty(strip(F.regexp_extract("_text", r"(?im)^METHOD(?:;[^:\n]*)?:(.*)$", 1))))
-              .select("message_id", "method", F.posexplode(F.regexp_extract_all(
-                  "_text", F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))).alias("ord", "_block"))
-              .withColumn("_block", F.regexp_replace("_block", r"(?s)BEGIN:VALARM.*?END:VALARM", "")))
-    opened = with_once(blocks, _props=_properties(F.col("_block")))
-    opened = with_once(opened, _sequence=strip(_property("SEQUENCE")))
+    # each value is read once, in columns: a filter on them does not go below the exchange that deals the parts out
+    blocks = (with_once(parts, _text=text).where(F.col("_text").isNotNull())
+              .withColumn("method", strip(F.regexp_extract("_text", r"(?im)^METHOD(?:;[^:\n]*)?:(.*)$", 1)))
+              .select("message_id", nonempty(F.col("method")).alias("method"), F.posexplode(F.regexp_extract_all(
+                  "_text", F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))).alias("ord", "_block")))
+    opened = with_once(blocks.withColumn("_block", F.regexp_replace("_block", r"(?s)BEGIN:VALARM.*?END:VALARM", "")),
+                       _sequence=strip(_property("SEQUENCE")))
     sequence = F.col("_sequence")
     sound = opened.where((sequence == "") | sequence.rlike(r"^[+-]?\d{1,9}$"))
-    fields = with_once(sound, **{
-            "uid": _text("UID"),
-            "_summary": F.coalesce(_text("SUMMARY"), F.lit(lx.NO_TITLE)),
-            "location": _text("LOCATION"), "status": _text("STATUS"),
-            "rrule": nonempty(strip(_property("RRULE"))), "sequence": nonempty(sequence).cast("int"),
-            "organizer": F.regexp_replace(_text("ORGANIZER"), r"^[^:]*:\s*(?=\S)", ""),
-            "recurrence_id": F.coalesce(iso_utc(_instant("RECURRENCE-ID", tz)), _text("RECURRENCE-ID")),
-            "start_ts": _instant("DTSTART", tz), "_end": _instant("DTEND", tz),
-            "all_day": strip(_property("DTSTART")).rlike(r"^\d{8}$")})
+    values = with_once(sound, **{
+        "_uid": _text("UID"), "_title": _text("SUMMARY"), "_place": _text("LOCATION"), "_status": _text("STATUS"),
+        "_rrule": strip(_property("RRULE")), "_owner": _text("ORGANIZER"),
+        "_again": strip(_property("RECURRENCE-ID")), "_again_text": _text("RECURRENCE-ID"), "_again_zone": _zone("RECURRENCE-ID"),
+        "_from": strip(_property("DTSTART")), "_from_zone": _zone("DTSTART"),
+        "_to": strip(_property("DTEND")), "_to_zone": _zone("DTEND")})
+    fields = with_once(values, **{
+        "uid": nonempty(F.col("_uid")), "_summary": F.coalesce(nonempty(F.col("_title")), F.lit(lx.NO_TITLE)),
+        "location": nonempty(F.col("_place")), "status": nonempty(F.col("_status")), "rrule": nonempty(F.col("_rrule")),
+        "sequence": nonempty(sequence).cast("int"),
+        "organizer": F.regexp_replace(nonempty(F.col("_owner")), r"^[^:]*:\s*(?=\S)", ""),
+        "recurrence_id": F.coalesce(iso_utc(_instant(F.col("_again"), F.col("_again_zone"), tz)), nonempty(F.col("_again_text"))),
+        "start_ts": _instant(F.col("_from"), F.col("_from_zone"), tz), "_end": _instant(F.col("_to"), F.col("_to_zone"), tz),
+        "all_day": F.col("_from").rlike(r"^\d{8}$")})
     cancelled = F.coalesce(F.upper("method") == "CANCEL", F.lit(False)) | F.coalesce(
         F.upper("status") == "CANCELLED", F.lit(False))
     evidence = F.concat_ws(

@@ -34,6 +34,15 @@ def test_costly_gates_stay_above_the_exchange(spark, name):
     assert "RLIKE" not in below and "regexp_replace" not in below
 
 
+def test_first_whole_line_of_a_name_counts(spark):
+    """Broken parameters, quoted colons, lower case, other line ends of Unicode, long parameters."""
+    lines = ["BEGIN:VEVENT", 'UID;x="a:no', "uid;y=\"a:b;c\":u1", "UID:u2", "SUMMARY;p=" + "x" * 20_000 + ":a\\, b LOCATION:c",
+             "DTSTART;TZID=\"Asia/Tokyo\":20260301T090000", "END:VEVENT"]
+    raw = "\r\n".join(lines)
+    row = parse_ics(spark.createDataFrame([(1, raw)], "message_id long, raw string")).first()
+    assert (row.uid, row.summary, row.location, str(row.start_ts)) == ("u1", "a, b LOCATION:c", None, "2026-03-01 00:00:00")
+
+
 @tables
 def test_rows_of_every_message_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(all_queries()["raw_to_candidates"](spark, FOLDER))
