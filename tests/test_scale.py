@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from mailspark.operators.rules import rule_hits
 from mailspark.operators.stats import extract_stats
 from mailspark.queries import all_queries
 from mailspark.sources.ics import parse_ics
+from mailspark.sources.raw import parse_messages, portions
 from mailspark.sources.tables import spread
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -59,3 +61,11 @@ def test_statistics_read_their_input_once(spark):
 @tables
 def test_stale_results_extract_once(spark):
     assert "parquet" not in plan(all_queries()["stale_results"](spark, FOLDER)).lower()
+
+
+def test_messages_are_parsed_in_small_portions(spark):
+    batch = pa.record_batch([pa.array(range(7)), pa.array([b"x" * 40, None, b"y" * 200, b"", b"z" * 50, b"z" * 50, b"z"])], names=["k", "raw"])
+    parts = list(portions(batch, 1, 100))
+    assert [p.num_rows for p in parts] == [2, 1, 3, 1] and pa.Table.from_batches(parts).column("k").to_pylist() == list(range(7))
+    raw = spark.range(50).select("id", F.encode(F.concat(F.lit("Subject: s"), F.col("id").cast("string"), F.lit("\r\n\r\nbody")), "UTF-8").alias("raw"))
+    assert sorted(r.subject for r in parse_messages(raw).collect()) == sorted(f"s{i}" for i in range(50))
