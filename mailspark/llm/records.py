@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailspark.llm.tables import read, shared_path
+from mailspark.llm.tables import read, removed, shared_path, shuffles_removed
 from mailspark.llm.words import mixed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -25,6 +25,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 END_OF_TEXT = 50256
 LENGTH = 1024
 SHARD = 8192
+#: Shards are written in portions, of so many shards at least and so many portions at most: what is shuffled at a time
+#: is a portion, and a portion's stored runs go as its shards are there.
+PORTION_SHARDS, PORTIONS = 8, 8
 KEY = 0x5EED
 #: Documents of one bucket are numbered in one task.
 BUCKET_DOCS = 1 << 18
@@ -143,9 +146,15 @@ def placed(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length
     table; its slot is the keyed permutation of that number. The starts are one number per bucket, and a bucket is
     256th of the corpus or BUCKET_DOCS documents.
     """
+    return _numbered(docs, key, vocabulary, length, shard)[0]
+
+
+def _numbered(docs: DataFrame, key: int, vocabulary: str, length: int, shard: int) -> tuple[DataFrame, str, int]:
+    """The rows of placed(), the path of the stored runs they are read from, and how many there are."""
     spark = docs.sparkSession
     path = shared_path(spark, "sequences")
-    sequences(docs, vocabulary, length).write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        sequences(docs, vocabulary, length).write.option("compression", "zstd").parquet(path)
     runs = spark.read.schema("bucket int, pos long, doc_id long, seq int, n_tokens int, tokens binary").parquet(path)
     sizes = dict(runs.groupBy("bucket").count().collect())
     starts = np.zeros(max(sizes, default=0) + 1, np.int64)
@@ -165,7 +174,7 @@ def placed(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length
                 *(batch[c] for c in carried)], names=["slot", "shard", "byte_offset", *carried])
 
     return runs.mapInArrow(
-        run, "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int, tokens binary")
+        run, "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int, tokens binary"), path, total
 
 
 def in_training_order(docs: DataFrame, key: int = KEY, vocabulary: str = VOCABULARY, length: int = LENGTH,
@@ -181,10 +190,27 @@ def written(docs: DataFrame, path: str | None = None, key: int = KEY, vocabulary
 
     Everything comes from the shards alone: a record says whose it is, and where it lies is told by its slot. tokens
     are the record's ids without its padding.
+
+    Slots are known when all texts are encoded. The runs are then dealt out by portions of the shards, and each
+    portion is shuffled, written and removed before the next one.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "shards")
-    write_shards(placed(docs, key, vocabulary, length, shard), path, length)
+    runs, encoded, total = _numbered(docs, key, vocabulary, length, shard)
+    shards = -(-total // shard)
+    portions = max(1, min(PORTIONS, shards // PORTION_SHARDS))
+    if portions == 1:
+        write_shards(runs, path, length)
+        removed(spark, encoded)
+    else:
+        dealt = shared_path(spark, "portions")
+        runs.drop("byte_offset").withColumn("portion", F.expr(f"cast(shard * {portions} div {shards} as int)")).write.option(
+            "compression", "zstd").partitionBy("portion").parquet(dealt)
+        removed(spark, encoded)
+        for k in range(portions):
+            rows = spark.read.schema(runs.drop("byte_offset").schema).parquet(f"{dealt}/portion={k}")
+            write_shards(rows, path, length, "append" if k else "errorifexists")
+            removed(spark, f"{dealt}/portion={k}")
     slot = F.col("slot")
     return _records(spark, path, 0, length, shard).select(
         "slot", F.expr(f"slot div {shard}").alias("shard"), (slot % shard * stride(length)).alias("byte_offset"),
@@ -196,11 +222,11 @@ def stride(length: int = LENGTH) -> int:
     return 2 * length + OF.itemsize + 1
 
 
-def write_shards(records: DataFrame, path: str, length: int = LENGTH) -> None:
+def write_shards(records: DataFrame, path: str, length: int = LENGTH, mode: str = "errorifexists") -> None:
     """One folder shard=k for each shard, with one file of records in slot order, through Spark's own committer.
 
     ``records`` (slot, shard, doc_id, seq, n_tokens, tokens) may come in any order and partitioning: a range of shards
-    goes to one task, which sorts them by slot and writes each to one file. Behind its ids a record holds OF.
+    goes to one task, which sorts them by slot and writes each to one file; whole shards may be appended. Behind its ids a record holds OF.
     """
     ordered = records.select("slot", "shard", "doc_id", "seq", "n_tokens", "tokens").repartitionByRange(
         "shard").sortWithinPartitions("shard", "slot")
@@ -209,7 +235,8 @@ def write_shards(records: DataFrame, path: str, length: int = LENGTH) -> None:
     filled = F.concat(F.rpad("tokens", 2 * length, F.lit(END_OF_TEXT.to_bytes(2, "little"))),
                       *(F.unhex(F.lpad(F.hex(number), digits, "0")) for number, digits in numbers))
     lines = ordered.select("shard", filled.cast("string").alias("value"))
-    lines.write.partitionBy("shard").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
+    with shuffles_removed(records.sparkSession):
+        lines.write.mode(mode).partitionBy("shard").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
 
 
 def _records(spark: SparkSession, path: str, slot: int, length: int, shard: int) -> DataFrame:

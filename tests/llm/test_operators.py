@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from mailspark.llm import (chat, graph, language, mixing, partenum, quality, records, repeats, scoring, templates,
+from mailspark.llm import (chat, graph, language, mixing, partenum, quality, records, repeats, scoring, tables, templates,
                            wordpiece, words)
 from tests.llm import samples
 
@@ -188,6 +190,20 @@ def test_shards_are_whole_however_the_records_come(spark, docs, tmp_path):
         records.read_shards(spark, path, 0, 64, 50)
 
 
+def test_shards_in_portions(spark, docs, tmp_path, monkeypatch):
+    """Portion by portion the same shards come out as at once; a portion's runs go as its shards are there."""
+    names = ("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens")
+    want = got(records.in_training_order(docs, length=64, shard=50), *names)
+    monkeypatch.setattr(records, "PORTION_SHARDS", 2)
+    monkeypatch.setattr(records, "PORTIONS", 3)
+    parts, gone, write, remove = [], [], records.write_shards, records.removed
+    monkeypatch.setattr(records, "write_shards", lambda rows, *a: (parts.append({r.shard for r in rows.select("shard").distinct().collect()}), write(rows, *a)))
+    monkeypatch.setattr(records, "removed", lambda spark, path: (gone.append(path), remove(spark, path)))
+    assert got(records.written(docs, str(tmp_path / "shards"), length=64, shard=50), *names) == want
+    assert len(parts) == 3 and sorted(s for p in parts for s in p) == sorted({r[1] for r in want})
+    assert len(gone) == 4 and not any(os.path.exists(path.removeprefix("file:")) for path in gone)
+
+
 def test_long_texts_encode_as_a_whole(monkeypatch):
     with open(records.VOCABULARY, "rb") as file:
         encoder = records._encoder(file.read())
