@@ -1,9 +1,10 @@
 """Similarity join of word-shingle sets by signatures of single parts, exact for every threshold.
 
 Two sets of about equal size whose Jaccard similarity reaches the threshold differ in few elements only. The feature
-domain is cut into parts; with more parts than there can be differences, some parts are equal, and sets that share a
-signature (one equal part) are compared. This is partition-and-enumerate in its degenerate form, plain pigeonhole
-partitioning: there is no second level, and no subsets of parts are enumerated, so signatures are less selective.
+domain is cut into parts; with more parts than there can be differences, some parts are equal, and sets that share
+enough signatures (equal parts) are compared. This is partition-and-enumerate in its degenerate form, plain pigeonhole
+partitioning: there is no second level, and no subsets of parts are enumerated. What a single part lacks in selectivity
+is made up for by numbers: there are more parts than needed, so linked sets share several.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mailspark.llm.graph import components
 from mailspark.llm.tables import read, stored
-from mailspark.llm.words import Chunk, chunks, mixed, signed, unsigned, window_keys
+from mailspark.llm.words import Chunk, chunks, lists, mixed, signed, unsigned, window_keys
 
 #: Sizes of one band differ by this factor at most.
 BAND = 1.5
-#: Groups of so many rows that share a signature are compared pair by pair.
+#: Parts beyond those that must be there, for each of the elements in which linked sets may differ.
+MORE = 0.15
+#: Groups of so many sets that share a signature are compared pair by pair.
 FEW = 8
 #: Groups of more rows that share an element are compared with one member first.
 LARGE = 1024
@@ -36,6 +39,8 @@ class Bands:
     Sets of a band of sizes up to r that reach ``percent`` differ in k elements at most. Of n > k parts at least n - k
     are equal, and each part alone is signed. ``spare`` is n - k - 1: as many parts may be empty in a set without being
     signed, as one more part that is not empty is then equal. Only a set with more empty parts signs these, too.
+    So a set with e empty parts shares spare + 1 - e signatures of the band at least with each set that it is linked
+    with (one, if it signs empty parts), the band being that of the larger one.
     """
 
     def __init__(self, percent: int, largest: int):
@@ -51,7 +56,7 @@ class Bands:
             parts = k + 1
             for _ in range(3):
                 empty = parts * math.exp(-low / parts)
-                parts = min(2 * (k + 1), k + 1 + max(0, math.ceil(empty + 2 * math.sqrt(empty) - 0.5)))
+                parts = min(2 * (k + 1), k + 1 + max(0, math.ceil(empty + 2 * math.sqrt(empty) - 0.5)) + math.ceil(MORE * k))
             self.parts[i] = 2 * ((parts + 1) // 2)
             self.spare[i] = self.parts[i] - k - 1
 
@@ -83,8 +88,9 @@ def _set_keys(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signatures(row: np.ndarray, key: np.ndarray, size: np.ndarray, band: np.ndarray, bands: Bands, which: np.ndarray
-                ) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature of the sets of the rows ``which`` as members of the given band of each."""
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and signature, by row, of the sets of the rows ``which`` as members of the given band of each; how many of
+    them each row shares with whatever it is linked with."""
     parts = np.where(which, bands.parts[band], 0)
     at = np.concatenate([[0], np.cumsum(parts)])
     mine = which[row]
@@ -99,13 +105,29 @@ def _signatures(row: np.ndarray, key: np.ndarray, size: np.ndarray, band: np.nda
         sign = mixed(sums + mixed(label ^ _SIGN))
     empty = np.bincount(owner[~filled], minlength=len(size))
     signed_ = filled | (empty > bands.spare[band])[owner]
-    return owner[signed_], sign[signed_]
+    return owner[signed_], sign[signed_], np.maximum(bands.spare[band] - empty, 0) + 1
+
+
+def set_keys(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, f (a 64-bit key of the set, null for an empty one) of every row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch["text"], lower=True):
+                row, key = shingle_sets(chunk, n)
+                size = np.bincount(row, minlength=chunk.rows)
+                yield pa.record_batch([
+                    batch["doc_id"].slice(chunk.first, chunk.rows), pa.array(size),
+                    pa.array(signed(_set_keys(row, key, chunk.rows)), mask=size == 0)], names=["doc_id", "n_shingles", "f"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, f long")
 
 
 def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, f (a 64-bit key of the set, null for an empty one), signs of every row of ``docs``.
+    """doc_id, f (as in set_keys()), bands (band, need, signs) of every row of ``docs``.
 
-    A set signs its own band, and every higher one of which a set can reach the threshold with it.
+    A set signs its own band, and every higher one of which a set can reach the threshold with it. It shares ``need``
+    of a band's signatures at least with any set of this band that it is linked with and that is not smaller.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,22 +139,25 @@ def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(size) and size.max() >= bands.low[-1]:
                     bands = Bands(percent, int(size.max()) * 2)
                 band = np.maximum(np.searchsorted(bands.low, size, "right") - 1, 0)
-                found, upper, near = [], band, size > 0
+                found, upper, near = [(np.zeros(0, np.int64),) * 6], band, size > 0
                 while near.any():
-                    found.append(_signatures(row, key, size, upper, bands, near))
+                    rows, signs, need = _signatures(row, key, size, upper, bands, near)
+                    mine = np.flatnonzero(near)
+                    found.append((rows, signs.view(np.int64), mine, upper[mine], need[mine], np.bincount(rows, minlength=chunk.rows)[mine]))
                     last, upper = upper, np.minimum(upper + 1, len(bands.low) - 1)
-                    near &= (upper > last) & (100 * size >= percent * bands.low[upper])
-                rows = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
-                signs = np.concatenate([np.zeros(0, np.uint64), *(f[1] for f in found)])
-                order = np.argsort(rows, kind="stable")
-                at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=chunk.rows))]).astype(np.int32)
+                    near = near & (upper > last) & (100 * size >= percent * bands.low[upper])
+                rows, signs, mine, which, need, counts = map(np.concatenate, zip(*found))
+                order = np.argsort(mine, kind="stable")
+                entries = pa.StructArray.from_arrays([
+                    pa.array(which[order].astype(np.int32)), pa.array(need[order].astype(np.int32)),
+                    lists(signs[np.argsort(rows, kind="stable")], counts[order])], ["band", "need", "signs"])
+                at = np.concatenate([[0], np.cumsum(np.bincount(mine, minlength=chunk.rows))]).astype(np.int32)
                 yield pa.record_batch([
-                    batch["doc_id"].slice(chunk.first, chunk.rows), pa.array(size),
+                    batch["doc_id"].slice(chunk.first, chunk.rows),
                     pa.array(signed(_set_keys(row, key, chunk.rows)), mask=size == 0),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(signed(signs[order])))],
-                    names=["doc_id", "n_shingles", "f", "signs"])
+                    pa.ListArray.from_arrays(pa.array(at), entries)], names=["doc_id", "f", "bands"])
 
-    schema = "doc_id long, n_shingles long, f long, signs array<long>"
+    schema = "doc_id long, f long, bands array<struct<band int, need int, signs array<long>>>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -200,18 +225,35 @@ def _held(rows: DataFrame, by: list[str]) -> DataFrame:
         F.min(F.when(F.col("free"), F.col("x"))).alias("q")).where("low < high AND q IS NOT NULL").drop("low", "high")
 
 
+def _shared(found: DataFrame) -> DataFrame:
+    """sign, x, band, need: the signatures that different sets share, of sets that share as many as a link needs.
+
+    A set whose shared signatures of a band are fewer than its ``need`` is linked with none there and goes.
+    """
+    by_sign = Window.partitionBy("sign")
+    rows = found.select(F.col("f").alias("x"), F.inline("bands")).select(F.explode("signs").alias("sign"), "x", "band", "need")
+    rows = rows.withColumns({"low": F.min("x").over(by_sign), "high": F.max("x").over(by_sign)}).where("low < high")
+    rows = stored(rows.select("sign", "x", "band", "need").distinct(), "groups")  # rows with equal sets are one
+    enough = rows.groupBy("x", "band").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("need")).where("has >= need")
+    return rows.join(enough.select("x", "band"), ["x", "band"])
+
+
 def _first_pairs(found: DataFrame) -> DataFrame:
-    """p, x, many: what to compare of sets that share a signature: all pairs of a group of FEW rows at most, and one
-    set of a larger group with all others (``many``: the others among each other are still to come).
+    """p, x, many: what to compare of sets that share signatures: pairs of a group of FEW sets at most, and one set of
+    a larger group with all others (``many``: the others among each other are still to come).
 
-    That one is the set that stands in most of the larger groups: the text that the others were made from, if there
+    Pairs of small groups have to share enough signatures, all those in larger groups given them for free. The one
+    set of a larger group is the set that stands in most of them: the text that the others were made from, if there
     is one, shares signatures with all of them.
     """
-    rows = found.select(F.col("f").alias("x"), F.explode("signs").alias("sign"), F.lit(True).alias("free"))
-    rows = stored(rows.join(_held(rows, ["sign"]).drop("q").hint("shuffle_hash"), "sign"), "groups")
-    small = rows.where(F.col("n") <= FEW).select("sign", "x")
-    pairs = small.join(small.withColumnRenamed("x", "p"), "sign").where("p < x").select("p", "x", F.lit(False).alias("many"))
-    large = rows.where(F.col("n") > FEW).select("sign", "x").distinct()  # rows with equal sets are one
+    rows = _shared(found).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sign")))
+    rows = stored(rows.withColumn("free", F.count_if(F.col("n") > FEW).over(Window.partitionBy("x", "band"))), "groups")
+    small = rows.where(F.col("n") <= FEW).drop("n")
+    other = small.select("sign", F.col("x").alias("p"), F.col("need").alias("need_p"), F.col("free").alias("free_p"))
+    pairs = small.join(other, "sign").where("p < x").groupBy("p", "x", "band").agg(
+        (F.count(F.lit(1)) + F.least(F.max("free"), F.max("free_p"))).alias("has"),
+        F.greatest(F.max("need"), F.max("need_p")).alias("need")).where("has >= need").select("p", "x", F.lit(False).alias("many"))
+    large = rows.where(F.col("n") > FEW).select("sign", "x")
     weight = large.groupBy("x").agg(F.count(F.lit(1)).alias("groups"))
     heads = large.join(weight, "x").groupBy("sign").agg(F.max(F.struct("groups", "x"))["x"].alias("p"))
     large = large.join(heads, "sign").where("x <> p").select("p", "x", F.lit(True).alias("many"))
@@ -246,15 +288,16 @@ def _next_pairs(verdicts: DataFrame, percent: int) -> DataFrame:
     return pairs.unionByName(large).groupBy("p", "x").agg(F.max("many").alias("many"))
 
 
-def links(found: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links between set keys that connect exactly what all links between different sets connect.
+def links(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: links between set keys that connect exactly what all links between different sets connect. ``found``: the
+    set_keys() of ``docs``. Signatures are many times larger: they are shuffled as they are made, and not stored.
 
     Sets of one signature are compared with one of them only, but for small groups. What is not linked with that one
     is dealt into groups by the elements in which it differs from it; these groups are small and filtered by what
     their members can have in common, or dealt again in the same way. So no group is compared all against all
     because it is large, and no pair is passed over.
     """
-    pairs = stored(_first_pairs(found), "pairs")
+    pairs = stored(_first_pairs(signed_sets(docs, n, percent)), "pairs")
     members = pairs.select(F.col("p").alias("f")).unionByName(pairs.select(F.col("x").alias("f"))).distinct()
     holders = found.join(members, "f").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(_sets(docs.join(holders, "doc_id").select("f", "text"), n), "sets")
@@ -277,9 +320,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     only through links. A row with a null doc_id is linked with nothing and keeps null.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = stored(signed_sets(docs, n, percent), "signed")
-    roots = components(links(found.where("doc_id IS NOT NULL"), docs, n, percent))
-    rooted = found.drop("signs").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn(
+    found = stored(set_keys(docs, n), "keys")
+    roots = components(links(docs.where("doc_id IS NOT NULL"), found.where("doc_id IS NOT NULL"), n, percent))
+    rooted = found.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn(
         "root", F.coalesce("root", "f"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))

@@ -311,6 +311,31 @@ def test_links_over_several_bands(spark, percent, few, many):
     assert got(found, "doc_id", "component_id") == [(0, 0), (1, 0)]
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_texts_that_only_share_a_passage_are_not_compared(spark, n, percent):
+    """A passage makes some parts equal, a link needs more of them; a near copy has them."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join([word() for _ in range(200)] + passage + [word() for _ in range(200)]), None, None, None, None, None) for k in range(60)]
+    rows.append((100, f"{rows[7][1]} end", None, None, None, None, None))
+    found = partenum.signed_sets(samples.frame(spark, rows), n, percent)
+    f = {r.doc_id: r.f for r in found.collect()}
+    pairs = {(r.p, r.x) for r in partenum._first_pairs(found).collect()}
+    assert pairs == {(min(f[7], f[100]), max(f[7], f[100]))}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    left = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before, setting = left(), spark.conf.get(tables.CLEANUP)
+    assert tables.stored(spark.range(1000).repartition(5, "id"), "dealt").count() == 1000
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before and spark.conf.get(tables.CLEANUP) == setting
+
+
 def test_one_of_each_group_stays(docs, nothing):
     kept = partenum.one_of_each(docs)
     heads = {c for _, _, c in samples.components(ROWS, 5, 80) if c is not None}
