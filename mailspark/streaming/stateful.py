@@ -1,6 +1,7 @@
 """Streams that keep state: arrivals decided against what is known, timed release, audit on two time axes, sessions, joins.
 
-Keyed state lives in RocksDB beside the checkpoint, so a micro-batch costs as much as its own rows, whatever is stored.
+Keyed state lives in RocksDB beside the checkpoint, so a micro-batch costs as much as its own rows, whatever is stored
+(in timed_release: as its own rows and the items that are held in their buckets).
 """
 
 from __future__ import annotations
@@ -138,53 +139,79 @@ def decided(arrivals: DataFrame, verdicts: DataFrame) -> DataFrame:
 RELEASED = "queue_id long, state string, at timestamp"
 
 
+#: Items are kept in so many buckets by the hash of their id; those without an id in one of their own.
+BUCKETS = 4096
+NO_ID = -1
+#: Stands for a time that is not known.
+NEVER = 1 << 62
+ITEM = ["queue_id", "due", "withdrawn", "told", "wake"]
+
+
 class _Release(StatefulProcessor):
-    """State of one item: when it is due, when it was withdrawn, and whether its end has been told."""
+    """State of a bucket of items: when each is due, when it was withdrawn, whether its end has been told, and when
+    (in milliseconds) it is to be looked at again. One timer wakes the bucket for the first of them."""
 
     def __init__(self, remember_ms: int):
         self.remember_ms = remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", "due long, withdrawn long, told boolean")
-
-    def _timer(self, at: int | None) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if at is not None:
-            self.handle.registerTimer(at)
-
-    def _ends(self, key, state: str, at: int, now: int):
-        self.item.update((at, None, True))  # remembered for a while, so that a repeat does not start it again
-        self._timer(max(at, now, 0) + self.remember_ms)
-        yield pd.DataFrame({"queue_id": [key[0]], "state": [state], "at": pd.to_datetime([at], unit="us", utc=True)})
+        self.items = handle.getListState("item", "queue_id long, due long, withdrawn long, told boolean, wake long")
+
+    def _held(self) -> pd.DataFrame:
+        held = list(self.items.get()) if self.items.exists() else []
+        return pd.DataFrame(held, columns=ITEM).astype({c: bool if c == "told" else "int64" for c in ITEM})
+
+    def _keep(self, items: pd.DataFrame) -> None:
+        first = [int(items.wake.min())] if len(items) else []
+        if len(items):
+            self.items.put(list(zip(*(items[c].tolist() for c in ITEM))))
+        else:
+            self.items.clear()
+        timers = list(self.handle.listTimers())
+        for old in timers:
+            if old not in first:
+                self.handle.deleteTimer(old)
+        for at in first:
+            if at not in timers:
+                self.handle.registerTimer(at)
+
+    def _end(self, key, items: pd.DataFrame, ends: pd.Series, state: str, at: str, now: int) -> pd.DataFrame:
+        """Marks items as told, to be remembered for a while, so that a repeat does not start them again."""
+        items.loc[ends, "told"] = True
+        items.loc[ends, "wake"] = (items[at] // 1000).clip(lower=max(now, 0)) + self.remember_ms
+        ended = items[ends]
+        return pd.DataFrame({"queue_id": pd.array([None] * len(ended) if key[0] == NO_ID else ended.queue_id, "Int64"),
+                             "state": state, "at": pd.to_datetime(ended[at].to_numpy(), unit="us", utc=True)})
 
     def handleInputRows(self, key, rows, timerValues):
-        due, withdrawn, told = self.item.get() if self.item.exists() else (None, None, False)
-        if told:
-            return
-        old = due
+        parts = [self._held()]
         for frame in rows:
-            for op, at in zip(frame.op, frame.at_us):
-                if op == "queue":
-                    due = int(at) if due is None else min(due, int(at))
-                else:
-                    withdrawn = int(at) if withdrawn is None else min(withdrawn, int(at))
-        if due is not None and withdrawn is not None and withdrawn < due:
-            yield from self._ends(key, "cancelled", withdrawn, timerValues.getCurrentWatermarkInMs())
-            return
-        self.item.update((due, withdrawn, False))
-        if due is not None and due != old:
-            self._timer(-(-due // 1000))  # timers count whole milliseconds; never before it is due
-        elif due is None:
-            self._timer(withdrawn // 1000 + self.remember_ms)
+            queued, at = frame.op == "queue", frame.at_us.astype("int64")
+            parts.append(pd.DataFrame({"queue_id": frame.queue_id, "due": at.where(queued, NEVER),
+                                       "withdrawn": at.where(~queued, NEVER), "told": False, "wake": NEVER}))
+        known = parts[0].queue_id[parts[0].told]
+        new = pd.concat(parts[1:])
+        items = pd.concat([parts[0], new[~new.queue_id.isin(known)]]).groupby("queue_id", as_index=False).agg(
+            {"due": "min", "withdrawn": "min", "told": "max", "wake": "min"})
+        waits = ~items.told
+        due = -(-items.due // 1000)  # timers count whole milliseconds; never before it is due
+        items.loc[waits, "wake"] = due.where(items.due < NEVER, items.withdrawn // 1000 + self.remember_ms)
+        ends = waits & (items.due < NEVER) & (items.withdrawn < items.due)
+        out = self._end(key, items, ends, "cancelled", "withdrawn", timerValues.getCurrentWatermarkInMs())
+        self._keep(items)
+        if len(out):
+            yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due, _, told = self.item.get()
-        if told or due is None:
-            self.item.clear()
-            return
-        yield from self._ends(key, "dispatched", due, timerValues.getCurrentWatermarkInMs())
+        items, now = self._held(), timerValues.getCurrentWatermarkInMs()
+        waits = ~items.told & (items.due < NEVER)
+        items = items[waits | (items.wake >= now)].reset_index(drop=True)
+        ends = ~items.told & (items.due < NEVER) & (items.wake < now)
+        out = self._end(key, items, ends, "dispatched", "due", now)
+        self._keep(items)
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
@@ -196,18 +223,24 @@ def timed_release(operations: DataFrame, lateness: str = "0 seconds", remember_h
     operations: a stream of queue_id, op (queue, cancel), at (when to release, when withdrawn), ts (event time). An
     item is released when event time, less ``lateness``, passes the first time it was queued for, and leaves the state;
     a cancel for an earlier time removes it before. Each item ends once; it may be queued anew ``remember_hours`` after
-    its end. A cancel without an item is forgotten as late.
+    its end. A cancel without an item is forgotten as late. An operation without ``at`` says nothing.
+
+    Items of one bucket are worked on together, as arrays: a micro-batch reads and writes the items that are held in the
+    BUCKETS its rows fall in, not one item at a time.
     """
-    ops = operations.withWatermark("ts", lateness).select("queue_id", "op", F.unix_micros("at").alias("at_us"), "ts")
-    return ops.groupBy("queue_id").transformWithStateInPandas(
+    bucket = F.when(F.col("queue_id").isNull(), F.lit(NO_ID)).otherwise(F.pmod(F.xxhash64("queue_id"), F.lit(BUCKETS)).cast("int"))
+    ops = operations.withWatermark("ts", lateness).where(F.col("at").isNotNull()).select(
+        bucket.alias("bucket"), F.coalesce("queue_id", F.lit(0)).cast("long").alias("queue_id"), "op", F.unix_micros("at").alias("at_us"), "ts")
+    return ops.groupBy("bucket").transformWithStateInPandas(
         _Release(remember_hours * 3_600_000), RELEASED, "append", "eventtime")
 
 
 def still_queued(spark: SparkSession, checkpoint: str) -> DataFrame:
     """queue_id, at of the items that wait in the state of a timed_release stream, read from its state store."""
     state = (spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "item").load()
-             .select("key.*", "value.*"))
-    return state.where("not told and due is not null").select("queue_id", F.timestamp_micros("due").alias("at"))
+             .select("key.bucket", "list_element.*"))
+    return state.where(~F.col("told") & (F.col("due") < NEVER)).select(
+        F.when(F.col("bucket") != NO_ID, F.col("queue_id")).alias("queue_id"), F.timestamp_micros("due").alias("at"))
 
 
 # --- audit on two time axes ------------------------------------------------------------------------------------

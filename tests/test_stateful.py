@@ -126,6 +126,39 @@ def test_release_waits_for_late_cancels(spark, tmp_path):
     assert run() == [(1, "cancelled"), (2, "dispatched")]
 
 
+def test_release_forgets_after_the_time_to_remember(spark, tmp_path, monkeypatch):
+    """Items of one bucket side by side: an ended item is remembered for an hour, not longer; then it may start anew."""
+    monkeypatch.setattr(sf, "BUCKETS", 1, raising=False)
+    start = datetime(2026, 1, 1)
+    at = lambda m: start + timedelta(minutes=m)
+    feed = Feed(spark, tmp_path, "queue_id long, op string, at timestamp, ts timestamp")
+    run = lambda: [(r["queue_id"], r["state"], r["at"]) for r in rows(feed.run(sf.timed_release(feed.stream(), remember_hours=1)), "at")]
+    feed.put([(1, "queue", at(10), at(0)), (2, "queue", at(9), at(0)), (2, "cancel", at(5), at(5)), (3, "cancel", at(6), at(6)),
+              (None, "queue", at(11), at(7)), (4, None, None, at(8)), (5, "queue", at(900), at(20))])
+    first = [(2, "cancelled", at(5)), (1, "dispatched", at(10)), (None, "dispatched", at(11))]
+    assert run() == first
+    feed.put([(1, "queue", at(40), at(30)), (2, "queue", at(40), at(31)), (7, "queue", at(2000), at(60))])
+    assert run() == first  # both still remembered
+    feed.put([(8, "queue", at(2000), at(200))])
+    assert run() == first
+    feed.put([(1, "queue", at(230), at(220)), (2, "queue", at(231), at(220)), (3, "queue", at(232), at(220)), (9, "queue", at(2000), at(300))])
+    assert run() == first + [(1, "dispatched", at(230)), (2, "dispatched", at(231)), (3, "dispatched", at(232))]
+    assert {r["queue_id"] for r in rows(sf.still_queued(spark, f"{feed.path}/log"))} == {5, 7, 8, 9}
+
+
+def test_release_keeps_items_by_bucket(spark, tmp_path, monkeypatch):
+    """A thousand items are few states, not a thousand."""
+    monkeypatch.setattr(sf, "BUCKETS", 8, raising=False)
+    start = datetime(2026, 1, 1)
+    feed = Feed(spark, tmp_path, "queue_id long, op string, at timestamp, ts timestamp")
+    feed.put([(k, "queue", start + timedelta(minutes=k + 5000), start) for k in range(1000)])
+    feed.run(sf.timed_release(feed.stream()))
+    state = spark.read.format("statestore").option("path", f"{feed.path}/log").option("stateVarName", "item").load()
+    assert state.count() == 1000 and state.select("key").distinct().count() == 8
+    assert rows(sf.still_queued(spark, f"{feed.path}/log"), "queue_id") == [
+        {"queue_id": k, "at": start + timedelta(minutes=k + 5000)} for k in range(1000)]
+
+
 def test_audit_counts_a_late_fetch_once_in_its_window(spark, tmp_path):
     day = lambda d, h=0: datetime(2026, 1, d, h)
     feed = Feed(spark, tmp_path, "id long, received_at timestamp, fetched_at timestamp, bad boolean")
