@@ -14,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailspark.llm.tables import read, removed, shared_path, shuffles_removed
 from mailspark.llm.words import mixed
@@ -240,36 +240,32 @@ def write_shards(records: DataFrame, path: str, length: int = LENGTH, mode: str
 
 
 def _records(spark: SparkSession, path: str, slot: int, length: int, shard: int) -> DataFrame:
-    """slot, doc_id, seq, n_tokens, record (bytes of all its ids) from ``slot`` on. A shard in more than one file is an error, as its slots
-    could not be told."""
+    """slot, doc_id, seq, n_tokens, record (bytes of all its ids) from ``slot`` on. A shard in more than one file is an
+    error, as its slots could not be told, and so is a file that ends inside a record.
+
+    Spark cuts the records out of a file's bytes itself, so that a shard is never handed to Python as one value.
+    """
     size = stride(length)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
         path).withColumn("shard", F.regexp_extract("path", r"shard=(\d+)", 1).cast("long"))
     files = files.where((F.col("shard") >= slot // shard) & F.col("path").rlike(r"/part-[^/]*$"))
-    cut = files.groupBy("shard").count().where("count > 1").agg(F.min("shard")).first()[0]
+    cut = files.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("length") % size).alias("rest"))
+    cut = cut.where("n > 1 OR rest > 0").agg(F.min("shard")).first()[0]
     if cut is not None:
-        raise ValueError(f"shard {cut} below {path} lies in more than one file")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, content in zip(batch["shard"].to_pylist(), batch["content"]):
-                table = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, size)
-                slots = np.arange(len(table)) + number * shard
-                for k in range(0, len(table), 1024):
-                    keep = slots[k:k + 1024] >= slot
-                    part = table[k:k + 1024][keep]
-                    rows = np.ascontiguousarray(part[:, :2 * length])
-                    ends = np.arange(0, rows.size + 1, 2 * length, dtype=np.int32)
-                    of = np.ascontiguousarray(part[:, 2 * length:-1]).view(OF)[:, 0]
-                    yield pa.record_batch([
-                        pa.array(slots[k:k + 1024][keep]),
-                        pa.array(of["doc_id"].astype(np.int64), mask=of["n_tokens"] >= NO_ID),
-                        pa.array(of["seq"].astype(np.int32)), pa.array((of["n_tokens"] % NO_ID).astype(np.int32)),
-                        pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])],
-                        names=["slot", "doc_id", "seq", "n_tokens", "record"])
-
-    return files.select("shard", "content").mapInArrow(
-        run, "slot long, doc_id long, seq int, n_tokens int, record binary")
+        raise ValueError(f"shard {cut} below {path} lies in more than one file or ends inside a record")
+
+    def number(at: int, digits: int) -> Column:
+        part = F.substring("content", F.col("at") * size + (at + 1), F.lit(digits))
+        return F.conv(F.hex(part), 16, -10).cast("long")
+
+    found = files.where("length > 0").select("shard", "content", F.explode(F.sequence(F.lit(0), (F.col("length") / size).cast("int") - 1)).alias("at"))
+    found = found.where(F.col("shard") * shard + F.col("at") >= slot)
+    given = number(2 * length + 12, 4)
+    return found.select(
+        (F.col("shard") * shard + F.col("at")).alias("slot"),
+        F.when(given < NO_ID, number(2 * length, 8)).alias("doc_id"), number(2 * length + 8, 4).cast("int").alias("seq"),
+        (given % NO_ID).cast("int").alias("n_tokens"),
+        F.substring("content", F.col("at") * size + 1, F.lit(2 * length)).alias("record"))
 
 
 def read_shards(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:

@@ -204,6 +204,21 @@ def test_shards_in_portions(spark, docs, tmp_path, monkeypatch):
     assert len(gone) == 4 and not any(os.path.exists(path.removeprefix("file:")) for path in gone)
 
 
+def test_shards_are_read_without_python(spark, docs, tmp_path, capsys):
+    """Records are cut out of the files by Spark; a file that ends inside a record is refused."""
+    path = str(tmp_path / "shards")
+    ends = spark.createDataFrame([(-1, "a"), (-1 << 63, "b"), ((1 << 63) - 1, "c")], "doc_id long, text string")
+    assert {r.doc_id for r in records.written(ends).collect()} == {-1, -1 << 63, (1 << 63) - 1}
+    out = records.written(docs, path, length=64, shard=50)
+    out.explain()
+    assert "Arrow" not in capsys.readouterr().out
+    assert {r.doc_id for r in out.collect()} >= {None, 0}
+    file = next((tmp_path / "shards" / "shard=1").glob("part-*"))
+    file.write_bytes(file.read_bytes()[:-1])
+    with pytest.raises(ValueError):
+        records.read_shards(spark, path, 0, 64, 50)
+
+
 def test_long_texts_encode_as_a_whole(monkeypatch):
     with open(records.VOCABULARY, "rb") as file:
         encoder = records._encoder(file.read())
