@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ BAND = 1.5
 MORE = 0.15
 #: Groups of so many sets that share a signature are compared pair by pair.
 FEW = 8
-#: Groups of more rows that share an element are compared with one member first.
+#: Groups of sets that share an element are compared with one member first if they have more pairs than half of this for each.
 LARGE = 1024
 _ROW = np.uint64(0xA24BAED4963EE407)
 _PART, _SUM, _SIGN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179), np.uint64(0x9B05688C2B3E6C1F)
@@ -179,6 +178,14 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("f", "text").mapInArrow(run, "f long, elements array<long>").dropDuplicates(["f"])
 
 
+def _rare_first(sets: DataFrame, some: DataFrame) -> DataFrame:
+    """``sets`` (f, elements), those of ``some`` (f) with their elements by (number of these sets that hold it, element)."""
+    rows = sets.join(some, "f").select("f", F.explode("elements").alias("e"))
+    rows = rows.join(rows.groupBy("e").agg(F.count(F.lit(1)).alias("n")), "e")
+    ordered = rows.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("n", "e")))["e"].alias("elements"))
+    return ordered.unionByName(sets.join(some, "f", "left_anti"))
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """linked, size, apart, prefix for each pair (p, x, many), both keys of sets.
 
@@ -186,7 +193,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     which one is not linked with p, have an element of D(x) and D(y) in common: d(x) + d(y) exceeds what x and y may
     differ in, as a set's size differs from p's by d at most. The common elements are d(x) - K(x) at least, with K(x)
     what x can differ in from any set it is linked with; so under one order of elements the first K(x) + 1 of each
-    hold one. Elements that p has not come first, as they are the rarer ones. ``prefix`` holds these where ``many``.
+    hold one. ``prefix`` holds these where ``many``. Elements that p has not come first, the rarest of them first (the
+    sets being ordered by _rare_first()), so that a set with more than K(x) elements of its own meets no other; then
+    come those that only p has, the most frequent first, which the fewest others are without.
     """
     of_x = sets.select(F.col("f").alias("x"), F.col("elements").alias("xs"))
     of_p = sets.select(F.col("f").alias("p"), F.col("elements").alias("ps"))
@@ -196,18 +205,19 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             linked, apart, prefixes = [], [], []
             xs, ps, many = batch["xs"], batch["ps"], batch["many"].to_pylist()
             for k in range(len(batch)):
-                x, p = unsigned(xs[k].values.to_numpy()), unsigned(ps[k].values.to_numpy())
-                common = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x
+                x, p = xs[k].values.to_numpy(), ps[k].values.to_numpy()
+                by_value = np.sort(p)
+                common = by_value[np.minimum(np.searchsorted(by_value, x), len(p) - 1)] == x
                 both = int(common.sum())
                 d = len(x) + len(p) - 2 * both
                 linked.append(100 * both >= percent * (len(x) + len(p) - both))
                 apart.append(d)
-                prefix = np.zeros(0, np.uint64)
+                prefix = np.zeros(0, np.int64)
                 if many[k]:
                     fresh, gone = x[~common], p[~np.isin(p, x, assume_unique=True)]
                     least = max(1, d - len(x) * (100 - percent) // percent)
-                    prefix = np.concatenate([np.sort(mixed(fresh)), np.sort(mixed(gone))])[:d - least + 1]
-                prefixes.append(signed(prefix))
+                    prefix = np.concatenate([fresh, gone[::-1]])[:d - least + 1]
+                prefixes.append(prefix)
             at = np.concatenate([[0], np.cumsum([len(v) for v in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.record_batch([
@@ -218,13 +228,6 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "p long, x long, linked boolean, size int, apart int, prefix array<long>")
 
 
-def _held(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Groups of rows (x, free) with two members, one of them free: their size and first free member q."""
-    return rows.groupBy(*by).agg(
-        F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"),
-        F.min(F.when(F.col("free"), F.col("x"))).alias("q")).where("low < high AND q IS NOT NULL").drop("low", "high")
-
-
 def _shared(found: DataFrame) -> DataFrame:
     """sign, x, band, need: the signatures that different sets share, of sets that share as many as a link needs.
 
@@ -260,53 +263,68 @@ def _first_pairs(found: DataFrame) -> DataFrame:
     return pairs.unionByName(large).groupBy("p", "x").agg(F.max("many").alias("many"))
 
 
-def _next_pairs(verdicts: DataFrame, percent: int) -> DataFrame:
+def _next_pairs(verdicts: DataFrame, roots: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """p, x, many: what to compare of sets that were compared with the same one, by elements in which both differ
-    from it.
-
-    Of two sets the one that differs less is y. D(x) and D(y) share t = (d(x) + d(y) - k) / 2 elements at least, k
-    being what sets of their sizes may differ in; as d(x) >= d(y), the first K(y) / 2 + 1 of y hold the first common
-    one, which stands at i in D(x) and j in D(y), and no more than min(d(x) - i, d(y) - j) can follow from there. In
-    a group of more than LARGE rows the first free set is compared with all others instead, and its group goes on.
+    from it, and that no links connect yet (``roots``: node, root).
+
+    D(x) and D(y) share t = (d(x) + d(y) - k) / 2 elements at least, k being what sets of their sizes may differ in.
+    Their first common one stands at i in D(x) and j in D(y), and no more than min(d(x) - i, d(y) - j) can follow from
+    there; so i is (d(x) - d(y) + K(x)) / 2 at most. Of a group the sets outside its largest component are compared with all others. Where these are too many,
+    for more than LARGE / 2 pairs a set, one set is compared with all others instead, and its group goes on: of the
+    largest component the one that differs least from the set before. It has never been such a set (``hubs``: p), so
+    groups are not passed on in a circle; a group of former ones only is compared pair by pair.
     """
-    rows = verdicts.select("x", F.col("p").alias("of"), (~F.col("linked")).alias("free"), "size", "apart",
-                           F.posexplode("prefix").alias("at", "e"))
     by = ["of", "e"]
-    rows = stored(rows.join(_held(rows, by), by), "groups")
-    small = rows.where(F.col("n") <= LARGE)
+    rows = verdicts.join(roots.withColumnRenamed("node", "x"), "x", "left").join(
+        hubs.select(F.col("p").alias("x"), F.lit(True).alias("was")), "x", "left").select(
+        "x", F.coalesce("root", "x").alias("root"), F.col("was").isNull().alias("new"), F.col("p").alias("of"), "size", "apart",
+        F.posexplode("prefix").alias("at", "e"))
+    first = lambda order: F.min(F.when(F.col("new"), F.struct(*order)))
+    parts = rows.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("low"), first(["apart", "x"]).alias("best"))
+    groups = parts.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("components"), F.min("low").alias("low"),
+        F.max(F.struct("n", "root")).alias("most"), F.max(F.when(F.col("best").isNotNull(), F.struct("n", "root", "best"))).alias("next"))
+    large = (F.col("n") * F.col("n") - F.col("squares") > LARGE * F.col("n")) & F.col("next").isNotNull()
+    groups = groups.where("components > 1").select(
+        *by, "low", F.col("most.root").alias("main"), F.when(large, F.col("next.best.x")).alias("q"))
     own = F.floor(F.col("size") * (100 - percent) / percent)
-    least = F.greatest(F.lit(1), F.ceil((2 * F.col("apart") - own) / 2))
-    y = small.where(F.col("at") < F.col("apart") - least + 1).select(
-        *by, *[F.col(c).alias(f"{c}_y") for c in ("x", "free", "size", "apart", "at")])
+    rows = stored(rows.drop("new").join(groups, by).where(F.col("q").isNotNull() | (2 * F.col("at") <= F.col("apart") - F.col("low") + own)), "groups")
+    small = rows.where("q IS NULL")
+    y = small.select(*by, *[F.col(c).alias(f"{c}_y") for c in ("x", "root", "size", "apart", "at")])
     may = F.floor((100 - percent) * (F.col("size") + F.col("size_y")) / (100 + percent))
-    pairs = small.join(y, by).where(
-        ((F.col("apart_y") < F.col("apart")) | ((F.col("apart_y") == F.col("apart")) & (F.col("x_y") < F.col("x"))))
-        & (F.col("free") | F.col("free_y"))
+    pairs = small.where("root <> main").join(y, by).where(
+        (F.col("root") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("x_y") < F.col("x")))
+        & (100 * F.least("size", "size_y") >= percent * F.greatest("size", "size_y"))
         & (2 * F.least(F.col("apart") - F.col("at"), F.col("apart_y") - F.col("at_y")) >= F.col("apart") + F.col("apart_y") - may))
     pairs = pairs.select(F.least("x", "x_y").alias("p"), F.greatest("x", "x_y").alias("x"), F.lit(False).alias("many"))
-    large = rows.where((F.col("n") > LARGE) & (F.col("x") != F.col("q"))).select(F.col("q").alias("p"), "x", F.lit(True).alias("many"))
+    large = rows.where("x <> q").select(F.col("q").alias("p"), "x", F.lit(True).alias("many"))
     return pairs.unionByName(large).groupBy("p", "x").agg(F.max("many").alias("many"))
 
 
-def links(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links between set keys that connect exactly what all links between different sets connect. ``found``: the
-    set_keys() of ``docs``. Signatures are many times larger: they are shuffled as they are made, and not stored.
+def connected(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, root: the components() that all links between different sets make of set keys. ``found``: the set_keys()
+    of ``docs``. Signatures are many times larger: they are shuffled as they are made, and not stored.
 
     Sets of one signature are compared with one of them only, but for small groups. What is not linked with that one
     is dealt into groups by the elements in which it differs from it; these groups are small and filtered by what
-    their members can have in common, or dealt again in the same way. So no group is compared all against all
-    because it is large, and no pair is passed over.
+    their members can have in common, or dealt again in the same way. After each round only sets that links do not
+    connect yet are compared. So no group is compared all against all because it is large, and no pair is passed over
+    that would connect anything.
     """
     pairs = stored(_first_pairs(signed_sets(docs, n, percent)), "pairs")
-    members = pairs.select(F.col("p").alias("f")).unionByName(pairs.select(F.col("x").alias("f"))).distinct()
-    holders = found.join(members, "f").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
+    ends = lambda of: of.select(F.col("p").alias("f")).unionByName(of.select(F.col("x").alias("f"))).distinct()
+    holders = found.join(ends(pairs), "f").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(_sets(docs.join(holders, "doc_id").select("f", "text"), n), "sets")
-    linked = []
-    while not linked or not pairs.isEmpty():
+    sets = stored(_rare_first(sets, ends(pairs.where("many"))), "sets")
+    roots = hubs = None
+    while roots is None or not pairs.isEmpty():
         verdicts = stored(_compared(pairs, sets, percent), "verdicts")
-        linked.append(verdicts.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b")))
-        pairs = stored(_next_pairs(verdicts, percent), "pairs")
-    return reduce(DataFrame.unionByName, linked)
+        links = verdicts.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        roots = components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        used = pairs.where("many").select("p").distinct()
+        hubs = stored(used if hubs is None else hubs.unionByName(used), "hubs")
+        pairs = stored(_next_pairs(verdicts, roots, hubs, percent), "pairs")
+    return roots
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -321,7 +339,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = stored(set_keys(docs, n), "keys")
-    roots = components(links(docs.where("doc_id IS NOT NULL"), found.where("doc_id IS NOT NULL"), n, percent))
+    roots = connected(docs.where("doc_id IS NOT NULL"), found.where("doc_id IS NOT NULL"), n, percent)
     rooted = found.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn(
         "root", F.coalesce("root", "f"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))

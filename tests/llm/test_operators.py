@@ -340,6 +340,33 @@ def test_texts_that_only_share_a_passage_are_not_compared(spark, n, percent):
     assert pairs == {(min(f[7], f[100]), max(f[7], f[100]))}
 
 
+def test_comparisons_follow_the_number_of_sets(spark, monkeypatch):
+    """Near copies of a text that is not there itself, and texts that share a passage and a line: few comparisons for
+    each set, in few rounds, and the same components as all pairs give."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+    base, passage, line = ([word() for _ in range(n)] for n in (100, 50, 12))
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 1, 1, 2])):
+            copy[at] = word()
+        texts.append(copy)
+    texts += [[word() for _ in range(38)] + passage + line for _ in range(150)]
+    rows = [(k, " ".join(text), None, None, None, None, None) for k, text in enumerate(texts)]
+    made, compared = [], partenum._compared
+
+    def counting(pairs, sets, percent):
+        made.append(pairs.count())
+        assert len(made) < 8 and sum(made) < 12 * len(rows), made
+        return compared(pairs, sets, percent)
+
+    monkeypatch.setattr(partenum, "LARGE", 64)
+    monkeypatch.setattr(partenum, "_compared", counting)
+    found = partenum.near_duplicates(samples.frame(spark, rows), 5, 80)
+    assert got(found, "doc_id", "n_shingles", "component_id") == samples.components(rows, 5, 80)
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     left = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
     before, setting = left(), spark.conf.get(tables.CLEANUP)
