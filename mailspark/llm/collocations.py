@@ -143,13 +143,13 @@ class Shard:
         here = np.bincount(lang, minlength=len(self.names))
         all_ = np.array([max(totals.get(n, 0), 1) for n in self.names])
         least = np.array([max(1, -(-support * int(w) // int(n))) for w, n in zip(here, all_)])
-        at, number, out = np.arange(len(key)), key, []
+        at, number, out = np.arange(len(key), dtype=np.int32), key, []
         for m in range(1, longest + 1):
             number, first, n = _numbered(number)
             kept = n >= least[lang[at[first]]]
             out.append((np.full(kept.sum(), m), at[first[kept]], n[kept]))
             stay = kept[number]
-            at, number = at[stay], (np.cumsum(kept) - 1)[number[stay]]
+            at, number = at[stay], np.cumsum(kept, dtype=np.int32)[number[stay]] - np.int32(1)
             if m == longest or len(at) < 2:
                 break
             follows = np.flatnonzero((at[1:] == at[:-1] + 1) & joined[at[:-1] + m])
@@ -169,15 +169,18 @@ class Shard:
 
 
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A dense number of each value, one place of each distinct value, and how often it occurs."""
-    order = np.argsort(values)
+    """A dense number of each value, one place of each distinct value, and how often it occurs; in 32 bits, and nothing
+    is kept longer than needed, as this is what most of a task's memory goes to."""
+    order = np.argsort(values).astype(np.int32)
     values = values[order]
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
-    number = np.empty(len(values), np.int64)
-    number[order] = np.cumsum(new) - 1
+    del values
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32)
+    number -= 1
     start = np.flatnonzero(new)
-    return number, order[start], np.diff(np.append(start, len(values)))
+    return number, order[start], np.diff(np.append(start, len(order)))
 
 
 def _keys(key: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
@@ -248,6 +251,8 @@ def mined(docs: DataFrame, totals: DataFrame, support: int, longest: int = LONGE
                     yield from (packed(*x) for x in held.mined(full, known, support, longest))
         if held.size:
             yield from (packed(*x) for x in held.mined(held.held, known, support, longest))
+        del held
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside those of other tasks
 
     return docs.mapInArrow(run, "lang string, bucket int, least long, size array<byte>, key array<long>, n array<long>, "
                                 "parts array<long>, text array<string>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -117,6 +118,20 @@ def test_no_shard_is_a_small_rest():
     assert sum(sizes) + held.size == 1200 and all(50 <= n < 100 for n in sizes) and 50 <= held.size < 110
 
 
+def test_mining_takes_little_memory_a_word():
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 40_000, 1000)) for _ in range(400)])
+    held = collocations.Shard(1 << 22)
+    number = held.numbers(["en"])[np.zeros(400, np.int64)]
+    for found in collocations.words(texts, number, collocations.language_salts(["en"])):
+        held.add(found)
+    tracemalloc.start()
+    assert sum(len(found.n) for _, _, found in held.mined(held.held, {"en": 400_000}, 100, 5)) == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * 400_000
+
+
 def test_scores_past_64_bits(spark):
     many = 3 * 10 ** 12
     phrases = spark.createDataFrame([("en", "a", 1, many), ("en", "b", 1, many), ("en", "a b", 2, many - 1)],
