@@ -26,6 +26,8 @@ EACH = 12
 UNKNOWN = "und"
 #: An n-gram is known to a language if this share of its training rows (and one row at least) has it.
 KNOWN = 0.01
+#: Languages whose counts a task holds at once.
+HELD = 64
 #: Held-back labelled rows that each of the two tests of readable() may reject, as a share of them.
 LOSS = 0.005
 #: Limits lie this much below the row that sets them, as vectors reach the driver as 32-bit numbers.
@@ -33,6 +35,7 @@ SLACK = 1e-5
 HAS_LETTER, PREDICTED, SCORE, FAMILIAR = "_has_letter", "_lang_pred", "_score", "_familiar"
 LETTER = r"\p{L}"
 _GRAM = np.uint64(0x2545F4914F6CDD1D)
+_ORDER = [("place", "ascending"), ("lang", "ascending"), ("row", "ascending")]
 
 
 def _code_points(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,20 +87,44 @@ def _counted(cells: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(cells.astype(np.int64), return_counts=True)
 
 
-def document_frequencies(docs: DataFrame, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, int]:
-    """In how many of the texts each feature occurs, over all rows, and the number of rows."""
+def frequencies(docs: DataFrame, apart: np.ndarray, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> DataFrame:
+    """lang, feature, n: in how many texts of a language each feature occurs, over all rows of ``docs`` (key, text, lang).
+
+    The feature ``dimensions`` counts the rows. Rows whose key is one of ``apart`` count under a null language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(dimensions + 1, np.int64), 0
+        held: dict = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for name, n in held.items():
+                some = np.flatnonzero(n)
+                yield pa.record_batch([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(n[some])], names=["lang", "feature", "n"])
+            held.clear()
+
         for batch in batches:
-            n += len(batch)
-            for _, _, _, feature, _ in term_counts(batch["text"], longest, dimensions):
-                held[:-1] += np.bincount(feature, minlength=dimensions)
-        held[-1] = n
-        some = np.flatnonzero(held)
-        yield pa.record_batch([pa.array(some), pa.array(held[some])], names=["feature", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+            coded = batch["lang"].dictionary_encode()
+            names = [*coded.dictionary.to_pylist(), None]
+            number = np.where(np.isin(batch["key"].to_numpy(), apart), len(names) - 1, coded.indices.to_numpy())
+            for first, rows, row, feature, _ in term_counts(batch["text"], longest, dimensions):
+                of = number[first:first + rows]
+                cells, counts = _counted(of[row] * dimensions + feature, len(names) * dimensions)
+                texts, edge = np.bincount(of, minlength=len(names)), np.searchsorted(cells, np.arange(len(names) + 1) * dimensions)
+                for k in np.flatnonzero(texts):
+                    n = held.setdefault(names[k], np.zeros(dimensions + 1, np.int64))
+                    n[cells[edge[k]:edge[k + 1]] - k * dimensions] += counts[edge[k]:edge[k + 1]]
+                    n[-1] += texts[k]
+                if len(held) > HELD:
+                    yield from given()
+        yield from given()
+
+    rows = docs.select("key", "text", "lang").mapInArrow(run, "lang string, feature long, n long")
+    return rows.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+
+
+def document_frequencies(counts: DataFrame, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, int]:
+    """In how many of the texts each feature occurs, and the number of texts; ``counts`` as frequencies() gives them."""
+    rows = counts.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(dimensions + 1, np.int64)
     out[rows["feature"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])
@@ -179,12 +206,19 @@ def limit(values: np.ndarray, loss: float = LOSS) -> float:
     return float(np.sort(values)[int(loss * len(values))]) - SLACK if len(values) else 0.0
 
 
-def known_features(rows: list[tuple[np.ndarray, np.ndarray, int]], dimensions: int, classes: int) -> np.ndarray:
-    held, n = np.zeros((dimensions, classes), np.int32), np.zeros(classes)
-    for features, _, label in rows:
-        held[features, label] += 1
-        n[label] += 1
-    return held >= np.maximum(1, KNOWN * n)
+def known_features(counts: DataFrame, languages: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """features x languages: whether enough of all training rows of the language have the n-gram. ``counts`` as
+    frequencies() gives them; only what is known comes to the driver."""
+    counts = counts.where("lang IS NOT NULL")
+    rows = counts.where(F.col("feature") == dimensions).select("lang", F.col("n").alias("rows"))
+    found = counts.where(F.col("feature") < dimensions).join(F.broadcast(rows), "lang").where(
+        F.col("n") >= F.greatest(F.lit(1.0), KNOWN * F.col("rows"))).select("lang", "feature").toArrow()
+    known = np.zeros((dimensions, len(languages)), bool)
+    if len(found):
+        coded = found["lang"].combine_chunks().dictionary_encode()
+        at = np.array([languages.index(name) for name in coded.dictionary.to_pylist()])
+        known[found["feature"].to_numpy(), at[coded.indices.to_numpy()]] = True
+    return known
 
 
 def sample(docs: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -206,20 +240,34 @@ def sample(docs: DataFrame, most: int = LABELLED) -> DataFrame:
     return ranked.orderBy(F.desc("_is_first"), "place", "doc_id", "row").limit(most).drop("_is_first")
 
 
+def _held_back(drawn: pa.Table) -> np.ndarray:
+    """Which of the sampled rows, by place, are held back from training: every fifth, but no language's first row."""
+    seen, out = set(), []
+    for k, name in enumerate(drawn["lang"].to_pylist()):
+        out.append(k % 5 == 0 and name in seen)
+        seen.add(name)
+    return np.array(out, bool)
+
+
 def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> Model | None:
     """A model of the labelled rows of ``docs`` (doc_id, text, lang); None without any.
 
-    Document frequencies count all of these rows. The weights are fitted on a sample(), whose feature
-    vectors (at most ``dimensions`` entries each) come to the driver; one in five of them sets the temperature and the
-    limits below which a text is in no language: each rejects LOSS of these held-back rows at most.
-    Null texts, labels and ids take no part. Every label is learned. Rows that repeat an id are rows of their own; equal
-    rows are sampled once, so no more than the sample comes to the driver.
+    Document frequencies count all of these rows, and so does what is known of a language, but for the rows held back.
+    The weights are fitted on a sample(), whose feature vectors (at most ``dimensions`` entries each) come to the
+    driver; one in five of them is held back and sets the temperature and the limits below which a text is in no
+    language: each rejects LOSS of these rows at most. Null texts, labels and ids take no part. Every label is learned.
+    Rows that repeat an id are rows of their own; equal rows are sampled once, so no more than the sample comes to the
+    driver.
     """
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    held, n = document_frequencies(docs, longest, dimensions)
-    idf = np.log((1 + n) / (1 + held)) + 1
     chosen = stored(sample(docs, most), "sample")
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    key = F.xxhash64("row", "lang").alias("key")
+    drawn = chosen.select("place", "lang", "row", key).toArrow().sort_by(_ORDER)
+    apart = drawn["key"].to_numpy()[_held_back(drawn)]
+    counts = stored(frequencies(docs.select(key, "text", "lang"), apart, longest, dimensions), "frequencies")
+    held, n = document_frequencies(counts, dimensions)
+    idf = np.log((1 + n) / (1 + held)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,28 +275,26 @@ def fit(docs: DataFrame, most: int = LABELLED, longest: int = LONGEST, dimension
                 at = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
                 value = _weighed(row, feature, count, idf, rows).astype(np.float32)
                 yield pa.record_batch([
-                    *(batch[c].slice(first, rows) for c in ("row", "place", "lang")),
+                    *(batch[c].slice(first, rows) for c in ("row", "place", "lang", "key")),
                     pa.ListArray.from_arrays(at, pa.array(feature.astype(np.int32))),
-                    pa.ListArray.from_arrays(at, pa.array(value))], names=["row", "place", "lang", "features", "values"])
+                    pa.ListArray.from_arrays(at, pa.array(value))], names=["row", "place", "lang", "key", "features", "values"])
 
-    picked = docs.join(F.broadcast(chosen.select("row", "lang", "place")), ["row", "lang"]).select("row", "place", "lang", "text")
-    vectors = picked.mapInArrow(run, "row long, place long, lang string, features array<int>, values array<float>")
+    picked = docs.join(F.broadcast(chosen.select("row", "lang", "place")), ["row", "lang"]).select("row", "place", "lang", key, "text")
+    vectors = picked.mapInArrow(run, "row long, place long, lang string, key long, features array<int>, values array<float>")
     vectors = vectors.dropDuplicates(["row", "lang"])  # rows that repeat in the table
-    table = vectors.toArrow().sort_by([("place", "ascending"), ("lang", "ascending"), ("row", "ascending")])
+    table = vectors.toArrow().sort_by(_ORDER)
     if not len(table):
         return None
     languages = sorted(set(table["lang"].to_pylist()))
     label = {name: k for k, name in enumerate(languages)}
     rows = [(f.values.to_numpy(), v.values.to_numpy().astype(float), label[name.as_py()])
             for f, v, name in zip(table["features"], table["values"], table["lang"])]
-    seen: set = set()  # a language's first row always trains
-    first = [not (r[2] in seen or seen.add(r[2])) for r in rows]
-    train = [r for k, r in enumerate(rows) if k % 5 or first[k]]
-    kept = [r for k, r in enumerate(rows) if k % 5 == 0 and not first[k]]
+    back = np.isin(table["key"].to_numpy(), apart)
+    train, kept = [r for r, b in zip(rows, back) if not b], [r for r, b in zip(rows, back) if b]
     weights = follow_the_leader(train, dimensions, len(languages))
     logits = np.array([v @ weights[f] + weights[-1] for f, v, _ in kept]).reshape(-1, len(languages))
     model = Model(languages, idf, weights, calibrate(logits, np.array([c for _, _, c in kept], int)),
-                  known_features(train, dimensions, len(languages)))
+                  known_features(counts, languages, dimensions))
     lettered = [k for k, (f, _, _) in enumerate(kept) if len(f)]
     p = softmax(logits[lettered] / model.temperature)
     shares = [model.known[kept[k][0], c].mean() for k, c in zip(lettered, p.argmax(axis=1))]
