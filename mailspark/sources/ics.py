@@ -7,13 +7,18 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailspark import lexicon as lx
-from mailspark.functions.common import iso_utc, literal_list, nonempty, strip, with_once
+from mailspark.functions.common import iso_utc, nonempty, sub, with_once
 from mailspark.functions.fingerprint import ics_fingerprint
 from mailspark.operators.rules import DEFAULT_MINUTES, DEFAULT_ZONE
 
 _PARAMS = r'((?:;(?:[^:\n";]++|"[^"\n]*+")*+)*+)'
 
 
+def strip(value: Column) -> Column:
+    """common.strip() of a short value, as one pattern: it stays in the code that is generated for a stage."""
+    return sub(value, r"^\s+|\s+\z")
+
+
 def _property(name: str, group: int = 2) -> Column:
     """The value of the first line of a name, or its parameters (group 1); '' when absent."""
     return F.regexp_extract("_block", rf"(?imd)^{name}{_PARAMS}:(.*)$", group)
@@ -29,19 +34,26 @@ def _zone(name: str) -> Column:
     return F.regexp_replace(F.regexp_extract(_property(name, 1), r'(?i);TZID=("[^"]*"|[^;:]*)', 1), '"', "")
 
 
-def _known_zones() -> Column:
-    return literal_list(sorted(z for z in available_timezones() if "/" in z or z in ("UTC", "GMT")))
+def _known_zone(name: Column) -> Column:
+    """Looked up in a hash set: the list has hundreds of names."""
+    return name.isin(sorted(z for z in available_timezones() if "/" in z or z in ("UTC", "GMT")))
 
 
 def _instant(value: Column, named: Column, tz: str) -> Column:
     """UTC instant of a DATE or DATE-TIME value; a zone that is unknown counts as the user's."""
     stamp = F.try_to_timestamp(F.substring(value, 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
-    zone = F.when((F.length(named) > 0) & F.array_contains(_known_zones(), named), named).otherwise(F.lit(tz))
+    zone = F.when((F.length(named) > 0) & _known_zone(named), named).otherwise(F.lit(tz))
     return (F.when(value.rlike(r"^\d{8}T\d{6}Z$"), stamp)
             .when(value.rlike(r"^\d{8}T\d{6}$"), F.to_utc_timestamp(stamp, zone))
             .when(value.rlike(r"^\d{8}$"), F.to_utc_timestamp(F.try_to_timestamp(value, F.lit("yyyyMMdd")), F.lit(tz))))
 
 
+def _stages(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
+    for cols in stages:
+        df = with_once(df, **cols)
+    return df
+
+
 def parse_ics(parts: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAULT_MINUTES,
               raw: str = "raw") -> DataFrame:
     """(message_id, raw) to VEVENT rows. Recurrence rules are kept as text, not expanded; an entry with a broken
@@ -57,20 +69,20 @@ def parse_ics(parts: DataFrame, tz: str = DEFAULT_ZONE, minutes: int = DEFAULT_M
                        _sequence=strip(_property("SEQUENCE")))
     sequence = F.col("_sequence")
     sound = opened.where((sequence == "") | sequence.rlike(r"^[+-]?\d{1,9}$"))
-    values = with_once(sound, **{
-        "_uid": _text("UID"), "_title": _text("SUMMARY"), "_place": _text("LOCATION"), "_status": _text("STATUS"),
-        "_rrule": strip(_property("RRULE")), "_owner": _text("ORGANIZER"),
-        "_again": strip(_property("RECURRENCE-ID")), "_again_text": _text("RECURRENCE-ID"), "_again_zone": _zone("RECURRENCE-ID"),
-        "_from": strip(_property("DTSTART")), "_from_zone": _zone("DTSTART"),
-        "_to": strip(_property("DTEND")), "_to_zone": _zone("DTEND")})
-    fields = with_once(values, **{
+    # few columns at a time: what is generated for a stage of many is a method too long to be compiled by the JVM
+    values = _stages(
+        sound, {"_uid": _text("UID"), "_title": _text("SUMMARY"), "_place": _text("LOCATION")},
+        {"_status": _text("STATUS"), "_rrule": strip(_property("RRULE")), "_owner": _text("ORGANIZER")},
+        {"_again": strip(_property("RECURRENCE-ID")), "_again_text": _text("RECURRENCE-ID"), "_again_zone": _zone("RECURRENCE-ID")},
+        {"_from": strip(_property("DTSTART")), "_from_zone": _zone("DTSTART")}, {"_to": strip(_property("DTEND")), "_to_zone": _zone("DTEND")})
+    fields = _stages(values, {
         "uid": nonempty(F.col("_uid")), "_summary": F.coalesce(nonempty(F.col("_title")), F.lit(lx.NO_TITLE)),
         "location": nonempty(F.col("_place")), "status": nonempty(F.col("_status")), "rrule": nonempty(F.col("_rrule")),
         "sequence": nonempty(sequence).cast("int"),
-        "organizer": F.regexp_replace(nonempty(F.col("_owner")), r"^[^:]*:\s*(?=\S)", ""),
-        "recurrence_id": F.coalesce(iso_utc(_instant(F.col("_again"), F.col("_again_zone"), tz)), nonempty(F.col("_again_text"))),
-        "start_ts": _instant(F.col("_from"), F.col("_from_zone"), tz), "_end": _instant(F.col("_to"), F.col("_to_zone"), tz),
-        "all_day": F.col("_from").rlike(r"^\d{8}$")})
+        "organizer": F.regexp_replace(nonempty(F.col("_owner")), r"^[^:]*:\s*(?=\S)", "")}, {
+        "recurrence_id": F.coalesce(iso_utc(_instant(F.col("_again"), F.col("_again_zone"), tz)), nonempty(F.col("_again_text")))}, {
+        "start_ts": _instant(F.col("_from"), F.col("_from_zone"), tz), "all_day": F.col("_from").rlike(r"^\d{8}$")}, {
+        "_end": _instant(F.col("_to"), F.col("_to_zone"), tz)})
     cancelled = F.coalesce(F.upper("method") == "CANCEL", F.lit(False)) | F.coalesce(
         F.upper("status") == "CANCELLED", F.lit(False))
     evidence = F.concat_ws(
