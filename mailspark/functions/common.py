@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,7 +20,13 @@ def rx(pattern: str, flags: str = "", plain: bool = False) -> str:
 
 def by_script(text: Column, make: Callable[[Column, bool], Column]) -> Column:
     """``make(text, plain)`` with plain patterns for ASCII text and Unicode ones for all other text."""
-    return let(text, lambda t: F.when(t.rlike(r"^[\x00-\x7f]*+$"), make(t, True)).otherwise(make(t, False)))
+    return let(text, lambda t: F.when(is_ascii(t), make(t, True)).otherwise(make(t, False)))
+
+
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters: two counts, where a pattern would look at every character. Broken bytes count as
+    ASCII: they are read as U+FFFD, which plain and Unicode classes take alike."""
+    return F.octet_length(text) == F.length(text)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,7 +57,7 @@ def find_all(col: Column, pattern: str, group: int = 0, plain: bool = False) ->
 
 def strip(col: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return sub(col, r"^\s+|\s+\z")
+    return by_script(col, lambda t, plain: F.btrim(t, F.lit(" \t\n\x0b\f\r")) if plain else sub(t, r"^\s+|\s+\z"))
 
 
 def fold_spaces(col: Column) -> Column:
@@ -67,8 +74,9 @@ def nonempty(col: Column) -> Column:
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:
-    """One pass over the text for a whole word list (substring match)."""
-    return col.rlike("|".join(re.escape(w) for w in dict.fromkeys(words)))
+    """Whether some word of a list occurs (substring match). Words that no ASCII text can hold are not looked for there."""
+    words = list(dict.fromkeys(words))
+    return by_script(col, lambda t, plain: reduce(or_, [F.contains(t, F.lit(w)) for w in words if w.isascii() or not plain], F.lit(False)))
 
 
 def literal_list(values: Iterable[str]) -> Column:
@@ -78,7 +86,13 @@ def literal_list(values: Iterable[str]) -> Column:
 
 def words_found(lowered: Column, words: Iterable[str]) -> Column:
     """The list members that occur in an already lowered text, in list order (repeats in the list are kept)."""
-    return F.filter(literal_list(words), lambda w: F.contains(lowered, w))
+    words = list(words)
+
+    def found(text: Column, plain: bool) -> Column:
+        some = [w for w in words if w.isascii() or not plain]
+        return F.filter(literal_list(some), lambda w: F.contains(text, w)) if some else F.expr("cast(array() as array<string>)")
+
+    return by_script(lowered, found)
 
 
 def join_nonempty(separator: str, *cols: Column) -> Column:

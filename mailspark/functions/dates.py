@@ -82,14 +82,15 @@ def _family(text: Column, pattern: str, day_of, has_year: bool, plain: bool = Fa
     return F.filter(hits, lambda h: h["day"].isNotNull())
 
 
-def relative_date(text: Column, received: Column) -> Column:
-    """struct(day, has_year, ev) for today/tomorrow words or a weekday, else null."""
+def relative_date(text: Column, received: Column, plain: bool = False) -> Column:
+    """struct(day, has_year, ev) for today/tomorrow words or a weekday, else null. ``plain``: of an ASCII text."""
     def found(day: Column, evidence: Column) -> Column:
         return F.struct(day.alias("day"), F.lit(True).alias("has_year"), evidence.alias("ev"))
 
     # the first word of the list that occurs, with the days it adds
-    words = literal_list(word for word, _ in lx.RELATIVE_DAYS)
-    deltas = F.array(*[F.lit(delta) for _, delta in lx.RELATIVE_DAYS])
+    known = [(word, delta) for word, delta in lx.RELATIVE_DAYS if word.isascii() or not plain]
+    words = literal_list(word for word, _ in known)
+    deltas = F.array(*[F.lit(delta) for _, delta in known])
     first = let(F.lower(text), lambda t: F.get(F.filter(words, lambda w: F.contains(t, w)), F.lit(0)))
 
     def by_word(word: Column) -> Column:
@@ -103,6 +104,8 @@ def relative_date(text: Column, received: Column) -> Column:
         return F.when((F.length(evidence) > 0) & let(before, lambda b: ~inside_brackets(b)),
                       found(weekday_date(digit, scope, received), strip(evidence)))
 
+    if plain:  # weekday words are never ASCII
+        return let(first, by_word)
     weekday = F.when(text.rlike("周|週|星期|礼拜|禮拜"), let(
         F.regexp_extract(text, rx(lx.WEEKDAY_WORD), 0), by_weekday))
     return F.coalesce(let(first, by_word), weekday)
@@ -133,8 +136,14 @@ def inside_brackets(before: Column) -> Column:
 def may_hold_date(text: Column) -> Column:
     """Cheap gate: false means that no date family can match."""
     words = "|".join(word for word, _ in lx.RELATIVE_DAYS)
-    return text.rlike(r"(?iU)\d{4}|月|周|週|星期|礼拜|禮拜|" + words +
-                      r"|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)")
+
+    def held(t: Column, plain: bool) -> Column:
+        if not plain:
+            return t.rlike(r"(?iU)\d{4}|月|周|週|星期|礼拜|禮拜|" + words +
+                           r"|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)")
+        return t.rlike(r"\d{4}") | t.rlike(lx.MONTH_NAME) | t.rlike("(?i)" + "|".join(w for w, _ in lx.RELATIVE_DAYS if w.isascii()))
+
+    return by_script(text, held)
 
 
 def dates_in(text: Column, received: Column) -> Column:
@@ -170,10 +179,13 @@ def _dates(text: Column, received: Column, plain: bool) -> Column:
                 month_number(g(1)), to_int(g(2)), received), False, plain),
             _family(text, lx.DATE_EN_DM, lambda g: infer_year(
                 month_number(g(2)), to_int(g(1)), received), False, plain))),
-        F.filter(F.array(relative_date(text, received)), lambda r: r.isNotNull()),
+        F.filter(F.array(relative_date(text, received, plain)), lambda r: r.isNotNull()),
     ]
-    first = F.get(F.filter(F.array(*families), lambda f: F.size(f) > 0), F.lit(0))
-    return F.coalesce(first, _no_dates())
+    def first_of(some: list[Column]) -> Column:
+        """A family is looked for only where those before it found nothing."""
+        return let(some[0], lambda f: F.when(F.size(f) > 0, f).otherwise(first_of(some[1:]))) if some else _no_dates()
+
+    return first_of(families)
 
 
 # --- clock times ----------------------------------------------------------------------------------------------

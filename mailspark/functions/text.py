@@ -160,11 +160,16 @@ def paragraphs_of(text: Column) -> Column:
 
 
 def has_date_shape(text: Column) -> Column:
-    return by_script(text, lambda t, plain: matches(t, lx.DATE_SHAPE, "i", plain))
+    def shaped(t: Column, plain: bool) -> Column:
+        if not plain:
+            return matches(t, lx.DATE_SHAPE, "i")
+        return t.rlike(r"\d") & (t.rlike(lx.DATE_SHAPE_DIGITS) | (t.rlike(lx.MONTH_NAME) & matches(t, lx.DATE_SHAPE_MONTHS, "i", plain)))
+
+    return by_script(text, shaped)
 
 
 def has_time_shape(text: Column) -> Column:
-    return by_script(text, lambda t, plain: matches(t, lx.TIME_SHAPE, "", plain))
+    return by_script(text, lambda t, plain: F.contains(t, F.lit(":")) & t.rlike(lx.TIME_SHAPE_DIGITS) if plain else matches(t, lx.TIME_SHAPE))
 
 
 def is_footnote(paragraph: Column) -> Column:
