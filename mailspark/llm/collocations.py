@@ -3,6 +3,10 @@
 A phrase that occurs ``support`` times among n words occurs, in one shard of w words at least, support * w / n times or
 more. So each shard is mined completely at that lower support, level by level; the union of what is frequent in some
 shard holds every frequent phrase, and all of these are then counted over everything.
+
+Where there are so many shards that this lower support falls below LEAST, shards would name nearly all of their phrases.
+Then they meet after each level: they name what phrases of that length they have, their counts are added up, and only what
+is frequent over everything is built upon at the next length.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mailspark.llm.tables import read, stored
@@ -25,6 +30,10 @@ FIRST = 2_000
 UNLABELLED = "und"
 #: Words of a shard, at least; a task cuts what it reads into shards of this to twice this size, and mines one at a time.
 SHARD = 3 << 20
+#: Shards meet after each level where their share of the support, for the smallest of them, is below this.
+LEAST = 2
+#: Places of a phrase that tell its words then, of all that it has, and what stands for none.
+TOLD, NEVER = 6, 100
 #: Words of the input for each bucket in which shards' phrases meet.
 BUCKET = 1 << 20
 #: Keys of phrases that are sent to the tasks; more of them are met in a shuffle.
@@ -297,10 +306,161 @@ def candidates(local: DataFrame, support: int) -> DataFrame:
     return met.mapInArrow(run, "lang string, size byte, key long, parts array<long>, text string")
 
 
+def _marks(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bitmap of 2 ** ``bits`` marks with those of ``keys`` (key) set."""
+    at = F.col("key").bitwiseAND((1 << bits) - 1)
+    marks = keys.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("marks")).toArrow()
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
+    bitmap[marks["byte"].to_numpy()] = marks["marks"].to_numpy()
+    return bitmap
+
+
+def _marked(bitmap: np.ndarray):
+    mask = np.uint64(8 * len(bitmap) - 1)
+
+    def marked(_, keys: np.ndarray) -> np.ndarray:
+        at = keys & mask
+        return np.where(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1, np.arange(len(keys)), -1)
+
+    return marked
+
+
+def level(docs: DataFrame, m: int, shorter: DataFrame | None, support: int, buckets: int, shard: int, bits: int = BITS) -> DataFrame:
+    """size, key, n of the phrases of ``m`` words that occur ``support`` times, given the frequent ones of fewer words
+    (``shorter``: key; None for single words).
+
+    Each shard names its windows of m words whose shorter windows are all marked, and how often it has them; lists of one
+    bucket meet in one task, which adds them up. A mark set by another phrase costs a name more and changes no count.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(None if shorter is None else _marks(shorter, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = None if shared.value is None else _marked(shared.value)
+        held: list[np.ndarray] = []
+
+        def named() -> Iterator[pa.RecordBatch]:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            bucket = (key % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            number, counts = np.unique(bucket, return_counts=True)
+            yield pa.record_batch([pa.array(number, pa.int32()), lists(signed(key[order]), counts), lists(n[order].astype(np.int32), counts)],
+                                  names=["bucket", "key", "n"])
+
+        for batch in batches:
+            number, names = _languages(batch["lang"])
+            for found in words(batch["text"], number, language_salts(names)):
+                before = None
+                for k in range(1, m):
+                    before, _ = _hits(found, k, before, marked)
+                at = _windows(found, m, before)
+                if len(at):
+                    held.append(_keys(found.key, at, m))
+                if sum(map(len, held)) >= 2 * shard:
+                    yield from named()
+        if held:
+            yield from named()
+        pa.default_memory_pool().release_unused()
+
+    def merged(held: list[tuple]) -> pa.RecordBatch:
+        key, n = (np.concatenate(c) for c in zip(*held))
+        number, first, _ = _numbered(key)
+        total = np.bincount(number, n, len(first)).astype(np.int64)
+        often = total >= support
+        return pa.record_batch([pa.array(np.full(often.sum(), m, np.int8)), pa.array(key[first[often]]), pa.array(total[often])], names=["size", "key", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for i, bucket in enumerate(batch["bucket"].to_pylist()):
+                if bucket != now and held:
+                    yield merged(held)
+                    held = []
+                now = bucket
+                held.append((batch["key"][i].values.to_numpy(), batch["n"][i].values.to_numpy()))
+        if held:
+            yield merged(held)
+
+    met = docs.mapInArrow(run, "bucket int, key array<long>, n array<int>").repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(added, "size byte, key long, n long")
+
+
+def _told(docs: DataFrame, found: DataFrame, longest: int, bits: int, times: int) -> DataFrame:
+    """key, lang, parts, text of windows of ``docs`` that are phrases of ``found`` (key, odds): one in 2 ** odds of them
+    times ``times``, none where odds is NEVER. Some may be other windows, with other keys.
+
+    A table of 2 ** ``bits`` bytes goes to the tasks.
+    """
+    cells = found.select(F.col("key").bitwiseAND((1 << bits) - 1).cast("int").alias("cell"), F.col("odds").cast("byte").alias("odds"))
+    cells = cells.groupBy("cell").agg(F.min("odds").alias("odds")).toArrow()
+    table = np.full(1 << bits, -1, np.int8)
+    table[cells["cell"].to_numpy()] = cells["odds"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, mask = shared.value, np.uint64((1 << bits) - 1)
+        rng = np.random.default_rng(TaskContext.get().partitionId())
+        share = np.append(np.minimum(1.0, times * 0.5 ** np.arange(NEVER)), 0.0)
+        hit = lambda _, keys: table[keys & mask]
+        for batch in batches:
+            number, names = _languages(batch["lang"])
+            for some in words(batch["text"], number, language_salts(names)):
+                before = None
+                for m in range(1, longest + 1):
+                    before, odds = _hits(some, m, before, hit)
+                    if not len(before):
+                        break
+                    at = before[rng.random(len(before)) < share[odds]]
+                    key, first = np.unique(_keys(some.key, at, m), return_index=True)
+                    if not len(key):
+                        continue
+                    at = at[first]
+                    text = [some.word(i) for i in at.tolist()] if m == 1 else [None] * len(at)
+                    yield pa.record_batch([
+                        pa.array(signed(key)), pa.array([names[k] for k in some.lang[at].tolist()], pa.string()),
+                        lists(signed(_keys(some.key, (at[:, None] + np.arange(m)).ravel(), 1)), np.full(len(at), m)),
+                        pa.array(text, pa.binary()).cast(pa.string())], names=["key", "lang", "parts", "text"])
+
+    rows = docs.mapInArrow(run, "key long, lang string, parts array<long>, text string")
+    return rows.dropDuplicates(["key"]).join(found.where(F.col("odds") < NEVER).select("key"), "key", "left_semi")
+
+
+def spelled(docs: DataFrame, found: DataFrame, longest: int = LONGEST, bits: int = BITS - 2, times: int = TOLD) -> DataFrame:
+    """``found`` (size, key, n) with lang, the keys of each phrase's words (``parts``) and the text of single words.
+
+    Of a phrase's n places, ``times`` to twice as many tell these, drawn at random, so that the rows follow the number of
+    phrases and not that of tasks. Those that no drawn place told are then told by all of theirs.
+    """
+    told = stored(_told(docs, found.select("key", F.floor(F.log2("n")).alias("odds")), longest, bits, times), "told")
+    known = told.select("key", F.lit(True).alias("known"))
+    rest = stored(found.join(known, "key", "left").select("key", F.when(F.col("known"), NEVER).otherwise(0).alias("odds")), "rest")
+    if not rest.where("odds = 0").isEmpty():
+        told = told.unionByName(_told(docs, rest, longest, bits, 1))
+    return found.join(told, "key")
+
+
+def in_levels(docs: DataFrame, words_in_all: int, support: int, longest: int = LONGEST, shard: int = SHARD, room: int = BUCKET,
+              bits: int = BITS) -> DataFrame:
+    """lang, size, key, n, parts, text of the phrases that occur ``support`` times, by shards that meet after each level."""
+    found = None
+    for m in range(1, longest + 1):
+        more = stored(level(docs, m, found, support, max(1, words_in_all // room), shard, bits), "level")
+        found = more if found is None else found.unionByName(more)
+        if more.isEmpty():
+            break
+    return spelled(docs, found, longest, bits - 2)
+
+
+def _windows(found: Words, m: int, before: np.ndarray | None) -> np.ndarray:
+    """Places of windows of m words within a piece whose two parts of m - 1 words are at the places ``before``."""
+    at = np.arange(len(found.start)) if before is None else before[:-1][before[1:] == before[:-1] + 1]
+    return at[found.piece[at + m - 1] == found.piece[at]]
+
+
 def _hits(found: Words, m: int, before: np.ndarray | None, hit) -> tuple[np.ndarray, np.ndarray]:
     """Places of windows of m words within a piece whose two parts of m - 1 words were hits, and what ``hit`` finds there."""
-    at = np.arange(len(found.start)) if before is None else before[:-1][before[1:] == before[:-1] + 1]
-    at = at[found.piece[at + m - 1] == found.piece[at]]
+    at = _windows(found, m, before)
     place = hit(m, _keys(found.key, at, m))
     return at[place >= 0], place[place >= 0]
 
@@ -353,20 +513,10 @@ def joined(docs: DataFrame, wanted: DataFrame, longest: int = LONGEST, bits: int
 
     A bitmap of 2 ** ``bits`` marks goes to the tasks; windows without a mark are not wanted and stay where they are.
     """
-    at = F.col("key").bitwiseAND((1 << bits) - 1)
-    marks = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(
-        F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("marks")).toArrow()
-    bitmap = np.zeros(1 << bits - 3, np.uint8)
-    bitmap[marks["byte"].to_numpy()] = marks["marks"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, mask = shared.value, np.uint64((1 << bits) - 1)
-
-        def marked(_, keys: np.ndarray) -> np.ndarray:
-            at = keys & mask
-            return np.where(bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1, np.arange(len(keys)), -1)
-
+        marked = _marked(shared.value)
         for batch in batches:
             number, names = _languages(batch["lang"])
             for found in words(batch["text"], number, language_salts(names)):
@@ -383,15 +533,19 @@ def joined(docs: DataFrame, wanted: DataFrame, longest: int = LONGEST, bits: int
 
 
 def frequent(docs: DataFrame, totals: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard: int = SHARD,
-             travel: int = TRAVEL) -> DataFrame:
+             travel: int = TRAVEL, least: int = LEAST) -> DataFrame:
     """lang, phrase, size, n of every phrase of up to ``longest`` words that occurs ``support`` times in its language.
 
     ``docs`` as texts_of() gives them, ``totals`` as word_counts() does.
     """
-    local = stored(mined(docs, totals, support, longest, shard), "local")
-    wanted = stored(candidates(local, support), "candidates")
-    counts = counted(docs, wanted, longest) if wanted.count() <= travel else joined(docs, wanted, longest)
-    found = stored(wanted.join(counts.where(F.col("n") >= support), "key"), "counts")
+    words_in_all = sum(r.n for r in totals.collect())
+    if support * shard < least * words_in_all:
+        found = stored(in_levels(docs, words_in_all, support, longest, shard), "counts")
+    else:
+        local = stored(mined(docs, totals, support, longest, shard), "local")
+        wanted = stored(candidates(local, support), "candidates")
+        counts = counted(docs, wanted, longest) if wanted.count() <= travel else joined(docs, wanted, longest)
+        found = stored(wanted.join(counts.where(F.col("n") >= support), "key"), "counts")
     spelt = found.where("size = 1").select(F.col("key").alias("part"), F.col("text").alias("word"))
     return (found.select("lang", "key", "size", "n", F.posexplode("parts").alias("at", "part")).join(spelt, "part")
             .groupBy("lang", "key", "size", "n").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
@@ -427,7 +581,7 @@ def scored(phrases: DataFrame, totals: DataFrame, covered: int = COVERED, first:
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, covered: int = COVERED, first: int = FIRST,
-                 shard: int = SHARD, travel: int = TRAVEL) -> DataFrame:
+                 shard: int = SHARD, travel: int = TRAVEL, least: int = LEAST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``first`` phrases of each language of ``docs`` (text, lang).
 
     A-Z are lowered; texts fall into pieces at . , ; : ! ? and line ends, pieces into words at blanks and tabs. Phrases
@@ -437,7 +591,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     """
     docs = texts_of(docs)
     totals = stored(word_counts(docs), "totals")
-    return scored(stored(frequent(docs, totals, support, longest, shard, travel), "frequent"), totals, covered, first)
+    return scored(stored(frequent(docs, totals, support, longest, shard, travel, least), "frequent"), totals, covered, first)
 
 
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
