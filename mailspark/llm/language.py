@@ -34,37 +34,47 @@ LOSS = 0.005
 SLACK = 1e-5
 HAS_LETTER, PREDICTED, SCORE, FAMILIAR = "_has_letter", "_lang_pred", "_score", "_familiar"
 LETTER = r"\p{L}"
+#: Bytes of text that are counted at a time: what is made of them stays in a core's cache.
+CHUNK = 1 << 16
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.arange(256) < 0xAA
+_BLANK[[*range(65, 91), *range(97, 123)]] = False
 _GRAM = np.uint64(0x2545F4914F6CDD1D)
 _ORDER = [("place", "ascending"), ("lang", "ascending"), ("row", "ascending")]
 
 
 def _code_points(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 texts, case folded where one byte pair holds the letter, and the texts' positions."""
-    lead = (data & 0xC0) != 0x80
-    start = np.flatnonzero(lead)
-    first = data[start].astype(np.uint32)
-    tail = lambda k: np.where(start + k < len(data), data[np.minimum(start + k, len(data) - 1)], 0).astype(np.uint32) & 0x3F
-    point = np.where(first < 0x80, first, np.where(first < 0xE0, (first & 0x1F) << 6 | tail(1), np.where(
-        first < 0xF0, (first & 0x0F) << 12 | tail(1) << 6 | tail(2), (first & 7) << 18 | tail(1) << 12 | tail(2) << 6 | tail(3))))
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    byte = data[start]
+    out = _LOWER[byte].astype(np.uint32)
+    many = np.flatnonzero(byte >= 0x80)  # only these have more bytes to read
+    first, start_ = byte[many].astype(np.uint32), start[many]
+    tail = lambda k: np.where(start_ + k < len(data), data[np.minimum(start_ + k, len(data) - 1)], 0).astype(np.uint32) & 0x3F
+    point = np.where(first < 0xE0, (first & 0x1F) << 6 | tail(1), np.where(
+        first < 0xF0, (first & 0x0F) << 12 | tail(1) << 6 | tail(2), (first & 7) << 18 | tail(1) << 12 | tail(2) << 6 | tail(3)))
     upper = ((point >= 65) & (point <= 90)) | ((point >= 0xC0) & (point <= 0xDE) & (point != 0xD7)) | (
         (point >= 0x391) & (point <= 0x3A9)) | ((point >= 0x410) & (point <= 0x42F))
-    return np.where(upper, point + 32, point), np.searchsorted(start, text_at)
+    out[many] = np.where(upper, point + 32, point)
+    return out, np.searchsorted(start, text_at)
 
 
 def term_counts(texts: pa.Array, longest: int = LONGEST, dimensions: int = DIMENSIONS
                 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each chunk of texts: first row, rows, and the row, feature and count of every n-gram feature of its texts.
 
-    White space runs count as one blank; digits and ASCII signs as nothing but a break.
+    White space runs count as one blank, at a text's start as well; digits and ASCII signs as nothing but a break.
     """
-    for chunk in chunks(texts, keys=False):
+    for chunk in chunks(texts, keys=False, size=CHUNK):
         point, at = _code_points(chunk.data, chunk.text_at)
         row = np.repeat(np.arange(chunk.rows), np.diff(at)).astype(np.uint64)
-        blank = (point < 65) | ((point > 90) & (point < 97)) | ((point > 122) & (point < 0xAA))
+        blank = _BLANK[np.minimum(point, 0xFF)]
         keep = ~blank
         keep[1:] |= blank[1:] & ~blank[:-1]
+        keep[at[:-1][np.diff(at) > 0]] = True  # whatever the text before ends with
         point, row = np.where(blank, 32, point)[keep].astype(np.uint64), row[keep]
-        found = []
+        found, base = [], row * np.uint64(dimensions)
         with np.errstate(over="ignore"):
             code = np.zeros(len(point), np.uint64)
             for n in range(1, longest + 1):
@@ -73,7 +83,7 @@ def term_counts(texts: pa.Array, longest: int = LONGEST, dimensions: int = DIMEN
                 code = code[:len(point) - n + 1] * _GRAM + point[n - 1:] + np.uint64(1)
                 inside = row[n - 1:] == row[:len(row) - n + 1]
                 feature = mixed(code ^ np.uint64(n << 56)) & np.uint64(dimensions - 1)
-                found.append((row[:len(row) - n + 1] * np.uint64(dimensions) + feature)[inside])
+                found.append((base[:len(row) - n + 1] + feature)[inside])
         cells = np.concatenate(found) if found else np.zeros(0, np.uint64)
         cells, counts = _counted(cells, chunk.rows * dimensions)
         yield chunk.first, chunk.rows, (cells // dimensions).astype(np.int64), (cells % dimensions).astype(np.int64), counts

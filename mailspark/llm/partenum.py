@@ -20,6 +20,8 @@ from mailspark.llm.graph import components
 from mailspark.llm.tables import read, stored
 from mailspark.llm.words import Chunk, chunks, lists, mixed, signed, unsigned, window_keys
 
+#: Bytes of text that are taken at a time: what is made of them stays in a core's cache.
+CHUNK = 1 << 16
 #: Sizes of one band differ by this factor at most.
 BAND = 1.5
 #: Parts beyond those that must be there, for each of the elements in which linked sets may differ.
@@ -112,7 +114,7 @@ def set_keys(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch["text"], lower=True):
+            for chunk in chunks(batch["text"], lower=True, size=CHUNK):
                 row, key = shingle_sets(chunk, n)
                 size = np.bincount(row, minlength=chunk.rows)
                 yield pa.record_batch([
@@ -132,7 +134,7 @@ def signed_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, 1 << 16)
         for batch in batches:
-            for chunk in chunks(batch["text"], lower=True):
+            for chunk in chunks(batch["text"], lower=True, size=CHUNK):
                 row, key = shingle_sets(chunk, n)
                 size = np.bincount(row, minlength=chunk.rows)
                 if len(size) and size.max() >= bands.low[-1]:
@@ -166,7 +168,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = unsigned(batch["f"].to_numpy())
-            for chunk in chunks(batch["text"], lower=True):
+            for chunk in chunks(batch["text"], lower=True, size=CHUNK):
                 row, key = shingle_sets(chunk, n)
                 right = _set_keys(row, key, chunk.rows) == wanted[chunk.first:chunk.first + chunk.rows]
                 sizes = np.where(right, np.bincount(row, minlength=chunk.rows), 0)
