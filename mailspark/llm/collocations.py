@@ -30,8 +30,9 @@ FIRST = 2_000
 UNLABELLED = "und"
 #: Words of a shard, at least; a task cuts what it reads into shards of this to twice this size, and mines one at a time.
 SHARD = 3 << 20
-#: Shards meet after each level where their share of the support, for the smallest of them, is below this.
-LEAST = 2
+#: Shards meet after each level where their share of the support, for the smallest of them, is below this. Mined alone at a
+#: lower share they name so much that an executor's memory runs short.
+LEAST = 16
 #: Places of a phrase that tell its words then, of all that it has, and what stands for none.
 TOLD, NEVER = 6, 100
 #: Words of the input for each bucket in which shards' phrases meet.
